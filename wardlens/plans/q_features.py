@@ -12,7 +12,7 @@ from wardlens.plans import q_flags
 from wardlens.plans import sqltext as S
 from wardlens.plans.catalog import register
 from wardlens.plans.q_cohort import fixture_index_stays
-from wardlens.plans.q_series import N, SERIES_CTES, fixture_trailing
+from wardlens.plans.q_series import N, SERIES_CTES, fixture_cohort, fixture_trailing
 from wardlens.sources import roles
 from wardlens.sources.tables import Tables
 
@@ -34,11 +34,11 @@ def fixture_seq_words(t: Tables):
 
 
 def fixture_static(t: Tables):
-    return FE.static_attributes(fixture_index_stays(t), **P)
+    return FE.static_attributes(fixture_cohort(t), **P)
 
 
 def fixture_flags(t: Tables):
-    return q_flags.first_visit_flags(t.spark, t.sf_dir)
+    return t.derived("first_visit_flags", lambda: q_flags.first_visit_flags(t.spark, t.sf_dir))
 
 
 def fixture_table(t: Tables):

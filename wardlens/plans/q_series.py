@@ -17,8 +17,13 @@ LABELS = list(FIXTURE_EVENT_TYPES)
 
 # ---- Spark side ----------------------------------------------------------
 
+def fixture_cohort(t: Tables):
+    """Index stays written once (D7) and re-read by the series and feature steps."""
+    return t.derived("index_stays", lambda: fixture_index_stays(t))
+
+
 def fixture_measurements(t: Tables):
-    cohort = fixture_index_stays(t)
+    cohort = fixture_cohort(t)
     dct = roles.item_dictionary(t.spark)
     return series.measurements(roles.lab_events(t), dct, P["lab_item_ids"],
                                roles.chart_events(t), dct, P["chart_item_ids"], cohort,
@@ -34,7 +39,8 @@ def fixture_cells(t: Tables):
 
 
 def fixture_trailing(t: Tables):
-    return series.trailing_window(fixture_cells(t), N)
+    """Trailing-window cells written once; statistics, words and slots re-read them."""
+    return t.derived("trailing", lambda: series.trailing_window(fixture_cells(t), N))
 
 
 # ---- oracle side ---------------------------------------------------------
@@ -105,7 +111,7 @@ def measurements(spark, d):
     "SELECT * FROM idx_full WHERE subject_id NOT IN (SELECT subject_id FROM meas)"))
 def no_measurement_subjects(spark, d):
     t = Tables(spark, d)
-    return series.no_measurement_subjects(fixture_index_stays(t), fixture_measurements(t))
+    return series.no_measurement_subjects(fixture_cohort(t), fixture_measurements(t))
 
 
 @register("hours_in", series_sql("SELECT * FROM hrs"))

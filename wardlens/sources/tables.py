@@ -29,6 +29,14 @@ class Tables:
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
 
+    def derived(self, key: str, builder) -> DataFrame:
+        """A derived table written once per query plan (see ``sinks.materialize``)
+        and re-read by every later step that needs it."""
+        if key not in self._cache:
+            from wardlens.sources.sinks import materialize
+            self._cache[key] = materialize(builder(), key.replace(":", "_"))
+        return self._cache[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
