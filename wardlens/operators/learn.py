@@ -132,6 +132,8 @@ def score_global(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) ->
 def score_separate(models: dict, rows: DataFrame, cohort: str, keep: Sequence[str]) -> DataFrame:
     """M7 for M5: each row scored by its cohort's model (cohorts without a model drop out)."""
     parts = [_score(m, rows.filter(F.col(cohort) == c), keep) for c, m in models.items()]
+    if not parts:  # no cohort had both classes: nothing can be scored
+        return rows.select(*keep, F.lit(None).cast("double").alias("score")).filter(F.lit(False))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -30,4 +30,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from wardlens.plans import q_cohort, q_eval, q_features, q_flags, q_learn, q_series  # noqa: F401
+    from wardlens.plans import q_cohort, q_eval, q_features, q_flags, q_learn, q_runs, q_series  # noqa: F401
