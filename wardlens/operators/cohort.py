@@ -72,15 +72,22 @@ def index_stay_argmin(stays: DataFrame, subject: str = "subject_id") -> DataFram
 
 
 def _index_rows(stays: DataFrame, keep_ties: bool) -> DataFrame:
-    """Index stay(s) + first_disch + days to the second stay, one shuffle by subject."""
-    seq = stay_sequence(stays, 2)
-    second = seq.filter(F.col("events") == 2).select("subject_id", F.col("intime").alias("next_intime"))
+    """Index stay(s) + first_disch + days to the second stay.
+
+    Default: one pass over the subject-partitioned stays — the top-2 window,
+    then ``lead`` over the same ordering gives the second stay's start (no
+    self join, no second shuffle).  ``keep_ties``: the arg-min join (J3).
+    """
     if keep_ties:
-        first = index_stay_argmin(stays)
+        seq = stay_sequence(stays, 2)
+        second = seq.filter(F.col("events") == 2).select("subject_id", F.col("intime").alias("next_intime"))
+        out = index_stay_argmin(stays).join(second, "subject_id", "left")
     else:
-        first = (seq.filter((F.col("events") == 1) & F.col("outtime").isNotNull())
-                 .drop("events").withColumn("first_disch", F.col("outtime")))
-    out = first.join(second, "subject_id", "left")
+        seq = stay_sequence(stays, 2)
+        nxt = F.lead("intime").over(_seq_window("subject_id", STAY_ORDER))
+        out = (seq.withColumn("next_intime", nxt)
+               .filter((F.col("events") == 1) & F.col("outtime").isNotNull())
+               .drop("events").withColumn("first_disch", F.col("outtime")))
     _, days = days_since("next_intime", "first_disch")
     return out.withColumn("days_elapsed", days).drop("next_intime")
 
