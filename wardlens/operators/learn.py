@@ -56,14 +56,24 @@ def embed(model: PipelineModel, tokens: DataFrame) -> DataFrame:
 
 def fit_mixture(embedded: DataFrame, k: int, starts: int, tol: float, seed: int = 0,
                 features: str = "embedding", max_iter: int = 100):
-    """M2: best-of-``starts`` Gaussian mixture by log-likelihood."""
-    best, best_ll = None, None
+    """M2: best-of-``starts`` Gaussian mixture by log-likelihood.
+
+    A start whose covariance update breaks down numerically is skipped; the
+    call fails only if every start does.
+    """
+    best, best_ll, last_err = None, None, None
     for s in range(starts):
         gm = GaussianMixture(featuresCol=features, k=k, tol=tol, seed=seed + s, maxIter=max_iter)
-        m = gm.fit(embedded)
+        try:
+            m = gm.fit(embedded)
+        except Exception as e:  # noqa: BLE001 - numerical failure of one start
+            last_err = e
+            continue
         ll = m.summary.logLikelihood
         if best_ll is None or ll > best_ll:
             best, best_ll = m, ll
+    if best is None:
+        raise RuntimeError("every mixture start failed") from last_err
     return best
 
 

@@ -85,8 +85,9 @@ def _item_id() -> F.Column:
     return (pos + F.pmod(F.col("event_id"), F.lit(3))).cast("bigint")
 
 
-def _event_facts(t: Tables, types: list[str]) -> DataFrame:
-    return (t.events.filter(F.col("event_type").isin(types))
+def event_facts(events: DataFrame, types: list[str]) -> DataFrame:
+    """Measurement facts from an events frame (batch or streaming)."""
+    return (events.filter(F.col("event_type").isin(types))
             .select(F.col("user_id").alias("subject_id"),
                     F.col("event_id"),
                     _item_id().alias("itemid"),
@@ -96,12 +97,12 @@ def _event_facts(t: Tables, types: list[str]) -> DataFrame:
 
 def lab_events(t: Tables) -> DataFrame:
     """lab events: click/view/purchase events; item id by type and event id."""
-    return _event_facts(t, FIXTURE_LAB_TYPES)
+    return event_facts(t.events, FIXTURE_LAB_TYPES)
 
 
 def chart_events(t: Tables) -> DataFrame:
     """chart events: error/signup events."""
-    return _event_facts(t, FIXTURE_CHART_TYPES)
+    return event_facts(t.events, FIXTURE_CHART_TYPES)
 
 
 def item_dictionary(spark: SparkSession) -> DataFrame:
