@@ -61,3 +61,21 @@ def test_mixture_best_of_starts_and_membership(spark):
     assert sorted(tuple(r[:2]) for r in a.collect()) == sorted(tuple(r[:2]) for r in b.collect())
     sums = a.select(F.aggregate("probability", F.lit(0.0), lambda s, v: s + v).alias("s")).collect()
     assert all(abs(r["s"] - 1.0) < 1e-6 for r in sums)
+
+
+def test_experiment_log_skip_and_model_reload(spark):
+    from pyspark.ml import PipelineModel
+    from wardlens.plans import experiment as X
+    rows = spark.createDataFrame(
+        [(i, ["a", "b"] if i % 3 else ["c"], int(i % 3 == 0), "u1" if i % 2 else "u2",
+          "test" if i % 5 == 0 else "train") for i in range(200)],
+        "subject_id long, tokens array<string>, readmission_30_days int, first_careunit string, split string")
+    base = tempfile.mkdtemp(prefix="wardlens-exp-")
+    log, models = os.path.join(base, "log"), os.path.join(base, "models")
+    spec = X.ExperimentSpec(model="GLOBAL", replicates=5, run_id="r1")
+    first = X.run_experiment(rows, spec, log_path=log, model_dir=models)
+    metrics = {(r["scope"], r["metric"]) for r in first.collect()}
+    assert ("micro", "auc") in metrics and ("u1", "auc_mean") in metrics
+    assert X.run_experiment(rows, spec, log_path=log) is None  # already in the log
+    reloaded = PipelineModel.load(os.path.join(models, "global"))
+    assert reloaded.transform(rows).count() == 200

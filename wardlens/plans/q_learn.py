@@ -3,6 +3,9 @@ classifier families (rows-only checks: no SQL restatement of model fits)."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -10,9 +13,11 @@ from wardlens.functions.codesets import CLINICAL
 from wardlens.operators import evaluate as EV
 from wardlens.operators import learn as L
 from wardlens.operators import sampling as SA
+from wardlens.plans import experiment as X
 from wardlens.plans.catalog import register
 from wardlens.plans.q_features import fixture_static, fixture_table
 from wardlens.plans.q_series import N
+from wardlens.session import ensure_checkpoint_dir
 from wardlens.sources.tables import Tables
 
 SEED = 0
@@ -45,12 +50,7 @@ def embed_sequences(spark, d):
 
 @register("cluster_fit_assign")
 def cluster_fit_assign(spark, d):
-    t = Tables(spark, d)
-    rows = fixture_model_rows(t)
-    emb = t.derived("embedding", lambda: _embedded(t))
-    train = emb.join(rows.filter(F.col("split") == "train").select("subject_id"), "subject_id")
-    gm = L.fit_mixture(train, CLINICAL["clusters"], CLINICAL["cluster_starts"], CLINICAL["cluster_tol"], SEED)
-    return L.assign_clusters(gm, emb)
+    return _membership(Tables(spark, d))
 
 
 def _weighted_train(rows):
@@ -62,6 +62,14 @@ def _test_auc(scored):
     return EV.auc_macro_micro(scored.withColumnRenamed(LABEL, "y"), COHORT)
 
 
+def _membership(t: Tables):
+    rows = fixture_model_rows(t)
+    emb = t.derived("embedding", lambda: _embedded(t))
+    train = emb.join(rows.filter(F.col("split") == "train").select("subject_id"), "subject_id")
+    gm = L.fit_mixture(train, CLINICAL["clusters"], CLINICAL["cluster_starts"], CLINICAL["cluster_tol"], SEED)
+    return L.assign_clusters(gm, emb)
+
+
 @register("model_global")
 def model_global(spark, d):
     rows = fixture_model_rows(Tables(spark, d))
@@ -87,3 +95,23 @@ def model_multitask(spark, d):
     m = L.fit_multitask(_weighted_train(rows), LABEL, COHORT, weight="weight")
     test = rows.filter(F.col("split") == "test")
     return _test_auc(L.score_global(m, test, ["subject_id", COHORT, LABEL]))
+
+
+@register("run_experiment")
+def run_experiment(spark, d):
+    """M9: multitask family, cohort weights, 100-replicate bootstrapped test AUC, logged."""
+    t = Tables(spark, d)
+    spec = X.ExperimentSpec(model="MULTITASK", label=LABEL, cohort=COHORT, replicates=CLINICAL["bootstrap_replicates"],
+                            seed=SEED, run_id="multitask-0")
+    log = os.path.join(ensure_checkpoint_dir(spark), "runlog", uuid.uuid4().hex)
+    return X.run_experiment(fixture_model_rows(t), spec, log_path=log)
+
+
+@register("cluster_cohort_models")
+def cluster_cohort_models(spark, d):
+    """M8: cohorts from the mixture membership instead of the care unit."""
+    t = Tables(spark, d)
+    membership = t.derived("membership", lambda: _membership(t))
+    rows = X.with_cohorts(fixture_model_rows(t), membership)
+    spec = X.ExperimentSpec(model="GLOBAL", label=LABEL, cohort="cluster", seed=SEED, run_id="clusters-0")
+    return X.run_experiment(rows, spec)
