@@ -55,7 +55,7 @@ def embed(model: PipelineModel, tokens: DataFrame) -> DataFrame:
 
 
 def fit_mixture(embedded: DataFrame, k: int, starts: int, tol: float, seed: int = 0,
-                features: str = "embedding", max_iter: int = 100, parallel: int = 4):
+                features: str = "embedding", max_iter: int = 100, parallel: int = 8):
     """M2: best-of-``starts`` Gaussian mixture by log-likelihood.
 
     Starts are independent fits submitted from ``parallel`` driver threads, so
