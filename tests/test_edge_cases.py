@@ -210,3 +210,27 @@ def test_one_hot_skips_missing_and_collapses(spark):
                               "subject_id long, hours_in long, label string, word int")
     out = features.one_hot_words(w).collect()
     assert [r["feature"] for r in out] == ["hr_1"]
+
+
+def test_code_flags_keeps_unused_dictionary_codes(spark):
+    dct = spark.createDataFrame([("4280", "heart failure"), ("490", "bronchitis"), ("999", "x malignant")],
+                                "icd9_code string, long_title string")
+    facts = spark.createDataFrame([(1, 11, "490"), (1, 11, "490"), (2, 21, "777")],
+                                  "subject_id long, hadm_id long, icd9_code string")
+    out = flags.code_flags(dct, facts, code_flags=CLINICAL["code_flags"], title_flag=CLINICAL["title_flag"],
+                           lowercase_flags=CLINICAL["lowercase_flags"])
+    got = sorted((r["subject_id"] or 0, r["icd9_code"] or "", r["long_title"], r["congestive_heart_failure"],
+                  r["copd"], r["cancer"]) for r in out.collect())
+    # the unused heart-failure code is flagged from the dictionary side; copd reads the fact's code
+    assert got == [(0, "", "heart failure", 1, 0, 0), (0, "", "x malignant", 0, 0, 1),
+                   (1, "490", "bronchitis", 0, 1, 0), (1, "490", "bronchitis", 0, 1, 0)]
+
+
+def test_running_max_binary_equals_window(spark):
+    rows = [(1, 3, 0), (1, 1, 0), (1, 2, 1), (1, 2, 0), (1, None, 0), (2, 5, 0), (2, None, 1), (3, 1, 1)]
+    df = spark.createDataFrame(rows, "s long, o long, f int")
+    def key(r):
+        return tuple((x is None, x or 0) for x in r)
+    a = sorted((tuple(r) for r in flags.running_max(df, "s", "o", ["f"]).collect()), key=key)
+    b = sorted((tuple(r) for r in flags.running_max(df, "s", "o", ["f"], binary=False).collect()), key=key)
+    assert a == b

@@ -48,14 +48,22 @@ def code_flags(dictionary: DataFrame, facts: DataFrame, *, code_flags: Mapping[s
                code: str = "icd9_code", **_ignored) -> DataFrame:
     """J7 + P8 + P9: dictionary LEFT JOIN facts on the code, flags per row.
 
-    Dictionary codes without facts are kept with NULL subject/visit.
+    Dictionary codes without facts are kept with NULL subject/visit.  Written
+    as facts INNER JOIN dictionary (AQE can split a hot code on either side)
+    UNION ALL the dictionary rows whose code no fact uses (anti join against
+    the distinct fact codes), which is the same multiset of rows.
     """
     d = dictionary.select(F.col(code).alias("d_code"), "long_title")
     f = facts.select("subject_id", "hadm_id", F.col(code).alias("f_code"))
-    j = d.join(f, d.d_code == f.f_code, "left")
-    return j.select("subject_id", "hadm_id", F.col("f_code").alias(code), "long_title",
-                    *flag_columns(code_flags, title_flag, lowercase_flags=lowercase_flags,
-                                  fact_side_flags=fact_side_flags))
+    flags = flag_columns(code_flags, title_flag, lowercase_flags=lowercase_flags,
+                         fact_side_flags=fact_side_flags)
+    matched = f.join(d, f.f_code == d.d_code, "inner")
+    used = f.select(F.col("f_code").alias("d_code")).distinct()
+    unused = d.join(used, "d_code", "left_anti").select(
+        F.lit(None).cast("long").alias("subject_id"), F.lit(None).cast("long").alias("hadm_id"),
+        F.lit(None).cast("string").alias("f_code"), "d_code", "long_title")
+    rows = matched.select("subject_id", "hadm_id", "f_code", "d_code", "long_title").unionByName(unused)
+    return rows.select("subject_id", "hadm_id", F.col("f_code").alias(code), "long_title", *flags)
 
 
 def title_flags(dictionary: DataFrame, name: str, suffix: str, code: str = "icd9_code") -> DataFrame:
@@ -91,9 +99,28 @@ def first_visit_flags(stays: DataFrame, dictionary: DataFrame, facts: DataFrame,
                       *[F.coalesce(F.col(n), F.lit(0)).cast("int").alias(n) for n in names])
 
 
-def running_max(df: DataFrame, partition: str, order: str, cols: Iterable[str]) -> DataFrame:
+def running_max(df: DataFrame, partition: str, order: str, cols: Iterable[str],
+                binary: bool = True) -> DataFrame:
     """``max(c) OVER (PARTITION BY p ORDER BY o)`` with the default frame
-    (RANGE UNBOUNDED PRECEDING .. CURRENT ROW, peers included)."""
-    w = Window.partitionBy(partition).orderBy(F.col(order).asc_nulls_last())
-    return df.select(*[c for c in df.columns if c not in set(cols)],
-                     *[F.max(c).over(w).alias(c) for c in cols])
+    (RANGE UNBOUNDED PRECEDING .. CURRENT ROW, peers included).
+
+    For 0/1 flags (``binary``) the running max at a row is 1 exactly when its
+    order key is at or after the first key carrying a 1, so it is computed
+    from a partial aggregate (first flagged key per partition) joined back —
+    no window has to hold a whole partition.  Rows with a NULL order key sort
+    last and see every row of the partition.  ``binary=False`` uses the window.
+    """
+    cols = list(cols)
+    if not binary:
+        w = Window.partitionBy(partition).orderBy(F.col(order).asc_nulls_last())
+        return df.select(*[c for c in df.columns if c not in set(cols)],
+                         *[F.max(c).over(w).alias(c) for c in cols])
+    firsts = df.groupBy(partition).agg(
+        *[F.min(F.when(F.col(c) == 1, F.col(order))).alias(f"_first_{c}") for c in cols],
+        *[F.max(c).alias(f"_any_{c}") for c in cols])
+    j = df.join(firsts, partition, "left")
+    o = F.col(order)
+    out = [F.when(o.isNull(), F.col(f"_any_{c}"))
+           .when(F.col(f"_first_{c}").isNotNull() & (o >= F.col(f"_first_{c}")), F.lit(1))
+           .otherwise(F.lit(0)).cast("int").alias(c) for c in cols]
+    return j.select(*[c for c in df.columns if c not in set(cols)], *out)
