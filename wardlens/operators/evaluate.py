@@ -23,19 +23,27 @@ def auc(scored: DataFrame, label: str = "y", score: str = "score", scopes: Seque
 
     ``weight`` (e.g. bootstrap multiplicity) counts a row that many times.
     """
-    keys = list(scopes) or ["_scope"]
-    if not scopes:
-        scored = scored.withColumn("_scope", F.lit("all"))
+    keys = list(scopes)
     w = F.col(weight) if weight else F.lit(1)
     y = F.col(label)
     cells = scored.groupBy(*keys, score).agg(
         F.sum(F.when(y == 1, w).otherwise(0)).cast("double").alias("pos"),
         F.sum(F.when(y == 0, w).otherwise(0)).cast("double").alias("neg"))
     probs = [i / buckets for i in range(1, buckets)]
-    # one row per scope, each an array of buckets-1 bounds
-    bounds = cells.groupBy(*keys).agg(F.percentile_approx(score, probs, 1000).alias("_bounds"))
-    cells = cells.join(bounds, keys)
-    cells = cells.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(score)))).drop("_bounds")
+    q = F.percentile_approx(score, probs, 1000)
+    if keys:
+        # one row per scope, each an array of buckets-1 bounds
+        cells = cells.join(cells.groupBy(*keys).agg(q.alias("_bounds")), keys)
+        bounds = F.col("_bounds")
+    else:
+        # a single array: a scalar subquery, evaluated once
+        cells = cells.withColumn("_bounds", cells.select(q).scalar())
+        bounds = F.col("_bounds")
+        keys = ["_scope"]
+        cells = cells.withColumn("_scope", F.lit(0))
+    cells = cells.withColumn("_b", F.size(F.filter(bounds, lambda b: b < F.col(score))))
+    if "_bounds" in cells.columns:
+        cells = cells.drop("_bounds")
     part = keys + ["_b"]
     inner = Window.partitionBy(*part).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_below_in", F.coalesce(F.sum("neg").over(inner), F.lit(0.0)))

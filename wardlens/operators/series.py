@@ -73,19 +73,18 @@ def measurements(labs: DataFrame, lab_dictionary: DataFrame, lab_ids: Sequence[i
 def no_measurement_subjects(cohort: DataFrame, measured: DataFrame, key: str = "subject_id") -> DataFrame:
     """``cohort WHERE key NOT IN (SELECT key FROM measured)``, null-aware.
 
-    Written as a shuffle anti join (scales with both sides) plus two guards
-    against a one-row side: any NULL key in ``measured`` empties the result,
-    and a NULL cohort key survives only when ``measured`` is empty.
+    Written as a shuffle anti join (scales with both sides) plus two scalar
+    guards: any NULL key in ``measured`` empties the result, and a NULL
+    cohort key survives only when ``measured`` is empty.
     """
     m = measured.select(key)
-    has_null = m.filter(F.col(key).isNull()).select(F.lit(1).alias("_g")).limit(1)
-    non_empty = m.select(F.lit(1).alias("_g")).limit(1)
+    # two scalar subqueries over the key column (partial aggregates, run once)
+    has_null = m.select(F.max(F.col(key).isNull().cast("int"))).scalar()
+    n_measured = m.select(F.count(F.lit(1))).scalar()
     keyed = cohort.filter(F.col(key).isNotNull()).join(m.filter(F.col(key).isNotNull()).distinct(),
                                                        key, "left_anti")
-    null_keyed = cohort.filter(F.col(key).isNull()).withColumn("_g", F.lit(1)) \
-        .join(F.broadcast(non_empty), "_g", "left_anti").drop("_g")
-    out = keyed.unionByName(null_keyed)
-    return out.withColumn("_g", F.lit(1)).join(F.broadcast(has_null), "_g", "left_anti").drop("_g")
+    null_keyed = cohort.filter(F.col(key).isNull() & (n_measured == 0))
+    return keyed.unionByName(null_keyed).filter(F.coalesce(has_null, F.lit(0)) == 0)
 
 
 # --------------------------------------------------------------------------
