@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from wardlens.functions.scalar import age_years, bucket_values, open_interval_flag
 from wardlens.functions.timecalc import days_since
 
-STAY_ORDER = ("outtime", "hadm_id")
+STAY_ORDER = ("outtime", "hadm_id", "icustay_id")  # stay id: total order for retries
 
 
 def exclude_units(stays: DataFrame, units: Iterable[str], unit_col: str = "first_careunit") -> DataFrame:

@@ -53,7 +53,7 @@ def title_flag(spark, d):
 
 
 _FIRST_SQL = f"""first_st AS (SELECT subject_id, hadm_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY outtime ASC NULLS LAST, hadm_id ASC NULLS LAST) AS rn
+  SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY outtime ASC NULLS LAST, hadm_id ASC NULLS LAST, icustay_id ASC NULLS LAST) AS rn
   FROM stays WHERE {_EXCL}) WHERE rn = 1),
 tagged AS (SELECT b.subject_id, b.hadm_id, {_sql_flags()}
   FROM code_dictionary a JOIN code_facts b ON a.icd9_code = b.icd9_code),

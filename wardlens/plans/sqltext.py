@@ -104,7 +104,7 @@ first_rows AS (SELECT s.*, fe.first_disch FROM s JOIN fe ON s.subject_id = fe.su
   SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY deathtime DESC, hospital_expire_flag DESC) AS rn
   FROM deaths WHERE deathtime IS NOT NULL AND hospital_expire_flag <> 1) WHERE rn = 1)"""
     return f"""s AS (SELECT * FROM stays WHERE {excl}),
-seq AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY outtime ASC NULLS LAST, hadm_id ASC NULLS LAST) AS events FROM s),
+seq AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY outtime ASC NULLS LAST, hadm_id ASC NULLS LAST, icustay_id ASC NULLS LAST) AS events FROM s),
 second_stay AS (SELECT subject_id, intime AS next_intime FROM seq WHERE events = 2),
 {first},
 idx AS (SELECT f.*, {days('n.next_intime', 'f.first_disch')} AS days_elapsed
