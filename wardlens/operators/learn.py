@@ -20,6 +20,7 @@ is bounded by ``vocab_size``, and only model coefficients reach the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -27,10 +28,23 @@ from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import (PCA, CountVectorizer, Interaction, OneHotEncoder, StandardScaler,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@contextmanager
+def _persisted(df: DataFrame):
+    """Keep a training set cached while a multi-stage fit scans it several
+    times (each pipeline stage fits on it, then the optimizer iterates).
+    Lost blocks are recomputed from lineage, which starts at written tables."""
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield cached
+    finally:
+        cached.unpersist()
+
+
 def sequence_tokens(table: DataFrame, hours: int) -> DataFrame:
     """Per subject: one token per (step, feature) and ``last:feature`` for the final step."""
     tok = F.when(F.col("step") == hours - 1, F.array(F.col("feature"), F.concat(F.lit("last:"), F.col("feature")))) \
@@ -43,10 +57,11 @@ def fit_embedding(train_tokens: DataFrame, k: int, vocab_size: int = 4096) -> Pi
     """M1: CountVectorizer -> StandardScaler -> PCA(k), fitted on training subjects."""
     cv = CountVectorizer(inputCol="tokens", outputCol="_counts", vocabSize=vocab_size, minDF=1.0)
     sc = StandardScaler(inputCol="_counts", outputCol="_scaled", withMean=False, withStd=True)
-    cv_model = cv.fit(train_tokens)
-    dims = len(cv_model.vocabulary)
-    pca = PCA(inputCol="_scaled", outputCol="embedding", k=max(1, min(k, dims)))
-    return Pipeline(stages=[cv_model, sc, pca]).fit(train_tokens)
+    with _persisted(train_tokens) as train:
+        cv_model = cv.fit(train)
+        dims = len(cv_model.vocabulary)
+        pca = PCA(inputCol="_scaled", outputCol="embedding", k=max(1, min(k, dims)))
+        return Pipeline(stages=[cv_model, sc, pca]).fit(train)
 
 
 def embed(model: PipelineModel, tokens: DataFrame) -> DataFrame:
@@ -115,8 +130,9 @@ def _score(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataFr
 
 def fit_global(train: DataFrame, label: str, weight: str | None = None) -> PipelineModel:
     """M4: one classifier for all cohorts (optional row weights)."""
-    return Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0),
-                            _lr(label, weight)]).fit(train)
+    with _persisted(train) as data:
+        return Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0),
+                                _lr(label, weight)]).fit(data)
 
 
 def fit_separate(train: DataFrame, label: str, cohort: str, cohorts: Sequence[str]) -> dict:
@@ -126,8 +142,9 @@ def fit_separate(train: DataFrame, label: str, cohort: str, cohorts: Sequence[st
         part = train.filter(F.col(cohort) == c)
         if part.select(label).distinct().limit(2).count() < 2:
             continue
-        models[c] = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0),
-                                     _lr(label, None)]).fit(part)
+        with _persisted(part) as data:
+            models[c] = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0),
+                                         _lr(label, None)]).fit(data)
     return models
 
 
@@ -141,7 +158,8 @@ def fit_multitask(train: DataFrame, label: str, cohort: str, weight: str | None
         VectorAssembler(inputCols=["_shared", "_conehot", "_task"], outputCol="features"),
         _lr(label, weight),
     ]
-    return Pipeline(stages=stages).fit(train)
+    with _persisted(train) as data:
+        return Pipeline(stages=stages).fit(data)
 
 
 def score_global(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
