@@ -16,9 +16,15 @@ P = FIXTURE
 _EXCL = " AND ".join(f"first_careunit <> {S.q(u)}" for u in P["excluded_units"])
 
 
-def fixture_index_stays(t: Tables, keep_ties: bool = False, all_deaths: bool = False):
-    return cohort.index_stays(roles.stays(t), roles.subjects(t), roles.visits(t), roles.deaths(t),
-                              keep_ties=keep_ties, all_deaths=all_deaths, **P)
+def fixture_index_stays(t: Tables, keep_ties: bool = False, all_deaths: bool = False, stays=None):
+    return cohort.index_stays(roles.stays(t) if stays is None else stays, roles.subjects(t), roles.visits(t),
+                              roles.deaths(t), keep_ties=keep_ties, all_deaths=all_deaths, **P)
+
+
+def fixture_stays(t: Tables):
+    """The fixture's stay table (orders + line-item counts), written once when
+    several steps of one query read it."""
+    return t.derived("stays", lambda: roles.stays(t))
 
 
 @register("scan_events", S.with_roles("lab_events", "chart_events", body="""

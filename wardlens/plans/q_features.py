@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from wardlens.functions.codesets import FIXTURE
 from wardlens.functions.scalar import band, category_by_substring
 from wardlens.operators import features as FE
+from wardlens.operators import flags
 from wardlens.operators import series
 from wardlens.plans import q_flags
 from wardlens.plans import sqltext as S
 from wardlens.plans.catalog import register
-from wardlens.plans.q_cohort import fixture_index_stays
+from wardlens.plans.q_cohort import fixture_index_stays, fixture_stays
 from wardlens.plans.q_series import N, SERIES_CTES, fixture_cohort, fixture_trailing
 from wardlens.sources import roles
 from wardlens.sources.tables import Tables
@@ -38,7 +39,9 @@ def fixture_static(t: Tables):
 
 
 def fixture_flags(t: Tables):
-    return t.derived("first_visit_flags", lambda: q_flags.first_visit_flags(t.spark, t.sf_dir))
+    return t.derived("first_visit_flags", lambda: flags.first_visit_flags(
+        fixture_stays(t), roles.code_dictionary(t), roles.code_facts(t),
+        excluded_units=P["excluded_units"], **q_flags._kw()))
 
 
 def fixture_table(t: Tables):

@@ -6,7 +6,7 @@ from wardlens.functions.codesets import FIXTURE, FIXTURE_EVENT_TYPES
 from wardlens.operators import series
 from wardlens.plans import sqltext as S
 from wardlens.plans.catalog import register
-from wardlens.plans.q_cohort import fixture_index_stays
+from wardlens.plans.q_cohort import fixture_index_stays, fixture_stays
 from wardlens.sources import roles
 from wardlens.sources.tables import Tables
 
@@ -19,7 +19,7 @@ LABELS = list(FIXTURE_EVENT_TYPES)
 
 def fixture_cohort(t: Tables):
     """Index stays written once (D7) and re-read by the series and feature steps."""
-    return t.derived("index_stays", lambda: fixture_index_stays(t))
+    return t.derived("index_stays", lambda: fixture_index_stays(t, stays=fixture_stays(t)))
 
 
 def fixture_measurements(t: Tables):
