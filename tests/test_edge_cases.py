@@ -234,3 +234,17 @@ def test_running_max_binary_equals_window(spark):
     a = sorted((tuple(r) for r in flags.running_max(df, "s", "o", ["f"]).collect()), key=key)
     b = sorted((tuple(r) for r in flags.running_max(df, "s", "o", ["f"], binary=False).collect()), key=key)
     assert a == b
+
+
+def test_hours_from_subject_origin_and_language_map(spark):
+    m = _meas(spark, [(1, 1, 1, "hr", 1, T0, 1.0), (1, 1, 1, "bp", 1, T0 + timedelta(hours=2), 2.0)])
+    per_label = _rows(series.with_hours(m), "label", "hours_in")
+    per_subject = _rows(series.with_hours(m, origin="subject"), "label", "hours_in")
+    assert per_label == [("bp", 0), ("hr", 0)] and per_subject == [("bp", 2), ("hr", 0)]
+    st = spark.createDataFrame([(1, "F", 40.0, "WHITE", 3.0, None, "Medicare", "HOME", "MICU", 0, None),
+                                (2, "M", 20.0, "ASIAN", 20.0, "ENGL", "Private", "SNF", "SICU", 1, 1)],
+                               "subject_id long, gender string, age double, ethnicity string, los double, "
+                               "language string, insurance string, discharge_location string, "
+                               "first_careunit string, readmission_30_days int, hospital_expire_flag int")
+    out = features.static_attributes(st, **{**CLINICAL, "language_map": {"English": ["ENGL"]}}).collect()
+    assert [(r["subject_id"], r["language"], r["age"], r["los"]) for r in out] == [(1, "Missing", 2, 1)]

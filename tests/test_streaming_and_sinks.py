@@ -79,3 +79,21 @@ def test_experiment_log_skip_and_model_reload(spark):
     assert X.run_experiment(rows, spec, log_path=log) is None  # already in the log
     reloaded = PipelineModel.load(os.path.join(models, "global"))
     assert reloaded.transform(rows).count() == 200
+
+
+def test_sequence_and_membership_sinks(spark):
+    base = tempfile.mkdtemp(prefix="wardlens-sinks-")
+    table = spark.createDataFrame([(1, 0, "hr_1"), (1, 1, "hr_2"), (2, 0, "bp_-1")],
+                                  "subject_id long, step int, feature string")
+    from wardlens.operators import features
+    sinks.write_sequences(table, features.feature_names(table), base)
+    back = spark.read.parquet(os.path.join(base, "sequences"))
+    names = spark.read.parquet(os.path.join(base, "feature_names")).orderBy("feature_index").collect()
+    assert back.count() == 3 and [r["feature"] for r in names] == ["bp_-1", "hr_1", "hr_2"]
+    mem = spark.createDataFrame([(1, 0), (2, 3)], "subject_id long, cluster int")
+    sinks.write_membership(mem, os.path.join(base, "membership"))
+    from wardlens.plans.experiment import with_cohorts
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "subject_id long, tokens string")
+    got = sorted((r["subject_id"], r["cluster"]) for r in
+                 with_cohorts(rows, spark.read.parquet(os.path.join(base, "membership"))).collect())
+    assert got == [(1, "0"), (2, "3")]
