@@ -125,9 +125,12 @@ def index_stays(stays: DataFrame, subjects: DataFrame, visits: DataFrame, deaths
             .select("subject_id", "deathtime", "hospital_expire_flag")
     else:
         dth = latest_death(deaths)
+    # both subject-keyed joins first (one partitioning by subject), then the
+    # (subject, visit) join; the joins are on independent keys, so the order
+    # does not change the rows
     out = (idx.join(subj, "subject_id", "inner")
-           .join(vis, ["subject_id", "hadm_id"], "left")
-           .join(dth, "subject_id", "left"))
+           .join(dth, "subject_id", "left")
+           .join(vis, ["subject_id", "hadm_id"], "left"))
     age = age_years("intime", "dob", year_days_milli)
     days = F.coalesce(F.col("days_elapsed"), F.lit(0)).cast("bigint")
     out = out.select(
