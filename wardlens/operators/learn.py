@@ -109,12 +109,6 @@ def assign_clusters(model, embedded: DataFrame, features: str = "embedding") ->
                       vector_to_array("probability").alias("probability"))
 
 
-def subject_features(tokens: DataFrame, vocab_size: int = 4096) -> Pipeline:
-    """Feature stage used by the classifiers: token counts."""
-    return Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="features",
-                                            vocabSize=vocab_size, minDF=1.0)])
-
-
 def _lr(label: str, weight: str | None, features: str = "features", reg: float = 0.01) -> LogisticRegression:
     lr = LogisticRegression(featuresCol=features, labelCol=label, regParam=reg, elasticNetParam=0.0,
                             maxIter=100, probabilityCol="_prob")

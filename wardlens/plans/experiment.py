@@ -92,9 +92,9 @@ def run_experiment(rows: DataFrame, spec: ExperimentSpec, log_path: str | None =
     log already holds the configuration and repeats are not allowed)."""
     spark = rows.sparkSession
     key = spec.key()
-    if log_path and not allow_repeats and sinks.path_exists(spark, log_path):
-        log = spark.read.parquet(log_path).select(
-            *[F.col("params")[k].alias(k) for k in key]).distinct()
+    found = sinks.read_if_present(spark, log_path) if log_path and not allow_repeats else None
+    if found is not None:
+        log = found.select(*[F.col("params")[k].alias(k) for k in key]).distinct()
         cfg = spark.createDataFrame([tuple(key.values())], ", ".join(f"`{k}` string" for k in key))
         if sinks.pending_runs(cfg, log, list(key)).isEmpty():
             return None

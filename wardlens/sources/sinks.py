@@ -12,21 +12,25 @@ import os
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.session import ensure_checkpoint_dir
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path``, or None when nothing has been written there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return None
+        raise
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _hadoop_path(spark, path)
-    return fs.exists(p)
+    return read_if_present(spark, path) is not None
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None,
@@ -47,8 +51,9 @@ def materialize(df: DataFrame, name: str, path: str | None = None,
 
 def load_or_build(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
     """Read the parquet table at ``path`` if present, else build, write, read."""
-    if path_exists(spark, path):
-        return spark.read.parquet(path)
+    found = read_if_present(spark, path)
+    if found is not None:
+        return found
     return materialize(builder(), os.path.basename(path), path)
 
 
