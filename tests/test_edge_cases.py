@@ -248,3 +248,13 @@ def test_hours_from_subject_origin_and_language_map(spark):
                                "first_careunit string, readmission_30_days int, hospital_expire_flag int")
     out = features.static_attributes(st, **{**CLINICAL, "language_map": {"English": ["ENGL"]}}).collect()
     assert [(r["subject_id"], r["language"], r["age"], r["los"]) for r in out] == [(1, "Missing", 2, 1)]
+
+
+def test_one_pass_slots_equal_window_chain(spark):
+    cells = _cells(spark, {1: [0, 20, 49, 60], 2: [10, 47, 50], 3: [48], 4: list(range(100, 160, 7))})
+    trail = series.trailing_window(cells, 48)
+    chain = series.clip_last(series.fill_backward(series.regularize(trail, 48)), 48)
+    cols = ["subject_id", "hours_in", "last_hour", "observed", "src_hour", "step"]
+    a = sorted(tuple(r) for r in series.hourly_slots(trail, 48).select(*cols).collect())
+    b = sorted(tuple(r) for r in chain.select(*cols).collect())
+    assert a == b and len(a) == 4 * 48

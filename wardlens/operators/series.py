@@ -199,8 +199,27 @@ def clip_last(df: DataFrame, n: int, order: str = "hours_in", key: str = "subjec
 
 
 def hourly_slots(trailing: DataFrame, hours: int) -> DataFrame:
-    """T7 -> T8 -> T9: (subject, step, hours_in, src_hour) for the last ``hours`` slots."""
-    return clip_last(fill_backward(regularize(trailing, hours)), hours)
+    """T7 -> T8 -> T9 in one bounded pass: (subject, step, hours_in, src_hour)
+    for the last ``hours`` slots.
+
+    A subject has at most hours+1 observed hours in its trailing window, so
+    one aggregate per subject collects them (sorted), and array expressions
+    build every slot with its source hour, the first observed hour at or
+    after the slot.  One shuffle instead of the grid join and two windows of
+    ``regularize`` -> ``fill_backward`` -> ``clip_last``; same rows.
+    """
+    per = trailing.groupBy("subject_id").agg(
+        F.max("last_hour").alias("_last"), F.array_sort(F.collect_set("hours_in")).alias("_obs"))
+    first_slot = F.col("_last") - (hours - 1)
+    slots = F.transform(
+        F.sequence(F.lit(0), F.lit(hours - 1)),
+        lambda k: F.struct(k.cast("int").alias("step"), (first_slot + k).alias("hours_in"),
+                           F.array_contains("_obs", first_slot + k).alias("observed"),
+                           F.filter("_obs", lambda h: h >= first_slot + k)[0].alias("src_hour")))
+    out = per.select("subject_id", F.col("_last").alias("last_hour"), F.explode(slots).alias("_s"))
+    return out.select("subject_id", F.col("_s.hours_in").alias("hours_in"), "last_hour",
+                      F.col("_s.observed").alias("observed"), F.col("_s.src_hour").alias("src_hour"),
+                      F.col("_s.step").alias("step"))
 
 
 def last_step(slots: DataFrame, hours: int) -> DataFrame:
