@@ -50,6 +50,18 @@ def test_matches_oracle(spark, con, name):
     assert srows == orows
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "array<string>": "VARCHAR[]"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_types_match_oracle(spark, con, name):
+    sdt = dict(QUERIES[name](spark, SF).dtypes)
+    rel = con.sql(ORACLE[name])
+    odt = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in sdt.items()} == odt
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SKIP_ROWS_ONLY))
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0

@@ -42,7 +42,7 @@ def first_exit(spark, d):
 
 
 @register("stay_sequence", S.with_roles("stays", body=f"""
-SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY outtime ASC NULLS LAST, hadm_id ASC NULLS LAST, icustay_id ASC NULLS LAST) AS events
+SELECT *, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY outtime ASC NULLS LAST, hadm_id ASC NULLS LAST, icustay_id ASC NULLS LAST) AS INTEGER) AS events
 FROM stays WHERE {_EXCL}"""))
 def stay_sequence(spark, d):
     s = cohort.exclude_units(roles.stays(Tables(spark, d)), P["excluded_units"])
@@ -50,7 +50,7 @@ def stay_sequence(spark, d):
 
 
 @register("nth_stay", S.with_roles("stays", body=f"""
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY outtime ASC NULLS LAST, hadm_id ASC NULLS LAST, icustay_id ASC NULLS LAST) AS events
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY outtime ASC NULLS LAST, hadm_id ASC NULLS LAST, icustay_id ASC NULLS LAST) AS INTEGER) AS events
 FROM stays WHERE {_EXCL}) WHERE events = 2"""))
 def nth_stay(spark, d):
     s = cohort.exclude_units(roles.stays(Tables(spark, d)), P["excluded_units"])

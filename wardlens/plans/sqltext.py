@@ -81,7 +81,7 @@ ROLE_CTES = {
     "chart_events": f"""chart_events AS (
   SELECT user_id AS subject_id, event_id, {item_id()} AS itemid, ts AS charttime, value AS valuenum
   FROM events WHERE event_type IN {in_list(FIXTURE_CHART_TYPES)})""",
-    "item_dictionary": "item_dictionary AS (SELECT * FROM (VALUES "
+    "item_dictionary": "item_dictionary AS (SELECT CAST(itemid AS BIGINT) AS itemid, label FROM (VALUES "
     + ", ".join(f"({10 * i + r}, {q(t)})" for i, t in enumerate(FIXTURE_EVENT_TYPES) for r in range(3))
     + ") v(itemid, label))",
 }
