@@ -53,3 +53,20 @@ def test_results_do_not_depend_on_skew_splitting(spark):
                 spark.conf.set(k, v)
     assert base == skewed
     assert len(base[0]) > 0 and len(base[1]) > 0
+
+
+def test_row_number_within_hot_key_equals_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from wardlens.operators.ranking import row_number_within
+    rows = [(1, i % 500, i) for i in range(3000)]  # hot key with many ties on the first order column
+    rows += [(k, (k * 7 + j) % 13, j) for k in range(2, 600) for j in range(3)]
+    rows += [(None, 1, 1), (None, 0, 2), (5, None, 9)]
+    df = spark.createDataFrame(rows, "k long, t long, id long")
+    order = [F.col("t").asc_nulls_last(), F.col("id").asc_nulls_last()]
+    got = row_number_within(df, "k", order, "rn", partitions=7)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    a = sorted((tuple(r) for r in got.select("k", "t", "id", "rn").collect()), key=key)
+    b = sorted((tuple(r) for r in ref.select("k", "t", "id", "rn").collect()), key=key)
+    assert a == b

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wardlens.functions.scalar import age_years, bucket_values, open_interval_flag
 from wardlens.functions.timecalc import days_since
+from wardlens.operators.ranking import row_number_within
 
 STAY_ORDER = ("outtime", "hadm_id", "icustay_id")  # stay id: total order for retries
 
@@ -44,10 +45,15 @@ def stay_sequence(stays: DataFrame, max_n: int | None = None, subject: str = "su
     """Number each subject's stays by (end time, visit id), NULL end times last.
 
     With ``max_n`` only the first ``max_n`` stays are kept (top-n per group,
-    W5), which lets Catalyst limit each group before the shuffle.
+    W5), which lets Catalyst limit each group before the shuffle.  Without it
+    every stay is numbered by ``ranking.row_number_within``: range partitions
+    plus a bounded shift table, so a subject holding a large share of all
+    stays is numbered across many tasks.
     """
+    if max_n is None:
+        return row_number_within(stays, subject, [F.col(c).asc_nulls_last() for c in order], name)
     out = stays.withColumn(name, F.row_number().over(_seq_window(subject, order)))
-    return out if max_n is None else out.filter(F.col(name) <= max_n)
+    return out.filter(F.col(name) <= max_n)
 
 
 def nth_stay(stays: DataFrame, n: int, subject: str = "subject_id",
