@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.functions.scalar import band, category_by_substring, fill_missing, not_equal_keep_null, zscore_word
+from wardlens.functions.scalar import (band, bucket_values, category_by_substring, fill_missing,
+                                      not_equal_keep_null, zscore_word)
 
 STATIC_COLUMNS = ["gender", "age", "ethnicity", "los", "language", "insurance", "discharge_location"]
 
@@ -67,7 +68,6 @@ def static_attributes(index_stays: DataFrame, *, age_bands, los_bands, band_defa
     s = index_stays.filter(not_equal_keep_null("hospital_expire_flag", 1))
     lang = fill_missing("language")
     if language_map:
-        from wardlens.functions.scalar import bucket_values
         lang = bucket_values(lang, language_map, "Missing")
     return s.select(
         "subject_id", "gender",
