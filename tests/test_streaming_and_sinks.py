@@ -97,3 +97,13 @@ def test_sequence_and_membership_sinks(spark):
     got = sorted((r["subject_id"], r["cluster"]) for r in
                  with_cohorts(rows, spark.read.parquet(os.path.join(base, "membership"))).collect())
     assert got == [(1, "0"), (2, "3")]
+
+
+def test_global_with_cohort_feature(spark):
+    from wardlens.plans import experiment as X
+    rows = spark.createDataFrame(
+        [(i, ["a"] if i % 3 else ["c"], int(i % 3 == 0 or i % 7 == 0), "u1" if i % 2 else "u2",
+          "test" if i % 5 == 0 else "train") for i in range(200)],
+        "subject_id long, tokens array<string>, readmission_30_days int, first_careunit string, split string")
+    out = X.run_experiment(rows, X.ExperimentSpec(model="GLOBAL", cohort_as_feature=True, run_id="c"))
+    assert {r["scope"] for r in out.collect()} >= {"micro", "macro"}

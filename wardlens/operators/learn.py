@@ -45,10 +45,15 @@ def _persisted(df: DataFrame):
         cached.unpersist()
 
 
-def sequence_tokens(table: DataFrame, hours: int) -> DataFrame:
-    """Per subject: one token per (step, feature) and ``last:feature`` for the final step."""
-    tok = F.when(F.col("step") == hours - 1, F.array(F.col("feature"), F.concat(F.lit("last:"), F.col("feature")))) \
-        .otherwise(F.array(F.col("feature")))
+def sequence_tokens(table: DataFrame, hours: int, blocks: int = 4) -> DataFrame:
+    """Per subject: one token per (step, feature), one per (time block,
+    feature) — ``b{k}:feature`` for the k-th of ``blocks`` equal parts of the
+    window, so counts keep coarse time order — and ``last:feature`` for the
+    final step.  The list is bounded by steps x features per step."""
+    block = (F.col("step") * blocks / hours).cast("int").cast("string")
+    base = [F.col("feature"), F.concat(F.lit("b"), block, F.lit(":"), F.col("feature"))]
+    tok = F.when(F.col("step") == hours - 1,
+                 F.array(*base, F.concat(F.lit("last:"), F.col("feature")))).otherwise(F.array(*base))
     return table.select("subject_id", F.explode(tok).alias("token")) \
         .groupBy("subject_id").agg(F.collect_list("token").alias("tokens"))
 
@@ -122,11 +127,17 @@ def _score(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataFr
     return out.select(*keep, vector_to_array("_prob")[1].alias("score"))
 
 
-def fit_global(train: DataFrame, label: str, weight: str | None = None) -> PipelineModel:
-    """M4: one classifier for all cohorts (optional row weights)."""
+def fit_global(train: DataFrame, label: str, weight: str | None = None,
+               cohort: str | None = None) -> PipelineModel:
+    """M4: one classifier for all cohorts (optional row weights); with
+    ``cohort`` its one-hot is appended to the features (F13)."""
+    stages = [CountVectorizer(inputCol="tokens", outputCol="_tok" if cohort else "features", minDF=1.0)]
+    if cohort:
+        stages += [StringIndexer(inputCol=cohort, outputCol="_cidx", handleInvalid="keep"),
+                   OneHotEncoder(inputCol="_cidx", outputCol="_conehot", dropLast=False),
+                   VectorAssembler(inputCols=["_tok", "_conehot"], outputCol="features")]
     with _persisted(train) as data:
-        return Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0),
-                                _lr(label, weight)]).fit(data)
+        return Pipeline(stages=stages + [_lr(label, weight)]).fit(data)
 
 
 def fit_separate(train: DataFrame, label: str, cohort: str, cohorts: Sequence[str]) -> dict:

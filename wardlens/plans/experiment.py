@@ -24,6 +24,7 @@ class ExperimentSpec:
     label: str = "readmission_30_days"
     cohort: str = "first_careunit"     # any cohort column, or "cluster" after with_cohorts
     sample_weights: bool = True        # cohort inverse-frequency weights (R4)
+    cohort_as_feature: bool = False    # GLOBAL only: append the cohort one-hot (F13)
     evaluate_on: str = "test"          # "val" (train mode) or "test" (test mode)
     replicates: int = 0                # 0: single AUC; >0: bootstrapped min/max/mean
     seed: int = 0
@@ -32,6 +33,7 @@ class ExperimentSpec:
 
     def key(self) -> dict:
         return {"model": self.model, "cohort": self.cohort, "weights": str(self.sample_weights),
+                "cohort_feature": str(self.cohort_as_feature),
                 "split": self.evaluate_on, **{k: str(v) for k, v in self.params.items()}}
 
 
@@ -50,7 +52,7 @@ def _scored(spec: ExperimentSpec, rows: DataFrame, model_dir: str | None) -> Dat
         train = SA.cohort_weights(train, spec.cohort)
         weight = "weight"
     if spec.model == "GLOBAL":
-        m = L.fit_global(train, spec.label, weight)
+        m = L.fit_global(train, spec.label, weight, spec.cohort if spec.cohort_as_feature else None)
         if model_dir:
             m.write().overwrite().save(os.path.join(model_dir, "global"))
         return L.score_global(m, evalset, keep)
