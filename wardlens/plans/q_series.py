@@ -175,3 +175,25 @@ def clip_last(spark, d):
 @register("last_step", series_sql(f"SELECT * FROM slots WHERE step = {N - 1}"))
 def last_step(spark, d):
     return series.last_step(series.hourly_slots(fixture_trailing(Tables(spark, d)), N), N)
+
+
+@register("stream_measurements")
+def stream_measurements(spark, d):
+    """Streaming refresh of the lab branch of D9 (rows-only check): every
+    events file in the folder is processed once (``availableNow``) through a
+    stream-static join to the written cohort, appended to a parquet table."""
+    import os
+    import uuid
+
+    from wardlens.functions.codesets import FIXTURE_LAB_TYPES
+    from wardlens.session import ensure_checkpoint_dir
+    from wardlens.streaming.measurements import stream_measurements as start
+
+    t = Tables(spark, d)
+    base = os.path.join(ensure_checkpoint_dir(spark), "streams", uuid.uuid4().hex)
+    q = start(spark, d, t.events.schema, lambda ev: roles.event_facts(ev, FIXTURE_LAB_TYPES),
+              roles.item_dictionary(spark), P["lab_item_ids"], fixture_cohort(t), ["subject_id"],
+              os.path.join(base, "measurements"), checkpoint=os.path.join(base, "progress"),
+              glob="events.parquet")
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(base, "measurements"))

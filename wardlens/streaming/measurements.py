@@ -23,7 +23,7 @@ from wardlens.operators.series import measurement_branch
 from wardlens.session import ensure_checkpoint_dir
 
 
-def stream_measurements(spark: SparkSession, source_dir: str, source_schema: str,
+def stream_measurements(spark: SparkSession, source_dir: str, source_schema,
                         to_facts: Callable[[DataFrame], DataFrame], dictionary: DataFrame,
                         item_ids: Sequence[int], cohort: DataFrame, join_keys: Sequence[str],
                         sink_path: str, checkpoint: str | None = None, glob: str | None = None,
