@@ -46,23 +46,29 @@ def _persisted(df: DataFrame):
 
 
 def sequence_tokens(table: DataFrame, hours: int, blocks: int = 4) -> DataFrame:
-    """Per subject: one token per (step, feature), one per (time block,
-    feature) — ``b{k}:feature`` for the k-th of ``blocks`` equal parts of the
-    window, so counts keep coarse time order — and ``last:feature`` for the
-    final step.  The list is bounded by steps x features per step."""
+    """Per subject: ``tokens`` — one per (step, feature) plus ``last:feature``
+    for the final step — and ``block_tokens`` — ``b{k}:feature`` for the k-th
+    of ``blocks`` equal parts of the window, so the embedding keeps coarse
+    time order.  Both lists are bounded by steps x features per step."""
     block = (F.col("step") * blocks / hours).cast("int").cast("string")
-    base = [F.col("feature"), F.concat(F.lit("b"), block, F.lit(":"), F.col("feature"))]
     tok = F.when(F.col("step") == hours - 1,
-                 F.array(*base, F.concat(F.lit("last:"), F.col("feature")))).otherwise(F.array(*base))
-    return table.select("subject_id", F.explode(tok).alias("token")) \
-        .groupBy("subject_id").agg(F.collect_list("token").alias("tokens"))
+                 F.array(F.col("feature"), F.concat(F.lit("last:"), F.col("feature")))) \
+        .otherwise(F.array(F.col("feature")))
+    x = table.select("subject_id", tok.alias("_t"), F.concat(F.lit("b"), block, F.lit(":"), F.col("feature")).alias("_b"))
+    return x.groupBy("subject_id").agg(F.flatten(F.collect_list("_t")).alias("tokens"),
+                                       F.collect_list("_b").alias("block_tokens"))
+
+
+def _embedding_input(df: DataFrame) -> DataFrame:
+    return df.withColumn("_emb_tokens", F.concat("tokens", "block_tokens"))
 
 
 def fit_embedding(train_tokens: DataFrame, k: int, vocab_size: int = 4096) -> PipelineModel:
-    """M1: CountVectorizer -> StandardScaler -> PCA(k), fitted on training subjects."""
-    cv = CountVectorizer(inputCol="tokens", outputCol="_counts", vocabSize=vocab_size, minDF=1.0)
+    """M1: CountVectorizer -> StandardScaler -> PCA(k) over tokens and time-block
+    tokens, fitted on training subjects."""
+    cv = CountVectorizer(inputCol="_emb_tokens", outputCol="_counts", vocabSize=vocab_size, minDF=1.0)
     sc = StandardScaler(inputCol="_counts", outputCol="_scaled", withMean=False, withStd=True)
-    with _persisted(train_tokens) as train:
+    with _persisted(_embedding_input(train_tokens)) as train:
         cv_model = cv.fit(train)
         dims = len(cv_model.vocabulary)
         pca = PCA(inputCol="_scaled", outputCol="embedding", k=max(1, min(k, dims)))
@@ -71,7 +77,7 @@ def fit_embedding(train_tokens: DataFrame, k: int, vocab_size: int = 4096) -> Pi
 
 def embed(model: PipelineModel, tokens: DataFrame) -> DataFrame:
     """Apply the embedding to every subject: (subject_id, embedding vector)."""
-    return model.transform(tokens).select("subject_id", "embedding")
+    return model.transform(_embedding_input(tokens)).select("subject_id", "embedding")
 
 
 def fit_mixture(embedded: DataFrame, k: int, starts: int, tol: float, seed: int = 0,
