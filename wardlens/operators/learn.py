@@ -63,9 +63,12 @@ def _embedding_input(df: DataFrame) -> DataFrame:
     return df.withColumn("_emb_tokens", F.concat("tokens", "block_tokens"))
 
 
-def fit_embedding(train_tokens: DataFrame, k: int, vocab_size: int = 4096) -> PipelineModel:
+def fit_embedding(train_tokens: DataFrame, k: int, vocab_size: int = 2048) -> PipelineModel:
     """M1: CountVectorizer -> StandardScaler -> PCA(k) over tokens and time-block
-    tokens, fitted on training subjects."""
+    tokens, fitted on training subjects.
+
+    PCA forms a d x d covariance on the driver, so the vocabulary is capped
+    (``vocab_size`` most frequent tokens): at most 2048^2 doubles = 32 MB."""
     cv = CountVectorizer(inputCol="_emb_tokens", outputCol="_counts", vocabSize=vocab_size, minDF=1.0)
     sc = StandardScaler(inputCol="_counts", outputCol="_scaled", withMean=False, withStd=True)
     with _persisted(_embedding_input(train_tokens)) as train:
