@@ -17,47 +17,64 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def auc(scored: DataFrame, label: str = "y", score: str = "score", scopes: Sequence[str] = (),
-        weight: str | None = None, buckets: int = 64) -> DataFrame:
-    """One row per scope with ``auc``, ``n_pos`` and ``n_neg``.
-
-    ``weight`` (e.g. bootstrap multiplicity) counts a row that many times.
-    """
-    keys = list(scopes)
-    w = F.col(weight) if weight else F.lit(1)
-    y = F.col(label)
-    cells = scored.groupBy(*keys, score).agg(
-        F.sum(F.when(y == 1, w).otherwise(0)).cast("double").alias("pos"),
-        F.sum(F.when(y == 0, w).otherwise(0)).cast("double").alias("neg"))
+def _cells_below(cells: DataFrame, keys: list[str], score: str, count: str, buckets: int) -> DataFrame:
+    """Add ``_below``: the sum of ``count`` over cells of the same scope with a
+    strictly lower score.  Scores of a scope are cut into ``buckets`` ranges by
+    approximate quantiles (balance only — the result is exact); a window runs
+    inside one range only, and the totals of lower ranges come from a
+    (scope x range) table."""
     probs = [i / buckets for i in range(1, buckets)]
     q = F.percentile_approx(score, probs, 1000)
     if keys:
         # one row per scope, each an array of buckets-1 bounds
         cells = cells.join(cells.groupBy(*keys).agg(q.alias("_bounds")), keys)
-        bounds = F.col("_bounds")
     else:
         # a single array: a scalar subquery, evaluated once
         cells = cells.withColumn("_bounds", cells.select(q).scalar())
-        bounds = F.col("_bounds")
-        keys = ["_scope"]
-        cells = cells.withColumn("_scope", F.lit(0))
-    cells = cells.withColumn("_b", F.size(F.filter(bounds, lambda b: b < F.col(score))))
-    if "_bounds" in cells.columns:
-        cells = cells.drop("_bounds")
+    cells = cells.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(score)))).drop("_bounds")
     part = keys + ["_b"]
     inner = Window.partitionBy(*part).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_below_in", F.coalesce(F.sum("neg").over(inner), F.lit(0.0)))
-    per_b = cells.groupBy(*part).agg(F.sum("neg").alias("_nb"))
-    wb = Window.partitionBy(*keys).orderBy("_b")
+    cells = cells.withColumn("_below_in", F.coalesce(F.sum(count).over(inner), F.lit(0.0)))
+    per_b = cells.groupBy(*part).agg(F.sum(count).alias("_nb"))
+    wb = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_b")
     per_b = per_b.select(*part, (F.sum("_nb").over(wb) - F.col("_nb")).alias("_below_b"))
-    cells = cells.join(per_b, part)
-    contrib = F.col("pos") * (F.col("_below_b") + F.col("_below_in") + F.col("neg") * 0.5)
-    agg = cells.groupBy(*keys).agg(F.sum(contrib).alias("_u"), F.sum("pos").alias("n_pos"),
-                                   F.sum("neg").alias("n_neg"))
-    out = agg.select(*keys, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
-                                   F.col("_u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"),
-                     F.col("n_pos").cast("bigint").alias("n_pos"), F.col("n_neg").cast("bigint").alias("n_neg"))
-    return out if scopes else out.drop("_scope")
+    return cells.join(per_b, part).withColumn("_below", F.col("_below_b") + F.col("_below_in")) \
+        .drop("_b", "_below_in", "_below_b")
+
+
+def auc(scored: DataFrame, label: str = "y", score: str = "score", scopes: Sequence[str] = (),
+        weight: str | None = None, buckets: int = 64) -> DataFrame:
+    """One row per scope with ``auc``, ``n_pos`` and ``n_neg``.
+
+    ``weight`` (e.g. bootstrap multiplicity) counts a row that many times;
+    rows with a NULL score are ignored.
+    """
+    keys = list(scopes)
+    w = F.col(weight) if weight else F.lit(1)
+    y = F.col(label)
+    cells = scored.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(
+        F.sum(F.when(y == 1, w).otherwise(0)).cast("double").alias("pos"),
+        F.sum(F.when(y == 0, w).otherwise(0)).cast("double").alias("neg"))
+    cells = _cells_below(cells, keys, score, "neg", buckets)
+    contrib = F.col("pos") * (F.col("_below") + F.col("neg") * 0.5)
+    aggs = [F.sum(contrib).alias("_u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")]
+    agg = cells.groupBy(*keys).agg(*aggs) if keys else cells.agg(*aggs)
+    return agg.select(*keys, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
+                                    F.col("_u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"),
+                      F.col("n_pos").cast("bigint").alias("n_pos"), F.col("n_neg").cast("bigint").alias("n_neg"))
+
+
+def average_rank(df: DataFrame, score: str = "score", scopes: Sequence[str] = (), name: str = "avg_rank",
+                 buckets: int = 64) -> DataFrame:
+    """1-based rank of each row's score within its scope, ties sharing
+    the average of their positions (``rank() + (ties - 1) / 2``); NULL scores
+    get NULL.  Built on (scope, score) counts, so no window spans a scope."""
+    keys = list(scopes)
+    cells = df.filter(F.col(score).isNotNull()).groupBy(*keys, score) \
+        .agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    cells = _cells_below(cells, keys, score, "_n", buckets)
+    ranks = cells.select(*keys, score, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranks, keys + [score], "left")
 
 
 def auc_by_cohort(scored: DataFrame, cohort: str, label: str = "y", score: str = "score") -> DataFrame:

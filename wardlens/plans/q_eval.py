@@ -199,3 +199,11 @@ def auc_macro_micro(spark, d):
     rows = EV.route_predictions(fixture_scored(t).drop("score"), fixture_head_predictions(t), "doc_id", "lang")
     out = EV.auc_macro_micro(rows, "lang")
     return out.withColumn("auc", F.round("auc", 10))
+
+
+@register("average_rank", eval_sql("""
+SELECT *, rank() OVER (PARTITION BY lang ORDER BY score)
+          + CAST(count(*) OVER (PARTITION BY lang, score) - 1 AS DOUBLE) / 2.0 AS avg_rank
+FROM scored"""))
+def average_rank(spark, d):
+    return EV.average_rank(fixture_scored(Tables(spark, d)), "score", ["lang"])
