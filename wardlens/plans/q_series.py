@@ -177,7 +177,7 @@ def last_step(spark, d):
     return series.last_step(series.hourly_slots(fixture_trailing(Tables(spark, d)), N), N)
 
 
-@register("stream_measurements")
+@register("stream_measurements", series_sql(f"SELECT * FROM ({_branch('lab_events', P['lab_item_ids'])})"))
 def stream_measurements(spark, d):
     """Streaming refresh of the lab branch of D9 (rows-only check): every
     events file in the folder is processed once (``availableNow``) through a
