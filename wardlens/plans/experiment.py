@@ -96,13 +96,13 @@ def run_experiment(rows: DataFrame, spec: ExperimentSpec, log_path: str | None =
     key = spec.key()
     found = sinks.read_if_present(spark, log_path) if log_path and not allow_repeats else None
     if found is not None:
-        log = found.select(*[F.col("params")[k].alias(k) for k in key]).distinct()
+        pm = F.from_json("params", "map<string,string>")
+        log = found.select(*[pm[k].alias(k) for k in key]).distinct()
         cfg = spark.createDataFrame([tuple(key.values())], ", ".join(f"`{k}` string" for k in key))
         if sinks.pending_runs(cfg, log, list(key)).isEmpty():
             return None
     metrics = evaluate_scores(spec, _scored(spec, rows, model_dir))
-    out = metrics.select(F.lit(spec.run_id).alias("run_id"),
-                         F.create_map(*[x for k, v in key.items() for x in (F.lit(k), F.lit(v))]).alias("params"),
+    out = metrics.select(F.lit(spec.run_id).alias("run_id"), sinks.params_json(key).alias("params"),
                          F.lit(spec.model).alias("model"), "scope", "metric",
                          F.col("value").cast("double").alias("value"))
     if log_path:

@@ -40,7 +40,10 @@ def pending_runs(spark, d):
     return sinks.pending_runs(_configs(t), _log(t), ["model", "scope"])
 
 
-@register("run_log_append")
+@register("run_log_append", S.with_roles(extra=EVAL_CTES, body=f"""
+SELECT r.run_id, r.params, 'GLOBAL' AS model, CAST(a.lang AS VARCHAR) AS scope, 'auc' AS metric, a.auc AS value
+FROM ({_auc_sql('scored', ['lang'])}) a,
+     (VALUES ('run-0', '{{"reg":"0.01"}}'), ('run-1', '{{"reg":"0.1"}}')) r(run_id, params)"""))
 def run_log_append(spark, d):
     """Append two runs' rows to a fresh log folder and read the log back."""
     t = Tables(spark, d)

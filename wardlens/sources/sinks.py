@@ -79,12 +79,17 @@ def pending_runs(configs: DataFrame, log: DataFrame, params: Sequence[str]) -> D
     return configs.join(done, list(params), "left_anti")
 
 
+def params_json(params: dict):
+    """Run parameters as a JSON object string (insertion order kept), so the
+    run log stays plain text in any engine."""
+    return F.to_json(F.create_map(*[x for k, v in params.items() for x in (F.lit(k), F.lit(str(v)))]))
+
+
 def results_frame(spark: SparkSession, run_id: str, params: dict, model: str, scores: DataFrame,
                   scope_col: str = "scope", metric_cols: Sequence[str] = ("auc",)) -> DataFrame:
-    """Shape metric rows as run-log rows: params as a map column, one row per metric."""
-    pmap = F.create_map(*[x for k, v in params.items() for x in (F.lit(k), F.lit(str(v)))])
+    """Shape metric rows as run-log rows: params as JSON text, one row per metric."""
     stacked = scores.select(F.col(scope_col).cast("string").alias("scope"),
                             F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                                                 for m in metric_cols])).alias("m"))
-    return stacked.select(F.lit(run_id).alias("run_id"), pmap.alias("params"), F.lit(model).alias("model"),
-                          "scope", "m.metric", "m.value")
+    return stacked.select(F.lit(run_id).alias("run_id"), params_json(params).alias("params"),
+                          F.lit(model).alias("model"), "scope", "m.metric", "m.value")
