@@ -51,3 +51,39 @@ def test_split_sizes_exact(spark, n0, n1, seed):
         assert counts.get((y, "test"), 0) == n_test
         assert counts.get((y, "val"), 0) == n_val
         assert counts.get((y, "train"), 0) == n - n_test - n_val
+
+
+keyed_st = st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(0, 5)), st.integers(0, 10_000)),
+                    min_size=1, max_size=80, unique_by=lambda r: r[2])
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=keyed_st, parts=st.integers(1, 9))
+def test_row_number_within_equals_window(spark, rows, parts):
+    from pyspark.sql import Window
+    from wardlens.operators.ranking import row_number_within
+    df = spark.createDataFrame(rows, "k long, t long, id long")
+    order = [F.col("t").asc_nulls_last(), F.col("id").asc_nulls_last()]
+    got = {r["id"]: r["rn"] for r in row_number_within(df, "k", order, "rn", partitions=parts).collect()}
+    ref = {r["id"]: r["rn"] for r in
+           df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*order))).collect()}
+    assert got == ref
+
+
+hours_st = st.dictionaries(st.integers(1, 6), st.sets(st.integers(0, 200), min_size=1, max_size=25),
+                           min_size=1, max_size=5)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(by_subject=hours_st, n=st.sampled_from([3, 12, 48]))
+def test_one_pass_slots_equal_window_chain(spark, by_subject, n):
+    from wardlens.operators import series
+    rows = [(s, 1, 1, "hr", h, 1.0, 1) for s, hs in by_subject.items() for h in hs]
+    cells = spark.createDataFrame(rows, "subject_id long, icustay_id long, hadm_id long, label string, "
+                                        "hours_in long, valuenum_avg double, n_measures long")
+    trail = series.trailing_window(cells, n)
+    cols = ["subject_id", "hours_in", "last_hour", "observed", "src_hour", "step"]
+    a = sorted(tuple(r) for r in series.hourly_slots(trail, n).select(*cols).collect())
+    b = sorted(tuple(r) for r in series.clip_last(series.fill_backward(series.regularize(trail, n)), n)
+               .select(*cols).collect())
+    assert a == b
