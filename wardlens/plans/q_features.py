@@ -44,7 +44,11 @@ def fixture_flags(t: Tables):
         excluded_units=P["excluded_units"], **q_flags._kw()))
 
 
-def fixture_table(t: Tables):
+def fixture_table(t: Tables, side_by_side: bool = True):
+    if side_by_side:
+        # flags and the measurement chain only share the stay table
+        fixture_stays(t)
+        t.prefetch(lambda: fixture_flags(t), lambda: fixture_trailing(t))
     return FE.feature_table(fixture_seq_words(t), fixture_static(t), fixture_flags(t), q_flags.NAMES, N)
 
 

@@ -15,6 +15,7 @@ original re-reads its materialized views.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,17 +77,20 @@ def prepare(t: StudyTables, params: dict, *, lab_keys=("subject_id",), chart_key
     hours = p["sequence_hours"]
     deaths = t.deaths if t.deaths is not None else t.visits
     stays = materialize(t.stays, "stays")
-    idx = materialize(cohort.index_stays(stays, t.subjects, t.visits, deaths, keep_ties=keep_ties, **p),
-                      "index_stays")
-    fl = materialize(flags.first_visit_flags(
-        stays, t.code_dictionary, t.code_facts, excluded_units=p["excluded_units"], code_flags=p["code_flags"],
-        title_flag=p["title_flag"], lowercase_flags=p["lowercase_flags"],
-        fact_side_flags=p.get("fact_side_flags", ("copd", "renal_failure"))), "flags")
-    meas = materialize(series.measurements(t.lab_events, t.lab_items, p["lab_item_ids"],
-                                           t.chart_events, t.chart_items, p["chart_item_ids"], idx,
-                                           lab_keys=lab_keys, chart_keys=chart_keys), "measurements")
-    cells = series.hourly_average(series.with_hours(meas))
-    trail = materialize(series.trailing_window(cells, hours), "trailing")
+    with ThreadPoolExecutor(max_workers=1) as side:
+        # the flags only share the stay table with the measurement chain: written side by side
+        fl_future = side.submit(lambda: materialize(flags.first_visit_flags(
+            stays, t.code_dictionary, t.code_facts, excluded_units=p["excluded_units"], code_flags=p["code_flags"],
+            title_flag=p["title_flag"], lowercase_flags=p["lowercase_flags"],
+            fact_side_flags=p.get("fact_side_flags", ("copd", "renal_failure"))), "flags"))
+        idx = materialize(cohort.index_stays(stays, t.subjects, t.visits, deaths, keep_ties=keep_ties, **p),
+                          "index_stays")
+        meas = materialize(series.measurements(t.lab_events, t.lab_items, p["lab_item_ids"],
+                                               t.chart_events, t.chart_items, p["chart_item_ids"], idx,
+                                               lab_keys=lab_keys, chart_keys=chart_keys), "measurements")
+        cells = series.hourly_average(series.with_hours(meas))
+        trail = materialize(series.trailing_window(cells, hours), "trailing")
+        fl = fl_future.result()
     words = features.zscore_words(trail, features.feature_stats(trail), p["z_limit"])
     seq = features.sequence_words(series.hourly_slots(trail, hours), features.one_hot_words(words))
     static = features.static_attributes(idx, **p)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +30,29 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
+        self._locks: dict[str, threading.Lock] = {}
+        self._guard = threading.Lock()
 
     def derived(self, key: str, builder) -> DataFrame:
         """A derived table written once per query plan (see ``sinks.materialize``)
-        and re-read by every later step that needs it."""
-        if key not in self._cache:
-            from wardlens.sources.sinks import materialize
-            self._cache[key] = materialize(builder(), key.replace(":", "_"))
+        and re-read by every later step that needs it.  Safe to call from
+        several threads: each key is built once."""
+        with self._guard:
+            lock = self._locks.setdefault(key, threading.Lock())
+        with lock:
+            if key not in self._cache:
+                from wardlens.sources.sinks import materialize
+                self._cache[key] = materialize(builder(), key.replace(":", "_"))
         return self._cache[key]
 
+    def prefetch(self, *steps) -> None:
+        """Run independent steps (each writes its derived tables) side by side:
+        Spark runs jobs submitted from several driver threads concurrently, so
+        small jobs overlap and large ones fill each other's idle task slots."""
+        with ThreadPoolExecutor(max_workers=max(1, len(steps))) as pool:
+            for f in [pool.submit(step) for step in steps]:
+                f.result()
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
