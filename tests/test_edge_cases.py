@@ -264,3 +264,12 @@ def test_average_rank_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 0.1), (2, 0.4), (3, 0.35), (4, 0.8), (5, 0.4), (6, None)], "id long, score double")
     got = {r["id"]: r["avg_rank"] for r in evaluate.average_rank(df, "score", buckets=2).collect()}
     assert got == {1: 1.0, 2: 3.5, 3: 2.0, 4: 5.0, 5: 3.5, 6: None}
+
+
+def test_bootstrap_multiplicity_equals_counted_draws(spark):
+    df = spark.range(0, 257).select(F.col("id").alias("sid"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    a = sorted(tuple(r) for r in sampling.bootstrap_multiplicity(df, "y", "sid", 7, seed=2, buckets=8)
+               .select("replicate", "sid", "multiplicity").collect())
+    b = sorted(tuple(r) for r in sampling.draw_multiplicity(sampling.bootstrap_draws(df, "y", "sid", 7, seed=2, buckets=8),
+                                                            "sid").select("replicate", "sid", "multiplicity").collect())
+    assert a == b and sum(m for _, _, m in a) == 7 * 257

@@ -88,10 +88,15 @@ def auc_bootstrap(scored: DataFrame, draws: DataFrame, id_col: str, cohort: str,
     not repeated rows); ``summary`` gives min / max / mean per cohort over
     the replicates whose AUC exists, else every replicate's AUC.
 
-    Scores do not depend on the replicate: the scored rows are joined to the
-    draw multiplicities once.
+    ``draws`` is either (replicate, id, multiplicity) from
+    ``sampling.bootstrap_multiplicity`` or one row per draw from
+    ``sampling.bootstrap_draws``.  Scores do not depend on the replicate: the
+    scored rows are joined to the multiplicities once.
     """
-    mult = draws.groupBy("replicate", id_col).agg(F.count(F.lit(1)).alias("_m"))
+    if "multiplicity" in draws.columns:
+        mult = draws.select("replicate", id_col, F.col("multiplicity").alias("_m"))
+    else:
+        mult = draws.groupBy("replicate", id_col).agg(F.count(F.lit(1)).alias("_m"))
     rows = scored.select(id_col, cohort, label, score).join(mult, id_col)
     per_rep = auc(rows, label, score, ["replicate", cohort], weight="_m")
     if not summary:

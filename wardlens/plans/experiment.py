@@ -80,8 +80,8 @@ def evaluate_scores(spec: ExperimentSpec, scored: DataFrame) -> DataFrame:
                                                      F.col("auc").alias("value"))
     if spec.replicates <= 0:
         return base
-    draws = SA.bootstrap_draws(y, "y", "subject_id", spec.replicates, spec.seed)
-    boot = EV.auc_bootstrap(y, draws, "subject_id", spec.cohort)
+    mult = SA.bootstrap_multiplicity(y, "y", "subject_id", spec.replicates, spec.seed)
+    boot = EV.auc_bootstrap(y, mult, "subject_id", spec.cohort)
     stacked = boot.select(F.col(spec.cohort).cast("string").alias("scope"), F.explode(F.array(
         *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("auc_min", "auc_max", "auc_mean")]
     )).alias("m")).select("scope", "m.metric", "m.value")

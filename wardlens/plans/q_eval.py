@@ -165,7 +165,8 @@ SELECT lang, min(auc) AS auc_min, max(auc) AS auc_max, round(avg(auc), 10) AS au
 FROM ({_auc_sql('brows', ['replicate', 'lang'])}) WHERE auc IS NOT NULL GROUP BY lang""", _BOOT_CTE))
 def auc_bootstrap(spark, d):
     t = Tables(spark, d)
-    out = EV.auc_bootstrap(fixture_scored(t), fixture_draws(t), "doc_id", "lang")
+    mult = SA.bootstrap_multiplicity(fixture_scored(t), "y", "doc_id", REPS, SEED)
+    out = EV.auc_bootstrap(fixture_scored(t), mult, "doc_id", "lang")
     return out.withColumn("auc_mean", F.round("auc_mean", 10))
 
 
@@ -173,7 +174,8 @@ def auc_bootstrap(spark, d):
     f"SELECT replicate, lang, auc FROM ({_auc_sql('brows', ['replicate', 'lang'])})", _BOOT_CTE))
 def auc_bootstrap_all(spark, d):
     t = Tables(spark, d)
-    return EV.auc_bootstrap(fixture_scored(t), fixture_draws(t), "doc_id", "lang", summary=False)
+    mult = SA.bootstrap_multiplicity(fixture_scored(t), "y", "doc_id", REPS, SEED)
+    return EV.auc_bootstrap(fixture_scored(t), mult, "doc_id", "lang", summary=False)
 
 
 _ROUTE_CTE = """,
