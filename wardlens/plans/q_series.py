@@ -197,3 +197,13 @@ def stream_measurements(spark, d):
               glob="events.parquet")
     q.awaitTermination()
     return spark.read.parquet(os.path.join(base, "measurements"))
+
+
+@register("hours_in_subject_origin", series_sql(f"""
+SELECT m.*, {S.round_ratio(S.minutes('m.charttime', 'o.min_time'), 60)} AS hours_in,
+       CAST({S.minutes('m.charttime', 'o.min_time')} AS DOUBLE) / 60.0 AS hours_raw
+FROM meas m LEFT JOIN (SELECT subject_id, min(charttime) AS min_time FROM meas GROUP BY subject_id) o
+  ON m.subject_id = o.subject_id"""))
+def hours_in_subject_origin(spark, d):
+    """T1 with hour 0 at the subject's first measurement of any label (option for Q4)."""
+    return series.with_hours(fixture_measurement_table(Tables(spark, d)), origin="subject")
