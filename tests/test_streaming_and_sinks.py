@@ -107,3 +107,17 @@ def test_global_with_cohort_feature(spark):
         "subject_id long, tokens array<string>, readmission_30_days int, first_careunit string, split string")
     out = X.run_experiment(rows, X.ExperimentSpec(model="GLOBAL", cohort_as_feature=True, run_id="c"))
     assert {r["scope"] for r in out.collect()} >= {"micro", "macro"}
+
+
+def test_test_mode_reloads_saved_models(spark):
+    from wardlens.plans import experiment as X
+    rows = spark.createDataFrame(
+        [(i, ["a", "b"] if i % 3 else ["c"], int(i % 3 == 0 or i % 11 == 0), "u1" if i % 2 else "u2",
+          "test" if i % 5 == 0 else "train") for i in range(300)],
+        "subject_id long, tokens array<string>, readmission_30_days int, first_careunit string, split string")
+    models = os.path.join(tempfile.mkdtemp(prefix="wardlens-testmode-"), "models")
+    for family in ("GLOBAL", "SEPARATE", "MULTITASK"):
+        spec = X.ExperimentSpec(model=family, run_id=family)
+        fitted = {(r["scope"], r["metric"]): r["value"] for r in X.run_experiment(rows, spec, model_dir=models).collect()}
+        loaded = {(r["scope"], r["metric"]): r["value"] for r in X.run_experiment(rows, spec, load_dir=models).collect()}
+        assert fitted == loaded and ("micro", "auc") in fitted

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +44,30 @@ def with_cohorts(rows: DataFrame, membership: DataFrame, name: str = "cluster")
     return rows.join(m, "subject_id")
 
 
-def _scored(spec: ExperimentSpec, rows: DataFrame, model_dir: str | None) -> DataFrame:
+def _load_scored(spec: ExperimentSpec, evalset: DataFrame, keep: list, load_dir: str) -> DataFrame:
+    """Test mode: score with the models saved by an earlier run (no fitting)."""
+    if spec.model in ("GLOBAL", "MULTITASK"):
+        return L.score_global(PipelineModel.load(os.path.join(load_dir, spec.model.lower())), evalset, keep)
+    if spec.model == "SEPARATE":
+        # a handful of cohort names, not data
+        cohorts = sorted(r[0] for r in evalset.select(spec.cohort).distinct().collect())
+        models = {}
+        for c in cohorts:
+            try:
+                models[c] = PipelineModel.load(os.path.join(load_dir, f"separate-{c}"))
+            except Exception as e:  # noqa: BLE001 - a cohort without a saved model (one class in training)
+                if not any(m in str(e) for m in ("does not exist", "PATH_NOT_FOUND", "InvalidInputException")):
+                    raise
+        return L.score_separate(models, evalset, spec.cohort, keep)
+    raise ValueError(f"unknown model family {spec.model}")
+
+
+def _scored(spec: ExperimentSpec, rows: DataFrame, model_dir: str | None, load_dir: str | None = None) -> DataFrame:
     train = rows.filter(F.col("split") == "train")
     evalset = rows.filter(F.col("split") == spec.evaluate_on)
     keep = ["subject_id", spec.cohort, spec.label]
+    if load_dir:
+        return _load_scored(spec, evalset, keep, load_dir)
     weight = None
     if spec.sample_weights and spec.model != "SEPARATE":
         train = SA.cohort_weights(train, spec.cohort)
@@ -89,9 +110,13 @@ def evaluate_scores(spec: ExperimentSpec, scored: DataFrame) -> DataFrame:
 
 
 def run_experiment(rows: DataFrame, spec: ExperimentSpec, log_path: str | None = None,
-                   model_dir: str | None = None, allow_repeats: bool = False) -> DataFrame | None:
+                   model_dir: str | None = None, allow_repeats: bool = False,
+                   load_dir: str | None = None) -> DataFrame | None:
     """M9: run one configuration; returns its run-log rows (or None when the
-    log already holds the configuration and repeats are not allowed)."""
+    log already holds the configuration and repeats are not allowed).
+
+    Train mode fits (and saves to ``model_dir``); test mode (``load_dir``)
+    scores with the saved models instead of fitting."""
     spark = rows.sparkSession
     key = spec.key()
     found = sinks.read_if_present(spark, log_path) if log_path and not allow_repeats else None
@@ -101,7 +126,7 @@ def run_experiment(rows: DataFrame, spec: ExperimentSpec, log_path: str | None =
         cfg = spark.createDataFrame([tuple(key.values())], ", ".join(f"`{k}` string" for k in key))
         if sinks.pending_runs(cfg, log, list(key)).isEmpty():
             return None
-    metrics = evaluate_scores(spec, _scored(spec, rows, model_dir))
+    metrics = evaluate_scores(spec, _scored(spec, rows, model_dir, load_dir))
     out = metrics.select(F.lit(spec.run_id).alias("run_id"), sinks.params_json(key).alias("params"),
                          F.lit(spec.model).alias("model"), "scope", "metric",
                          F.col("value").cast("double").alias("value"))
