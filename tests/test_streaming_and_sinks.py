@@ -121,3 +121,14 @@ def test_test_mode_reloads_saved_models(spark):
         fitted = {(r["scope"], r["metric"]): r["value"] for r in X.run_experiment(rows, spec, model_dir=models).collect()}
         loaded = {(r["scope"], r["metric"]): r["value"] for r in X.run_experiment(rows, spec, load_dir=models).collect()}
         assert fitted == loaded and ("micro", "auc") in fitted
+
+
+def test_experiment_logs_every_replicate(spark):
+    from wardlens.plans import experiment as X
+    rows = spark.createDataFrame(
+        [(i, ["a", "b"] if i % 3 else ["c"], int(i % 3 == 0 or i % 11 == 0), "u1" if i % 2 else "u2",
+          "test" if i % 4 == 0 else "train") for i in range(240)],
+        "subject_id long, tokens array<string>, readmission_30_days int, first_careunit string, split string")
+    out = X.run_experiment(rows, X.ExperimentSpec(model="GLOBAL", replicates=6, all_replicates=True, run_id="e4"))
+    reps = {r["metric"] for r in out.collect() if r["metric"].startswith("auc_rep_")}
+    assert reps == {f"auc_rep_{i}" for i in range(6)}

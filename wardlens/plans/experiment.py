@@ -28,6 +28,7 @@ class ExperimentSpec:
     cohort_as_feature: bool = False    # GLOBAL only: append the cohort one-hot (F13)
     evaluate_on: str = "test"          # "val" (train mode) or "test" (test mode)
     replicates: int = 0                # 0: single AUC; >0: bootstrapped min/max/mean
+    all_replicates: bool = False       # log every replicate's AUC instead of min/max/mean (E4)
     seed: int = 0
     run_id: str = "run"
     params: dict = field(default_factory=dict)
@@ -102,6 +103,12 @@ def evaluate_scores(spec: ExperimentSpec, scored: DataFrame) -> DataFrame:
     if spec.replicates <= 0:
         return base
     mult = SA.bootstrap_multiplicity(y, "y", "subject_id", spec.replicates, spec.seed)
+    if spec.all_replicates:
+        every = EV.auc_bootstrap(y, mult, "subject_id", spec.cohort, summary=False)
+        return base.unionByName(every.select(
+            F.col(spec.cohort).cast("string").alias("scope"),
+            F.concat(F.lit("auc_rep_"), F.col("replicate").cast("string")).alias("metric"),
+            F.col("auc").alias("value")))
     boot = EV.auc_bootstrap(y, mult, "subject_id", spec.cohort)
     stacked = boot.select(F.col(spec.cohort).cast("string").alias("scope"), F.explode(F.array(
         *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("auc_min", "auc_max", "auc_mean")]
