@@ -26,7 +26,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import (PCA, CountVectorizer, Interaction, OneHotEncoder, StandardScaler,
-                                StringIndexer, VectorAssembler)
+                                StringIndexer, VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -84,21 +84,32 @@ def embed(model: PipelineModel, tokens: DataFrame) -> DataFrame:
 
 
 def fit_mixture(embedded: DataFrame, k: int, starts: int, tol: float, seed: int = 0,
-                features: str = "embedding", max_iter: int = 100, parallel: int = 8):
-    """M2: best-of-``starts`` Gaussian mixture by log-likelihood.
-
-    Starts are independent fits submitted from ``parallel`` driver threads, so
-    their small jobs share the cluster instead of running one after another;
-    the winner (highest log-likelihood, then lowest seed) does not depend on
-    completion order.  A start whose covariance update breaks down
-    numerically is skipped; the call fails only if every start does.
+                features: str = "embedding", max_iter: int = 100, parallel: int = 8,
+                dims: int | None = 20) -> PipelineModel:
+    """M2: best-of-``starts`` Gaussian mixture by log-likelihood, as a pipeline
+    (leading ``dims`` components -> standardise -> mixture) fitted on ``embedded``.
+
+    Spark's mixture evaluates component densities (not log densities) in its
+    E-step and starts each component from a few sampled points; in many
+    dimensions every density underflows, all posteriors become 1/k and EM
+    stays there.  Standardising and using the leading components (the
+    embedding is PCA-ordered) keeps the densities in range; ``dims=None``
+    uses all components.  Starts are independent fits submitted from
+    ``parallel`` driver threads; the winner (highest log-likelihood, then
+    lowest seed) does not depend on completion order.  A start that breaks
+    down numerically is skipped; the call fails only if every start does.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    data = embedded.select(features).persist()
+    n_dims = len(embedded.select(features).first()[0])
+    use = n_dims if dims is None else min(dims, n_dims)
+    slicer = VectorSlicer(inputCol=features, outputCol="_lead", indices=list(range(use)))
+    scaler = StandardScaler(inputCol="_lead", outputCol="_z", withMean=True, withStd=True)
+    prep = Pipeline(stages=[slicer, scaler]).fit(embedded)
+    data = prep.transform(embedded).select("_z").persist()
 
     def one(s: int):
-        gm = GaussianMixture(featuresCol=features, k=k, tol=tol, seed=seed + s, maxIter=max_iter)
+        gm = GaussianMixture(featuresCol="_z", k=k, tol=tol, seed=seed + s, maxIter=max_iter)
         try:
             m = gm.fit(data)
         except Exception as e:  # noqa: BLE001 - numerical failure of one start
@@ -113,12 +124,17 @@ def fit_mixture(embedded: DataFrame, k: int, starts: int, tol: float, seed: int
     fitted = [(m.summary.logLikelihood, -s, m) for s, m, _ in results if m is not None]
     if not fitted:
         raise RuntimeError("every mixture start failed") from results[-1][2]
-    return max(fitted, key=lambda x: (x[0], x[1]))[2]
+    best = max(fitted, key=lambda x: (x[0], x[1]))[2]
+    return PipelineModel(stages=[*prep.stages, best])
 
 
-def assign_clusters(model, embedded: DataFrame, features: str = "embedding") -> DataFrame:
+def mixture_log_likelihood(model: PipelineModel) -> float:
+    return model.stages[-1].summary.logLikelihood
+
+
+def assign_clusters(model: PipelineModel, embedded: DataFrame) -> DataFrame:
     """M3: (subject_id, cluster, probability[]) for every subject."""
-    out = model.setFeaturesCol(features).transform(embedded)
+    out = model.transform(embedded)
     return out.select("subject_id", F.col("prediction").cast("int").alias("cluster"),
                       vector_to_array("probability").alias("probability"))
 
