@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlens.llm import simhash
+from wardlens.llm import decontaminate, oracles, simhash
 from wardlens.llm.shared import read
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, max_bits=3)
 
 
-QUERIES = {f.__name__: f for f in (op9_simhash,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op9_simhash)}
+ORACLE: dict[str, str] = {"op2_decontamination": oracles.DECONTAMINATION}
