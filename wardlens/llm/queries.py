@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlens.llm import decontaminate, oracles, simhash
+from wardlens.llm import decontaminate, oracles, quality, simhash
 from wardlens.llm.shared import read
 
 
@@ -12,9 +12,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, max_bits=3)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality, op9_simhash)}
 ORACLE: dict[str, str] = {"op2_decontamination": oracles.DECONTAMINATION}
