@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlens.llm import bpe, decontaminate, oracles, quality, simhash
+from wardlens.llm import bpe, decontaminate, oracles, quality, simhash, suffix_dedup
 from wardlens.llm.shared import read
 
 
@@ -17,6 +17,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read(spark, sf_dir, "documents"), length=200)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -25,5 +29,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, max_bits=3)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality, op8_bpe, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality, op4_suffix_dedup, op8_bpe, op9_simhash)}
 ORACLE: dict[str, str] = {"op2_decontamination": oracles.DECONTAMINATION}
