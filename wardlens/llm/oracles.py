@@ -33,3 +33,61 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
+
+_ESCAPED = r"regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')"
+CHAT = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(24 + length(role) + length({_ESCAPED})) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (role = 'assistant') AS n_learned
+FROM t GROUP BY conv_id
+"""
+
+_RECORD = r"""'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl || 'WARC-Target-URI: ' || url || nl
+       || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen({html}) || nl || nl || {html} || nl || nl"""
+
+
+def warc_audit(records_per_file: int = 1024, spoiled: int = 97, lost: int = 499, levels: int = 4, range_bits: int = 16, fan_bits: int = 4) -> str:
+    """The audit of `warc.audit_pages` where page_id % spoiled = 0 is spoiled and page_id % lost = 1 is lost."""
+    def nodes(side: str, pick: str, keep: str) -> str:
+        out = [f"{side}0 AS (SELECT file, off AS node, off >> {range_bits} AS up, {pick} AS digest FROM placed {keep})"]
+        for k in range(1, levels + 1):
+            up = f"node >> {fan_bits}" if k < levels else "0"
+            out.append(f"{side}{k} AS (SELECT file, up AS node, {up.replace('node', 'up')} AS up, sha256(string_agg(node || ':' || digest, ';' ORDER BY node)) AS digest "
+                       f"FROM {side}{k - 1} GROUP BY file, {side}{k - 1}.up)")
+        out.append(f"{side}{levels + 1} AS (SELECT file, up AS node, 0 AS up, sha256(string_agg(node || ':' || digest, ';' ORDER BY node)) AS digest "
+                   f"FROM {side}{levels} GROUP BY file, {side}{levels}.up)")
+        return ",\n".join(out)
+
+    steps = [f"c{levels + 1} AS (SELECT file, node, l.digest AS dl, r.digest AS dr FROM a{levels + 1} l FULL JOIN b{levels + 1} r USING (file, node))"]
+    for k in range(levels, -1, -1):
+        steps.append(f"""c{k} AS (SELECT file, node, l.digest AS dl, r.digest AS dr
+  FROM (SELECT a.* FROM a{k} a JOIN c{k + 1} c ON a.file = c.file AND a.up = c.node AND c.dl IS DISTINCT FROM c.dr) l
+  FULL JOIN (SELECT b.* FROM b{k} b JOIN c{k + 1} c ON b.file = c.file AND b.up = c.node AND c.dl IS DISTINCT FROM c.dr) r USING (file, node))""")
+    seen = " UNION ALL ".join(f"SELECT file FROM c{k}" for k in range(levels + 1))
+    bad = "CASE WHEN substr(html, 1, 1) = '#' THEN '?' ELSE '#' END || substr(html, 2)"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, chr(13) || chr(10) AS nl,
+                  {bad} AS bad FROM pages),
+leaf AS (SELECT page_id, url, {_RECORD.format(html='html')} AS rec,
+                CASE WHEN page_id % {spoiled} = 0 THEN {_RECORD.format(html='bad')} ELSE {_RECORD.format(html='html')} END AS other FROM p),
+digest AS (SELECT page_id, url, strlen(rec) AS size, sha256(rec) AS digest, sha256(other) AS other, page_id % {lost} = 1 AS lost FROM leaf),
+numbered AS (SELECT *, row_number() OVER (ORDER BY page_id, url, digest) - 1 AS rn FROM digest),
+placed AS (SELECT *, rn // {records_per_file} AS file,
+                  CAST(coalesce(sum(size) OVER (PARTITION BY rn // {records_per_file} ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM numbered),
+{nodes('a', 'digest', '')},
+{nodes('b', 'other', 'WHERE NOT lost')},
+{','.join(steps)},
+sizes AS (SELECT file, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM placed GROUP BY file),
+seen AS (SELECT file, count(*) AS compared FROM ({seen}) GROUP BY file),
+damaged AS (SELECT file, count(*) AS n_damaged, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS damaged FROM c0 WHERE dl IS DISTINCT FROM dr GROUP BY file)
+SELECT c.file, n AS n_records, bytes AS n_bytes, dl AS root, dr AS replica_root, dl IS NOT DISTINCT FROM dr AS intact,
+       coalesce(compared, 0) AS compared, coalesce(n_damaged, 0) AS n_damaged, coalesce(damaged, '') AS damaged
+FROM c{levels + 1} c LEFT JOIN sizes USING (file) LEFT JOIN seen USING (file) LEFT JOIN damaged USING (file)
+"""
