@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import ann, bpe, chat, decontaminate, lm_score, oracles, quality, simhash, suffix_dedup, warc
+from wardlens.llm import ann, bpe, chat, decontaminate, licenses, lm_score, oracles, quality, simhash, suffix_dedup, warc
 from wardlens.llm.shared import read
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(read(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
 
@@ -53,7 +57,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(read(spark, sf_dir, "documents"), F.col("source") == "src1")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality, op4_suffix_dedup, op5_ann, op6_chat, op7_warc, op8_bpe, op9_simhash, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_decontamination, op3_quality, op4_suffix_dedup, op5_ann, op6_chat, op7_warc, op8_bpe, op9_simhash, op10_lm_score)}
 ORACLE: dict[str, str] = {
     "op2_decontamination": oracles.DECONTAMINATION,
     "op6_chat": oracles.CHAT,
