@@ -1,22 +1,54 @@
 """The cleaning pipeline over `documents`: each stage calls one operator of wardlens.llm.
 
 Every function takes (spark, docs, sf_dir) and returns the documents it keeps;
-the stage's result is written and read again before the next one.
+each stage's rows are written and read again before the next one.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardlens.llm import simhash
+from wardlens.llm import bpe, decontaminate, quality, simhash, suffix_dedup
 from wardlens.llm.shared import materialize, read
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7 go."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"), threshold=0.7)
+
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays."""
     return simhash.keep_one(docs, size=3, max_bits=3)
 
 
-STAGES = [("simhash near-dedup", simhash_near_dedup)]
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings of 200 bytes that occur at two places go; every document stays, n_chars is counted anew."""
+    return suffix_dedup.remove_repeats(docs, length=200)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share ten words in a row with a benchmark item go."""
+    return decontaminate.remove_affected(docs, read(spark, sf_dir, "benchmark"), window=10)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the token ids of every text, their number, and the text that they decode to."""
+    tokens, vocabulary = bpe.encode(docs, VOCABULARY)
+    return bpe.decode(tokens, vocabulary).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("simhash near-dedup", simhash_near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("bpe encoding", bpe_encoding),
+]
 ORACLE_SQL = None
 
 
