@@ -17,6 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL equal to NULL; the keys of ``left`` stay."""
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(names)
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right, on, how).drop(*names.values())
+
+
 def _cells_below(cells: DataFrame, keys: list[str], score: str, count: str, buckets: int) -> DataFrame:
     """Add ``_below``: the sum of ``count`` over cells of the same scope with a
     strictly lower score.  Scores of a scope are cut into ``buckets`` ranges by
@@ -27,7 +35,7 @@ def _cells_below(cells: DataFrame, keys: list[str], score: str, count: str, buck
     q = F.percentile_approx(score, probs, 1000)
     if keys:
         # one row per scope, each an array of buckets-1 bounds
-        cells = cells.join(cells.groupBy(*keys).agg(q.alias("_bounds")), keys)
+        cells = _null_safe(cells, F.broadcast(cells.groupBy(*keys).agg(q.alias("_bounds"))), keys)
     else:
         # a single array: a scalar subquery, evaluated once
         cells = cells.withColumn("_bounds", cells.select(q).scalar())
@@ -38,7 +46,7 @@ def _cells_below(cells: DataFrame, keys: list[str], score: str, count: str, buck
     per_b = cells.groupBy(*part).agg(F.sum(count).alias("_nb"))
     wb = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_b")
     per_b = per_b.select(*part, (F.sum("_nb").over(wb) - F.col("_nb")).alias("_below_b"))
-    return cells.join(per_b, part).withColumn("_below", F.col("_below_b") + F.col("_below_in")) \
+    return _null_safe(cells, per_b, part).withColumn("_below", F.col("_below_b") + F.col("_below_in")) \
         .drop("_b", "_below_in", "_below_b")
 
 
@@ -74,7 +82,7 @@ def average_rank(df: DataFrame, score: str = "score", scopes: Sequence[str] = ()
         .agg(F.count(F.lit(1)).cast("double").alias("_n"))
     cells = _cells_below(cells, keys, score, "_n", buckets)
     ranks = cells.select(*keys, score, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, keys + [score], "left")
+    return _null_safe(df, ranks, keys + [score], "left")
 
 
 def auc_by_cohort(scored: DataFrame, cohort: str, label: str = "y", score: str = "score") -> DataFrame:

@@ -108,19 +108,22 @@ def running_max(df: DataFrame, partition: str, order: str, cols: Iterable[str],
     order key is at or after the first key carrying a 1, so it is computed
     from a partial aggregate (first flagged key per partition) joined back —
     no window has to hold a whole partition.  Rows with a NULL order key sort
-    last and see every row of the partition.  ``binary=False`` uses the window.
+    last and see every row of the partition; a NULL partition key is a partition;
+    before the first non-NULL flag the running max is NULL.  ``binary=False`` uses
+    the window.
     """
     cols = list(cols)
     if not binary:
         w = Window.partitionBy(partition).orderBy(F.col(order).asc_nulls_last())
         return df.select(*[c for c in df.columns if c not in set(cols)],
                          *[F.max(c).over(w).alias(c) for c in cols])
-    firsts = df.groupBy(partition).agg(
+    firsts = df.groupBy(F.col(partition).alias("_part")).agg(
         *[F.min(F.when(F.col(c) == 1, F.col(order))).alias(f"_first_{c}") for c in cols],
+        *[F.min(F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_seen_{c}") for c in cols],
         *[F.max(c).alias(f"_any_{c}") for c in cols])
-    j = df.join(firsts, partition, "left")
+    j = df.join(firsts, F.col(partition).eqNullSafe(F.col("_part")), "left")
     o = F.col(order)
     out = [F.when(o.isNull(), F.col(f"_any_{c}"))
-           .when(F.col(f"_first_{c}").isNotNull() & (o >= F.col(f"_first_{c}")), F.lit(1))
-           .otherwise(F.lit(0)).cast("int").alias(c) for c in cols]
+           .when(o >= F.col(f"_first_{c}"), F.lit(1))
+           .when(o >= F.col(f"_seen_{c}"), F.lit(0)).cast("int").alias(c) for c in cols]
     return j.select(*[c for c in df.columns if c not in set(cols)], *out)

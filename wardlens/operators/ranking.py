@@ -39,9 +39,12 @@ def row_number_within(df: DataFrame, key: str, order: Sequence[Column], name: st
     local = Window.partitionBy("_pid", key).orderBy(*order)
     x = ranged.withColumn("_r", F.row_number().over(local))
     per = ranged.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_c"))
-    spanning = per.groupBy(key).agg(F.count(F.lit(1)).alias("_parts")).filter(F.col("_parts") > 1)
-    shifts = per.join(spanning, key).select(
-        "_pid", key, (F.sum("_c").over(Window.partitionBy(key).orderBy("_pid")) - F.col("_c")).alias("_off"))
-    out = x.join(F.broadcast(shifts), ["_pid", key], "left")
+    per = per.withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    shifts = per.filter(F.col("_parts") > 1).select(
+        F.col("_pid").alias("_spid"), F.col(key).alias("_skey"),
+        (F.sum("_c").over(Window.partitionBy(key).orderBy("_pid")) - F.col("_c")).alias("_off"))
+    # a NULL key is a key like any other
+    out = x.join(F.broadcast(shifts), (x["_pid"] == shifts["_spid"]) & x[key].eqNullSafe(shifts["_skey"]), "left") \
+        .drop("_spid", "_skey")
     return out.withColumn(name, (F.col("_r") + F.coalesce(F.col("_off"), F.lit(0))).cast("int")) \
         .drop("_pid", "_r", "_off")

@@ -31,12 +31,13 @@ def class_ranks(df: DataFrame, label: str, id_col: str, seed: int, buckets: int
     x = x.withColumn("_r", F.row_number().over(w) - 1)
     counts = x.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_nb"))
     wc = Window.partitionBy(label).orderBy("_b")
-    offsets = counts.select(label, "_b",
+    offsets = counts.select(F.col(label).alias("_ol"), F.col("_b").alias("_ob"),
                             (F.sum("_nb").over(wc) - F.col("_nb")).alias("_off"),
                             F.sum("_nb").over(Window.partitionBy(label)).alias("n_class"))
     # offsets has at most (classes x buckets) rows: a bounded broadcast
-    out = x.join(F.broadcast(offsets), [label, "_b"])
-    return out.withColumn("rank", (F.col("_off") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_off")
+    # rows without a label are a class of their own
+    out = x.join(F.broadcast(offsets), F.col(label).eqNullSafe(F.col("_ol")) & (F.col("_b") == F.col("_ob")))
+    return out.withColumn("rank", (F.col("_off") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_off", "_ol", "_ob")
 
 
 def _ceil_fraction(n: Column, fraction: float) -> Column:
@@ -58,6 +59,12 @@ def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 0,
     return r.withColumn("split", split).drop("h")
 
 
+def _at_rank(drawn: DataFrame, ranked: DataFrame, label: str, id_col: str) -> DataFrame:
+    """The row at each drawn (class, rank); a NULL class is a class."""
+    at = ranked.select(F.col(label).alias("_rl"), F.col("rank").alias("_rr"), id_col)
+    return drawn.join(at, F.col(label).eqNullSafe(F.col("_rl")) & (F.col("rank") == F.col("_rr")))
+
+
 def bootstrap_draws(df: DataFrame, label: str, id_col: str, replicates: int, seed: int = 0,
                     buckets: int = 1024) -> DataFrame:
     """R2: for replicate r >= 1, class c and position k < n_c the drawn row is
@@ -76,8 +83,7 @@ def bootstrap_draws(df: DataFrame, label: str, id_col: str, replicates: int, see
                    F.explode(F.sequence(F.lit(1), F.lit(replicates - 1))).alias("replicate"))
     drawn_rank = F.pmod(hash8(F.lit(str(seed)), F.col("replicate"), F.col(label), F.col("k")), F.col("n_class"))
     pos = pos.withColumn("rank", drawn_rank)
-    drawn = pos.join(r.select(label, "rank", id_col), [label, "rank"]) \
-        .select("replicate", label, "k", id_col)
+    drawn = _at_rank(pos, r, label, id_col).select("replicate", label, "k", id_col)
     return original.unionByName(drawn)
 
 
@@ -96,7 +102,7 @@ def bootstrap_multiplicity(df: DataFrame, label: str, id_col: str, replicates: i
     drawn_rank = F.pmod(hash8(F.lit(str(seed)), F.col("replicate"), F.col(label), F.col("k")), F.col("n_class"))
     counts = pos.select("replicate", label, drawn_rank.alias("rank")) \
         .groupBy("replicate", label, "rank").agg(F.count(F.lit(1)).alias("multiplicity"))
-    drawn = counts.join(r.select(label, "rank", id_col), [label, "rank"]).select("replicate", id_col, "multiplicity")
+    drawn = _at_rank(counts, r, label, id_col).select("replicate", id_col, "multiplicity")
     return original.unionByName(drawn)
 
 
@@ -119,7 +125,9 @@ def cohort_weights(train: DataFrame, cohort: str) -> DataFrame:
     counts = train.groupBy(cohort).agg(F.count(F.lit(1)).alias("n_cohort"))
     counts = counts.withColumn("n_train", F.sum("n_cohort").over(Window.partitionBy(F.lit(0))))
     w = (F.col("n_train") / F.col("n_cohort")).alias("weight")
-    return train.join(counts.select(cohort, "n_cohort", w), cohort)
+    counts = counts.select(F.col(cohort).alias("_wc"), "n_cohort", w)
+    # one row per cohort; rows without a cohort are one cohort
+    return train.join(counts, F.col(cohort).eqNullSafe(F.col("_wc"))).drop("_wc")
 
 
 def task_weights(df: DataFrame, cohort: str, tasks: Sequence[str], weight: str | None = None) -> DataFrame:

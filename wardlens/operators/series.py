@@ -6,8 +6,9 @@ mean) this module aggregates first (partial aggregation before the shuffle)
 and joins the small per-key result back; AQE splits a hot subject's
 partitions in those joins.  Windows are only used over bounded groups: the
 N+1 hour slots of a subject, or the item ids of one (subject, label, hour)
-cell.  Values are averaged in integer cents so that every engine agrees on
-2-decimal results.
+cell.  Values are summed as exact integers of 10^-10 and only the average is
+rounded (half away from zero, 2 decimals), so sums do not depend on row order
+and every engine agrees.  NaN and infinite values are NULL from ingest on.
 """
 
 from __future__ import annotations
@@ -23,14 +24,21 @@ MEASURE_COLS = ["subject_id", "hadm_id", "charttime", "valuenum", "date_entered"
                 "itemid", "icustay_id"]
 
 
-def _avg_cents(sum_cents: Column, n: Column) -> Column:
-    """round_half_away(sum / n) / 100 as double; NULL when n = 0."""
-    q = F.floor((F.abs(sum_cents) * 2 + n) / (n * 2))
-    return F.when(n > 0, (F.signum(sum_cents) * q) / F.lit(100.0))
+def finite(value: Column) -> Column:
+    """NULL for NaN and infinities."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
-def _cents(value: Column) -> Column:
-    return F.round(value * 100).cast("bigint")
+def _units(value: Column) -> Column:
+    """The value in units of 10^-10, an exact integer."""
+    return F.round(finite(value) * F.lit(1e10)).cast("decimal(38,0)")
+
+
+def _mean2(total: str, n: str) -> Column:
+    """Mean of ``n`` values that sum to ``total`` units, rounded half away from
+    zero to 2 decimals by integer division; NULL when n = 0."""
+    return F.expr(f"CASE WHEN {n} > 0 THEN signum({total}) * "
+                  f"((abs({total}) * 2 + {n} * 100000000) div ({n} * 200000000)) / 100.0D END")
 
 
 # --------------------------------------------------------------------------
@@ -58,7 +66,8 @@ def measurement_branch(facts: DataFrame, dictionary: DataFrame, item_ids: Sequen
     from_cohort = [c for c in ("hadm_id", "icustay_id") if c not in f.columns and c not in join_keys]
     c = cohort.select(*join_keys, *from_cohort)
     out = f.join(d, "itemid").join(c, list(join_keys))
-    return out.withColumn("date_entered", event_date("charttime")).select(*MEASURE_COLS)
+    return out.withColumn("date_entered", event_date("charttime")) \
+        .withColumn("valuenum", finite(F.col("valuenum").cast("double"))).select(*MEASURE_COLS)
 
 
 def measurements(labs: DataFrame, lab_dictionary: DataFrame, lab_ids: Sequence[int],
@@ -107,12 +116,12 @@ def hourly_average(hours: DataFrame) -> DataFrame:
     The visit/stay ids of a cell are its smallest ones (the original keeps an
     arbitrary row).
     """
-    c = _cents(F.col("valuenum"))
+    c = _units(F.col("valuenum"))
     return (hours.groupBy("subject_id", "label", "hours_in")
             .agg(F.min("icustay_id").alias("icustay_id"), F.min("hadm_id").alias("hadm_id"),
                  F.sum(c).alias("_s"), F.count(c).alias("_n"), F.count(F.lit(1)).alias("n_measures"))
             .select("subject_id", "icustay_id", "hadm_id", "label", "hours_in",
-                    _avg_cents(F.col("_s"), F.col("_n")).alias("valuenum_avg"), "n_measures"))
+                    _mean2("_s", "_n").alias("valuenum_avg"), "n_measures"))
 
 
 def running_average(hours: DataFrame) -> DataFrame:
@@ -123,12 +132,12 @@ def running_average(hours: DataFrame) -> DataFrame:
     cell, then joined back to the measurements.
     """
     keys = ["subject_id", "label", "hours_in"]
-    c = _cents(F.col("valuenum"))
+    c = _units(F.col("valuenum"))
     per_item = hours.groupBy(*keys, "itemid").agg(F.sum(c).alias("_s"), F.count(c).alias("_n"))
     w = Window.partitionBy(*keys).orderBy(F.col("itemid").asc_nulls_last()) \
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    run = per_item.select(*keys, "itemid",
-                          _avg_cents(F.sum("_s").over(w), F.sum("_n").over(w)).alias("valuenum_running_avg"))
+    run = per_item.select(*keys, "itemid", F.sum("_s").over(w).alias("_s"), F.sum("_n").over(w).alias("_n")) \
+        .select(*keys, "itemid", _mean2("_s", "_n").alias("valuenum_running_avg"))
     return hours.join(run, keys + ["itemid"], "left")
 
 

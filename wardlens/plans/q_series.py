@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from wardlens.functions.codesets import FIXTURE, FIXTURE_EVENT_TYPES
 from wardlens.operators import series
 from wardlens.plans import sqltext as S
@@ -59,11 +61,13 @@ def _branch(src: str, ids) -> str:
   WHERE b.itemid IN {S.in_list(ids)}"""
 
 
-_CENTS = "CAST(round(valuenum * 100) AS BIGINT)"
+_UNITS = "CAST(round(valuenum * 1e10) AS HUGEINT)"
 
 
-def _avg_cents(s: str, n: str) -> str:
-    return f"CASE WHEN {n} > 0 THEN CAST(sign({s}) * ((2 * abs({s}) + {n}) // (2 * {n})) AS DOUBLE) / 100.0 END"
+def _mean2(s: str, n: str) -> str:
+    """round(avg, 2), ties away from zero, from an exact sum in units of 10^-10: only the average is rounded."""
+    return (f"CASE WHEN {n} > 0 THEN CAST(sign({s}) AS DOUBLE) * CAST((2 * abs(CAST({s} AS HUGEINT)) + {n} * 100000000)"
+            f" // ({n} * 200000000) AS DOUBLE) / 100.0 END")
 
 
 SERIES_CTES = S.index_stays_cte() + f""",
@@ -78,7 +82,7 @@ hrs AS (
     ON m.subject_id = o.subject_id AND m.label = o.label),
 cells AS (
   SELECT subject_id, min(icustay_id) AS icustay_id, min(hadm_id) AS hadm_id, label, hours_in,
-         {_avg_cents(f'sum({_CENTS})', f'count({_CENTS})')} AS valuenum_avg,
+         {_mean2(f'sum({_UNITS})', f'count({_UNITS})')} AS valuenum_avg,
          count(*) AS n_measures
   FROM hrs GROUP BY subject_id, label, hours_in),
 lasth AS (SELECT subject_id, max(hours_in) AS last_hour FROM cells WHERE valuenum_avg IS NOT NULL GROUP BY subject_id),
@@ -131,14 +135,54 @@ def hourly_average(spark, d):
 
 
 @register("running_avg", series_sql(f"""
-SELECT * EXCLUDE (cents, s, n), {_avg_cents('s', 'n')} AS valuenum_running_avg FROM (
-  SELECT *, sum(cents) OVER w AS s, count(cents) OVER w AS n
-  FROM (SELECT *, {_CENTS} AS cents FROM hrs)
+SELECT * EXCLUDE (units, s, n), {_mean2('s', 'n')} AS valuenum_running_avg FROM (
+  SELECT *, sum(units) OVER w AS s, count(units) OVER w AS n
+  FROM (SELECT *, {_UNITS} AS units FROM hrs)
   WINDOW w AS (PARTITION BY subject_id, label, hours_in ORDER BY itemid))"""))
 def running_avg(spark, d):
     return series.running_average(fixture_hours(Tables(spark, d)))
 
 
+_FINE = "SELECT * REPLACE (valuenum / 37 AS valuenum) FROM hrs"
+
+
+@register("hourly_average_fine", series_sql(f"""
+SELECT subject_id, min(icustay_id) AS icustay_id, min(hadm_id) AS hadm_id, label, hours_in,
+       {_mean2(f'sum({_UNITS})', f'count({_UNITS})')} AS valuenum_avg, count(*) AS n_measures
+FROM ({_FINE}) GROUP BY subject_id, label, hours_in"""))
+def hourly_average_fine(spark, d):
+    """T4 on values with many decimals: only the average is rounded."""
+    return series.hourly_average(fixture_hours(Tables(spark, d)).withColumn("valuenum", F.col("valuenum") / 37))
+
+
+@register("running_avg_fine", series_sql(f"""
+SELECT * EXCLUDE (units, s, n), {_mean2('s', 'n')} AS valuenum_running_avg FROM (
+  SELECT *, sum(units) OVER w AS s, count(units) OVER w AS n
+  FROM (SELECT *, {_UNITS} AS units FROM ({_FINE}))
+  WINDOW w AS (PARTITION BY subject_id, label, hours_in ORDER BY itemid))"""))
+def running_avg_fine(spark, d):
+    """W4 on values with many decimals."""
+    return series.running_average(fixture_hours(Tables(spark, d)).withColumn("valuenum", F.col("valuenum") / 37))
+
+
+@register("measurements_by_stay", series_sql("""
+SELECT e.subject_id, c.hadm_id, e.charttime, e.valuenum, CAST(e.charttime AS DATE) AS date_entered, i.label, i.itemid, e.icustay_id
+FROM (SELECT a.*, s.icustay_id, CASE WHEN a.event_id % 5 <> 0 THEN s.hadm_id END AS fact_hadm
+      FROM chart_events a JOIN (SELECT subject_id, hadm_id, icustay_id FROM stays) s
+        ON a.subject_id = s.subject_id AND (a.event_id + s.icustay_id) % 3 = 0) e
+JOIN item_dictionary i ON e.itemid = i.itemid
+JOIN idx_full c ON e.subject_id = c.subject_id AND e.icustay_id = c.icustay_id
+WHERE e.fact_hadm IS NOT NULL AND i.itemid IN """ + S.in_list(P["chart_item_ids"])))
+def measurements_by_stay(spark, d):
+    """J8 by (subject, stay) and P3: facts carry a stay id and a nullable visit id."""
+    t = Tables(spark, d)
+    st = fixture_stays(t).select("subject_id", "hadm_id", "icustay_id")
+    facts = roles.chart_events(t).join(st, "subject_id").filter((F.col("event_id") + F.col("icustay_id")) % 3 == 0)
+    facts = facts.withColumn("hadm_id", F.when(F.col("event_id") % 5 != 0, F.col("hadm_id")))
+    return series.measurement_branch(facts, roles.item_dictionary(spark), P["chart_item_ids"], fixture_cohort(t),
+                                     ["subject_id", "icustay_id"])
+
+
 @register("pivot_hourly", series_sql(
     "SELECT subject_id, icustay_id, hadm_id, hours_in, "
     + ", ".join(f"avg(CASE WHEN label = {S.q(lb)} THEN valuenum_avg END) AS {lb}" for lb in LABELS)
