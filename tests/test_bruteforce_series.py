@@ -1,10 +1,9 @@
-"""Brute force on a small fixture: the hourly sequence built the way a pandas
-pipeline does it (wide pivot, z-score words, dummies, pad the missing hours
-of the trailing window, global sort + backward fill, last N rows per
-subject) must equal the long-form Spark result."""
+"""Brute force on a small fixture: every subject's hourly sequence, computed
+slot by slot from the definition, equals the Spark result."""
 
-import numpy as np
-import pandas as pd
+import math
+from collections import defaultdict
+from statistics import mean, stdev
 
 from wardlens.plans import q_features, q_series
 from wardlens.sources.tables import Tables
@@ -13,44 +12,40 @@ SF = "/root/testdata/sf0.01"
 N = 48
 
 
-def _pandas_sequences(cells: pd.DataFrame) -> set:
-    x = cells.pivot_table(index=["subject_id", "hours_in"], columns="label", values="valuenum_avg").reset_index()
-    last = x.groupby("subject_id")["hours_in"].max().rename("max_time").reset_index()
-    x = x.merge(last, on="subject_id")
-    x = x[x["max_time"] >= N]
-    x = x[x["hours_in"] >= x["max_time"] - N].drop(columns="max_time")
-    feats = [c for c in x.columns if c not in ("subject_id", "hours_in")]
-    normal = x.groupby("subject_id")[feats].mean().mean()
-    std = x[feats].std()
-    for c in feats:
-        z = ((x[c] - normal[c]) / std[c]).round().clip(-4, 4).fillna(9).astype(int)
-        x[c] = z
-    dummies = pd.get_dummies(x, columns=feats)
-    dummies = dummies[[c for c in dummies.columns if not c.endswith("_9")]]
-    dummies = dummies.groupby(["subject_id", "hours_in"]).max()
-    # pad the hours last-N .. last-1 that are missing, sort, back-fill, keep the last N rows
-    pads = []
-    for s, grp in dummies.groupby(level=0):
-        have = set(grp.index.get_level_values(1))
-        top = int(max(have))
-        pads += [(s, h) for h in range(top - N, top) if h not in have]
-    pad = pd.DataFrame(np.nan, index=pd.MultiIndex.from_tuples(pads, names=["subject_id", "hours_in"]),
-                       columns=dummies.columns)
-    full = pd.concat([dummies.astype(float), pad]).sort_index().bfill().reset_index()
-    full = full.groupby("subject_id").tail(N)
+def nearest_even(x):
+    low = math.floor(x)
+    return low + (x - low > 0.5 or (x - low == 0.5 and low % 2 == 1))
+
+
+def sequences(cells):
+    """{(subject, hour, word)}: for each of a subject's last N hours, the words of the first observed hour at
+    or after it."""
+    last = defaultdict(int)
+    for subject, hour, _, _ in cells:
+        last[subject] = max(last[subject], hour)
+    window = [c for c in cells if last[c[0]] >= N and c[1] >= last[c[0]] - N]
+    by_label, by_subject = defaultdict(list), defaultdict(list)
+    for subject, _, label, value in window:
+        by_label[label].append(value)
+        by_subject[label, subject].append(value)
+    centre = {label: mean(mean(v) for (name, _), v in by_subject.items() if name == label) for label in by_label}
+    spread = {label: stdev(v) for label, v in by_label.items() if len(v) > 1}
+    words = defaultdict(lambda: defaultdict(set))
+    for subject, hour, label, value in window:
+        if spread.get(label):
+            z = max(-4, min(4, nearest_even((value - centre[label]) / spread[label])))
+            words[subject][hour].add(f"{label}_{z}")
     out = set()
-    for _, row in full.iterrows():
-        for c in dummies.columns:
-            if row[c] == 1:
-                out.add((int(row["subject_id"]), int(row["hours_in"]), c))
+    for subject, hours in words.items():
+        for slot in range(last[subject] - N + 1, last[subject] + 1):
+            source = min(h for h in hours if h >= slot)
+            out |= {(subject, slot, w) for w in hours[source]}
     return out
 
 
-def test_sequences_equal_pandas_procedure(spark):
+def test_sequences_equal_the_definition(spark):
     t = Tables(spark, SF)
-    cells = q_series.fixture_cells(t).toPandas()  # small fixture: ~5.5k cells
-    cells = cells[cells["valuenum_avg"].notna()]
-    expected = _pandas_sequences(cells)
+    cells = [tuple(r) for r in q_series.fixture_cells(t).select("subject_id", "hours_in", "label", "valuenum_avg").collect()]
+    want = sequences([c for c in cells if c[3] is not None])
     got = {(r["subject_id"], r["hours_in"], r["feature"]) for r in q_features.fixture_seq_words(t).collect()}
-    assert len(expected) > 1000
-    assert got == expected
+    assert len(want) > 1000 and got == want

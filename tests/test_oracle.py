@@ -11,7 +11,7 @@ from wardlens.sources.tables import TABLES
 SF = "/root/testdata/sf0.001"
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
-SKIP_ROWS_ONLY = {"cluster_fit_assign"}  # covered by test_learning (slow: 30 starts)
+SUBJECTS = "model_rows"  # its rows are the subjects of every learning query
 
 
 def _norm(v):
@@ -62,9 +62,28 @@ def test_types_match_oracle(spark, con, name):
     assert {c: SPARK_TO_DUCK.get(t, t) for c, t in sdt.items()} == odt
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SKIP_ROWS_ONLY))
-def test_rows_only(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_embedding_and_clusters_cover_every_subject(spark):
+    subjects = QUERIES[SUBJECTS](spark, SF).count()
+    e = QUERIES["embed_sequences"](spark, SF).collect()
+    assert len(e) == subjects and len({len(r["embedding"]) for r in e}) == 1
+    assert all(math.isfinite(x) for r in e for x in r["embedding"])
+    c = QUERIES["cluster_fit_assign"](spark, SF).collect()
+    assert len(c) == subjects and {r["cluster"] for r in c} <= set(range(4))
+
+
+@pytest.mark.parametrize("name", ["model_global", "model_separate", "model_multitask"])
+def test_model_queries_report_every_scope(spark, name):
+    scopes = {(r["scope"], r["n_pos"] > 0 and r["n_neg"] > 0) for r in QUERIES["separate_scored_scopes"](spark, SF).collect()}
+    got = {r["scope"]: r["auc"] for r in QUERIES[name](spark, SF).collect()}
+    assert set(got) == {s for s, _ in scopes} | {"macro"}
+    assert all((got[s] is not None) == both for s, both in scopes)
+    assert all(v is None or 0 <= v <= 1 for v in got.values())
+
+
+@pytest.mark.parametrize("name,metrics", [("run_experiment", {"auc", "auc_min", "auc_max", "auc_mean"}), ("cluster_cohort_models", {"auc"})])
+def test_experiments_report_their_metrics(spark, name, metrics):
+    rows = QUERIES[name](spark, SF).collect()
+    assert {r["metric"] for r in rows} == metrics and {"macro", "micro"} <= {r["scope"] for r in rows}
 
 
 def test_entry(spark):

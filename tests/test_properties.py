@@ -87,3 +87,18 @@ def test_one_pass_slots_equal_window_chain(spark, by_subject, n):
     b = sorted(tuple(r) for r in series.clip_last(series.fill_backward(series.regularize(trail, n)), n)
                .select(*cols).collect())
     assert a == b
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, 1, 2]), st.integers(0, 6), st.sampled_from([None, 0, 1])), min_size=30, max_size=80))
+def test_null_keys_in_numbering_and_running_max(spark, rows):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from wardlens.operators.flags import running_max
+    from wardlens.operators.ranking import row_number_within
+    d = spark.createDataFrame([(k, o, f, i) for i, (k, o, f) in enumerate(rows)], "k int, o int, f int, i int")
+    got = row_number_within(d, "k", [F.col("o"), F.col("i")], "rn", partitions=7)
+    want = d.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o", "i")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    fast, plain = (running_max(d, "k", "o", ["f"], binary=b) for b in (True, False))
+    assert sorted(map(str, fast.collect())) == sorted(map(str, plain.collect()))

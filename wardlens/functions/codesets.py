@@ -9,6 +9,8 @@ implicitly.
 
 from __future__ import annotations
 
+import inspect
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES — must equal the original study's constants for equal results.
 # Stated as plain text, in their natural order.
@@ -85,6 +87,12 @@ def _key_runs(sets: dict[str, list[str]], first_key: int = 1) -> dict[str, list[
     return out
 
 
+def only(fn, params: dict) -> dict:
+    """The entries of a parameter set that ``fn`` takes by keyword; ``fn`` itself stays strict."""
+    takes = inspect.signature(fn).parameters
+    return {k: v for k, v in params.items() if k in takes and takes[k].kind is inspect.Parameter.KEYWORD_ONLY}
+
+
 FIXTURE = {
     "excluded_units": ["5-LOW"],
     "return_window_days": 30,

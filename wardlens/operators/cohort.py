@@ -109,7 +109,7 @@ def index_stays(stays: DataFrame, subjects: DataFrame, visits: DataFrame, deaths
                 *, excluded_units: Iterable[str], discharge_buckets: Mapping[str, Iterable[str]],
                 discharge_default: str = "OTHER", return_window_days: int = 30,
                 min_age_years: float = 18, year_days_milli: int = 365242,
-                keep_ties: bool = False, all_deaths: bool = False, **_ignored) -> DataFrame:
+                keep_ties: bool = False, all_deaths: bool = False) -> DataFrame:
     """One index stay per subject with its return label.
 
     index stay = the stay with the earliest end (ties: lowest visit id, or all

@@ -32,7 +32,7 @@ def _cells_below(cells: DataFrame, keys: list[str], score: str, count: str, buck
     inside one range only, and the totals of lower ranges come from a
     (scope x range) table."""
     probs = [i / buckets for i in range(1, buckets)]
-    q = F.percentile_approx(score, probs, 1000)
+    q = F.percentile_approx(score, probs, max(1000, 16 * buckets))
     if keys:
         # one row per scope, each an array of buckets-1 bounds
         cells = _null_safe(cells, F.broadcast(cells.groupBy(*keys).agg(q.alias("_bounds"))), keys)
@@ -58,11 +58,19 @@ def auc(scored: DataFrame, label: str = "y", score: str = "score", scopes: Seque
     rows with a NULL score are ignored.
     """
     keys = list(scopes)
+    return _auc_of_cells(_cells(scored, keys, label, score, weight), keys, score, buckets)
+
+
+def _cells(scored: DataFrame, keys: list[str], label: str, score: str, weight: str | None) -> DataFrame:
+    """Positives and negatives by (scope, score)."""
     w = F.col(weight) if weight else F.lit(1)
     y = F.col(label)
-    cells = scored.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(
+    return scored.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(
         F.sum(F.when(y == 1, w).otherwise(0)).cast("double").alias("pos"),
         F.sum(F.when(y == 0, w).otherwise(0)).cast("double").alias("neg"))
+
+
+def _auc_of_cells(cells: DataFrame, keys: list[str], score: str, buckets: int) -> DataFrame:
     cells = _cells_below(cells, keys, score, "neg", buckets)
     contrib = F.col("pos") * (F.col("_below") + F.col("neg") * 0.5)
     aggs = [F.sum(contrib).alias("_u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")]
@@ -85,9 +93,9 @@ def average_rank(df: DataFrame, score: str = "score", scopes: Sequence[str] = ()
     return _null_safe(df, ranks, keys + [score], "left")
 
 
-def auc_by_cohort(scored: DataFrame, cohort: str, label: str = "y", score: str = "score") -> DataFrame:
-    """AUC per cohort (NULL for a one-class cohort)."""
-    return auc(scored, label, score, [cohort])
+def auc_by_cohort(scored: DataFrame, cohort: str, label: str = "y", score: str = "score", buckets: int = 64) -> DataFrame:
+    """AUC per cohort (NULL for a one-class cohort; rows without a cohort are one cohort)."""
+    return auc(scored, label, score, [cohort], buckets=buckets)
 
 
 def auc_bootstrap(scored: DataFrame, draws: DataFrame, id_col: str, cohort: str, label: str = "y",
@@ -114,6 +122,28 @@ def auc_bootstrap(scored: DataFrame, draws: DataFrame, id_col: str, cohort: str,
                                   F.avg("auc").alias("auc_mean"), F.count(F.lit(1)).alias("replicates"))
 
 
+def auc_bootstrap_macro_micro(drawn: DataFrame, cohort: str, label: str = "y", score: str = "score",
+                              weight: str = "multiplicity", summary: bool = True, buckets: int = 64) -> DataFrame:
+    """E3-E6 together: the AUC of every cohort, their macro mean (missing ones
+    ignored) and the pooled micro AUC, each per replicate; ``summary`` gives
+    min / max / mean over the replicates whose AUC exists.
+
+    ``drawn``: scored rows with ``replicate`` and ``weight`` (see
+    ``sampling.bootstrap_scored``).  The rows are reduced once to (replicate,
+    cohort, score) counts; the pooled scope sums those, not the rows."""
+    cells = _cells(drawn, ["replicate", cohort], label, score, weight)
+    pooled = cells.groupBy("replicate", score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    per = _auc_of_cells(cells, ["replicate", cohort], score, buckets).select(
+        "replicate", F.col(cohort).cast("string").alias("scope"), "auc")
+    macro = per.groupBy("replicate").agg(F.avg("auc").alias("auc")).select("replicate", F.lit("macro").alias("scope"), "auc")
+    micro = _auc_of_cells(pooled, ["replicate"], score, buckets).select("replicate", F.lit("micro").alias("scope"), "auc")
+    every = per.unionByName(macro).unionByName(micro)
+    if not summary:
+        return every
+    return every.groupBy("scope").agg(F.min("auc").alias("auc_min"), F.max("auc").alias("auc_max"),
+                                      F.avg("auc").alias("auc_mean"), F.count("auc").alias("replicates"))
+
+
 def route_predictions(rows: DataFrame, predictions: DataFrame, id_col: str, cohort: str,
                       task: str = "task", score: str = "score") -> DataFrame:
     """Each row takes the prediction of its own cohort's head
@@ -122,10 +152,10 @@ def route_predictions(rows: DataFrame, predictions: DataFrame, id_col: str, coho
     return rows.join(p, [id_col, cohort])
 
 
-def auc_macro_micro(scored: DataFrame, cohort: str, label: str = "y", score: str = "score") -> DataFrame:
+def auc_macro_micro(scored: DataFrame, cohort: str, label: str = "y", score: str = "score", buckets: int = 64) -> DataFrame:
     """Per-cohort AUCs, their macro mean (missing ones ignored) and the
     micro AUC over all rows pooled; ``scope`` names the row."""
-    per = auc(scored, label, score, [cohort]).select(F.col(cohort).cast("string").alias("scope"), "auc")
+    per = auc(scored, label, score, [cohort], buckets=buckets).select(F.col(cohort).cast("string").alias("scope"), "auc")
     macro = per.agg(F.avg("auc").alias("auc")).select(F.lit("macro").alias("scope"), "auc")
-    micro = auc(scored, label, score).select(F.lit("micro").alias("scope"), "auc")
+    micro = auc(scored, label, score, buckets=buckets).select(F.lit("micro").alias("scope"), "auc")
     return per.unionByName(macro).unionByName(micro)

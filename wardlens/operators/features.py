@@ -60,15 +60,15 @@ def sequence_words(slots: DataFrame, onehot: DataFrame) -> DataFrame:
 
 
 def static_attributes(index_stays: DataFrame, *, age_bands, los_bands, band_default: int,
-                      ethnicity_rules, ethnicity_default: str, language_map=None,
-                      **_ignored) -> DataFrame:
+                      ethnicity_rules, ethnicity_default: str, language_map=None) -> DataFrame:
     """F7-F11 + P13 + Q8: one row per subject with the banded attributes,
     label and cohort; rows flagged 1 in ``hospital_expire_flag`` are dropped
     (NULL kept)."""
     s = index_stays.filter(not_equal_keep_null("hospital_expire_flag", 1))
     lang = fill_missing("language")
     if language_map:
-        lang = bucket_values(lang, language_map, "Missing")
+        known = [v for values in language_map.values() for v in values]
+        lang = F.when(lang.isin(known), bucket_values(lang, language_map, "OTHER")).otherwise(lang)  # unmapped ones stay
     return s.select(
         "subject_id", "gender",
         band("age", age_bands, band_default).alias("age"),

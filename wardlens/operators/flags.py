@@ -45,7 +45,7 @@ def flag_names(code_flags: Mapping[str, Iterable[str]], title: tuple[str, str] |
 def code_flags(dictionary: DataFrame, facts: DataFrame, *, code_flags: Mapping[str, Iterable[str]],
                title_flag: tuple[str, str] | None, lowercase_flags: Iterable[str] = (),
                fact_side_flags: Iterable[str] = ("copd", "renal_failure"),
-               code: str = "icd9_code", **_ignored) -> DataFrame:
+               code: str = "icd9_code") -> DataFrame:
     """J7 + P8 + P9: dictionary LEFT JOIN facts on the code, flags per row.
 
     Dictionary codes without facts are kept with NULL subject/visit.  Written
@@ -81,7 +81,7 @@ def first_visit_flags(stays: DataFrame, dictionary: DataFrame, facts: DataFrame,
                       excluded_units: Iterable[str], code_flags: Mapping[str, Iterable[str]],
                       title_flag: tuple[str, str] | None, lowercase_flags: Iterable[str] = (),
                       fact_side_flags: Iterable[str] = ("copd", "renal_failure"),
-                      code: str = "icd9_code", **_ignored) -> DataFrame:
+                      code: str = "icd9_code") -> DataFrame:
     """A11 (D8): one row per subject: its first stay and the max of each flag
     over that stay's coded facts; subjects without codes get 0 (not NULL)."""
     first = first_stays(stays, excluded_units)

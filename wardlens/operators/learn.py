@@ -3,35 +3,45 @@
 The original trains recurrent networks on one machine.  Here:
 
 * M1 embedding: each subject's sequence becomes token counts (how many steps
-  carry each feature, and which features the last step carries), fitted by
-  ``CountVectorizer`` on the training rows, scaled and projected with ``PCA``
-  (k = embedding size) — an unsupervised low-dimension embedding;
-* M2/M3 Gaussian mixture: ``GaussianMixture`` for several seeds, the fit with
-  the highest log-likelihood kept, every subject assigned;
-* M4-M6 classifiers: ``LogisticRegression`` — one global model, one model per
-  cohort (a driver loop over the few cohorts, each fit distributed), and a
-  multitask model with shared weights plus per-cohort interaction weights
-  (feature augmentation).
-
-Per-subject inputs are bounded (hours x features per step), the vocabulary
-is bounded by ``vocab_size``, and only model coefficients reach the driver.
+  carry each feature, and which features the last step carries) over the whole
+  vocabulary of the training rows, scaled and projected on the leading right
+  singular vectors (k = embedding size), which Spark finds by distributed
+  matrix-vector products: an unsupervised low-dimension embedding;
+* M2/M3 Gaussian mixture over all embedding components: all starts go through
+  one pass over the data per EM step, the one with the highest log-likelihood
+  is kept, every subject is assigned;
+* M4-M6 classifiers: ``LogisticRegression`` — one global model, separate models
+  per cohort (one fit whose weights are one block per cohort), and a multitask
+  model with shared weights plus per-cohort interaction weights.
+
+Per-subject inputs are bounded (hours x features per step), no feature is
+dropped, and only model coefficients reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import (PCA, CountVectorizer, Interaction, OneHotEncoder, StandardScaler,
-                                StringIndexer, VectorAssembler, VectorSlicer)
+from pyspark.ml.feature import (CountVectorizer, Interaction, OneHotEncoder, PCAModel, StandardScaler,
+                                StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlens.operators.sampling import cohort_weights, hash8
+from wardlens.sources.sinks import materialize
+
+ALL_TOKENS = 2 ** 31 - 1  # no feature is left out of a vocabulary
+
 
 @contextmanager
 def _persisted(df: DataFrame):
@@ -63,19 +73,28 @@ def _embedding_input(df: DataFrame) -> DataFrame:
     return df.withColumn("_emb_tokens", F.concat("tokens", "block_tokens"))
 
 
-def fit_embedding(train_tokens: DataFrame, k: int, vocab_size: int = 2048) -> PipelineModel:
-    """M1: CountVectorizer -> StandardScaler -> PCA(k) over tokens and time-block
-    tokens, fitted on training subjects.
+def _token_counts(output: str, column: str = "tokens") -> CountVectorizer:
+    return CountVectorizer(inputCol=column, outputCol=output, vocabSize=ALL_TOKENS, minDF=1.0)
+
+
+def fit_embedding(train_tokens: DataFrame, k: int) -> PipelineModel:
+    """M1: counts -> scaling -> projection on the ``k`` leading right singular
+    vectors, over all tokens and time-block tokens of the training subjects.
 
-    PCA forms a d x d covariance on the driver, so the vocabulary is capped
-    (``vocab_size`` most frequent tokens): at most 2048^2 doubles = 32 MB."""
-    cv = CountVectorizer(inputCol="_emb_tokens", outputCol="_counts", vocabSize=vocab_size, minDF=1.0)
+    The singular vectors come from distributed matrix-vector products; the
+    driver holds vocabulary x k numbers, never a vocabulary x vocabulary matrix."""
     sc = StandardScaler(inputCol="_counts", outputCol="_scaled", withMean=False, withStd=True)
     with _persisted(_embedding_input(train_tokens)) as train:
-        cv_model = cv.fit(train)
-        dims = len(cv_model.vocabulary)
-        pca = PCA(inputCol="_scaled", outputCol="embedding", k=max(1, min(k, dims)))
-        return Pipeline(stages=[cv_model, sc, pca]).fit(train)
+        head = Pipeline(stages=[_token_counts("_counts", "_emb_tokens"), sc]).fit(train)
+        dims = len(head.stages[0].vocabulary)
+        vectors = MLUtils.convertVectorColumnsFromML(head.transform(train).select("_scaled"), "_scaled")
+        svd = RowMatrix(vectors).computeSVD(max(1, min(k, dims)), computeU=False)
+    jvm = train_tokens.sparkSession._jvm
+    axes = svd._java_model.V().asML()
+    spread = jvm.org.apache.spark.ml.linalg.Vectors.zeros(axes.numCols()).toDense()
+    project = PCAModel(jvm.org.apache.spark.ml.feature.PCAModel("projection", axes, spread))
+    project.setInputCol("_scaled").setOutputCol("embedding").set(project.k, axes.numCols())
+    return PipelineModel(stages=[*head.stages, project])
 
 
 def embed(model: PipelineModel, tokens: DataFrame) -> DataFrame:
@@ -83,60 +102,154 @@ def embed(model: PipelineModel, tokens: DataFrame) -> DataFrame:
     return model.transform(_embedding_input(tokens)).select("subject_id", "embedding")
 
 
-def fit_mixture(embedded: DataFrame, k: int, starts: int, tol: float, seed: int = 0,
-                features: str = "embedding", max_iter: int = 100, parallel: int = 8,
-                dims: int | None = 20) -> PipelineModel:
-    """M2: best-of-``starts`` Gaussian mixture by log-likelihood, as a pipeline
-    (leading ``dims`` components -> standardise -> mixture) fitted on ``embedded``.
-
-    Spark's mixture evaluates component densities (not log densities) in its
-    E-step and starts each component from a few sampled points; in many
-    dimensions every density underflows, all posteriors become 1/k and EM
-    stays there.  Standardising and using the leading components (the
-    embedding is PCA-ordered) keeps the densities in range; ``dims=None``
-    uses all components.  Starts are independent fits submitted from
-    ``parallel`` driver threads; the winner (highest log-likelihood, then
-    lowest seed) does not depend on completion order.  A start that breaks
-    down numerically is skipped; the call fails only if every start does.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    n_dims = len(embedded.select(features).first()[0])
-    use = n_dims if dims is None else min(dims, n_dims)
-    slicer = VectorSlicer(inputCol=features, outputCol="_lead", indices=list(range(use)))
-    scaler = StandardScaler(inputCol="_lead", outputCol="_z", withMean=True, withStd=True)
-    prep = Pipeline(stages=[slicer, scaler]).fit(embedded)
-    data = prep.transform(embedded).select("_z").persist()
-
-    def one(s: int):
-        gm = GaussianMixture(featuresCol="_z", k=k, tol=tol, seed=seed + s, maxIter=max_iter)
-        try:
-            m = gm.fit(data)
-        except Exception as e:  # noqa: BLE001 - numerical failure of one start
-            return s, None, e
-        return s, m, None
+@dataclass
+class Mixture:
+    """A fitted mixture: component weights, means and precision factors of standardised vectors."""
 
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallel, starts))) as pool:
-            results = list(pool.map(one, range(starts)))
-    finally:
-        data.unpersist()
-    fitted = [(m.summary.logLikelihood, -s, m) for s, m, _ in results if m is not None]
-    if not fitted:
-        raise RuntimeError("every mixture start failed") from results[-1][2]
-    best = max(fitted, key=lambda x: (x[0], x[1]))[2]
-    return PipelineModel(stages=[*prep.stages, best])
+    center: np.ndarray
+    scale: np.ndarray
+    weight: np.ndarray    # (k,)
+    mean: np.ndarray      # (k, d)
+    root: np.ndarray      # (k, d, d): inverse of the covariance's Cholesky factor
+    log_likelihood: float  # mean per row
+    starts_run: int
+    steps: int
+
+    def log_density(self, z: np.ndarray) -> np.ndarray:
+        """log(weight x density) of each component, rows x k."""
+        return _log_density(z, self.weight, self.mean, self.root)
+
+
+def _log_density(z: np.ndarray, weight: np.ndarray, mean: np.ndarray, root: np.ndarray) -> np.ndarray:
+    out = np.empty((len(z), len(weight)))
+    for j in range(len(weight)):
+        y = (z - mean[j]) @ root[j].T
+        out[:, j] = np.log(max(weight[j], 1e-300)) + np.log(np.abs(np.diag(root[j]))).sum() - 0.5 * (y * y).sum(1)
+    return out - 0.5 * z.shape[1] * np.log(2 * np.pi)
 
 
-def mixture_log_likelihood(model: PipelineModel) -> float:
-    return model.stages[-1].summary.logLikelihood
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(1, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(1, keepdims=True)))[:, 0]
 
 
-def assign_clusters(model: PipelineModel, embedded: DataFrame) -> DataFrame:
+def _parameters(n: np.ndarray, first: np.ndarray, second: np.ndarray, floor: float) -> tuple[np.ndarray, ...]:
+    """M step: weights, means and precision factors from the sums of a start."""
+    total = np.maximum(n, 1e-10)
+    mean = first / total[:, None]
+    cov = second / total[:, None, None] - mean[:, :, None] * mean[:, None, :]
+    cov += floor * np.eye(first.shape[1])
+    return n / n.sum(), mean, np.stack([np.linalg.inv(np.linalg.cholesky(_positive(c, floor))) for c in cov])
+
+
+def _positive(cov: np.ndarray, floor: float) -> np.ndarray:
+    """The nearest covariance without variances below ``floor``."""
+    value, axis = np.linalg.eigh((cov + cov.T) / 2)
+    return (axis * np.maximum(value, floor)) @ axis.T
+
+
+def fit_mixture(embedded: DataFrame, k: int, starts: int, tol: float, seed: int = 0,
+                features: str = "embedding", max_iter: int = 100, block_rows: int = 20_000,
+                floor: float = 1e-6) -> Mixture:
+    """M2: the best of ``starts`` full-covariance Gaussian mixtures by
+    log-likelihood, on all standardised components.
+
+    Rows are packed once into blocks by a hash of the subject, sorted by subject
+    inside, so sums are added in the same order whatever the session's
+    partitioning, and the result is repeatable.  Each EM step is one pass over
+    the blocks for all starts that still move: a task returns the sums of its
+    block for every start (log densities, so nothing underflows), which are
+    added up per start.  Start s takes as means the ``k`` subjects with the
+    smallest hash of (seed + s, subject).  Ties go to the earlier start."""
+    spark = embedded.sparkSession
+    x = embedded.select("subject_id", vector_to_array(features).alias("v"))
+    rows = x.count()
+    blocks = max(1, -(-rows // block_rows))
+    k = min(k, max(1, rows))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("subject_id", kind="stable")
+        v = np.stack(pdf["v"].to_numpy())
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "n": [len(v)], "v": [v.tobytes()],
+                             "s1": [v.sum(0).tolist()], "s2": [(v * v).sum(0).tolist()]})
+
+    packed = materialize(x.withColumn("block", F.pmod(hash8(F.lit("block"), F.col("subject_id")), F.lit(blocks)).cast("int"))
+                         .groupBy("block").applyInPandas(pack, "block int, n long, v binary, s1 array<double>, s2 array<double>"), "mixture-blocks")
+    sums = packed.select("block", F.posexplode(F.arrays_zip("s1", "s2")).alias("i", "s")).groupBy("i").agg(
+        F.array_sort(F.collect_list(F.struct("block", "s.s1", "s.s2"))).alias("s"))
+    add = {r["i"]: (sum(t["s1"] for t in r["s"]), sum(t["s2"] for t in r["s"])) for r in sums.collect()}  # one row per component
+    total = np.array([add[i] for i in range(len(add))])
+    center = total[:, 0] / rows
+    scale = np.sqrt(np.maximum(total[:, 1] / rows - center ** 2, 0))
+    scale[scale < 1e-12] = 1.0
+    d = len(center)
+
+    # k rows per start: a bounded list
+    first = x.select("v", "subject_id", F.explode(F.sequence(F.lit(seed), F.lit(seed + starts - 1))).alias("s"))
+    by = Window.partitionBy("s").orderBy(hash8(F.col("s"), F.col("subject_id")), "subject_id")
+    top = first.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k).select("s", "n", "v").collect()
+    chosen = {s: np.array([r["v"] for r in sorted((r for r in top if r["s"] == seed + s), key=lambda r: r["n"])]) for s in range(starts)}
+    state = {s: (np.full(k, 1 / k), (chosen[s] - center) / scale, np.stack([np.eye(d)] * k)) for s in range(starts)}
+    best, done, steps = {}, {}, 0
+
+    while state and steps < max_iter:
+        steps += 1
+        sent = spark.sparkContext.broadcast((state, center, scale))
+
+        def expect(batches):
+            for pdf in batches:
+                for block, raw in zip(pdf["block"], pdf["v"]):
+                    now, c, w = sent.value
+                    z = (np.frombuffer(raw).reshape(-1, len(c)) - c) / w
+                    for s, (weight, mean, root) in now.items():
+                        log = _log_density(z, weight, mean, root)
+                        norm = _log_sum(log)
+                        r = np.exp(log - norm[:, None])
+                        second = np.stack([(z * r[:, [j]]).T @ z for j in range(len(weight))])
+                        stat = np.concatenate(([norm.sum()], r.sum(0), (r.T @ z).ravel(), second.ravel()))
+                        yield pd.DataFrame({"s": [s], "block": [int(block)], "stat": [stat.tobytes()]})
+
+        def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+            stats = [np.frombuffer(b) for b in pdf.sort_values("block")["stat"]]
+            return pd.DataFrame({"s": [int(pdf["s"].iloc[0])], "stat": [np.sum(stats, axis=0).tobytes()]})
+
+        got = packed.select("block", "v").mapInPandas(expect, "s int, block int, stat binary").groupBy("s").applyInPandas(
+            add_up, "s int, stat binary").collect()  # one row per start
+        sent.unpersist()
+        for r in got:
+            s, stat = r["s"], np.frombuffer(r["stat"])
+            like = stat[0] / rows
+            n, one, two = stat[1:1 + k], stat[1 + k:1 + k + k * d].reshape(k, d), stat[1 + k + k * d:].reshape(k, d, d)
+            if s in best and like - best[s] < tol or steps == max_iter:
+                done[s] = (like, state.pop(s))
+            else:
+                state[s] = _parameters(n, one, two, floor)
+            best[s] = like
+    winner = max(done, key=lambda s: (done[s][0], -s))
+    like, (weight, mean, root) = done[winner]
+    return Mixture(center, scale, weight, mean, root, float(like), len(done), steps)
+
+
+def mixture_log_likelihood(model: Mixture) -> float:
+    """Mean log-likelihood per training row."""
+    return model.log_likelihood
+
+
+def assign_clusters(model: Mixture, embedded: DataFrame, features: str = "embedding") -> DataFrame:
     """M3: (subject_id, cluster, probability[]) for every subject."""
-    out = model.transform(embedded)
-    return out.select("subject_id", F.col("prediction").cast("int").alias("cluster"),
-                      vector_to_array("probability").alias("probability"))
+    sent = embedded.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for pdf in batches:
+            m = sent.value
+            if not len(pdf):
+                continue
+            log = m.log_density((np.stack(pdf["v"].to_numpy()) - m.center) / m.scale)
+            p = np.exp(log - _log_sum(log)[:, None])
+            yield pd.DataFrame({"subject_id": pdf["subject_id"], "cluster": p.argmax(1).astype("int32"), "probability": list(p)})
+
+    x = embedded.select("subject_id", vector_to_array(features).alias("v"))
+    return x.mapInPandas(run, f"subject_id {dict(x.dtypes)['subject_id']}, cluster int, probability array<double>")
 
 
 def _lr(label: str, weight: str | None, features: str = "features", reg: float = 0.01) -> LogisticRegression:
@@ -152,11 +265,18 @@ def _score(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataFr
     return out.select(*keep, vector_to_array("_prob")[1].alias("score"))
 
 
+def cohort_tasks(rows: DataFrame, cohort: str) -> DataFrame:
+    """(task, cohort): the cohorts in sorted order, numbered from 0; one row per cohort."""
+    names = rows.filter(F.col(cohort).isNotNull()).select(cohort).distinct()
+    # a window over one row per cohort
+    return names.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(cohort)) - 1).alias("task"), cohort)
+
+
 def fit_global(train: DataFrame, label: str, weight: str | None = None,
                cohort: str | None = None) -> PipelineModel:
     """M4: one classifier for all cohorts (optional row weights); with
     ``cohort`` its one-hot is appended to the features (F13)."""
-    stages = [CountVectorizer(inputCol="tokens", outputCol="_tok" if cohort else "features", minDF=1.0)]
+    stages = [_token_counts("_tok" if cohort else "features")]
     if cohort:
         stages += [StringIndexer(inputCol=cohort, outputCol="_cidx", handleInvalid="keep"),
                    OneHotEncoder(inputCol="_cidx", outputCol="_conehot", dropLast=False),
@@ -165,23 +285,28 @@ def fit_global(train: DataFrame, label: str, weight: str | None = None,
         return Pipeline(stages=stages + [_lr(label, weight)]).fit(data)
 
 
-def fit_separate(train: DataFrame, label: str, cohort: str, cohorts: Sequence[str]) -> dict:
-    """M5: one classifier per cohort; a cohort with one class gets no model."""
-    models = {}
-    for c in cohorts:
-        part = train.filter(F.col(cohort) == c)
-        if part.select(label).distinct().limit(2).count() < 2:
-            continue
-        with _persisted(part) as data:
-            models[c] = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0),
-                                         _lr(label, None)]).fit(data)
-    return models
+def fit_separate(train: DataFrame, label: str, cohort: str, reg: float = 0.01) -> PipelineModel:
+    """M5: one classifier per cohort, fitted side by side in one job.
+
+    The features are one block per cohort (its intercept and its tokens), rows
+    weigh n / n_cohort and the penalty is divided by the number of cohorts, so
+    the objective is the sum of the cohorts' own ones.  A cohort of one class
+    gets its (penalised) one-sided fit, one that training lacks scores 1/2: no
+    row is left without a score."""
+    index = StringIndexer(inputCol=cohort, outputCol="_cidx", handleInvalid="keep")
+    with _persisted(cohort_weights(train, cohort)) as data:
+        indexed = index.fit(data)
+        lr = _lr(label, "weight", reg=reg / max(1, len(indexed.labels))).setFitIntercept(False).setStandardization(False)
+        stages = [_token_counts("_tok"), indexed, OneHotEncoder(inputCol="_cidx", outputCol="_conehot", dropLast=False),
+                  Interaction(inputCols=["_conehot", "_tok"], outputCol="_blocks"),
+                  VectorAssembler(inputCols=["_conehot", "_blocks"], outputCol="features"), lr]
+        return Pipeline(stages=stages).fit(data)
 
 
 def fit_multitask(train: DataFrame, label: str, cohort: str, weight: str | None = None) -> PipelineModel:
     """M6: shared weights + per-cohort weights (cohort one-hot x features)."""
     stages = [
-        CountVectorizer(inputCol="tokens", outputCol="_shared", minDF=1.0),
+        _token_counts("_shared"),
         StringIndexer(inputCol=cohort, outputCol="_cidx", handleInvalid="keep"),
         OneHotEncoder(inputCol="_cidx", outputCol="_conehot", dropLast=False),
         Interaction(inputCols=["_conehot", "_shared"], outputCol="_task"),
@@ -193,16 +318,5 @@ def fit_multitask(train: DataFrame, label: str, cohort: str, weight: str | None
 
 
 def score_global(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """M7: (keep..., score) with score = P(y = 1)."""
+    """M7: (keep..., score) with score = P(y = 1), for every family's model."""
     return _score(model, rows, keep)
-
-
-def score_separate(models: dict, rows: DataFrame, cohort: str, keep: Sequence[str]) -> DataFrame:
-    """M7 for M5: each row scored by its cohort's model (cohorts without a model drop out)."""
-    parts = [_score(m, rows.filter(F.col(cohort) == c), keep) for c, m in models.items()]
-    if not parts:  # no cohort had both classes: nothing can be scored
-        return rows.select(*keep, F.lit(None).cast("double").alias("score")).filter(F.lit(False))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

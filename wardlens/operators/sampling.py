@@ -106,6 +106,25 @@ def bootstrap_multiplicity(df: DataFrame, label: str, id_col: str, replicates: i
     return original.unionByName(drawn)
 
 
+def bootstrap_scored(scored: DataFrame, label: str, id_col: str, replicates: int, seed: int = 0,
+                     buckets: int = 1024) -> DataFrame:
+    """The rows of ``scored`` of every replicate with ``replicate`` and ``multiplicity``: the draws of
+    ``bootstrap_multiplicity``, looked up by (class, rank) in the ranked rows themselves, so no join
+    on the id is needed."""
+    r = class_ranks(scored, label, id_col, seed, buckets)
+    cols = scored.columns
+    original = r.select(F.lit(0).alias("replicate"), *cols, F.lit(1).cast("bigint").alias("multiplicity"))
+    if replicates <= 1:
+        return original
+    pos = r.select(F.col(label).alias("_dl"), F.col("rank").alias("_k"), "n_class",
+                   F.explode(F.sequence(F.lit(1), F.lit(replicates - 1))).alias("replicate"))
+    drawn_rank = F.pmod(hash8(F.lit(str(seed)), F.col("replicate"), F.col("_dl"), F.col("_k")), F.col("n_class"))
+    counts = pos.groupBy("replicate", "_dl", drawn_rank.alias("_dr")).agg(F.count(F.lit(1)).alias("multiplicity"))
+    rows = r.select(*cols, F.col("rank").alias("_rank"))
+    drawn = counts.join(rows, F.col("_dl").eqNullSafe(F.col(label)) & (F.col("_dr") == F.col("_rank")))
+    return original.unionByName(drawn.select("replicate", *cols, "multiplicity"))
+
+
 def draw_multiplicity(draws: DataFrame, id_col: str) -> DataFrame:
     """(replicate, id, multiplicity): how often each row is drawn."""
     return draws.groupBy("replicate", id_col).agg(F.count(F.lit(1)).alias("multiplicity"))

@@ -36,7 +36,8 @@ class ExperimentSpec:
     def key(self) -> dict:
         return {"model": self.model, "cohort": self.cohort, "weights": str(self.sample_weights),
                 "cohort_feature": str(self.cohort_as_feature),
-                "split": self.evaluate_on, **{k: str(v) for k, v in self.params.items()}}
+                "split": self.evaluate_on, "replicates": str(self.replicates), "seed": str(self.seed),
+                "all_replicates": str(self.all_replicates), **{k: str(v) for k, v in self.params.items()}}
 
 
 def with_cohorts(rows: DataFrame, membership: DataFrame, name: str = "cluster") -> DataFrame:
@@ -47,19 +48,8 @@ def with_cohorts(rows: DataFrame, membership: DataFrame, name: str = "cluster")
 
 def _load_scored(spec: ExperimentSpec, evalset: DataFrame, keep: list, load_dir: str) -> DataFrame:
     """Test mode: score with the models saved by an earlier run (no fitting)."""
-    if spec.model in ("GLOBAL", "MULTITASK"):
+    if spec.model in ("GLOBAL", "SEPARATE", "MULTITASK"):
         return L.score_global(PipelineModel.load(os.path.join(load_dir, spec.model.lower())), evalset, keep)
-    if spec.model == "SEPARATE":
-        # a handful of cohort names, not data
-        cohorts = sorted(r[0] for r in evalset.select(spec.cohort).distinct().collect())
-        models = {}
-        for c in cohorts:
-            try:
-                models[c] = PipelineModel.load(os.path.join(load_dir, f"separate-{c}"))
-            except Exception as e:  # noqa: BLE001 - a cohort without a saved model (one class in training)
-                if not any(m in str(e) for m in ("does not exist", "PATH_NOT_FOUND", "InvalidInputException")):
-                    raise
-        return L.score_separate(models, evalset, spec.cohort, keep)
     raise ValueError(f"unknown model family {spec.model}")
 
 
@@ -84,33 +74,27 @@ def _scored(spec: ExperimentSpec, rows: DataFrame, model_dir: str | None, load_d
             m.write().overwrite().save(os.path.join(model_dir, "multitask"))
         return L.score_global(m, evalset, keep)
     if spec.model == "SEPARATE":
-        # a handful of cohort names, not data
-        cohorts = sorted(r[0] for r in train.select(spec.cohort).distinct().collect())
-        models = L.fit_separate(train, spec.label, spec.cohort, cohorts)
+        m = L.fit_separate(train, spec.label, spec.cohort)
         if model_dir:
-            for c, m in models.items():
-                m.write().overwrite().save(os.path.join(model_dir, f"separate-{c}"))
-        return L.score_separate(models, evalset, spec.cohort, keep)
+            m.write().overwrite().save(os.path.join(model_dir, "separate"))
+        return L.score_global(m, evalset, keep)
     raise ValueError(f"unknown model family {spec.model}")
 
 
 def evaluate_scores(spec: ExperimentSpec, scored: DataFrame) -> DataFrame:
     """(scope, metric, value): per-cohort, macro and micro AUC; bootstrapped
-    min/max/mean per cohort when ``replicates`` > 0."""
+    min/max/mean of all three kinds of scope when ``replicates`` > 0."""
     y = scored.withColumnRenamed(spec.label, "y")
     base = EV.auc_macro_micro(y, spec.cohort).select("scope", F.lit("auc").alias("metric"),
                                                      F.col("auc").alias("value"))
     if spec.replicates <= 0:
         return base
-    mult = SA.bootstrap_multiplicity(y, "y", "subject_id", spec.replicates, spec.seed)
+    drawn = SA.bootstrap_scored(y, "y", "subject_id", spec.replicates, spec.seed)
+    boot = EV.auc_bootstrap_macro_micro(drawn, spec.cohort, summary=not spec.all_replicates)
     if spec.all_replicates:
-        every = EV.auc_bootstrap(y, mult, "subject_id", spec.cohort, summary=False)
-        return base.unionByName(every.select(
-            F.col(spec.cohort).cast("string").alias("scope"),
-            F.concat(F.lit("auc_rep_"), F.col("replicate").cast("string")).alias("metric"),
-            F.col("auc").alias("value")))
-    boot = EV.auc_bootstrap(y, mult, "subject_id", spec.cohort)
-    stacked = boot.select(F.col(spec.cohort).cast("string").alias("scope"), F.explode(F.array(
+        return base.unionByName(boot.select(
+            "scope", F.concat(F.lit("auc_rep_"), F.col("replicate").cast("string")).alias("metric"), F.col("auc").alias("value")))
+    stacked = boot.select("scope", F.explode(F.array(
         *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("auc_min", "auc_max", "auc_mean")]
     )).alias("m")).select("scope", "m.metric", "m.value")
     return base.unionByName(stacked)
@@ -133,11 +117,15 @@ def run_experiment(rows: DataFrame, spec: ExperimentSpec, log_path: str | None =
         cfg = spark.createDataFrame([tuple(key.values())], ", ".join(f"`{k}` string" for k in key))
         if sinks.pending_runs(cfg, log, list(key)).isEmpty():
             return None
-    metrics = evaluate_scores(spec, _scored(spec, rows, model_dir, load_dir))
+    # scored once: every metric reads the written scores
+    scored = sinks.materialize(_scored(spec, rows, model_dir, load_dir), "scored")
+    metrics = evaluate_scores(spec, scored)
     out = metrics.select(F.lit(spec.run_id).alias("run_id"), sinks.params_json(key).alias("params"),
                          F.lit(spec.model).alias("model"), "scope", "metric",
                          F.col("value").cast("double").alias("value"))
     if log_path:
         sinks.append_results(out, log_path)
-        return spark.read.parquet(log_path).filter(F.col("run_id") == spec.run_id)
+        sinks.release(scored)
+        logged = spark.read.parquet(log_path)
+        return logged.filter((F.col("run_id") == spec.run_id) & (F.col("params") == sinks.params_json(key)))
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardlens.functions.codesets import FIXTURE
+from wardlens.functions.codesets import FIXTURE, only
 from wardlens.functions.scalar import age_years, bucket_values
 from wardlens.operators import cohort
 from wardlens.plans import sqltext as S
@@ -18,7 +18,7 @@ _EXCL = " AND ".join(f"first_careunit <> {S.q(u)}" for u in P["excluded_units"])
 
 def fixture_index_stays(t: Tables, keep_ties: bool = False, all_deaths: bool = False, stays=None):
     return cohort.index_stays(roles.stays(t) if stays is None else stays, roles.subjects(t), roles.visits(t),
-                              roles.deaths(t), keep_ties=keep_ties, all_deaths=all_deaths, **P)
+                              roles.deaths(t), **only(cohort.index_stays, P) | {"keep_ties": keep_ties, "all_deaths": all_deaths})
 
 
 def fixture_stays(t: Tables):

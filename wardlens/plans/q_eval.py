@@ -170,6 +170,28 @@ def auc_bootstrap(spark, d):
     return out.withColumn("auc_mean", F.round("auc_mean", 10))
 
 
+_SCOPES_CTE = _BOOT_CTE + f""",
+per AS (SELECT replicate, CAST(lang AS VARCHAR) AS scope, auc FROM ({_auc_sql('brows', ['replicate', 'lang'])})),
+every AS (SELECT * FROM per
+  UNION ALL SELECT replicate, 'macro', avg(auc) FROM per GROUP BY replicate
+  UNION ALL SELECT replicate, 'micro', auc FROM ({_auc_sql('brows', ['replicate'])}))"""
+
+
+@register("auc_bootstrap_macro_micro", eval_sql("""
+SELECT scope, round(min(auc), 10) AS auc_min, round(max(auc), 10) AS auc_max, round(avg(auc), 10) AS auc_mean, count(auc) AS replicates
+FROM every GROUP BY scope""", _SCOPES_CTE))
+def auc_bootstrap_macro_micro(spark, d):
+    drawn = SA.bootstrap_scored(fixture_scored(Tables(spark, d)), "y", "doc_id", REPS, SEED)
+    out = EV.auc_bootstrap_macro_micro(drawn, "lang")
+    return out.withColumns({c: F.round(c, 10) for c in ("auc_min", "auc_max", "auc_mean")})
+
+
+@register("auc_bootstrap_macro_micro_all", eval_sql("SELECT replicate, scope, round(auc, 10) AS auc FROM every", _SCOPES_CTE))
+def auc_bootstrap_macro_micro_all(spark, d):
+    drawn = SA.bootstrap_scored(fixture_scored(Tables(spark, d)), "y", "doc_id", REPS, SEED)
+    return EV.auc_bootstrap_macro_micro(drawn, "lang", summary=False).withColumn("auc", F.round("auc", 10))
+
+
 @register("auc_bootstrap_all", eval_sql(
     f"SELECT replicate, lang, auc FROM ({_auc_sql('brows', ['replicate', 'lang'])})", _BOOT_CTE))
 def auc_bootstrap_all(spark, d):

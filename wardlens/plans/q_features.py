@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardlens.functions.codesets import FIXTURE
+from wardlens.functions.codesets import FIXTURE, only
 from wardlens.functions.scalar import band, category_by_substring
 from wardlens.operators import features as FE
 from wardlens.operators import flags
@@ -35,7 +35,7 @@ def fixture_seq_words(t: Tables):
 
 
 def fixture_static(t: Tables):
-    return FE.static_attributes(fixture_cohort(t), **P)
+    return FE.static_attributes(fixture_cohort(t), **only(FE.static_attributes, P))
 
 
 def fixture_flags(t: Tables):

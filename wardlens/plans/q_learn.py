@@ -1,5 +1,6 @@
 """Queries of build step 8: embedding, mixture clustering and the three
-classifier families (rows-only checks: no SQL restatement of model fits)."""
+classifier families.  Fits have no SQL restatement; their inputs, the row sets
+they score and the invariants of the clustering do."""
 
 from __future__ import annotations
 
@@ -15,7 +16,10 @@ from wardlens.operators import learn as L
 from wardlens.operators import sampling as SA
 from wardlens.plans import experiment as X
 from wardlens.plans.catalog import register
-from wardlens.plans.q_features import fixture_static, fixture_table
+from wardlens.plans import sqltext as S
+from wardlens.plans.q_eval import _ceil_frac, _h
+from wardlens.plans.q_features import FEATURE_CTES, fixture_static, fixture_table
+from wardlens.sources import sinks
 from wardlens.plans.q_series import N
 from wardlens.session import ensure_checkpoint_dir
 from wardlens.sources.tables import Tables
@@ -42,6 +46,118 @@ def _embedded(t: Tables):
     return L.embed(model, rows)
 
 
+_SPLIT = "CASE WHEN rank < {t} THEN 'test' WHEN rank < {t} + {v} THEN 'val' ELSE 'train' END".format(
+    t=_ceil_frac("n_class", 1, 5), v=_ceil_frac("n_class - " + _ceil_frac("n_class", 1, 5), 1, 8))
+MODEL_CTES = FEATURE_CTES + f""",
+mtok AS (SELECT subject_id, list_sort(list(token)) AS tokens FROM (
+  SELECT subject_id, feature AS token FROM ftable
+  UNION ALL SELECT subject_id, 'last:' || feature FROM ftable WHERE step = {N - 1}) GROUP BY subject_id),
+mblock AS (SELECT subject_id, list_sort(list('b' || CAST((step * 4) // {N} AS VARCHAR) || ':' || feature)) AS block_tokens FROM ftable GROUP BY subject_id),
+mrank AS (SELECT *, row_number() OVER (PARTITION BY {LABEL} ORDER BY h, subject_id) - 1 AS rank, count(*) OVER (PARTITION BY {LABEL}) AS n_class
+  FROM (SELECT t.subject_id, t.tokens, b.block_tokens, a.{LABEL}, a.{COHORT}, {_h("'" + str(SEED) + "'", 't.subject_id')} AS h
+        FROM mtok t JOIN mblock b USING (subject_id) JOIN st_attr a ON t.subject_id = a.subject_id)),
+mrows AS (SELECT subject_id, tokens, block_tokens, {LABEL}, {COHORT}, {_SPLIT} AS split FROM mrank)"""
+
+
+def learn_sql(body: str) -> str:
+    return S.with_roles("stays", "subjects", "visits", "deaths", "lab_events", "chart_events", "item_dictionary",
+                        "code_dictionary", "code_facts", extra=MODEL_CTES, body=body)
+
+
+@register("model_rows", learn_sql("SELECT * FROM mrows"))
+def model_rows(spark, d):
+    """The rows of every model, tokens sorted, with label, cohort and split."""
+    rows = fixture_model_rows(Tables(spark, d))
+    return rows.select("subject_id", F.array_sort("tokens").alias("tokens"), F.array_sort("block_tokens").alias("block_tokens"),
+                       LABEL, COHORT, "split")
+
+
+@register("cohort_tasks", learn_sql(f"""
+SELECT CAST(row_number() OVER (ORDER BY {COHORT}) - 1 AS INTEGER) AS task, {COHORT} FROM (SELECT DISTINCT {COHORT} FROM mrows WHERE {COHORT} IS NOT NULL)"""))
+def cohort_tasks(spark, d):
+    """The sorted task list, as the multitask family numbers its heads."""
+    rows = fixture_model_rows(Tables(spark, d))
+    return L.cohort_tasks(rows, COHORT)
+
+
+@register("cohort_one_hot", learn_sql(f"SELECT subject_id, {COHORT} AS feature, 1 AS value FROM mrows WHERE {COHORT} IS NOT NULL"))
+def cohort_one_hot(spark, d):
+    """the cohort one-hot in long form."""
+    rows = fixture_model_rows(Tables(spark, d))
+    return rows.filter(F.col(COHORT).isNotNull()).select("subject_id", F.col(COHORT).alias("feature"), F.lit(1).alias("value"))
+
+
+@register("separate_scored_scopes", learn_sql(f"""
+SELECT family, coalesce({COHORT}, 'micro') AS scope, count(*) FILTER ({LABEL} = 1) AS n_pos, count(*) FILTER ({LABEL} = 0) AS n_neg
+FROM mrows, (VALUES ('GLOBAL'), ('SEPARATE'), ('MULTITASK')) f(family) WHERE split = 'test'
+GROUP BY GROUPING SETS ((family, {COHORT}), (family))"""))
+def separate_scored_scopes(spark, d):
+    """M4-M7: rows that each family scores, by cohort and pooled; none may drop a row."""
+    rows = fixture_model_rows(Tables(spark, d))
+    train, test = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
+    fits = {"GLOBAL": L.fit_global(_weighted_train(rows), LABEL, "weight"), "SEPARATE": L.fit_separate(train, LABEL, COHORT),
+            "MULTITASK": L.fit_multitask(_weighted_train(rows), LABEL, COHORT, "weight")}
+    out = None
+    for family, model in fits.items():
+        scored = L.score_global(model, test, ["subject_id", COHORT, LABEL]).filter(F.col("score").between(0, 1))
+        n = [F.count(F.when(F.col(LABEL) == v, 1)).alias(c) for v, c in ((1, "n_pos"), (0, "n_neg"))]
+        part = scored.groupBy(F.col(COHORT).alias("scope")).agg(*n).unionByName(scored.agg(*n).withColumn("scope", F.lit("micro")))
+        part = part.select(F.lit(family).alias("family"), "scope", "n_pos", "n_neg")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("cluster_invariants", learn_sql("""
+SELECT subject_id, 1 AS n_rows, true AS sums_to_one, true AS is_arg_max FROM mrows"""))
+def cluster_invariants(spark, d):
+    """M3: one row per subject, probabilities that sum to one, cluster = arg max."""
+    m = _membership(Tables(spark, d))
+    p = F.col("probability")
+    return m.groupBy("subject_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n_rows"),
+        F.bool_and(F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums_to_one"),
+        F.bool_and(F.get(p, F.col("cluster")) == F.array_max(p)).alias("is_arg_max"))
+
+
+@register("sequences_read_back", learn_sql("""
+SELECT f.subject_id, f.step, f.feature, n.feature_index FROM ftable f JOIN (
+  SELECT CAST(row_number() OVER (ORDER BY feature) AS INTEGER) AS feature_index, feature FROM (SELECT DISTINCT feature FROM ftable)) n USING (feature)"""))
+def sequences_read_back(spark, d):
+    """Model table and feature names written and read again."""
+    from wardlens.operators import features as FE
+    table = fixture_table(Tables(spark, d))
+    path = os.path.join(ensure_checkpoint_dir(spark), "sequences", uuid.uuid4().hex)
+    sinks.write_sequences(table, FE.feature_names(table), path)
+    names = spark.read.parquet(os.path.join(path, "feature_names"))
+    return spark.read.parquet(os.path.join(path, "sequences")).join(names, "feature").select("subject_id", "step", "feature", "feature_index")
+
+
+@register("membership_read_back", learn_sql(f"""
+SELECT subject_id, CAST(subject_id % 4 AS VARCHAR) AS cluster, split FROM mrows"""))
+def membership_read_back(spark, d):
+    """A membership table is built once, read again, and replaces the cohort."""
+    rows = fixture_model_rows(Tables(spark, d))
+    path = os.path.join(ensure_checkpoint_dir(spark), "membership", uuid.uuid4().hex)
+    sinks.write_membership(rows.select("subject_id", (F.col("subject_id") % 4).alias("cluster")), path)
+
+    def never():
+        raise AssertionError("the written membership must be read")
+    return X.with_cohorts(rows, sinks.load_or_build(spark, path, never)).select("subject_id", "cluster", "split")
+
+
+@register("model_reload", learn_sql("SELECT subject_id, true AS same FROM mrows WHERE split = 'test'"))
+def model_reload(spark, d):
+    """A saved and reloaded model scores every row as before."""
+    from pyspark.ml import PipelineModel
+    rows = fixture_model_rows(Tables(spark, d))
+    test = rows.filter(F.col("split") == "test")
+    m = L.fit_separate(rows.filter(F.col("split") == "train"), LABEL, COHORT)
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
+    m.write().save(path)
+    a, b = (L.score_global(x, test, ["subject_id"]) for x in (m, PipelineModel.load(path)))
+    return a.join(b.withColumnRenamed("score", "again"), "subject_id").select("subject_id", (F.col("score") == F.col("again")).alias("same"))
+
+
 @register("embed_sequences")
 def embed_sequences(spark, d):
     e = _embedded(Tables(spark, d))
@@ -81,12 +197,9 @@ def model_global(spark, d):
 @register("model_separate")
 def model_separate(spark, d):
     rows = fixture_model_rows(Tables(spark, d))
-    train = rows.filter(F.col("split") == "train")
-    # the cohort list is a handful of values, not data
-    cohorts = sorted(r[0] for r in train.select(COHORT).distinct().collect())
-    models = L.fit_separate(train, LABEL, COHORT, cohorts)
+    m = L.fit_separate(rows.filter(F.col("split") == "train"), LABEL, COHORT)
     test = rows.filter(F.col("split") == "test")
-    return _test_auc(L.score_separate(models, test, COHORT, ["subject_id", COHORT, LABEL]))
+    return _test_auc(L.score_global(m, test, ["subject_id", COHORT, LABEL]))
 
 
 @register("model_multitask")

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlens.functions.codesets import only
 from wardlens.operators import cohort, features, flags, learn, sampling, series
 from wardlens.sources.sinks import materialize
 from wardlens.sources.tables import JdbcSpec, read_table
@@ -76,14 +77,14 @@ def prepare(t: StudyTables, params: dict, *, lab_keys=("subject_id",), chart_key
     p = params
     hours = p["sequence_hours"]
     deaths = t.deaths if t.deaths is not None else t.visits
-    stays = materialize(t.stays, "stays")
+    stays = t.stays  # already a table: read where it stands
     with ThreadPoolExecutor(max_workers=1) as side:
         # the flags only share the stay table with the measurement chain: written side by side
         fl_future = side.submit(lambda: materialize(flags.first_visit_flags(
             stays, t.code_dictionary, t.code_facts, excluded_units=p["excluded_units"], code_flags=p["code_flags"],
             title_flag=p["title_flag"], lowercase_flags=p["lowercase_flags"],
             fact_side_flags=p.get("fact_side_flags", ("copd", "renal_failure"))), "flags"))
-        idx = materialize(cohort.index_stays(stays, t.subjects, t.visits, deaths, keep_ties=keep_ties, **p),
+        idx = materialize(cohort.index_stays(stays, t.subjects, t.visits, deaths, **only(cohort.index_stays, p) | {"keep_ties": keep_ties}),
                           "index_stays")
         meas = materialize(series.measurements(t.lab_events, t.lab_items, p["lab_item_ids"],
                                                t.chart_events, t.chart_items, p["chart_item_ids"], idx,
@@ -93,7 +94,7 @@ def prepare(t: StudyTables, params: dict, *, lab_keys=("subject_id",), chart_key
         fl = fl_future.result()
     words = features.zscore_words(trail, features.feature_stats(trail), p["z_limit"])
     seq = features.sequence_words(series.hourly_slots(trail, hours), features.one_hot_words(words))
-    static = features.static_attributes(idx, **p)
+    static = features.static_attributes(idx, **only(features.static_attributes, p))
     names = list(p["code_flags"]) + ([p["title_flag"][0]] if p.get("title_flag") else [])
     table = features.feature_table(seq, static, fl, names, hours)
     tokens = learn.sequence_tokens(table, hours)

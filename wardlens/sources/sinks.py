@@ -49,6 +49,23 @@ def materialize(df: DataFrame, name: str, path: str | None = None,
     return spark.read.parquet(path)
 
 
+def release(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote to the checkpoint folder.
+
+    The caller owns the table and releases it after its last use; tables
+    elsewhere are refused."""
+    spark = table.sparkSession
+    base = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(ensure_checkpoint_dir(spark), "tables"))
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = fs.makeQualified(base).toString() + "/"
+    folders = {os.path.dirname(f) for f in table.inputFiles()}
+    for folder in folders:
+        path = fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(folder))
+        if not path.toString().startswith(root):
+            raise ValueError(f"{path.toString()} is no intermediate table")
+        fs.delete(path, True)
+
+
 def load_or_build(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
     """Read the parquet table at ``path`` if present, else build, write, read."""
     found = read_if_present(spark, path)

@@ -45,6 +45,14 @@ class Tables:
                 self._cache[key] = materialize(builder(), key.replace(":", "_"))
         return self._cache[key]
 
+    def release(self) -> None:
+        """Delete the derived tables; call it when no DataFrame that reads them is used any more."""
+        from wardlens.sources.sinks import release
+        with self._guard:
+            for key in list(self._locks):
+                if key in self._cache:
+                    release(self._cache.pop(key))
+
     def prefetch(self, *steps) -> None:
         """Run independent steps (each writes its derived tables) side by side:
         Spark runs jobs submitted from several driver threads concurrently, so
