@@ -132,7 +132,7 @@ class Vocabulary:
         """The same merges for one long word, with a heap over a linked list."""
         ids = [int(self.first[b]) for b in word[:-1]] + [int(self.last[word[-1]])]
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
-        rank, new = (x.tolist() for x in self.merge(np.array(ids[:-1]), np.array(ids[1:])))
+        rank, new = (x.tolist() for x in self.merge(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)))
         heap = [(r, i, ids[i], ids[i + 1], k) for i, (r, k) in enumerate(zip(rank, new)) if r < NONE]
         heapq.heapify(heap)
         while heap:
