@@ -91,3 +91,53 @@ SELECT c.file, n AS n_records, bytes AS n_bytes, dl AS root, dr AS replica_root,
        coalesce(compared, 0) AS compared, coalesce(n_damaged, 0) AS n_damaged, coalesce(damaged, '') AS damaged
 FROM c{levels + 1} c LEFT JOIN sizes USING (file) LEFT JOIN seen USING (file) LEFT JOIN damaged USING (file)
 """
+
+NEAREST = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+SUFFIX = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT r, base, substr(h, 2 * base + 1, 1398) AS h, least(500, strlen(h) // 2 - 199 - base) AS n
+  FROM (SELECT r, h, unnest(range(0, strlen(h) // 2 - 199, 500)) AS base FROM d WHERE strlen(h) >= 400)),
+s AS (SELECT r, base + i AS p, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, base, h, unnest(range(0, n)) AS i FROM part)),
+again AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, p FROM s SEMI JOIN again USING (k)),
+edges AS (SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > 200, true) AS new FROM hit),
+numbered AS (SELECT r, p, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r ORDER BY p) AS run FROM edges),
+runs AS (SELECT r, run, min(p) AS b, max(p) + 200 AS e FROM numbered GROUP BY r, run),
+gone AS (SELECT r, sum(e - b) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r),
+gaps AS (SELECT r, run, coalesce(lag(e) OVER (PARTITION BY r ORDER BY run), 0) AS a, b FROM runs
+         UNION ALL SELECT r, max(run) + 1, max(e), NULL FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(CASE WHEN b IS NULL THEN substr(h, 2 * a + 1) ELSE substr(h, 2 * a + 1, 2 * (b - a)) END, '' ORDER BY run) AS k
+         FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+def lm_score(target: str, mu: float = 10.0, alpha: float = 0.5, digits: int = 9) -> str:
+    """Cross-entropy difference; ``target`` is the condition of the target documents."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({target}, false) AS chosen, {_WORDS} AS w FROM documents),
+t AS (SELECT r, chosen, unnest(list_concat(['^'], w)[1:len(w)]) AS v, unnest(w) AS w FROM d WHERE len(w) > 0),
+uni AS (SELECT w, count(*) AS b, count(*) FILTER (chosen) AS c FROM t GROUP BY w),
+ctx AS (SELECT w AS v, b, c FROM uni UNION ALL SELECT '^', count(*), count(*) FILTER (chosen) FROM d WHERE len(w) > 0),
+pair AS (SELECT v, w, count(*) AS b, count(*) FILTER (chosen) AS c FROM t GROUP BY v, w),
+n AS (SELECT count(*) AS size, coalesce(sum(b), 0) AS b, coalesce(sum(c), 0) AS c FROM uni),
+loss AS (SELECT t.r,
+    -ln((pair.c + {mu} * ((uni.c + {alpha}) / (n.c + {alpha} * n.size))) / (ctx.c + {mu})) AS target,
+    -ln((pair.b + {mu} * ((uni.b + {alpha}) / (n.b + {alpha} * n.size))) / (ctx.b + {mu})) AS background
+  FROM t JOIN pair USING (v, w) JOIN uni USING (w) JOIN ctx USING (v), n),
+mean AS (SELECT r, avg(target) AS target, avg(background) AS background FROM loss GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(target, 0.0), {digits}) AS target_loss,
+       round(coalesce(background, 0.0), {digits}) AS background_loss, round(coalesce(target - background, 0.0), {digits}) AS score
+FROM d LEFT JOIN mean USING (r)
+"""

@@ -54,12 +54,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(read(spark, sf_dir, "documents"), F.col("source") == "src1")
+    out = lm_score.score(read(spark, sf_dir, "documents"), F.col("source") == "src1")
+    return out.withColumns({c: F.round(c, 9) for c in ("target_loss", "background_loss", "score")})
 
 
 QUERIES = {f.__name__: f for f in (op1_licenses, op2_decontamination, op3_quality, op4_suffix_dedup, op5_ann, op6_chat, op7_warc, op8_bpe, op9_simhash, op10_lm_score)}
 ORACLE: dict[str, str] = {
     "op2_decontamination": oracles.DECONTAMINATION,
+    "op4_suffix_dedup": oracles.SUFFIX,
+    "op5_ann": oracles.NEAREST,
     "op6_chat": oracles.CHAT,
     "op7_warc": oracles.warc_audit(records_per_file=1024, spoiled=97, lost=499),
+    "op10_lm_score": oracles.lm_score("source = 'src1'"),
 }
