@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from wardlens.llm.shared import materialize, partitions, pieces
 from wardlens.llm.words import Words, mix
 
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 MU, ALPHA = 10.0, 0.5
 BEGIN = np.uint64(0x5BD1E9955BD1E995)  # stands before a text's first word
 
@@ -66,17 +66,18 @@ def batch_name(data: np.ndarray, off: np.ndarray) -> int:
     return int(np.uint64(h.intdigest()).view(np.int64))
 
 
-def batch_keys(w: Words) -> list[np.ndarray]:
-    """Sorted distinct keys of a batch: words and BEGIN, then pairs."""
-    word, _, pair = ngrams(w)
-    return [np.unique(np.append(word, BEGIN)), np.unique(pair)]
+def buckets_of(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order that puts sorted keys bucket by bucket, where each bucket begins and the last one ends)."""
+    bucket = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")  # keys stay sorted within a bucket
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _count_rows(buckets: int):
+def _count_rows(buckets: int, batch_bytes: int):
     """mapInArrow (text, target) -> (kind, bucket, batch, keys, all, target): packed counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece, data, off in pieces(b, "text", BATCH_BYTES):
+            for piece, data, off in pieces(b, "text", batch_bytes):
                 chosen = piece.column("target").to_numpy(zero_copy_only=False).astype(bool)
                 w = Words(data, off)
                 if not len(w):
@@ -93,9 +94,7 @@ def _count_rows(buckets: int):
                     if kind == 1:  # the number of texts, as the count of BEGIN
                         at = np.searchsorted(own, BEGIN)
                         own, every, target = np.insert(own, at, BEGIN), np.insert(every, at, extra), np.insert(target, at, in_extra)
-                    bucket = ((own >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")  # keys stay sorted within a bucket
-                    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                    order, cut = buckets_of(own, buckets)
                     own, every, target = own[order], every[order], target[order]
                     for k in np.flatnonzero(np.diff(cut)):
                         s = slice(cut[k], cut[k + 1])
@@ -127,28 +126,40 @@ def _totals(rows: pa.Table) -> pa.Table:
         "n_target": pa.array([None] * n + [int(sums[1][real].sum())], pa.int64())})
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batch_bytes: int):
     """mapInArrow (doc_id, text, target) -> one row per batch: its name, ids, bytes and offsets."""
-    for b in batches:
-        for piece, data, off in pieces(b, "text", BATCH_BYTES):
-            ids = piece.column("doc_id")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch_name(data, off)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                 pa.array([data.tobytes()], pa.binary()), pa.array([off.astype(np.int64).tobytes()], pa.binary())],
-                ["batch", "ids", "data", "off"])
-
-
-def token_losses(w: Words, counts: list[list[np.ndarray]], sizes: tuple[int, int], vocabulary: int,
-                 mu: float = MU, alpha: float = ALPHA) -> list[np.ndarray]:
-    """Loss of every token under the background and the target model.  ``counts``: totals of
-    ``batch_keys``, for all documents and for the target."""
-    word, before, pair = ngrams(w)
-    one, two = batch_keys(w)
-    at_word, at_before, at_pair = np.searchsorted(one, word), np.searchsorted(one, before), np.searchsorted(two, pair)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece, data, off in pieces(b, "text", batch_bytes):
+                ids = piece.column("doc_id")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch_name(data, off)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                     pa.array([data.tobytes()], pa.binary()), pa.array([off.astype(np.int64).tobytes()], pa.binary())],
+                    ["batch", "ids", "data", "off"])
+
+    return run
+
+
+def token_loss(c_pair: np.ndarray, c_before: np.ndarray, c_word: np.ndarray, n: int, vocabulary: int,
+               mu: float = MU, alpha: float = ALPHA) -> np.ndarray:
+    """Loss of tokens by the counts of their pair, the word before and the word."""
+    p = (c_word + alpha) / (n + alpha * vocabulary)
+    return -np.log((c_pair + mu * p) / (c_before + mu))
+
+
+def _batch_counts(totals: pa.Table, kind: int, keys: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """Totals of a batch's sorted distinct ``keys`` in their order, for all documents and for the target."""
+    order, cut = buckets_of(keys, buckets)
+    part = totals.filter(pa.compute.equal(totals.column("kind"), kind))
+    place = dict(zip(part.column("bucket").to_pylist(), range(part.num_rows)))
+    need = np.flatnonzero(np.diff(cut)).tolist()
+    if not place.keys() >= set(need):
+        raise RuntimeError("a batch has met no totals: its content changed between two reads of the input")
     out = []
-    for (c1, c2), n in zip(counts, sizes):
-        p = (c1[at_word] + alpha) / (n + alpha * vocabulary)
-        out.append(-np.log((c2[at_pair] + mu * p) / (c1[at_before] + mu)))
+    for col in ("every", "target"):
+        counts = np.empty(len(keys))
+        counts[order] = np.concatenate([unpack(part.column(col)[place[x]].as_buffer(), cut[x + 1] - cut[x]) for x in need])
+        out.append(counts)
     return out
 
 
@@ -167,20 +178,18 @@ def _score(buckets: int, sizes: tuple[int, int], vocabulary: int, id_type: str):
                 rows[1].append(np.zeros(n))
                 rows[2].append(np.zeros(n))
                 continue
-            keys, counts = batch_keys(w), [[], []]
-            for kind, own in enumerate(keys, 1):
-                bucket = ((own >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                part = totals.filter(pa.compute.equal(totals.column("kind"), kind))
-                place = dict(zip(part.column("bucket").to_pylist(), range(part.num_rows)))
-                need, many = (x.tolist() for x in np.unique(bucket, return_counts=True))
-                for side, col in enumerate(("every", "target")):
-                    flat = np.concatenate([unpack(part.column(col)[place[x]].as_buffer(), m) for x, m in zip(need, many)])
-                    c = np.empty(len(own))
-                    c[order] = flat
-                    counts[side].append(c)
-            for col, loss in zip(rows[1:], token_losses(w, counts, sizes, vocabulary)):
-                col.append(np.bincount(w.doc, loss, n) / np.maximum(tokens, 1))
+            word, before, pair = ngrams(w)
+            doc, w = w.doc, None
+            two, at_pair = np.unique(pair, return_inverse=True)
+            at_pair, pair = at_pair.astype(np.int32), None
+            pairs = _batch_counts(totals, 2, two, buckets)
+            one = np.unique(np.append(word, BEGIN))
+            at_word, at_before = (np.searchsorted(one, x).astype(np.int32) for x in (word, before))
+            word = before = two = None
+            words = _batch_counts(totals, 1, one, buckets)
+            for col, c2, c1, size in zip(rows[1:], pairs, words, sizes):
+                loss = token_loss(c2[at_pair], c1[at_before], c1[at_word], size, vocabulary)
+                col.append(np.bincount(doc, loss, n) / np.maximum(tokens, 1))
         if not ids:
             return pa.table({"doc_id": pa.array([], id_type), "n_tokens": pa.array([], pa.int64()),
                              **{c: pa.array([], pa.float64()) for c in ("target_loss", "background_loss", "score")}})
@@ -191,7 +200,7 @@ def _score(buckets: int, sizes: tuple[int, int], vocabulary: int, id_type: str):
     return run
 
 
-def score(docs: DataFrame, target: Column, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, target: Column, buckets: int | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score (mean losses per token), one row per input row.
 
     ``target``: boolean column of the documents that the target model counts (null: no).  Null texts
@@ -200,12 +209,12 @@ def score(docs: DataFrame, target: Column, buckets: int | None = None) -> DataFr
     spark = docs.sparkSession
     buckets = buckets or 2 * partitions(spark)
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    counted = src.mapInArrow(_count_rows(buckets), "kind int, bucket int, batch bigint, keys binary, every binary, target binary")
+    counted = src.mapInArrow(_count_rows(buckets, batch_bytes), "kind int, bucket int, batch bigint, keys binary, every binary, target binary")
     totals = materialize(counted.groupBy("kind", "bucket").applyInArrow(
         _totals, "kind int, bucket int, batch bigint, every binary, target binary, words bigint, n_every bigint, n_target bigint"), "lm-totals")
     words, every, chosen = totals.filter("batch IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "n_every", "n_target"))).first()
     id_type = src.schema["doc_id"].dataType
-    texts = src.mapInArrow(_texts, f"batch bigint, ids array<{id_type.simpleString()}>, data binary, off binary")
+    texts = src.mapInArrow(_texts(batch_bytes), f"batch bigint, ids array<{id_type.simpleString()}>, data binary, off binary")
     from pyspark.sql.pandas.types import to_arrow_type
     back = totals.filter("batch IS NOT NULL").select("kind", "bucket", "batch", "every", "target")
     return texts.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(
