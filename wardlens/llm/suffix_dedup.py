@@ -116,11 +116,15 @@ def _anchor_rows(length: int, anchor: int):
     span with the anchor's place in it, and start << 16 | anchor's place from the start << 8 | strings."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
+        seen: set[int] = set()  # a copy that this task has met says nothing new
         for b in batches:
             for piece, data, off in pieces(b, "text"):
                 keys = piece.column("text_key").to_numpy()
                 out: list[list] = [[], [], [], []]
                 for i in np.flatnonzero(np.diff(off) >= length):
+                    if keys[i] in seen:
+                        continue
+                    seen.add(keys[i])
                     text = data[off[i]:off[i + 1]]
                     begin, count, place = text_anchors(text, length, anchor)
                     raw = text.tobytes()
