@@ -1,11 +1,11 @@
 """License scans: TF-IDF cosine to templates and inheritance along directories, in DataFrame expressions.
 
-A file's segments are its sentences and lines, and the whole file.  A segment's
-cosine to a template uses term counts times the inverse document frequency over
-all files (terms of no template weigh as if one file held them).  A file whose
-whole text is close enough to a template is a licence file and speaks for its
-directory; a file with a close segment has a licence header; any other file
-takes the licence of its nearest ancestor directory that has one.
+A file's segments are its sentences and lines.  A segment's cosine to a
+template uses term counts times the inverse document frequency over all files
+(terms of no template weigh as if one file held them).  A file with a segment
+close enough to a template has a licence header; if its whole text is close to
+a template too, it is a licence file and speaks for its directory.  Any other
+file takes the licence of its nearest ancestor directory that has one.
 
 The templates are a fixed, small list, so their vectors are literals.  A
 segment reaches the threshold only if it holds one of a template's heavy terms
@@ -76,46 +76,58 @@ def heavy_terms(vectors: list[dict[str, float]], least: float) -> list[str]:
     return sorted(out)
 
 
+def _closest(segments: DataFrame, keys: list[str], table: DataFrame, other: float, names: list[str]) -> DataFrame:
+    """``keys`` and best (far = -cosine, license_id) of each segment's ``text``: one row per distinct term
+    of a segment, met with the terms' weights (a table of template terms only)."""
+    counts = segments.select(*keys, F.explode(_terms(F.col("text"))).alias("term")).filter("term != ''").groupBy(
+        *keys, "term").agg(F.count(F.lit(1)).alias("n"))
+    weighed = counts.join(F.broadcast(table), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
+    dots = weighed.groupBy(*keys).agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"),
+        *(F.sum(F.col("w") * F.coalesce(f"v{k}", F.lit(0.0))).alias(f"d{k}") for k in range(len(names))))
+    return dots.select(*keys, F.array_min(F.array(*(
+        F.struct((-F.round(F.col(f"d{k}") / F.col("length"), 6)).alias("far"), F.lit(name).alias("license_id"))
+        for k, name in enumerate(names)))).alias("best"))
+
+
 def scan(files: DataFrame, templates=TEMPLATES, header: float = HEADER, licence_file: float = LICENCE_FILE) -> DataFrame:
     """The columns of ``files`` (with path and text) but text, plus license_id, score and origin
     ('file', 'header') of the file's own licence, null where it has none.
 
-    The best template wins, whole files before headers, ties by license_id.  Null texts have none."""
+    The best template wins, ties by license_id.  Null texts have none; rows that repeat a path and
+    text repeat the result."""
     n, df = document_frequencies(files, templates)
     weight = {t: idf(n, d) for t, d in df.items()}
-    other = idf(n, 1)
-    vectors = []
+    names, vectors = [k for k, _ in templates], []
     for _, text in templates:
         own = terms_of(text)
         v = {t: own.count(t) * weight[t] for t in set(own)}
         length = math.sqrt(sum(x * x for x in v.values()))
         vectors.append({t: x / length for t, x in v.items()})
-    least = min(header, licence_file)
-    heavy = heavy_terms(vectors, least)
     # term, idf and the term's weight in each template: at most one row per template term
     table = files.sparkSession.createDataFrame(
         [(t, x, *(v.get(t, 0.0) for v in vectors)) for t, x in sorted(weight.items())],
         "term string, idf double, " + ", ".join(f"v{k} double" for k in range(len(vectors))))
+    some, other = F.array(*map(F.lit, heavy_terms(vectors, header))), idf(n, 1)
 
-    some = F.array(*map(F.lit, heavy))
     lines = F.filter(F.split(F.regexp_replace("text", r"([.!?])[ \t\r]+", "$1\n"), "\n"), lambda s: F.arrays_overlap(_terms(s), some))
-    segments = files.select("path", F.xxhash64("text").alias("key"), "text").filter(F.arrays_overlap(_terms(F.col("text")), some)).distinct().select(
-        "path", "key", F.posexplode(F.concat(F.array("text"), lines)).alias("segment", "text"))
-    counts = segments.select("path", "key", "segment", F.explode(_terms(F.col("text"))).alias("term")).filter("term != ''").groupBy(
-        "path", "key", "segment", "term").agg(F.count(F.lit(1)).alias("n"))
-    weighed = counts.join(F.broadcast(table), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
-    dots = weighed.groupBy("path", "key", "segment").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), *(F.sum(F.col("w") * F.coalesce(f"v{k}", F.lit(0.0))).alias(f"d{k}") for k in range(len(vectors))))
-    near = dots.select("path", "key", (F.col("segment") > 0).alias("header"), F.array_min(F.array(*(
-        F.struct((-F.round(F.col(f"d{k}") / F.col("length"), 6)).alias("far"), F.lit(name).alias("license_id"))
-        for k, (name, _) in enumerate(templates)))).alias("best"))
-    near = near.filter(-F.col("best.far") >= F.when(F.col("header"), header).otherwise(licence_file))
-    own = near.groupBy(F.col("path").alias("_path"), F.col("key").alias("_key")).agg(F.min(F.struct("header", "best")).alias("_own"))
-    rows = files.select(*[c for c in files.columns if c != "text"], F.xxhash64("text").alias("_text_key"))
-    found = rows.join(own, rows.path.eqNullSafe(own._path) & (rows._text_key == own._key), "left")
-    return found.select(*[c for c in files.columns if c != "text"], F.col("_own.best.license_id").alias("license_id"),
-                        (-F.col("_own.best.far")).alias("score"),
-                        F.when(F.col("_own").isNotNull(), F.when(F.col("_own.header"), "header").otherwise("file")).alias("origin"))
+    keyed = files.select("path", F.xxhash64("text").alias("key"), "text").filter(F.arrays_overlap(_terms(F.col("text")), some))
+    segments = keyed.select("path", "key", F.explode(F.array_distinct(lines)).alias("text"))
+    near = _closest(segments.withColumn("segment", F.xxhash64("text")).distinct(), ["path", "key", "segment"], table, other, names)
+    heads = materialize(near.filter(-F.col("best.far") >= header).groupBy("path", "key").agg(F.min("best").alias("head")), "licence-headers")
+
+    def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.withColumnsRenamed({"path": "_path", "key": "_key"})
+        return left.join(right, left.path.eqNullSafe(right._path) & (left.key == right._key), how).drop("_path", "_key")
+
+    whole = _closest(meet(keyed, heads, "left_semi").distinct(), ["path", "key"], table, other, names)
+    own = meet(heads, whole, "left").withColumn("is_file", -F.col("best.far") >= licence_file)
+    own = own.select("path", "key", F.when(F.col("is_file"), F.col("best")).otherwise(F.col("head")).alias("_own"), "is_file")
+    keep = [c for c in files.columns if c != "text"]
+    rows = files.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(keep)], "path", F.xxhash64("text").alias("key"))
+    return meet(rows, own, "left").select(
+        *[F.col(f"_c{k}").alias(c) for k, c in enumerate(keep)], F.col("_own.license_id").alias("license_id"), (-F.col("_own.far")).alias("score"),
+        F.when(F.col("is_file"), "file").when(F.col("_own").isNotNull(), "header").alias("origin"))
 
 
 def parent(path: Column) -> Column:

@@ -141,3 +141,45 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(target, 0.0),
        round(coalesce(background, 0.0), {digits}) AS background_loss, round(coalesce(target - background, 0.0), {digits}) AS score
 FROM d LEFT JOIN mean USING (r)
 """
+
+
+def licenses(templates, header: float, licence_file: float) -> str:
+    """Licence scan and inheritance over source/lang/doc_id, every segment of every text weighed."""
+    values = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(templates))
+    def terms(c: str) -> str:
+        return f"list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda x: x <> '')"
+    def closest(source: str, keys: str) -> str:
+        return f"""
+  SELECT {keys}, min(struct_pack(far := -round(dot / length, 6), name := name)) AS best FROM (
+    SELECT {keys}, sqrt(sum(w * w)) AS length FROM {source} GROUP BY {keys})
+  JOIN (SELECT {keys}, k, sum(w * v) AS dot FROM {source} JOIN tv USING (t) GROUP BY {keys}, k) USING ({keys})
+  JOIN tmpl USING (k) GROUP BY {keys}"""
+    return f"""
+WITH f AS (SELECT row_number() OVER () AS r, doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS text FROM documents),
+tmpl(k, name, text) AS (VALUES {values}),
+tn AS (SELECT k, t, count(*) AS n FROM (SELECT k, unnest({terms('text')}) AS t FROM tmpl) GROUP BY k, t),
+words AS (SELECT r, t, count(*) AS n FROM (SELECT r, unnest({terms('text')}) AS t FROM f) GROUP BY r, t),
+size AS (SELECT count(*) AS n FROM f),
+idf AS (SELECT t, ln((1 + size.n) / (1 + coalesce(df, 0))) + 1 AS x FROM (SELECT DISTINCT t FROM tn)
+        LEFT JOIN (SELECT t, count(*) AS df FROM words GROUP BY t) USING (t), size),
+other AS (SELECT ln((1 + n) / 2) + 1 AS x FROM size),
+tv AS (SELECT k, t, tn.n * x / sqrt(sum(tn.n * x * tn.n * x) OVER (PARTITION BY k)) AS v FROM tn JOIN idf USING (t)),
+segments AS (SELECT DISTINCT r, unnest(string_split(regexp_replace(text, '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10))) AS s FROM f),
+segw AS (SELECT r, s, t, count(*) * any_value(coalesce(idf.x, other.x)) AS w FROM (SELECT r, s, unnest({terms('s')}) AS t FROM segments)
+         LEFT JOIN idf USING (t), other GROUP BY r, s, t),
+near AS ({closest('segw', 'r, s')}),
+heads AS (SELECT r, min(best) AS head FROM near WHERE -best.far >= {header} GROUP BY r),
+allw AS (SELECT r, t, n * coalesce(idf.x, other.x) AS w FROM words SEMI JOIN heads USING (r) LEFT JOIN idf USING (t), other),
+whole AS ({closest('allw', 'r')}),
+own AS (SELECT r, coalesce(-best.far >= {licence_file}, false) AS is_file, CASE WHEN coalesce(-best.far >= {licence_file}, false) THEN best ELSE head END AS o
+        FROM heads LEFT JOIN whole USING (r)),
+files AS (SELECT f.*, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir, is_file, o FROM f LEFT JOIN own USING (r)),
+spoken AS (SELECT dir AS ancestor, min(o) AS theirs FROM files WHERE is_file GROUP BY dir),
+up AS (SELECT dir, depth, CASE WHEN depth = 0 THEN '' ELSE array_to_string(list_slice(string_split(dir, '/'), 1, depth), '/') END AS ancestor
+       FROM (SELECT DISTINCT dir, unnest(range(0, CASE WHEN dir = '' THEN 1 ELSE len(string_split(dir, '/')) + 1 END)) AS depth FROM files)),
+nearest AS (SELECT dir, arg_max(struct_pack(ancestor := ancestor, theirs := theirs), depth) AS near FROM up JOIN spoken USING (ancestor) GROUP BY dir)
+SELECT doc_id, path, coalesce(o.name, near.theirs.name) AS license_id, -coalesce(o.far, near.theirs.far) AS score,
+       CASE WHEN is_file THEN 'file' WHEN o IS NOT NULL THEN 'header' WHEN near IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN o IS NULL THEN near.ancestor END AS licensed_by
+FROM files LEFT JOIN nearest USING (dir)
+"""

@@ -60,6 +60,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_licenses, op2_decontamination, op3_quality, op4_suffix_dedup, op5_ann, op6_chat, op7_warc, op8_bpe, op9_simhash, op10_lm_score)}
 ORACLE: dict[str, str] = {
+    "op1_licenses": oracles.licenses(licenses.TEMPLATES, licenses.HEADER, licenses.LICENCE_FILE),
     "op2_decontamination": oracles.DECONTAMINATION,
     "op4_suffix_dedup": oracles.SUFFIX,
     "op5_ann": oracles.NEAREST,
