@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from wardlens.operators.sampling import cohort_weights, hash8
 from wardlens.sources.sinks import materialize
 
+FEW_BLOCKS = 4             # blocks whose sums the mixture adds up on the driver
 ALL_TOKENS = 2 ** 31 - 1  # no feature is left out of a vocabulary
 
 
@@ -213,11 +214,14 @@ def fit_mixture(embedded: DataFrame, k: int, starts: int, tol: float, seed: int
             stats = [np.frombuffer(b) for b in pdf.sort_values("block")["stat"]]
             return pd.DataFrame({"s": [int(pdf["s"].iloc[0])], "stat": [np.sum(stats, axis=0).tobytes()]})
 
-        got = packed.select("block", "v").mapInPandas(expect, "s int, block int, stat binary").groupBy("s").applyInPandas(
-            add_up, "s int, stat binary").collect()  # one row per start
+        stats = packed.select("block", "v").mapInPandas(expect, "s int, block int, stat binary")
+        if blocks > FEW_BLOCKS:
+            stats = stats.groupBy("s").applyInPandas(add_up, "s int, stat binary").withColumn("block", F.lit(0))
+        got = {s: np.zeros(1) for s in state}
+        for r in sorted(stats.select("s", "block", "stat").collect(), key=lambda r: (r["s"], r["block"])):  # at most FEW_BLOCKS rows a start
+            got[r["s"]] = got[r["s"]] + np.frombuffer(r["stat"])
         sent.unpersist()
-        for r in got:
-            s, stat = r["s"], np.frombuffer(r["stat"])
+        for s, stat in got.items():
             like = stat[0] / rows
             n, one, two = stat[1:1 + k], stat[1 + k:1 + k + k * d].reshape(k, d), stat[1 + k + k * d:].reshape(k, d, d)
             if s in best and like - best[s] < tol or steps == max_iter:
