@@ -84,26 +84,21 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "
 def forest(fp: np.ndarray, max_bits: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (as index pairs) of the links among the distinct fingerprints of one bucket.
 
-    Distances are taken block by block: memory stays at ``block`` x bucket."""
+    Distances are taken block by block: memory stays at ``block`` x bucket, and the steps
+    outside numpy are one per fingerprint and one per edge of the forest."""
     n = len(fp)
-    parent = np.arange(n)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    label = np.arange(n)
     left, right = [], []
     for at in range(0, n, block):
-        d = np.bitwise_count(fp[at:at + block, None] ^ fp[None, at:])
-        for i, j in zip(*np.nonzero(d <= max_bits)):
-            if j > i:
-                a, b = root(at + i), root(at + j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    left.append(at + i)
-                    right.append(at + j)
+        close = np.bitwise_count(fp[at:at + block, None] ^ fp[None, at:]) <= max_bits
+        for i, row in enumerate(close, at):
+            near = np.flatnonzero(row) + at
+            kinds, one = np.unique(label[near], return_index=True)
+            for kind, j in zip(kinds, near[one]):
+                if kind != label[i]:
+                    left.append(i)
+                    right.append(int(j))
+                    label[label == kind] = label[i]
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
