@@ -112,8 +112,12 @@ def text_anchors(text: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray
 
 
 def _anchor_rows(length: int, anchor: int):
-    """mapInArrow (text_key, text) -> (piece, span, text_key, at): hashes of the anchor's piece and of the
-    span with the anchor's place in it, and start << 16 | anchor's place from the start << 8 | strings."""
+    """mapInArrow (text_key, text) -> (deal, piece, span, text_key, at, settled): hashes of the anchor's piece and
+    of the span with the anchor's place in it, and start << 16 | anchor's place from the start << 8 | strings.
+
+    A span that a batch holds at several places is repeated, wherever else it occurs: its first place
+    stands for it under its piece (settled 1), the others (settled 2) are dealt at random, so a passage or
+    line that a third of all texts hold sends one row per batch to its piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         seen: set[int] = set()  # a copy that this task has met says nothing new
@@ -134,8 +138,15 @@ def _anchor_rows(length: int, anchor: int):
                     out[2].append(np.full(len(begin), keys[i]))
                     out[3].append(begin << 16 | (place - begin) << 8 | count)
                 if out[0]:
-                    cols = [np.concatenate(x) for x in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], ["piece", "span", "text_key", "at"])
+                    cols = [np.concatenate(x).view(np.int64) for x in out]
+                    order = np.lexsort((cols[1], cols[0]))
+                    cols = [c[order] for c in cols]
+                    again = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+                    settled = 2 * np.append(False, again)
+                    settled[:-1] |= again & (settled[:-1] == 0)
+                    deal = np.where(settled == 2, (cols[2] ^ (cols[3] * np.int64(0x2545F4914F6CDD1D))), cols[0])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (deal, *cols)), pa.array(settled.astype(np.int32))],
+                                                     ["deal", "piece", "span", "text_key", "at", "settled"])
 
     return run
 
@@ -311,15 +322,17 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, h
 
     # steps 1 and 2: anchors by piece; sorted, so neighbours tell what occurs once
     found = docs.select(key.alias("text_key"), "text").mapInArrow(
-        _anchor_rows(length, anchor), "piece bigint, span bigint, text_key bigint, at bigint").repartition(n, "piece")
-    by = Window.partitionBy("piece").orderBy("span", "text_key", "at")
-    met = found.withColumns({"_p": F.lag(F.struct("span", "text_key", "at")).over(by), "_n": F.lead("span").over(by)}) \
-        .filter("_p IS NOT NULL OR _n IS NOT NULL") \
-        .filter(F.col("_p").isNull() | (F.col("_p") != F.struct("span", "text_key", "at"))) \
-        .withColumns({"first": F.col("_p").isNull() | (F.col("_p.span") != F.col("span"))})
-    met = met.withColumns({"places": F.count(F.lit(1)).over(Window.partitionBy("piece")),
-                           "spans": F.sum(F.col("first").cast("long")).over(Window.partitionBy("piece")),
-                           "same": F.count(F.lit(1)).over(Window.partitionBy("piece", "span")) > 1}).filter("places > 1")
+        _anchor_rows(length, anchor), "deal bigint, piece bigint, span bigint, text_key bigint, at bigint, settled int").repartition(n, "deal")
+    group = Window.partitionBy("deal", "piece")
+    by = group.orderBy("span", "text_key", "at", "settled")
+    # copies of a text give one place several times: the last such row has the strongest mark and stays
+    met = found.withColumns({"_p": F.lag("span").over(by), "_n": F.lead(F.struct("span", "text_key", "at")).over(by)}) \
+        .filter("_p IS NOT NULL OR _n IS NOT NULL OR settled > 0") \
+        .filter(F.col("_n").isNull() | (F.col("_n") != F.struct("span", "text_key", "at"))) \
+        .withColumn("first", (F.row_number().over(Window.partitionBy("deal", "piece", "span").orderBy("text_key", "at")) == 1) & (F.col("settled") < 2))
+    met = met.withColumns({"places": F.count(F.lit(1)).over(group), "spans": F.sum(F.col("first").cast("long")).over(group),
+                           "same": (F.count(F.lit(1)).over(Window.partitionBy("deal", "piece", "span")) > 1)
+                           | (F.max("settled").over(Window.partitionBy("deal", "piece", "span")) > 0)}).filter("places > 1 OR same")
     met = materialize(met.select("piece", "span", "text_key", "at", "first", "spans", "same"), "suffix-anchors")
 
     # step 3: one copy of each span of a piece that has several
