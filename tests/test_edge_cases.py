@@ -4,7 +4,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from wardlens.functions.codesets import CLINICAL
+from wardlens.functions.codesets import CLINICAL, only
 from wardlens.functions.scalar import band, category_by_substring, zscore_word
 from wardlens.operators import cohort, evaluate, features, flags, sampling, series
 
@@ -39,7 +39,7 @@ def _index(spark, stays, **kw):
     params = dict(CLINICAL)
     params.update(kw)
     return cohort.index_stays(_stays(spark, stays), _subjects(spark, ids), _visits(spark, visits),
-                              _deaths(spark), **params)
+                              _deaths(spark), **only(cohort.index_stays, params))
 
 
 def _rows(df, *cols):
@@ -79,7 +79,7 @@ def test_age_strictly_above(spark):
     stays = [(1, 1, 1, "MICU", start, start + timedelta(days=1), 1.0)]
     ids = [1]
     out = cohort.index_stays(_stays(spark, stays), _subjects(spark, ids, (start - timedelta(days=dob_days)).date()),
-                             _visits(spark, [(1, 1)]), _deaths(spark), **CLINICAL)
+                             _visits(spark, [(1, 1)]), _deaths(spark), **only(cohort.index_stays, CLINICAL))
     assert out.count() == 0
     age = out.select("age").collect()
     assert age == []
@@ -246,7 +246,7 @@ def test_hours_from_subject_origin_and_language_map(spark):
                                "subject_id long, gender string, age double, ethnicity string, los double, "
                                "language string, insurance string, discharge_location string, "
                                "first_careunit string, readmission_30_days int, hospital_expire_flag int")
-    out = features.static_attributes(st, **{**CLINICAL, "language_map": {"English": ["ENGL"]}}).collect()
+    out = features.static_attributes(st, **only(features.static_attributes, CLINICAL) | {"language_map": {"English": ["ENGL"]}}).collect()
     assert [(r["subject_id"], r["language"], r["age"], r["los"]) for r in out] == [(1, "Missing", 2, 1)]
 
 
