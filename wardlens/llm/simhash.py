@@ -163,7 +163,9 @@ def links(fps: DataFrame, max_bits: int = 3, hot: int = HOT_BUCKET) -> DataFrame
     variants = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(
         (F.when(i < 32, low).otherwise(high).bitwiseAND(F.lit(SEGMENT) - F.call_function("shiftleft", F.lit(1).cast("bigint"), i % 32))
          + i.cast("bigint") * F.lit(1 << 32)).alias("k1")))
-    index = fps.select("fp", F.explode(variants).alias("v")).select("fp", F.col("v.k1").alias("k1"))
+    n = partitions(fps.sparkSession)
+    # dealt out first: each fingerprint becomes 64 rows
+    index = fps.repartition(n, "fp").select("fp", F.explode(variants).alias("v")).select("fp", F.col("v.k1").alias("k1"))
     crowd = index.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = index.join(crowd, "k1")
     other = F.when(F.col("k1") < (32 << 32), high).otherwise(low)
@@ -171,7 +173,6 @@ def links(fps: DataFrame, max_bits: int = 3, hot: int = HOT_BUCKET) -> DataFrame
         i.cast("bigint") * 256 + F.call_function("shiftrightunsigned", other, i * 8).bitwiseAND(F.lit(255)) + 1))
     cut = F.when(F.col("n") > hot, byte).otherwise(F.array(F.lit(0).cast("bigint")))
     rows = met.select("k1", F.explode(cut).alias("k2"), "fp")
-    n = partitions(fps.sparkSession)
     rows = rows.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", "fp")
     return rows.mapInArrow(_bucket_links(max_bits), "a bigint, b bigint").distinct()
 
