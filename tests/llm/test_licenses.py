@@ -70,3 +70,30 @@ def test_documents_and_empty_table(documents):
     d = documents([(1, "Released under the MIT License."), (None, None), (2, "x")])
     assert {r.doc_id: r.license_id for r in L.scan_documents(d).collect()} == {1: "MIT", None: "MIT", 2: "MIT"}
     assert L.scan_documents(documents([])).count() == 0
+
+
+def scores(files, templates=L.TEMPLATES):
+    """Function (text, template number) -> cosine, by the document frequencies of ``files``."""
+    docs = [set(L.terms_of(t or "")) for _, t in files]
+    w = {t: L.idf(len(files), sum(t in d for d in docs)) for _, x in templates for t in L.terms_of(x)}
+
+    def vec(text):
+        own = L.terms_of(text)
+        return {t: own.count(t) * w.get(t, L.idf(len(files), 1)) for t in set(own)}
+
+    def cos(text, k):
+        a, b = vec(text), vec(templates[k][1])
+        return sum(x * b.get(t, 0) for t, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    return cos
+
+
+def test_whole_text_counts_without_a_header(spark):
+    """A licence file none of whose lines is close to a template still speaks for its directory."""
+    words = L.TEMPLATES[1][1].split()
+    text = "\n".join(f"{' '.join(words[i:i + 5])} zq{i}a zq{i}b" for i in range(0, len(words), 5))
+    files = [("m/LICENSE", text), ("m/LICENSE", text), ("m/x/y.py", "plain"), ("n/z.py", "plain")]
+    cos = scores(files)
+    assert max(cos(s, 1) for s in text.split("\n")) < L.HEADER and cos(text, 1) >= L.LICENCE_FILE
+    got = L.inherit(L.scan(spark.createDataFrame(files, "path string, text string"))).collect()
+    assert sorted((r.path, r.license_id, r.score, r.origin, r.licensed_by) for r in got if r.license_id) == [
+        *[("m/LICENSE", "MIT", round(cos(text, 1), 6), "file", None)] * 2, ("m/x/y.py", "MIT", round(cos(text, 1), 6), "inherited", "m")]

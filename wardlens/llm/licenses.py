@@ -1,15 +1,16 @@
 """License scans: TF-IDF cosine to templates and inheritance along directories, in DataFrame expressions.
 
-A file's segments are its sentences and lines.  A segment's cosine to a
-template uses term counts times the inverse document frequency over all files
-(terms of no template weigh as if one file held them).  A file with a segment
-close enough to a template has a licence header; if its whole text is close to
-a template too, it is a licence file and speaks for its directory.  Any other
-file takes the licence of its nearest ancestor directory that has one.
+A file's segments are its sentences and lines, and the whole file.  A segment's
+cosine to a template uses term counts times the inverse document frequency over
+all files (terms of no template weigh as if one file held them).  A file whose
+whole text is close enough to a template is a licence file and speaks for its
+directory; a file with a close segment has a licence header; any other file
+takes the licence of its nearest ancestor directory that has one.
 
 The templates are a fixed, small list, so their vectors are literals.  A
-segment reaches the threshold only if it holds one of a template's heavy terms
-(the light ones together are too short), which is tested before anything is exploded.
+cosine is at most the length of that part of a template's unit vector whose
+terms the text holds, so a text whose terms make up too little of every
+template is out of reach; this is tested before anything is exploded.
 """
 
 from __future__ import annotations
@@ -90,12 +91,24 @@ def _closest(segments: DataFrame, keys: list[str], table: DataFrame, other: floa
         for k, name in enumerate(names)))).alias("best"))
 
 
+def _shares(text: Column, vectors: list[dict[str, float]]) -> Column:
+    """For each template, the squared length of the part of its unit vector whose terms ``text`` holds."""
+    squares = {t: [v.get(t, 0.0) ** 2 for v in vectors] for t in sorted({t for v in vectors for t in v})}
+    known = F.map_from_arrays(F.array(*map(F.lit, squares)), F.array(*(F.array(*map(F.lit, x)) for x in squares.values())))
+    held = F.array_intersect(_terms(text), F.array(*map(F.lit, squares)))
+    return F.aggregate(held, F.array(*(F.lit(0.0) for _ in vectors)), lambda a, t: F.zip_with(a, F.try_element_at(known, t), lambda x, y: x + y))
+
+
+def _reached(share: Column, least: float) -> Column:
+    return share >= (least - 1e-6) ** 2  # scores are rounded to six digits
+
+
 def scan(files: DataFrame, templates=TEMPLATES, header: float = HEADER, licence_file: float = LICENCE_FILE) -> DataFrame:
     """The columns of ``files`` (with path and text) but text, plus license_id, score and origin
     ('file', 'header') of the file's own licence, null where it has none.
 
-    The best template wins, ties by license_id.  Null texts have none; rows that repeat a path and
-    text repeat the result."""
+    The best template wins, whole files before headers, ties by license_id.  Null texts have none;
+    rows that repeat a path and text repeat the result."""
     n, df = document_frequencies(files, templates)
     weight = {t: idf(n, d) for t, d in df.items()}
     names, vectors = [k for k, _ in templates], []
@@ -108,26 +121,26 @@ def scan(files: DataFrame, templates=TEMPLATES, header: float = HEADER, licence_
     table = files.sparkSession.createDataFrame(
         [(t, x, *(v.get(t, 0.0) for v in vectors)) for t, x in sorted(weight.items())],
         "term string, idf double, " + ", ".join(f"v{k} double" for k in range(len(vectors))))
-    some, other = F.array(*map(F.lit, heavy_terms(vectors, header))), idf(n, 1)
+    some, other = F.array(*map(F.lit, heavy_terms(vectors, header - 1e-6))), idf(n, 1)
 
+    keyed = files.select("path", F.xxhash64("text").alias("key"), "text", _shares(F.col("text"), vectors).alias("shares")).filter(
+        F.exists("shares", lambda x: _reached(x, min(header, licence_file))))
     lines = F.filter(F.split(F.regexp_replace("text", r"([.!?])[ \t\r]+", "$1\n"), "\n"), lambda s: F.arrays_overlap(_terms(s), some))
-    keyed = files.select("path", F.xxhash64("text").alias("key"), "text").filter(F.arrays_overlap(_terms(F.col("text")), some))
-    segments = keyed.select("path", "key", F.explode(F.array_distinct(lines)).alias("text"))
-    near = _closest(segments.withColumn("segment", F.xxhash64("text")).distinct(), ["path", "key", "segment"], table, other, names)
-    heads = materialize(near.filter(-F.col("best.far") >= header).groupBy("path", "key").agg(F.min("best").alias("head")), "licence-headers")
-
-    def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        right = right.withColumnsRenamed({"path": "_path", "key": "_key"})
-        return left.join(right, left.path.eqNullSafe(right._path) & (left.key == right._key), how).drop("_path", "_key")
-
-    whole = _closest(meet(keyed, heads, "left_semi").distinct(), ["path", "key"], table, other, names)
-    own = meet(heads, whole, "left").withColumn("is_file", -F.col("best.far") >= licence_file)
-    own = own.select("path", "key", F.when(F.col("is_file"), F.col("best")).otherwise(F.col("head")).alias("_own"), "is_file")
+    heads = F.transform(F.array_distinct(lines), lambda s: F.struct(F.lit(True).alias("header"), s.alias("text")))
+    whole = F.filter(F.array(F.struct(F.lit(False).alias("header"), F.col("text").alias("text"))),
+                     lambda _: F.exists("shares", lambda x: _reached(x, licence_file)))
+    segments = keyed.select("path", "key", F.inline(F.concat(heads, whole))).withColumn("segment", F.xxhash64("text"))
+    # rows that repeat a path and text multiply all counts of a segment alike, which leaves its cosine
+    near = _closest(segments, ["path", "key", "header", "segment"], table, other, names)
+    near = near.filter(-F.col("best.far") >= F.when(F.col("header"), header).otherwise(licence_file))
+    own = near.groupBy(F.col("path").alias("_path"), F.col("key").alias("_key")).agg(F.min(F.struct("header", "best")).alias("_own"))
     keep = [c for c in files.columns if c != "text"]
     rows = files.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(keep)], "path", F.xxhash64("text").alias("key"))
-    return meet(rows, own, "left").select(
-        *[F.col(f"_c{k}").alias(c) for k, c in enumerate(keep)], F.col("_own.license_id").alias("license_id"), (-F.col("_own.far")).alias("score"),
-        F.when(F.col("is_file"), "file").when(F.col("_own").isNotNull(), "header").alias("origin"))
+    found = rows.join(own, rows.path.eqNullSafe(own._path) & (rows.key == own._key), "left")
+    return found.select(
+        *[F.col(f"_c{k}").alias(c) for k, c in enumerate(keep)], F.col("_own.best.license_id").alias("license_id"),
+        (-F.col("_own.best.far")).alias("score"),
+        F.when(F.col("_own").isNotNull(), F.when(F.col("_own.header"), "header").otherwise("file")).alias("origin"))
 
 
 def parent(path: Column) -> Column:
