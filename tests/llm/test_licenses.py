@@ -97,3 +97,29 @@ def test_whole_text_counts_without_a_header(spark):
     got = L.inherit(L.scan(spark.createDataFrame(files, "path string, text string"))).collect()
     assert sorted((r.path, r.license_id, r.score, r.origin, r.licensed_by) for r in got if r.license_id) == [
         *[("m/LICENSE", "MIT", round(cos(text, 1), 6), "file", None)] * 2, ("m/x/y.py", "MIT", round(cos(text, 1), 6), "inherited", "m")]
+
+
+def wrapped(words, width, mark):
+    out, line = [], ""
+    for x in words.split():
+        if line and len(mark) + len(line) + 1 + len(x) > width:
+            out, line = [*out, line], ""
+        line = f"{line} {x}".strip()
+    return [mark + x for x in [*out, line]]
+
+
+def test_wrapped_notices_are_headers(spark):
+    """A notice cut into lines (and two sentences) none of which is close enough; repeated terms count as one dimension."""
+    code = "\n" + "\n".join(f"x{i} = y{i}" for i in range(60))
+    files, notice = [(f"filler/{i}", f"plain {i}") for i in range(6)], {}
+    for k, mark, width in ((1, " * ", 48), (3, "// ", 48), (5, "# ", 40), (8, "-- ", 48), (9, "% ", 36)):
+        lines = wrapped(L.TEMPLATES[k][1], width, mark)
+        notice[f"p{k}/a"] = k, lines
+        files.append((f"p{k}/a", "import os\r\n" + "\r\n".join(lines) + code))
+    files.append(("short/a", "this source code form is subject\n# to the terms of the\n# mozilla public license"))
+    cos = scores(files)
+    for k, lines in notice.values():
+        assert max(cos(s, j) for x in lines for s in re.split(r"(?<=[.!?])[ ]+", x) for j in range(len(L.TEMPLATES)) if L.terms_of(s)) < L.HEADER
+    got = {r.path: (r.license_id, r.score, r.origin) for r in L.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: got[p] for p in notice} == {p: (L.TEMPLATES[k][0], 1.0, "header") for p, (k, _) in notice.items()}
+    assert got["short/a"][0] == "MPL-2.0" and all(got[f"filler/{i}"] == (None, None, None) for i in range(6))

@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine to templates and inheritance along directories, in DataFrame expressions.
 
-A file's segments are its sentences and lines, and the whole file.  A segment's
-cosine to a template uses term counts times the inverse document frequency over
+A file's segments are its sentences and lines, its runs of as many words as a
+template has (across line and sentence ends, so a wrapped notice is found
+whole; comment marks are no words), and the whole file.  A segment's cosine to a template uses term counts times the inverse document frequency over
 all files (terms of no template weigh as if one file held them).  A file whose
 whole text is close enough to a template is a licence file and speaks for its
 directory; a file with a close segment has a licence header; any other file
@@ -103,6 +104,34 @@ def _reached(share: Column, least: float) -> Column:
     return share >= (least - 1e-6) ** 2  # scores are rounded to six digits
 
 
+def _runs(text: Column, shares: Column, vectors: list[dict[str, float]], sizes: list[int], weight: dict[str, float], other: float,
+          least: float) -> tuple[Column, Column]:
+    """(words, runs): the words of ``text`` with their weights, and, of a column ``words`` that holds them, the runs of
+    words that can reach ``least``.
+
+    A template's runs have as many words as the template, or all if there are fewer.  Each word adds its share to the
+    product with the template, and its squared weight to the squared length, which repeats only make longer."""
+    known = F.map_from_arrays(F.array(*map(F.lit, weight)), F.array(*(
+        F.struct(F.lit(x * x).alias("square"), F.array(*(F.lit(x * v.get(t, 0.0)) for v in vectors)).alias("dots")) for t, x in weight.items())))
+    rare = F.struct(F.lit(other * other).alias("square"), F.array(*(F.lit(0.0) for _ in vectors)).alias("dots"))
+    terms = F.filter(_terms(text), lambda t: t != "")
+    words = F.transform(terms, lambda t: F.struct(t.alias("t"), F.coalesce(F.try_element_at(known, t), rare).alias("w")))
+    n, runs = F.size("words"), []
+    for k, size in enumerate(sizes):  # Spark's functions call the inner ones at once
+        def within(p: Column) -> Column:
+            return F.sequence(p, F.least(p + size, n) - 1)
+
+        def close(p: Column) -> Column:
+            total = F.aggregate(within(p), F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("square")), lambda a, i: F.struct(
+                (a.dot + F.col("words")[i].w.dots[k]).alias("dot"), (a.square + F.col("words")[i].w.square).alias("square")))
+            return F.aggregate(F.array(total), F.lit(False), lambda _, x: x.dot >= (least - 1e-6) * F.sqrt(x.square))
+
+        starts = F.when(_reached(shares[k], least) & (n > 0), F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))))
+        starts = F.filter(F.coalesce(starts, F.array().cast("array<int>")), close)
+        runs.append(F.transform(starts, lambda p: F.array_join(F.transform(within(p), lambda i: F.col("words")[i].t), " ")))
+    return words, F.concat(*runs)
+
+
 def scan(files: DataFrame, templates=TEMPLATES, header: float = HEADER, licence_file: float = LICENCE_FILE) -> DataFrame:
     """The columns of ``files`` (with path and text) but text, plus license_id, score and origin
     ('file', 'header') of the file's own licence, null where it has none.
@@ -126,9 +155,12 @@ def scan(files: DataFrame, templates=TEMPLATES, header: float = HEADER, licence_
     keyed = files.select("path", F.xxhash64("text").alias("key"), "text", _shares(F.col("text"), vectors).alias("shares")).filter(
         F.exists("shares", lambda x: _reached(x, min(header, licence_file))))
     lines = F.filter(F.split(F.regexp_replace("text", r"([.!?])[ \t\r]+", "$1\n"), "\n"), lambda s: F.arrays_overlap(_terms(s), some))
-    heads = F.transform(F.array_distinct(lines), lambda s: F.struct(F.lit(True).alias("header"), s.alias("text")))
+    words, runs = _runs(F.col("text"), F.col("shares"), vectors, [len(terms_of(x)) for _, x in templates], weight, other, header)
+    heads = F.transform(F.array_distinct(F.concat(lines, runs)), lambda s: F.struct(F.lit(True).alias("header"), s.alias("text")))
     whole = F.filter(F.array(F.struct(F.lit(False).alias("header"), F.col("text").alias("text"))),
                      lambda _: F.exists("shares", lambda x: _reached(x, licence_file)))
+    # a generator keeps the words from being split anew at every use
+    keyed = keyed.select("path", "key", "text", "shares", F.inline(F.array(F.struct(words.alias("words")))))
     segments = keyed.select("path", "key", F.inline(F.concat(heads, whole))).withColumn("segment", F.xxhash64("text"))
     # rows that repeat a path and text multiply all counts of a segment alike, which leaves its cosine
     near = _closest(segments, ["path", "key", "header", "segment"], table, other, names)
