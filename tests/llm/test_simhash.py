@@ -94,3 +94,17 @@ def test_empty_table_and_wrong_bits(documents):
     assert simhash.keep_one(documents([])).count() == 0
     with pytest.raises(ValueError):
         simhash.links(documents([]), max_bits=4)
+
+
+def test_keep_one_goes_by_component_not_by_id(documents):
+    """One id on two unlinked texts keeps a row of each component; linked copies without ids keep one row."""
+    rng = random.Random(5)
+    a, b, c = (" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(99)) for _ in range(60)) for _ in range(3))
+    assert all((brute_fingerprint(x) ^ brute_fingerprint(y)).bit_count() > 3 for x, y in ((a, b), (a, c), (b, c)))
+    got = simhash.keep_one(documents([(5, a), (7, a), (5, b), (9, b)])).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(5, a), (5, b)])
+    long = [rng.choice("abcdefgh") * 3 + str(rng.randrange(99)) for _ in range(3000)]
+    near = next(x for x in (" ".join([*long[:i], "zz", *long[i + 1:]]) for i in range(3000))
+                if 0 < (brute_fingerprint(x) ^ brute_fingerprint(" ".join(long))).bit_count() <= 3)
+    got = simhash.keep_one(documents([(None, " ".join(long)), (None, near), (None, c)])).collect()
+    assert len(got) == 2 and c in [r.text for r in got]

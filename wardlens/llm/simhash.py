@@ -178,7 +178,7 @@ def links(fps: DataFrame, max_bits: int = 3, hot: int = HOT_BUCKET) -> DataFrame
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest ``rank`` reachable from each node.
+    """(node, label, component): the smallest node and the smallest ``rank`` reachable from each node.
 
     ``nodes``: (node, rank) with distinct nodes; ``edges``: (a, b).  Each round
     every edge's end with the larger label hands its old label the smaller one
@@ -203,11 +203,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         label = new.select("node", "label")
     found = nodes.join(label, "node", "left").select("node", "rank", F.coalesce("label", "node").alias("label"))
     smallest = found.groupBy("label").agg(F.min("rank").alias("component"))
-    return found.join(smallest, "label").select("node", "component")
+    return found.join(smallest, "label").select("node", "label", "component")
 
 
 def grouped(docs: DataFrame, size: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, text_key, fp, component), one row per input row."""
+    """(doc_id, text_key, fp, label, component), one row per input row."""
     fp = materialize(fingerprints(docs, size, seed), "simhash-fp")
     nodes = fp.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("rank"))
     edges = links(nodes.select(F.col("node").alias("fp")), max_bits)
@@ -231,8 +231,8 @@ def keep_one(docs: DataFrame, size: int = 3, max_bits: int = 3, seed: int = 42)
     (nulls last); of rows that repeat it, the one with the smallest text hash."""
     found = grouped(docs, size, max_bits, seed)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "fp"))
-    # a component without any id is told apart by its fingerprints' smallest node
-    keep = found.groupBy("component", F.when(F.col("component").isNull(), F.col("fp"))).agg(first.alias("k")) \
+    # by label, as one id may be the smallest of several components, or a component have none
+    keep = found.groupBy("label").agg(first.alias("k")) \
         .select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
     rows = docs.withColumn("_text_key", F.xxhash64("text"))
     kept = rows.join(keep, rows.doc_id.eqNullSafe(keep._id) & (rows._text_key == keep._key), "left_semi")
