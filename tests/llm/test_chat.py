@@ -62,3 +62,20 @@ def test_escape_is_reversible(spark, text):
 
 def test_empty_table(spark):
     assert chat.digests(conversations(spark)[1].filter("false")).count() == 0
+
+
+def test_control_strings_split_over_parts(spark):
+    """Text parts side by side are one text; a placeholder or another turn still ends it."""
+    part = lambda kind, text: (kind, text, "r", None, None, None, None)
+    parts = [part("text", "<"), None, part("text", "|im_start|>x"), part(None, "<\\"), part("text", None), part("text", "|<"), part("image", None), part("text", "|y<"), part("text", "|")]
+    d = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [part("text", "<|im_"), part("text", "end|>")])],
+                              f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    r = chat.read_back(chat.format_chats(d, F.col("parts"))).first()
+    assert [(t.role, t.content) for t in r.turns] == [("user", "<|im_start|>x<\\|<<|image:1|>|y<|"), ("assistant", "<|im_end|>")]
+    assert r.formatted.count("<|im_start|>") == 2 and r.loss_text == "<|im_end|>"
+
+
+def test_plain_texts_go_through_the_visitor(spark, monkeypatch):
+    seen, visit = [], chat.visit
+    monkeypatch.setattr(chat, "visit", lambda parts: seen.append(parts) or visit(parts))
+    assert chat.digests(conversations(spark)[1]).count() and len(seen) == 1

@@ -43,7 +43,8 @@ def unescape_role(role: Column) -> Column:
 
 def text_part(text: Column) -> Column:
     """The parts of a plain text."""
-    return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text")))
+    none = [F.lit(None).alias(n) for n in ("ref", "width", "height", "seconds", "pages")]
+    return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), *none)).cast(f"array<{PART}>")
 
 
 def expanded_tokens(p: Column) -> Column:
@@ -60,20 +61,27 @@ def expanded_tokens(p: Column) -> Column:
 def visit(parts: Column) -> tuple[Column, Column]:
     """(content, attachments) of one turn's parts (array of ``PART``).
 
-    Null parts are skipped; a null text is empty; a part of another kind is an
+    Null parts are skipped; a null text is empty; text parts that follow one another are escaped as
+    one text, so no control string can be split over them; a part of another kind is an
     attachment of that kind without tokens.  Attachments are structs (kind, ref,
     tokens), the k-th one's placeholder in the turn is ``<|kind:k|>``."""
     parts = F.coalesce(F.filter(parts, lambda p: p.isNotNull()), F.array().cast(f"array<{PART}>"))
-    kinds = F.transform(parts, lambda p: F.coalesce(p.kind, F.lit("text")))
-    attached = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: F.coalesce(x.p.kind, F.lit("text")) != "text")
+    numbered = F.transform(parts, lambda p, i: F.struct(i.alias("i"), F.coalesce(p.kind, F.lit("text")).alias("kind"), p.alias("p")))
+    attached = F.filter(numbered, lambda x: x.kind != "text")
     places = F.transform(attached, lambda x: x.i)
-    content = F.transform(parts, lambda p, i: F.when(
-        kinds[i] == "text", escape(F.coalesce(p.text, F.lit(""))),
-    ).otherwise(F.concat(F.lit("<|"), escape(F.regexp_replace(kinds[i], r"[|>]", "")), F.lit(":"),
-                         F.array_position(places, i).cast("string"), F.lit("|>"))))
+
+    def placeholder(x: Column) -> Column:
+        return F.concat(F.lit("<|"), escape(F.regexp_replace(x.kind, r"[|>]", "")), F.lit(":"),
+                        F.array_position(places, x.i).cast("string"), F.lit("|>"))
+
+    # done: text as far as the last placeholder; open: the texts since then, not escaped yet
+    content = F.aggregate(numbered, F.struct(F.lit("").alias("done"), F.lit("").alias("open")), lambda a, x: F.when(
+        x.kind == "text", F.struct(a.done.alias("done"), F.concat(a.open, F.coalesce(x.p.text, F.lit(""))).alias("open")),
+    ).otherwise(F.struct(F.concat(a.done, escape(a.open), placeholder(x)).alias("done"), F.lit("").alias("open"))),
+        lambda a: F.concat(a.done, escape(a.open)))
     attachments = F.transform(attached, lambda x: F.struct(
         x.p.kind.alias("kind"), x.p.ref.alias("ref"), expanded_tokens(x.p).alias("tokens")))
-    return F.array_join(content, ""), attachments
+    return content, attachments
 
 
 def format_chats(turns: DataFrame, parts: Column | None = None, learned_role: str = "assistant") -> DataFrame:
@@ -85,8 +93,7 @@ def format_chats(turns: DataFrame, parts: Column | None = None, learned_role: st
     null roles and texts are empty; turns without conv_id form one conversation.  Without ``parts``
     the column ``text`` is the only part.  Only the columns conv_id, turn, role and those of
     ``parts`` are read."""
-    content, attached = visit(parts) if parts is not None else (
-        escape(F.coalesce("text", F.lit(""))), F.array().cast("array<struct<kind:string,ref:string,tokens:bigint>>"))
+    content, attached = visit(text_part(F.col("text")) if parts is None else parts)
     head = F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n"))
     rows = turns.select("conv_id", "turn", "role", content.alias("content"), attached.alias("attached"), head.alias("head"))
     rows = rows.withColumn("piece", F.concat("head", "content", F.lit(END + "\n")))
