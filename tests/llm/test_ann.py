@@ -61,3 +61,22 @@ def test_recall_of_the_production_factor(spark):
         s[q] = -np.inf
         recall.append(len(got[ids[q]] & set(ids[np.argsort(-s)[:20]])) / 20)
     assert np.mean(recall) >= 0.9
+
+
+def test_repeated_query_ids_lose_nothing(spark):
+    """Equal rows of an id share one full result; its other vectors have their own."""
+    rows = table()
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(d, d.filter("vec_id = 40"), k=20, relax=1.0)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, [(40, rows[40][1])], 20)
+    other = spark.createDataFrame([(40, rows[40][1]), (40, rows[7][1])], d.schema)
+    got = ann.nearest(d, other, k=20, relax=1.0)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, [(40, rows[40][1]), (40, rows[7][1])], 20)
+
+
+def test_repeated_ids_leave_room_for_other_copies(spark):
+    """A query discards all rows of its own id; the other copies of the vector are still there."""
+    rows = [(0, [1.0, 2.0])] * 9 + [(i, [1.0, 2.0]) for i in range(1, 4)] + [(9, [0.5, 0.5])] * 5
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(d, d.filter("vec_id = 0"), k=5, relax=1.0)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, rows[:1], 5)

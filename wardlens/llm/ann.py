@@ -131,10 +131,13 @@ def _block(rows: pd.Series) -> np.ndarray:
 def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
     """((shard, tree) rows in the shared folder, number of shards).  ``vectors`` as ``usable`` returns them."""
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    # distinct vectors with their k + 1 smallest ids (a query's own id is left out of them later)
+    # distinct vectors with their k + 1 smallest distinct ids (a query's own id is left out of them later), each as
+    # often as its rows stand there, at most k times
     w = Window.partitionBy("h", "v").orderBy("vec_id")
-    top = vectors.withColumn("h", F.xxhash64("v")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k + 1)
-    distinct = materialize(top.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    rows = vectors.withColumn("h", F.xxhash64("v")).groupBy("h", "v", "vec_id").agg(F.count(F.lit(1)).alias("n"))
+    top = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k + 1)
+    times = F.array_repeat("vec_id", F.least("n", F.lit(k)).cast("int"))
+    distinct = materialize(top.groupBy("h", "v").agg(F.sort_array(F.flatten(F.collect_list(times))).alias("ids"))
                            .withColumn("square", square), "ann-distinct")
     n, most = distinct.agg(F.count(F.lit(1)), F.max("square")).first()
     shards = max(1, -(-n // shard_rows))
@@ -165,19 +168,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float =
 
     Rows whose vector is null, zero, or holds null or non-finite components take no part, as candidates
     or as queries; a null id takes no part either.  Rows that repeat an id are separate candidates.
+    A query row that repeats another's id and vector shares its result; rows of one id with different
+    vectors are separate queries, each with its own ``k`` rows under that id.
     Vectors of unequal length are compared as if the shorter ended in zeros.  Ties go to the smaller id;
     empty tables give no rows."""
     index, shards = build_index(usable(vectors), k, shard_rows)
-    asked = usable(queries).select(F.col("vec_id").alias("query_id"), "v")
+    asked = usable(queries).select(F.col("vec_id").alias("query_id"), "v").distinct().withColumn("q", F.xxhash64("v"))
     asked = materialize(asked, "ann-queries")
     blocks = max(1, -(-asked.count() // block_rows))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
     every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    sent = asked.select("query_id", "v", block).select("query_id", "v", "block", every_shard)
+    sent = asked.select("query_id", "q", "v", block).select("query_id", "q", "v", "block", every_shard)
     trees = index.select("shard", "tree", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "q": [], "vec_id": [], "score": []}
         if len(left) and len(right):
             lifted, v, ids, root = pickle.loads(left["tree"].iloc[0])
             q = _block(right["v"])
@@ -185,7 +190,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float =
             v = np.pad(v, ((0, 0), (0, width - v.shape[1])))
             lifted = np.column_stack((np.pad(lifted[:, :-1], ((0, 0), (0, width - lifted.shape[1] + 1))), lifted[:, -1]))
             q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
-            names = right["query_id"].to_numpy()
+            names, own = right["query_id"].to_numpy(), right["q"].to_numpy()
             best = Best(len(q), k + 4)  # a few more, as distances are rounded and the query itself may be among them
             search(root, lifted, np.column_stack((q, np.zeros(len(q)))), np.arange(len(q)), best, relax)
             who, at = np.nonzero(best.row >= 0)
@@ -200,11 +205,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float =
             who, score, vec = who[order], score[order], vec[order]
             place = np.arange(len(who)) - np.searchsorted(who, who)
             top = place < k
-            out = {"query_id": names[who[top]], "vec_id": vec[top], "score": score[top]}
-        return pd.DataFrame({"query_id": pd.Series(out["query_id"], dtype="int64"), "vec_id": pd.Series(out["vec_id"], dtype="int64"),
+            out = {"query_id": names[who[top]], "q": own[who[top]], "vec_id": vec[top], "score": score[top]}
+        return pd.DataFrame({"query_id": pd.Series(out["query_id"], dtype="int64"), "q": pd.Series(out["q"], dtype="int64"), "vec_id": pd.Series(out["vec_id"], dtype="int64"),
                              "score": pd.Series(out["score"], dtype="float64")})
 
     found = trees.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInPandas(
-        find, "query_id bigint, vec_id bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        find, "query_id bigint, q bigint, vec_id bigint, score double")
+    w = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
