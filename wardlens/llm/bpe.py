@@ -338,19 +338,6 @@ class Split(Tokens):
         self.doc = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
         self.eight = np.ndarray((len(data) + 1,), "<u8", self.data.data, strides=(1,))
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """(one word of each kind, kind of each word); bytes are compared, not only hashes."""
-        codes = self.codes()
-        _, one, kind = np.unique(codes, return_index=True, return_inverse=True)
-        at, rest, same = 0, np.arange(len(codes)), bool(np.all(self.size == self.size[one[kind]])) if len(codes) else True
-        while same and len(rest):
-            same = bool(np.all(self.chunk(at, rest) == self.chunk(at, one[kind[rest]])))
-            at += 1
-            rest = rest[self.size[rest] > 8 * at]
-        if not same:  # two words share a hash: compare as strings
-            _, one, kind = np.unique(np.array([self.word(i) for i in range(len(self))], dtype=object), return_index=True, return_inverse=True)
-        return one, kind
-
 
 def _gather(cut: np.ndarray, ids: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sequences ``which`` one after the other, their lengths)."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import ann, bpe, chat, decontaminate, licenses, lm_score, oracles, quality, simhash, suffix_dedup, warc
+from wardlens.llm import ann, bpe, chat, decontaminate, licenses, lm_score, oracles, quality, runs, simhash, suffix_dedup, warc
 from wardlens.llm.shared import read
 
 
@@ -58,7 +58,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("target_loss", "background_loss", "score")})
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_decontamination, op3_quality, op4_suffix_dedup, op5_ann, op6_chat, op7_warc, op8_bpe, op9_simhash, op10_lm_score)}
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.digests(runs.collapse_runs(runs.plant(docs), least=12))
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_decontamination, op3_quality, op4_suffix_dedup, op5_ann, op6_chat, op7_warc, op8_bpe, op9_simhash, op10_lm_score, op13_runs)}
 ORACLE: dict[str, str] = {
     "op1_licenses": oracles.licenses(licenses.TEMPLATES, licenses.HEADER, licenses.LICENCE_FILE),
     "op2_decontamination": oracles.DECONTAMINATION,

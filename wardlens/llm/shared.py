@@ -29,6 +29,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores appended until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets): text i is ``bytes[offsets[i]:offsets[i + 1]]``; null: empty."""
     if isinstance(col, pa.ChunkedArray):

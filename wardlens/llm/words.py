@@ -29,11 +29,14 @@ class Words:
 
     start, size: byte range of each word in ``data`` (lower-cased copy);
     doc: index of its text; first: for each text (and one past the last) the
-    index of its first word."""
+    index of its first word.
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
-        self.data = np.concatenate((_LOWER[data], np.zeros(8, np.uint8)))
-        inside = _WORD[self.data[:len(data)]]
+    ``alphabet`` names the bytes that make up words (256 booleans, looked up after folding) and
+    ``fold`` the byte that each byte becomes, so operators with words of their own share this class."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, alphabet: np.ndarray = _WORD, fold: np.ndarray = _LOWER):
+        self.data = np.concatenate((fold[data], np.zeros(8, np.uint8)))
+        inside = alphabet[self.data[:len(data)]]
         cut = np.zeros(len(data) + 1, bool)  # a text begins here
         cut[off] = True
         begin = inside.copy()
@@ -67,3 +70,16 @@ class Words:
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i]:self.start[i] + self.size[i]].tobytes()
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(one word of each kind, kind of each word); bytes are compared, not only hashes."""
+        codes = self.codes()
+        _, one, kind = np.unique(codes, return_index=True, return_inverse=True)
+        at, rest, same = 0, np.arange(len(codes)), bool(np.all(self.size == self.size[one[kind]])) if len(codes) else True
+        while same and len(rest):
+            same = bool(np.all(self.chunk(at, rest) == self.chunk(at, one[kind[rest]])))
+            at += 1
+            rest = rest[self.size[rest] > 8 * at]
+        if not same:  # two words share a hash: compare as strings
+            _, one, kind = np.unique(np.array([self.word(i) for i in range(len(self))], dtype=object), return_index=True, return_inverse=True)
+        return one, kind
