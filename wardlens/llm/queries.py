@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10: thin, with production parameters, over whole tables."""
+"""The registered queries op1 to op13: thin, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import ann, bpe, chat, decontaminate, licenses, lm_score, oracles, quality, runs, simhash, suffix_dedup, warc
+from wardlens.llm import (ann, bpe, byte_bpe, chat, decontaminate, divergence, licenses, lm_score, oracles, quality, runs, simhash,
+                          suffix_dedup, warc)
 from wardlens.llm.shared import read
 
 
@@ -58,12 +59,23 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("target_loss", "background_loss", "score")})
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coder = byte_bpe.Coder.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.digests(read(spark, sf_dir, "documents"), coder)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return runs.digests(runs.collapse_runs(runs.plant(docs), least=12))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_decontamination, op3_quality, op4_suffix_dedup, op5_ann, op6_chat, op7_warc, op8_bpe, op9_simhash, op10_lm_score, op13_runs)}
+QUERIES = {f.__name__: f for f in (
+    op1_licenses, op2_decontamination, op3_quality, op4_suffix_dedup, op5_ann, op6_chat, op7_warc, op8_bpe, op9_simhash, op10_lm_score,
+    op11_byte_bpe, op12_divergence, op13_runs)}
 ORACLE: dict[str, str] = {
     "op1_licenses": oracles.licenses(licenses.TEMPLATES, licenses.HEADER, licenses.LICENCE_FILE),
     "op2_decontamination": oracles.DECONTAMINATION,
@@ -72,4 +84,5 @@ ORACLE: dict[str, str] = {
     "op6_chat": oracles.CHAT,
     "op7_warc": oracles.warc_audit(records_per_file=1024, spoiled=97, lost=499),
     "op10_lm_score": oracles.lm_score("source = 'src1'"),
+    "op12_divergence": divergence.sql(min_docs=30, top=50),
 }
