@@ -109,6 +109,37 @@ def feature_table(seq_words: DataFrame, static: DataFrame, flags: DataFrame,
     return words.unionByName(repeated)
 
 
+SUMMARIES = ("n", "mean", "last", "slope")
+
+
+def summary_vectors(summaries: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """M1: (subject_id, summary): ``series.sequence_summaries`` as one array per subject, the four numbers of each of
+    ``labels`` in order; 0 for a label without values and for a slope that is NULL."""
+    cells = [F.coalesce(F.max(F.when(F.col("label") == lb, F.col(c).cast("double"))), F.lit(0.0)) for lb in labels for c in SUMMARIES]
+    return summaries.groupBy("subject_id").agg(F.array(*cells).alias("summary"))
+
+
+def sequence_matrix(table: DataFrame, names: DataFrame, hours: int) -> DataFrame:
+    """One compressed sparse-row matrix per subject, steps x features in the order of F14.
+
+    ``indptr`` (hours + 1 numbers), ``indices`` (feature_index - 1, ascending within a step) and ``data`` (ones):
+    the row of step s has the columns ``indices[indptr[s]:indptr[s + 1]]``.  A subject's cells are bounded by
+    steps x features; repeated cells count once."""
+    cells = table.join(names, "feature").select("subject_id", F.struct(F.col("step").cast("int").alias("step"), (F.col("feature_index") - 1).alias("at")).alias("c"))
+    per = cells.groupBy("subject_id").agg(F.array_sort(F.collect_set("c")).alias("c"))
+    steps = F.transform("c", lambda x: x["step"])
+    return per.select("subject_id", F.transform(F.sequence(F.lit(0), F.lit(hours)), lambda s: F.size(F.filter(steps, lambda x: x < s))).alias("indptr"),
+                      F.transform("c", lambda x: x["at"]).alias("indices"), F.transform("c", lambda x: F.lit(1)).alias("data"))
+
+
+def matrix_cells(matrix: DataFrame, names: DataFrame) -> DataFrame:
+    """The (subject_id, step, feature) rows that ``sequence_matrix`` packed."""
+    rows = matrix.select("subject_id", "indptr", F.posexplode("indices").alias("i", "at"))
+    step = F.size(F.filter("indptr", lambda p: p <= F.col("i"))) - 1
+    return rows.select("subject_id", step.alias("step"), (F.col("at") + 1).alias("feature_index")).join(names, "feature_index") \
+        .select("subject_id", "step", "feature")
+
+
 def unit_report(table: DataFrame, static: DataFrame, unit: str = "first_careunit",
                 label: str = "readmission_30_days") -> DataFrame:
     """Positives and subjects per cohort over the model table's subjects."""

@@ -12,7 +12,9 @@ The original trains recurrent networks on one machine.  Here:
   is kept, every subject is assigned;
 * M4-M6 classifiers: ``LogisticRegression`` — one global model, separate models
   per cohort (one fit whose weights are one block per cohort), and a multitask
-  model with shared weights plus per-cohort interaction weights.
+  model with shared weights plus per-cohort interaction weights — and, as the
+  non-linear family, boosted trees over tokens and cohort;
+* S10: encoder and mixture are stored and read again as one clustering.
 
 Per-subject inputs are bounded (hours x features per step), no feature is
 dropped, and only model coefficients reach the driver.
@@ -20,6 +22,7 @@ dropped, and only model coefficients reach the driver.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -28,19 +31,20 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import (CountVectorizer, Interaction, OneHotEncoder, PCAModel, StandardScaler,
                                 StringIndexer, VectorAssembler)
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlens.operators.sampling import cohort_weights, hash8
-from wardlens.sources.sinks import materialize
+from wardlens.sources.sinks import materialize, release
 
 FEW_BLOCKS = 4             # blocks whose sums the mixture adds up on the driver
+FAN = 64                   # blocks whose sums one task adds up
 ALL_TOKENS = 2 ** 31 - 1  # no feature is left out of a vocabulary
 
 
@@ -71,7 +75,8 @@ def sequence_tokens(table: DataFrame, hours: int, blocks: int = 4) -> DataFrame:
 
 
 def _embedding_input(df: DataFrame) -> DataFrame:
-    return df.withColumn("_emb_tokens", F.concat("tokens", "block_tokens"))
+    out = df.withColumn("_emb_tokens", F.concat("tokens", "block_tokens"))
+    return out.withColumn("_summary", array_to_vector("summary")) if "summary" in df.columns else out
 
 
 def _token_counts(output: str, column: str = "tokens") -> CountVectorizer:
@@ -80,14 +85,19 @@ def _token_counts(output: str, column: str = "tokens") -> CountVectorizer:
 
 def fit_embedding(train_tokens: DataFrame, k: int) -> PipelineModel:
     """M1: counts -> scaling -> projection on the ``k`` leading right singular
-    vectors, over all tokens and time-block tokens of the training subjects.
+    vectors, over all tokens and time-block tokens of the training subjects and,
+    if the rows have a ``summary`` array (``features.summary_vectors``), its numbers.
 
     The singular vectors come from distributed matrix-vector products; the
     driver holds vocabulary x k numbers, never a vocabulary x vocabulary matrix."""
-    sc = StandardScaler(inputCol="_counts", outputCol="_scaled", withMean=False, withStd=True)
+    stages, wide = [_token_counts("_counts", "_emb_tokens")], "_counts"
+    if "summary" in train_tokens.columns:
+        wide = "_wide"
+        stages.append(VectorAssembler(inputCols=["_counts", "_summary"], outputCol=wide))
+    stages.append(StandardScaler(inputCol=wide, outputCol="_scaled", withMean=False, withStd=True))
     with _persisted(_embedding_input(train_tokens)) as train:
-        head = Pipeline(stages=[_token_counts("_counts", "_emb_tokens"), sc]).fit(train)
-        dims = len(head.stages[0].vocabulary)
+        head = Pipeline(stages=stages).fit(train)
+        dims = head.stages[-1].std.size
         vectors = MLUtils.convertVectorColumnsFromML(head.transform(train).select("_scaled"), "_scaled")
         svd = RowMatrix(vectors).computeSVD(max(1, min(k, dims)), computeU=False)
     jvm = train_tokens.sparkSession._jvm
@@ -121,6 +131,36 @@ class Mixture:
         return _log_density(z, self.weight, self.mean, self.root)
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Store the parameters at ``path``: a table of one row per component."""
+        whole = (self.center.tolist(), self.scale.tolist(), self.log_likelihood, self.starts_run, self.steps)
+        rows = [(j, float(self.weight[j]), self.mean[j].tolist(), self.root[j].tolist(), *whole) for j in range(len(self.weight))]
+        spark.createDataFrame(rows, MIXTURE_COLUMNS).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Mixture":
+        """The mixture stored at ``path``; every number as it was."""
+        rows = spark.read.parquet(path).orderBy("component").collect()  # one row per component
+        r = rows[0]
+        return cls(np.array(r["center"]), np.array(r["scale"]), *(np.array([x[c] for x in rows]) for c in ("weight", "mean", "root")),
+                   r["log_likelihood"], r["starts_run"], r["steps"])
+
+
+MIXTURE_COLUMNS = ("component int, weight double, mean array<double>, root array<array<double>>, center array<double>, scale array<double>, "
+                   "log_likelihood double, starts_run int, steps int")
+
+
+def save_clustering(spark: SparkSession, path: str, encoder: PipelineModel, mixture: Mixture) -> None:
+    """Store a fitted clustering, encoder and mixture, under ``path``."""
+    encoder.write().overwrite().save(os.path.join(path, "encoder"))
+    mixture.save(spark, os.path.join(path, "mixture"))
+
+
+def load_clustering(spark: SparkSession, path: str) -> tuple[PipelineModel, Mixture]:
+    """The clustering stored under ``path``, to embed and assign subjects that the fit has not seen."""
+    return PipelineModel.load(os.path.join(path, "encoder")), Mixture.load(spark, os.path.join(path, "mixture"))
+
+
 def _log_density(z: np.ndarray, weight: np.ndarray, mean: np.ndarray, root: np.ndarray) -> np.ndarray:
     out = np.empty((len(z), len(weight)))
     for j in range(len(weight)):
@@ -151,22 +191,27 @@ def _positive(cov: np.ndarray, floor: float) -> np.ndarray:
 
 def fit_mixture(embedded: DataFrame, k: int, starts: int, tol: float, seed: int = 0,
                 features: str = "embedding", max_iter: int = 100, block_rows: int = 20_000,
-                floor: float = 1e-6) -> Mixture:
+                floor: float = 1e-6, groups: int | None = None) -> Mixture:
     """M2: the best of ``starts`` full-covariance Gaussian mixtures by
     log-likelihood, on all standardised components.
 
     Rows are packed once into blocks by a hash of the subject, sorted by subject
     inside, so sums are added in the same order whatever the session's
     partitioning, and the result is repeatable.  Each EM step is one pass over
-    the blocks for all starts that still move: a task returns the sums of its
-    block for every start (log densities, so nothing underflows), which are
-    added up per start.  Start s takes as means the ``k`` subjects with the
+    a grid of blocks x groups of starts for all starts that still move: a task
+    returns the sums of its block for every start of its group (log densities,
+    so nothing underflows), which are added up per start, in a tree where there
+    are many blocks.  ``groups`` (default: enough for one task per core where
+    blocks are few, else one) changes the speed only.  Start s takes as means the ``k`` subjects with the
     smallest hash of (seed + s, subject).  Ties go to the earlier start."""
     spark = embedded.sparkSession
     x = embedded.select("subject_id", vector_to_array(features).alias("v"))
     rows = x.count()
     blocks = max(1, -(-rows // block_rows))
     k = min(k, max(1, rows))
+    if groups is None:
+        groups = spark.sparkContext.defaultParallelism // blocks
+    groups = max(1, min(groups, starts))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("subject_id", kind="stable")
@@ -193,16 +238,21 @@ def fit_mixture(embedded: DataFrame, k: int, starts: int, tol: float, seed: int
     state = {s: (np.full(k, 1 / k), (chosen[s] - center) / scale, np.stack([np.eye(d)] * k)) for s in range(starts)}
     best, done, steps = {}, {}, 0
 
+    # a grid's cells are files of their own, so that few blocks still make many tasks
+    grid = packed.select("v", "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    grid = materialize(grid, "mixture-grid", partition_by=("block", "group")) if groups > 1 else grid
+
     while state and steps < max_iter:
         steps += 1
         sent = spark.sparkContext.broadcast((state, center, scale))
 
         def expect(batches):
             for pdf in batches:
-                for block, raw in zip(pdf["block"], pdf["v"]):
+                for block, group, raw in zip(pdf["block"], pdf["group"], pdf["v"]):
                     now, c, w = sent.value
                     z = (np.frombuffer(raw).reshape(-1, len(c)) - c) / w
-                    for s, (weight, mean, root) in now.items():
+                    for s in sorted(now)[group::groups]:
+                        weight, mean, root = now[s]
                         log = _log_density(z, weight, mean, root)
                         norm = _log_sum(log)
                         r = np.exp(log - norm[:, None])
@@ -211,16 +261,19 @@ def fit_mixture(embedded: DataFrame, k: int, starts: int, tol: float, seed: int
                         yield pd.DataFrame({"s": [s], "block": [int(block)], "stat": [stat.tobytes()]})
 
         def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-            stats = [np.frombuffer(b) for b in pdf.sort_values("block")["stat"]]
-            return pd.DataFrame({"s": [int(pdf["s"].iloc[0])], "stat": [np.sum(stats, axis=0).tobytes()]})
-
-        stats = packed.select("block", "v").mapInPandas(expect, "s int, block int, stat binary")
-        if blocks > FEW_BLOCKS:
-            stats = stats.groupBy("s").applyInPandas(add_up, "s int, stat binary").withColumn("block", F.lit(0))
+            total = np.zeros(1)
+            for b in pdf.sort_values("block")["stat"]:
+                total = total + np.frombuffer(b)
+            return pd.DataFrame({"s": [int(pdf["s"].iloc[0])], "block": [int(pdf["block"].iloc[0]) // FAN], "stat": [total.tobytes()]})
+
+        stats, left = grid.select("block", "group", "v").mapInPandas(expect, "s int, block int, stat binary"), blocks
+        while left > FEW_BLOCKS:  # a tree: no task adds up more than FAN blocks of a start
+            stats = stats.groupBy("s", F.expr(f"block div {FAN}")).applyInPandas(add_up, "s int, block int, stat binary")
+            left = -(-left // FAN)
         got = {s: np.zeros(1) for s in state}
         for r in sorted(stats.select("s", "block", "stat").collect(), key=lambda r: (r["s"], r["block"])):  # at most FEW_BLOCKS rows a start
             got[r["s"]] = got[r["s"]] + np.frombuffer(r["stat"])
-        sent.unpersist()
+        sent.destroy()
         for s, stat in got.items():
             like = stat[0] / rows
             n, one, two = stat[1:1 + k], stat[1 + k:1 + k + k * d].reshape(k, d), stat[1 + k + k * d:].reshape(k, d, d)
@@ -229,6 +282,8 @@ def fit_mixture(embedded: DataFrame, k: int, starts: int, tol: float, seed: int
             else:
                 state[s] = _parameters(n, one, two, floor)
             best[s] = like
+    for table in (packed, grid) if groups > 1 else (packed,):
+        release(table)
     winner = max(done, key=lambda s: (done[s][0], -s))
     like, (weight, mean, root) = done[winner]
     return Mixture(center, scale, weight, mean, root, float(like), len(done), steps)
@@ -321,6 +376,24 @@ def fit_multitask(train: DataFrame, label: str, cohort: str, weight: str | None
         return Pipeline(stages=stages).fit(data)
 
 
+def fit_trees(train: DataFrame, label: str, weight: str | None = None, cohort: str | None = None,
+              rounds: int = 10, depth: int = 3, seed: int = 0) -> PipelineModel:
+    """M4, non-linear: boosted trees over token counts and, with ``cohort``, its one-hot.
+
+    Trees are grown on all rows by distributed split statistics, optional row weights included; a cohort that
+    training lacks and a row without one have a slot of their own."""
+    stages = [_token_counts("_tok" if cohort else "features")]
+    if cohort:
+        stages += [StringIndexer(inputCol=cohort, outputCol="_cidx", handleInvalid="keep"),
+                   OneHotEncoder(inputCol="_cidx", outputCol="_conehot", dropLast=False),
+                   VectorAssembler(inputCols=["_tok", "_conehot"], outputCol="features")]
+    trees = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed).setProbabilityCol("_prob")
+    if weight:
+        trees = trees.setWeightCol(weight)
+    with _persisted(train) as data:
+        return Pipeline(stages=[*stages, trees]).fit(data)
+
+
 def score_global(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     """M7: (keep..., score) with score = P(y = 1), for every family's model."""
     return _score(model, rows, keep)

@@ -8,7 +8,8 @@ partitions in those joins.  Windows are only used over bounded groups: the
 N+1 hour slots of a subject, or the item ids of one (subject, label, hour)
 cell.  Values are summed as exact integers of 10^-10 and only the average is
 rounded (half away from zero, 2 decimals), so sums do not depend on row order
-and every engine agrees.  NaN and infinite values are NULL from ingest on.
+and every engine agrees.  NaN and infinite values are NULL from ingest on; cells
+with a value of 10^15 or more are averaged in double precision.
 """
 
 from __future__ import annotations
@@ -29,15 +30,24 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
+EXACT = 1e15  # values below it are summed exactly; their units of 10^-10 keep 13 digits for the count
+
+
 def _units(value: Column) -> Column:
-    """The value in units of 10^-10, an exact integer."""
-    return F.round(finite(value) * F.lit(1e10)).cast("decimal(38,0)")
+    """The value in units of 10^-10, an exact integer; NULL at and beyond ``EXACT``."""
+    return F.when(F.abs(finite(value)) < EXACT, F.round(value * F.lit(1e10)).cast("decimal(25,0)"))
+
+
+def _large(value: Column) -> Column:
+    """Values at and beyond ``EXACT`` as they are: cells that hold one are averaged in double precision,
+    where neighbouring values lie further apart than the two decimals kept."""
+    return F.when(F.abs(finite(value)) >= EXACT, value)
 
 
-def _mean2(total: str, n: str) -> Column:
-    """Mean of ``n`` values that sum to ``total`` units, rounded half away from
-    zero to 2 decimals by integer division; NULL when n = 0."""
-    return F.expr(f"CASE WHEN {n} > 0 THEN signum({total}) * "
+def _mean2(total: str, n: str, large: str, n_large: str) -> Column:
+    """Mean of ``n`` values that sum to ``total`` units and ``n_large`` that sum to ``large``; without large ones
+    rounded half away from zero to 2 decimals by integer division; NULL without values."""
+    return F.expr(f"CASE WHEN {n_large} > 0 THEN ({large} + coalesce({total}, 0) / 1e10D) / ({n} + {n_large}) WHEN {n} > 0 THEN signum({total}) * "
                   f"((abs({total}) * 2 + {n} * 100000000) div ({n} * 200000000)) / 100.0D END")
 
 
@@ -116,12 +126,13 @@ def hourly_average(hours: DataFrame) -> DataFrame:
     The visit/stay ids of a cell are its smallest ones (the original keeps an
     arbitrary row).
     """
-    c = _units(F.col("valuenum"))
+    c, big = _units(F.col("valuenum")), _large(F.col("valuenum"))
     return (hours.groupBy("subject_id", "label", "hours_in")
             .agg(F.min("icustay_id").alias("icustay_id"), F.min("hadm_id").alias("hadm_id"),
-                 F.sum(c).alias("_s"), F.count(c).alias("_n"), F.count(F.lit(1)).alias("n_measures"))
+                 F.sum(c).alias("_s"), F.count(c).alias("_n"), F.sum(big).alias("_b"), F.count(big).alias("_nb"),
+                 F.count(F.lit(1)).alias("n_measures"))
             .select("subject_id", "icustay_id", "hadm_id", "label", "hours_in",
-                    _mean2("_s", "_n").alias("valuenum_avg"), "n_measures"))
+                    _mean2("_s", "_n", "_b", "_nb").alias("valuenum_avg"), "n_measures"))
 
 
 def running_average(hours: DataFrame) -> DataFrame:
@@ -132,15 +143,30 @@ def running_average(hours: DataFrame) -> DataFrame:
     cell, then joined back to the measurements.
     """
     keys = ["subject_id", "label", "hours_in"]
-    c = _units(F.col("valuenum"))
-    per_item = hours.groupBy(*keys, "itemid").agg(F.sum(c).alias("_s"), F.count(c).alias("_n"))
+    c, big = _units(F.col("valuenum")), _large(F.col("valuenum"))
+    per_item = hours.groupBy(*keys, "itemid").agg(F.sum(c).alias("_s"), F.count(c).alias("_n"), F.sum(big).alias("_b"), F.count(big).alias("_nb"))
     w = Window.partitionBy(*keys).orderBy(F.col("itemid").asc_nulls_last()) \
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    run = per_item.select(*keys, "itemid", F.sum("_s").over(w).alias("_s"), F.sum("_n").over(w).alias("_n")) \
-        .select(*keys, "itemid", _mean2("_s", "_n").alias("valuenum_running_avg"))
+    run = per_item.select(*keys, "itemid", *(F.sum(x).over(w).alias(x) for x in ("_s", "_n", "_b", "_nb"))) \
+        .select(*keys, "itemid", _mean2("_s", "_n", "_b", "_nb").alias("valuenum_running_avg"))
     return hours.join(run, keys + ["itemid"], "left")
 
 
+def sequence_summaries(trailing: DataFrame) -> DataFrame:
+    """M1 (per-feature summaries): (subject_id, label, n, mean, last, slope) of each label's hourly values.
+
+    ``last`` is the value of the latest hour, ``slope`` the least-squares slope per hour, NULL where all values
+    stand at one hour.  Hours and values (two decimals) are summed as exact integers and only the final quotients
+    are rounded, so the order of rows does not matter.  One partial aggregate: no window, no list."""
+    x, y = F.col("hours_in").cast("decimal(19,0)"), F.round(F.col("valuenum_avg") * 100).cast("decimal(19,0)")
+    sums = trailing.filter(F.col("valuenum_avg").isNotNull()).groupBy("subject_id", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("valuenum_avg", "hours_in").alias("last"),
+        F.sum(x).alias("_x"), F.sum(y).alias("_y"), F.sum(x * y).alias("_xy"), F.sum(x * x).alias("_xx"))
+    over = F.expr("n * _xx - _x * _x").cast("double")
+    return sums.select("subject_id", "label", "n", (F.col("_y").cast("double") / F.col("n").cast("double") / 100).alias("mean"), "last",
+                       F.when(over > 0, F.expr("n * _xy - _x * _y").cast("double") / over / 100).alias("slope"))
+
+
 def pivot_hourly(cells: DataFrame, labels: Sequence[str],
                  index: Sequence[str] = ("subject_id", "icustay_id", "hadm_id", "hours_in")) -> DataFrame:
     """A4: wide hourly frame, one column per label (mean of the cell values).

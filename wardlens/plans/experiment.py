@@ -1,7 +1,7 @@
 """Experiment runner (M8, M9, S8-S10): pick the cohort column, fit one model
 family, score the evaluation split, compute per-cohort / macro / micro AUC
-(optionally bootstrapped) and append the rows to a run log, skipping a
-configuration that the log already holds.
+(optionally bootstrapped) and write the rows to a run log, once per run, skipping
+a configuration that the log already holds.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from wardlens.sources import sinks
 
 @dataclass
 class ExperimentSpec:
-    model: str = "GLOBAL"              # GLOBAL | SEPARATE | MULTITASK
+    model: str = "GLOBAL"              # GLOBAL | SEPARATE | MULTITASK | TREES
     label: str = "readmission_30_days"
     cohort: str = "first_careunit"     # any cohort column, or "cluster" after with_cohorts
     sample_weights: bool = True        # cohort inverse-frequency weights (R4)
-    cohort_as_feature: bool = False    # GLOBAL only: append the cohort one-hot (F13)
+    cohort_as_feature: bool = False    # GLOBAL and TREES: append the cohort one-hot (F13)
     evaluate_on: str = "test"          # "val" (train mode) or "test" (test mode)
     replicates: int = 0                # 0: single AUC; >0: bootstrapped min/max/mean
     all_replicates: bool = False       # log every replicate's AUC instead of min/max/mean (E4)
@@ -46,39 +46,34 @@ def with_cohorts(rows: DataFrame, membership: DataFrame, name: str = "cluster")
     return rows.join(m, "subject_id")
 
 
-def _load_scored(spec: ExperimentSpec, evalset: DataFrame, keep: list, load_dir: str) -> DataFrame:
-    """Test mode: score with the models saved by an earlier run (no fitting)."""
-    if spec.model in ("GLOBAL", "SEPARATE", "MULTITASK"):
-        return L.score_global(PipelineModel.load(os.path.join(load_dir, spec.model.lower())), evalset, keep)
-    raise ValueError(f"unknown model family {spec.model}")
+FAMILIES = ("GLOBAL", "SEPARATE", "MULTITASK", "TREES")
 
 
-def _scored(spec: ExperimentSpec, rows: DataFrame, model_dir: str | None, load_dir: str | None = None) -> DataFrame:
-    train = rows.filter(F.col("split") == "train")
-    evalset = rows.filter(F.col("split") == spec.evaluate_on)
-    keep = ["subject_id", spec.cohort, spec.label]
-    if load_dir:
-        return _load_scored(spec, evalset, keep, load_dir)
+def fit_family(spec: ExperimentSpec, train: DataFrame) -> PipelineModel:
+    """M4-M6: the model of the specification's family on its training rows."""
+    if spec.model == "SEPARATE":
+        return L.fit_separate(train, spec.label, spec.cohort)
     weight = None
-    if spec.sample_weights and spec.model != "SEPARATE":
-        train = SA.cohort_weights(train, spec.cohort)
-        weight = "weight"
-    if spec.model == "GLOBAL":
-        m = L.fit_global(train, spec.label, weight, spec.cohort if spec.cohort_as_feature else None)
-        if model_dir:
-            m.write().overwrite().save(os.path.join(model_dir, "global"))
-        return L.score_global(m, evalset, keep)
+    if spec.sample_weights:
+        train, weight = SA.cohort_weights(train, spec.cohort), "weight"
     if spec.model == "MULTITASK":
-        m = L.fit_multitask(train, spec.label, spec.cohort, weight)
-        if model_dir:
-            m.write().overwrite().save(os.path.join(model_dir, "multitask"))
-        return L.score_global(m, evalset, keep)
-    if spec.model == "SEPARATE":
-        m = L.fit_separate(train, spec.label, spec.cohort)
+        return L.fit_multitask(train, spec.label, spec.cohort, weight)
+    fit = L.fit_trees if spec.model == "TREES" else L.fit_global
+    return fit(train, spec.label, weight, spec.cohort if spec.cohort_as_feature else None)
+
+
+def _scored(spec: ExperimentSpec, rows: DataFrame, model_dir: str | None, load_dir: str | None = None) -> DataFrame:
+    """Scores of the evaluation split, by a model fitted here (and saved) or, in test mode, by one saved earlier."""
+    if spec.model not in FAMILIES:
+        raise ValueError(f"unknown model family {spec.model}")
+    name = spec.model.lower()
+    if load_dir:
+        model = PipelineModel.load(os.path.join(load_dir, name))
+    else:
+        model = fit_family(spec, rows.filter(F.col("split") == "train"))
         if model_dir:
-            m.write().overwrite().save(os.path.join(model_dir, "separate"))
-        return L.score_global(m, evalset, keep)
-    raise ValueError(f"unknown model family {spec.model}")
+            model.write().overwrite().save(os.path.join(model_dir, name))
+    return L.score_global(model, rows.filter(F.col("split") == spec.evaluate_on), ["subject_id", spec.cohort, spec.label])
 
 
 def evaluate_scores(spec: ExperimentSpec, scored: DataFrame) -> DataFrame:
@@ -110,7 +105,7 @@ def run_experiment(rows: DataFrame, spec: ExperimentSpec, log_path: str | None =
     scores with the saved models instead of fitting."""
     spark = rows.sparkSession
     key = spec.key()
-    found = sinks.read_if_present(spark, log_path) if log_path and not allow_repeats else None
+    found = sinks.read_log(spark, log_path) if log_path and not allow_repeats else None
     if found is not None:
         pm = F.from_json("params", "map<string,string>")
         log = found.select(*[pm[k].alias(k) for k in key]).distinct()
@@ -124,8 +119,8 @@ def run_experiment(rows: DataFrame, spec: ExperimentSpec, log_path: str | None =
                          F.lit(spec.model).alias("model"), "scope", "metric",
                          F.col("value").cast("double").alias("value"))
     if log_path:
-        sinks.append_results(out, log_path)
+        sinks.log_results(out, log_path)
         sinks.release(scored)
-        logged = spark.read.parquet(log_path)
+        logged = sinks.read_log(spark, log_path)
         return logged.filter((F.col("run_id") == spec.run_id) & (F.col("params") == sinks.params_json(key)))
     return out

@@ -7,20 +7,24 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardlens.functions.codesets import CLINICAL
 from wardlens.operators import evaluate as EV
+from wardlens.operators import features as FE
 from wardlens.operators import learn as L
 from wardlens.operators import sampling as SA
+from wardlens.operators import series
 from wardlens.plans import experiment as X
 from wardlens.plans.catalog import register
 from wardlens.plans import sqltext as S
 from wardlens.plans.q_eval import _ceil_frac, _h
 from wardlens.plans.q_features import FEATURE_CTES, fixture_static, fixture_table
 from wardlens.sources import sinks
-from wardlens.plans.q_series import N
+from wardlens.plans.q_series import LABELS, N, fixture_trailing
 from wardlens.session import ensure_checkpoint_dir
 from wardlens.sources.tables import Tables
 
@@ -40,10 +44,18 @@ def fixture_model_rows(t: Tables):
     return t.derived("model_rows", build)
 
 
+def _encoder_rows(t: Tables):
+    """Model rows with the numeric summaries of their sequences beside the tokens."""
+    vectors = FE.summary_vectors(series.sequence_summaries(fixture_trailing(t)), LABELS)
+    return fixture_model_rows(t).join(vectors, "subject_id")
+
+
+def _encoder(t: Tables):
+    return L.fit_embedding(_encoder_rows(t).filter(F.col("split") == "train"), CLINICAL["embedding_size"])
+
+
 def _embedded(t: Tables):
-    rows = fixture_model_rows(t)
-    model = L.fit_embedding(rows.filter(F.col("split") == "train"), CLINICAL["embedding_size"])
-    return L.embed(model, rows)
+    return L.embed(_encoder(t), _encoder_rows(t))
 
 
 _SPLIT = "CASE WHEN rank < {t} THEN 'test' WHEN rank < {t} + {v} THEN 'val' ELSE 'train' END".format(
@@ -89,14 +101,17 @@ def cohort_one_hot(spark, d):
 
 @register("separate_scored_scopes", learn_sql(f"""
 SELECT family, coalesce({COHORT}, 'micro') AS scope, count(*) FILTER ({LABEL} = 1) AS n_pos, count(*) FILTER ({LABEL} = 0) AS n_neg
-FROM mrows, (VALUES ('GLOBAL'), ('SEPARATE'), ('MULTITASK')) f(family) WHERE split = 'test'
+FROM mrows, (VALUES ('GLOBAL'), ('SEPARATE'), ('MULTITASK'), ('TREES')) f(family) WHERE split = 'test'
 GROUP BY GROUPING SETS ((family, {COHORT}), (family))"""))
 def separate_scored_scopes(spark, d):
     """M4-M7: rows that each family scores, by cohort and pooled; none may drop a row."""
     rows = fixture_model_rows(Tables(spark, d))
     train, test = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
-    fits = {"GLOBAL": L.fit_global(_weighted_train(rows), LABEL, "weight"), "SEPARATE": L.fit_separate(train, LABEL, COHORT),
-            "MULTITASK": L.fit_multitask(_weighted_train(rows), LABEL, COHORT, "weight")}
+    path, fits = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex), {}
+    for family in X.FAMILIES:  # every family is saved and scores as reloaded
+        X.fit_family(X.ExperimentSpec(model=family, label=LABEL, cohort=COHORT, cohort_as_feature=family == "TREES"), train) \
+            .write().save(os.path.join(path, family))
+        fits[family] = PipelineModel.load(os.path.join(path, family))
     out = None
     for family, model in fits.items():
         scored = L.score_global(model, test, ["subject_id", COHORT, LABEL]).filter(F.col("score").between(0, 1))
@@ -124,7 +139,6 @@ SELECT f.subject_id, f.step, f.feature, n.feature_index FROM ftable f JOIN (
   SELECT CAST(row_number() OVER (ORDER BY feature) AS INTEGER) AS feature_index, feature FROM (SELECT DISTINCT feature FROM ftable)) n USING (feature)"""))
 def sequences_read_back(spark, d):
     """Model table and feature names written and read again."""
-    from wardlens.operators import features as FE
     table = fixture_table(Tables(spark, d))
     path = os.path.join(ensure_checkpoint_dir(spark), "sequences", uuid.uuid4().hex)
     sinks.write_sequences(table, FE.feature_names(table), path)
@@ -148,7 +162,6 @@ def membership_read_back(spark, d):
 @register("model_reload", learn_sql("SELECT subject_id, true AS same FROM mrows WHERE split = 'test'"))
 def model_reload(spark, d):
     """A saved and reloaded model scores every row as before."""
-    from pyspark.ml import PipelineModel
     rows = fixture_model_rows(Tables(spark, d))
     test = rows.filter(F.col("split") == "test")
     m = L.fit_separate(rows.filter(F.col("split") == "train"), LABEL, COHORT)
@@ -158,6 +171,55 @@ def model_reload(spark, d):
     return a.join(b.withColumnRenamed("score", "again"), "subject_id").select("subject_id", (F.col("score") == F.col("again")).alias("same"))
 
 
+@register("mixture_reload", learn_sql("SELECT subject_id, true AS same_embedding, true AS same_cluster, true AS same_probability FROM mrows"))
+def mixture_reload(spark, d):
+    """A stored clustering, read again, embeds and assigns every subject as the fitted one does."""
+    t = Tables(spark, d)
+    rows, encoder = _encoder_rows(t), _encoder(t)
+    emb = t.derived("embedding", lambda: L.embed(encoder, rows))
+    mixture = _mixture(t, emb)
+    path = os.path.join(ensure_checkpoint_dir(spark), "clusterings", uuid.uuid4().hex)
+    L.save_clustering(spark, path, encoder, mixture)
+    encoder, again = L.load_clustering(spark, path)
+    new = sinks.materialize(L.embed(encoder, rows), "embedding-again")
+    both = [L.assign_clusters(m, e).join(e.select("subject_id", vector_to_array("embedding").alias("e")), "subject_id")
+            .select("subject_id", F.struct("e", "cluster", "probability").alias(name)) for m, e, name in ((mixture, emb, "a"), (again, new, "b"))]
+    x = both[0].join(both[1], "subject_id")
+    return x.select("subject_id", *(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).alias(n) for c, n in (
+        ("e", "same_embedding"), ("cluster", "same_cluster"), ("probability", "same_probability"))))
+
+
+@register("sequence_matrix", learn_sql(f"""
+SELECT subject_id, list(place ORDER BY step, place) AS indices, list(CAST(1 AS INTEGER)) AS data,
+       list_transform(range(0, {N} + 1), lambda s: CAST(len(list_filter(list(step), lambda x: x < s)) AS INTEGER)) AS indptr
+FROM (SELECT DISTINCT f.subject_id, f.step, n.place FROM ftable f JOIN (
+  SELECT CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS place, feature FROM (SELECT DISTINCT feature FROM ftable)) n USING (feature))
+GROUP BY subject_id"""))
+def sequence_matrix(spark, d):
+    """One sparse matrix per subject, written and read again."""
+    table = fixture_table(Tables(spark, d))
+    names, path = FE.feature_names(table), os.path.join(ensure_checkpoint_dir(spark), "matrices", uuid.uuid4().hex)
+    sinks.write_matrix(FE.sequence_matrix(table, names, N), names, path)
+    return spark.read.parquet(os.path.join(path, "matrix"))
+
+
+@register("clustered_sequences", learn_sql("""
+SELECT subject_id, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_files, true AS own_range, true AS sorted FROM ftable GROUP BY subject_id"""))
+def clustered_sequences(spark, d):
+    """The model table in files of disjoint subject ranges: each subject's rows, files, and whether its file's
+    range overlaps no other and holds the subject's steps in order."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "clustered", uuid.uuid4().hex)
+    files = sinks.write_clustered(fixture_table(Tables(spark, d)), path)
+    by = Window.partitionBy(F.lit(0)).orderBy("low", "high")  # one row per file
+    files = files.select("file", (F.coalesce(F.lead("low").over(by) > F.col("high"), F.lit(True))
+                                  & F.coalesce(F.lag("high").over(by) < F.col("low"), F.lit(True))).alias("own_range"))
+    place = Window.partitionBy("subject_id", "file").orderBy("at")
+    rows = spark.read.parquet(os.path.join(path, "rows")).select("subject_id", "step", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.withColumn("sorted", F.coalesce(F.lag("step").over(place) <= F.col("step"), F.lit(True)))
+    return rows.join(files, "file").groupBy("subject_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("file").alias("n_files"), F.bool_and("own_range").alias("own_range"), F.bool_and("sorted").alias("sorted"))
+
+
 @register("embed_sequences")
 def embed_sequences(spark, d):
     e = _embedded(Tables(spark, d))
@@ -178,12 +240,14 @@ def _test_auc(scored):
     return EV.auc_macro_micro(scored.withColumnRenamed(LABEL, "y"), COHORT)
 
 
+def _mixture(t: Tables, emb):
+    train = emb.join(fixture_model_rows(t).filter(F.col("split") == "train").select("subject_id"), "subject_id")
+    return L.fit_mixture(train, CLINICAL["clusters"], CLINICAL["cluster_starts"], CLINICAL["cluster_tol"], SEED)
+
+
 def _membership(t: Tables):
-    rows = fixture_model_rows(t)
     emb = t.derived("embedding", lambda: _embedded(t))
-    train = emb.join(rows.filter(F.col("split") == "train").select("subject_id"), "subject_id")
-    gm = L.fit_mixture(train, CLINICAL["clusters"], CLINICAL["cluster_starts"], CLINICAL["cluster_tol"], SEED)
-    return L.assign_clusters(gm, emb)
+    return L.assign_clusters(_mixture(t, emb), emb)
 
 
 @register("model_global")

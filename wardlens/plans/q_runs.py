@@ -1,4 +1,4 @@
-"""Queries of build step 9: run log and configuration bookkeeping."""
+"""Queries of build step 9: run log, configuration bookkeeping (S7-S9) and rebuilding of derived tables (S3)."""
 
 from __future__ import annotations
 
@@ -7,12 +7,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from wardlens.functions.codesets import FIXTURE
 from wardlens.operators import evaluate as EV
+from wardlens.operators import flags, series
+from wardlens.plans import q_flags
 from wardlens.plans import sqltext as S
 from wardlens.plans.catalog import register
+from wardlens.plans.q_cohort import fixture_index_stays
 from wardlens.plans.q_eval import EVAL_CTES, _auc_sql, fixture_scored
+from wardlens.plans.q_series import SERIES_CTES, _branch
 from wardlens.session import ensure_checkpoint_dir
-from wardlens.sources import sinks
+from wardlens.sources import roles, sinks
+from wardlens.sources.derived import DerivedTables, files_version
 from wardlens.sources.tables import Tables
 
 MODELS = ["GLOBAL", "SEPARATE", "MULTITASK"]
@@ -52,3 +58,72 @@ def run_log_append(spark, d):
     for run, reg in (("run-0", 0.01), ("run-1", 0.1)):
         sinks.append_results(sinks.results_frame(spark, run, {"reg": reg}, "GLOBAL", per), path)
     return spark.read.parquet(path)
+
+
+@register("run_log_once", S.with_roles(extra=EVAL_CTES, body=f"""
+SELECT r.run_id, r.params, 'GLOBAL' AS model, CAST(a.lang AS VARCHAR) AS scope, 'auc' AS metric, a.auc AS value
+FROM ({_auc_sql('scored', ['lang'])}) a,
+     (VALUES ('run-0', '{{"reg":"0.01"}}'), ('run-1', '{{"reg":"0.1"}}')) r(run_id, params)"""))
+def run_log_once(spark, d):
+    """Two runs logged at the same time, one of them again: one set of rows each."""
+    t = Tables(spark, d)
+    path = os.path.join(ensure_checkpoint_dir(spark), "runlog", uuid.uuid4().hex)
+    per = EV.auc_by_cohort(fixture_scored(t), "lang").withColumnRenamed("lang", "scope")
+    first, second = (sinks.results_frame(spark, run, {"reg": reg}, "GLOBAL", per) for run, reg in (("run-0", 0.01), ("run-1", 0.1)))
+    t.prefetch(lambda: sinks.log_results(first, path), lambda: sinks.log_results(second, path))
+    sinks.log_results(first, path)
+    return sinks.read_log(spark, path)
+
+
+def derived_study(t: Tables, root: str) -> DerivedTables:
+    """S3: the study's four persisted tables over the fixture's files, in dependency order."""
+    g = DerivedTables(t.spark, root)
+    for name in ("orders", "lineitem", "customer", "part", "events"):
+        g.source(name, lambda name=name: getattr(t, name), files_version(t.spark, os.path.join(t.sf_dir, f"{name}.parquet")))
+    dct = roles.item_dictionary(t.spark)
+
+    def flags_of(*_):
+        return flags.first_visit_flags(roles.stays(t), roles.code_dictionary(t), roles.code_facts(t), excluded_units=FIXTURE["excluded_units"], **q_flags._kw())
+
+    def measured(cohort, _, lab_ids, chart_ids):
+        return series.measurements(roles.lab_events(t), dct, lab_ids, roles.chart_events(t), dct, chart_ids, cohort, ["subject_id"], ["subject_id"])
+
+    g.table("index_stays", lambda *_: fixture_index_stays(t, stays=roles.stays(t)), ["orders", "lineitem", "customer"])
+    g.table("visit_flags", flags_of, ["orders", "lineitem", "part"])
+    g.table("measurements", measured, ["index_stays", "events"], {"lab_ids": FIXTURE["lab_item_ids"], "chart_ids": FIXTURE["chart_item_ids"]})
+    g.table("hourly", lambda m: series.hourly_average(series.with_hours(m)), ["measurements"])
+    return g
+
+
+FEWER = list(FIXTURE["chart_item_ids"])[::2]
+
+
+def _counts_sql(step: int, rebuilt: str, chart_ids) -> str:
+    meas = f"SELECT * FROM ({_branch('lab_events', FIXTURE['lab_item_ids'])} UNION ALL {_branch('chart_events', chart_ids)})"
+    hours = S.round_ratio(S.minutes("m.charttime", "o.min_time"), 60)
+    hourly = f"""SELECT DISTINCT m.subject_id, m.label, {hours} AS h FROM ({meas}) m
+      JOIN (SELECT subject_id, label, min(charttime) AS min_time FROM ({meas}) GROUP BY subject_id, label) o ON m.subject_id = o.subject_id AND m.label = o.label"""
+    sizes = (("index_stays", "SELECT * FROM idx_full"), ("visit_flags", "SELECT * FROM first_st"), ("measurements", meas), ("hourly", hourly))
+    return " UNION ALL ".join(f"SELECT {step} AS step, '{n}' AS name, {str(n in rebuilt.split()).lower()} AS rebuilt, count(*) AS n_rows FROM ({q})" for n, q in sizes)
+
+
+@register("rebuild_cascade", S.with_roles(
+    "stays", "subjects", "visits", "deaths", "lab_events", "chart_events", "item_dictionary", "code_dictionary", "code_facts",
+    extra=SERIES_CTES + ",\n" + q_flags._FIRST_SQL, body=" UNION ALL ".join((
+        _counts_sql(1, "index_stays visit_flags measurements hourly", FIXTURE["chart_item_ids"]), _counts_sql(2, "", FIXTURE["chart_item_ids"]),
+        _counts_sql(3, "measurements hourly", FEWER), _counts_sql(4, "index_stays measurements hourly", FEWER)))))
+def rebuild_cascade(spark, d):
+    """S3: which tables are rebuilt, and their rows, (1) at first, (2) with nothing new, (3) after the list of chart items
+    changed, (4) after the index stays were dropped with all that was built on them."""
+    root = os.path.join(ensure_checkpoint_dir(spark), "derived", uuid.uuid4().hex)
+    g, found = derived_study(Tables(spark, d), root), []
+    for step in (1, 2, 3, 4):
+        if step == 3:
+            g.change("measurements", chart_ids=FEWER)
+        if step == 4:
+            g.drop("index_stays")
+        found += [(step, name, rebuilt, g.read(name).count()) for name, rebuilt in g.refresh().items()]
+    for name in ("index_stays", "visit_flags"):
+        g.drop(name)
+    g.sweep()
+    return spark.createDataFrame(found, "step int, name string, rebuilt boolean, n_rows bigint")

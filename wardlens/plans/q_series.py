@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wardlens.functions.codesets import FIXTURE, FIXTURE_EVENT_TYPES
 from wardlens.operators import series
+from wardlens.operators.ranking import row_number_within
 from wardlens.plans import sqltext as S
 from wardlens.plans.catalog import register
 from wardlens.plans.q_cohort import fixture_index_stays, fixture_stays
@@ -168,21 +169,37 @@ def running_avg_fine(spark, d):
 @register("measurements_by_stay", series_sql("""
 SELECT e.subject_id, c.hadm_id, e.charttime, e.valuenum, CAST(e.charttime AS DATE) AS date_entered, i.label, i.itemid, e.icustay_id
 FROM (SELECT a.*, s.icustay_id, CASE WHEN a.event_id % 5 <> 0 THEN s.hadm_id END AS fact_hadm
-      FROM chart_events a JOIN (SELECT subject_id, hadm_id, icustay_id FROM stays) s
-        ON a.subject_id = s.subject_id AND (a.event_id + s.icustay_id) % 3 = 0) e
+      FROM chart_events a JOIN (SELECT subject_id, count(*) AS n FROM stays GROUP BY subject_id) k ON a.subject_id = k.subject_id
+      JOIN (SELECT subject_id, hadm_id, icustay_id, row_number() OVER (PARTITION BY subject_id ORDER BY icustay_id) - 1 AS turn FROM stays) s
+        ON a.subject_id = s.subject_id AND a.event_id % k.n = s.turn) e
 JOIN item_dictionary i ON e.itemid = i.itemid
 JOIN idx_full c ON e.subject_id = c.subject_id AND e.icustay_id = c.icustay_id
 WHERE e.fact_hadm IS NOT NULL AND i.itemid IN """ + S.in_list(P["chart_item_ids"])))
 def measurements_by_stay(spark, d):
-    """J8 by (subject, stay) and P3: facts carry a stay id and a nullable visit id."""
+    """J8 by (subject, stay) and P3: facts carry a stay id and a nullable visit id.
+
+    The fixture's events have no stay; each gets exactly one stay of its subject, in turn by event id."""
     t = Tables(spark, d)
     st = fixture_stays(t).select("subject_id", "hadm_id", "icustay_id")
-    facts = roles.chart_events(t).join(st, "subject_id").filter((F.col("event_id") + F.col("icustay_id")) % 3 == 0)
+    turns = row_number_within(st, "subject_id", [F.col("icustay_id").asc_nulls_last()], "turn")
+    counts = st.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_stays"))
+    facts = roles.chart_events(t).join(counts, "subject_id").withColumn("turn", (F.pmod("event_id", "n_stays") + 1).cast("int"))
+    facts = facts.join(turns, ["subject_id", "turn"]).drop("turn", "n_stays")
     facts = facts.withColumn("hadm_id", F.when(F.col("event_id") % 5 != 0, F.col("hadm_id")))
     return series.measurement_branch(facts, roles.item_dictionary(spark), P["chart_item_ids"], fixture_cohort(t),
                                      ["subject_id", "icustay_id"])
 
 
+@register("sequence_summaries", series_sql("""
+SELECT subject_id, label, n, CAST(y AS DOUBLE) / CAST(n AS DOUBLE) / 100 AS mean, last,
+       CASE WHEN n * xx - x * x > 0 THEN CAST(n * xy - x * y AS DOUBLE) / CAST(n * xx - x * x AS DOUBLE) / 100 END AS slope
+FROM (SELECT subject_id, label, count(*) AS n, max_by(valuenum_avg, hours_in) AS last, sum(h) AS x, sum(v) AS y, sum(h * v) AS xy, sum(h * h) AS xx
+      FROM (SELECT *, CAST(hours_in AS HUGEINT) AS h, CAST(round(valuenum_avg * 100) AS HUGEINT) AS v FROM trail) GROUP BY subject_id, label)"""))
+def sequence_summaries(spark, d):
+    """M1: last, mean, slope and count of each label's hourly values."""
+    return series.sequence_summaries(fixture_trailing(Tables(spark, d)))
+
+
 @register("pivot_hourly", series_sql(
     "SELECT subject_id, icustay_id, hadm_id, hours_in, "
     + ", ".join(f"avg(CASE WHEN label = {S.q(lb)} THEN valuenum_avg END) AS {lb}" for lb in LABELS)
