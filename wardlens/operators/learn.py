@@ -44,6 +44,7 @@ from wardlens.operators.sampling import cohort_weights, hash8
 from wardlens.sources.sinks import materialize, release
 
 FEW_BLOCKS = 4             # blocks whose sums the mixture adds up on the driver
+PART_ROWS = 2_000          # vectors worth a task of their own in the projection's products
 FAN = 64                   # blocks whose sums one task adds up
 ALL_TOKENS = 2 ** 31 - 1  # no feature is left out of a vocabulary
 
@@ -98,8 +99,12 @@ def fit_embedding(train_tokens: DataFrame, k: int) -> PipelineModel:
     with _persisted(_embedding_input(train_tokens)) as train:
         head = Pipeline(stages=stages).fit(train)
         dims = head.stages[-1].std.size
+        # every product of the iteration is a job over the vectors: they are kept, in parts of some PART_ROWS at least
+        # (never more than the session's settings give them)
         vectors = MLUtils.convertVectorColumnsFromML(head.transform(train).select("_scaled"), "_scaled")
-        svd = RowMatrix(vectors).computeSVD(max(1, min(k, dims)), computeU=False)
+        vectors = vectors.coalesce(1 + train.count() // PART_ROWS)
+        with _persisted(vectors) as kept:
+            svd = RowMatrix(kept).computeSVD(max(1, min(k, dims)), computeU=False)
     jvm = train_tokens.sparkSession._jvm
     axes = svd._java_model.V().asML()
     spread = jvm.org.apache.spark.ml.linalg.Vectors.zeros(axes.numCols()).toDense()
