@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.llm.quality import Tokens
-from wardlens.llm.shared import pieces
+from wardlens.llm.shared import pieces, small_batches
 from wardlens.session import ensure_checkpoint_dir
 
 LEXICON_WORDS = 1 << 16
+PIECE_BYTES = 2 << 20  # text that a task splits and encodes at once
 NONE = np.iinfo(np.int32).max
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the format's splitter
 
@@ -411,7 +412,7 @@ def word_counts(docs: DataFrame, vocabulary, text_col: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocabulary.value
         for b in batches:
-            for _, data, off in pieces(b, text_col, 16 << 20):
+            for _, data, off in pieces(b, text_col, PIECE_BYTES):
                 plain = Split.plain(data, off)
                 keep = np.flatnonzero(plain)
                 part = np.concatenate([data[off[i]:off[i + 1]] for i in keep]) if len(keep) < len(plain) and len(keep) else data if len(keep) else data[:0]
@@ -427,7 +428,7 @@ def word_counts(docs: DataFrame, vocabulary, text_col: str = "text") -> DataFram
                 if rest:
                     yield pa.RecordBatch.from_arrays([pa.array(list(rest), pa.binary()), pa.array(list(rest.values()), pa.int64())], ["word", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select(text_col).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def write_shared(spark: SparkSession, name: str, content: bytes) -> str:
@@ -461,7 +462,7 @@ def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_W
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value, Automaton.mapped(SparkFiles.get(name)))
         for b in batches:
-            for piece, data, off in pieces(b, text_col):
+            for piece, data, off in pieces(b, text_col, PIECE_BYTES):
                 ids = encoder.encode(data, off)
                 cols = list(piece.columns)
                 cut = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)

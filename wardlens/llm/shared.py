@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wardlens.sources.sinks import materialize  # noqa: F401  (re-exported for the operators)
 
 TEXT_BATCH_BYTES = 8 << 20  # bytes of text that a task holds as numpy arrays at once
+ARROW_BATCH_BYTES = 7 << 20  # bytes of rows that Spark hands to a task's Python side at once
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; bounds the Arrow batches of its session in bytes, unless the session sets a bound of its own.
+
+    Spark's bound counts rows: ten thousand long texts fill a task's memory."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(key, None) is None:
+        conf.set(key, str(ARROW_BATCH_BYTES))
+    return df
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, with underscores appended until no column has it (in any case)."""
     taken = {c.lower() for c in columns}
