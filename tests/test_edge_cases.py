@@ -262,7 +262,7 @@ def test_one_pass_slots_equal_window_chain(spark):
 
 def test_average_rank_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 0.1), (2, 0.4), (3, 0.35), (4, 0.8), (5, 0.4), (6, None)], "id long, score double")
-    got = {r["id"]: r["avg_rank"] for r in evaluate.average_rank(df, "score", buckets=2).collect()}
+    got = {r["id"]: r["avg_rank"] for r in evaluate.average_rank(df, "score", range_cells=2).collect()}
     assert got == {1: 1.0, 2: 3.5, 3: 2.0, 4: 5.0, 5: 3.5, 6: None}
 
 

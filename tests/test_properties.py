@@ -30,7 +30,7 @@ def _brute(rows):
 def test_auc_equals_pair_count(spark, rows):
     df = spark.createDataFrame([(float(s) / 7, y, c, w) for s, y, c, w in rows],
                                "score double, y int, c string, w int")
-    got = {r["c"]: r["auc"] for r in evaluate.auc(df, "y", "score", ["c"], weight="w", buckets=4).collect()}
+    got = {r["c"]: r["auc"] for r in evaluate.auc(df, "y", "score", ["c"], weight="w", range_cells=7).collect()}
     exp = _brute([(float(s) / 7, y, c, w) for s, y, c, w in rows])
     assert got.keys() == exp.keys()
     for k in exp:

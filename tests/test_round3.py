@@ -311,3 +311,99 @@ def test_matrix_round_trip(spark):
         assert all(sorted(set(r.indices[a:b])) == r.indices[a:b] for a, b in zip(r.indptr, r.indptr[1:]))
     back = features.matrix_cells(m, names)
     assert back.exceptAll(t.distinct()).isEmpty() and t.distinct().exceptAll(back).isEmpty()
+
+
+# ---- E1, W10 -----------------------------------------------------------------------------------
+
+def test_a_pooled_scope_of_continuous_scores_is_cut_into_ranges(spark):
+    """No window task sees more than about range_cells cells; AUC and ranks stay exact."""
+    from wardlens.operators import evaluate, ranking
+    n, limit = 4000, 250
+    rng = np.random.default_rng(6)
+    score, y = np.round(rng.normal(size=n), 6), rng.integers(0, 2, n)
+    d = spark.createDataFrame([(int(i), int(v), float(s)) for i, (v, s) in enumerate(zip(y, score))], "id long, y int, score double")
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(n)
+    for s in np.unique(score):
+        at = np.flatnonzero(score[order] == s)
+        rank[order[at]] = at.mean() + 1
+    want = (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (n - y.sum()))
+    assert evaluate.auc(d, range_cells=limit).first().auc == pytest.approx(want, abs=1e-12)
+    got = {r.id: r.avg_rank for r in evaluate.average_rank(d, range_cells=limit).collect()}
+    assert all(got[i] == rank[i] for i in range(n))
+    cells = d.groupBy("score").agg(F.count("*").cast("double").alias("n"))
+    seen = []
+    real = ranking.materialize
+    ranking.materialize = lambda df, name: seen.append(out := real(df, name)) or out
+    try:
+        ranking.sum_before(cells, [], "score", "n", "below", limit)
+    finally:
+        ranking.materialize = real
+    sizes = [r["count"] for r in seen[-1].groupBy("_pid").count().collect()]
+    assert len(sizes) >= n // limit - 1 and max(sizes) <= 2 * limit
+
+
+def test_ranges_keep_null_scopes_and_scopes_that_cross_borders(spark):
+    from wardlens.operators.ranking import sum_before
+    rows = [(g, float(s), float(s % 3)) for g, m in ((None, 40), ("a", 90), ("b", 1), ("c", 30)) for s in range(m)]
+    d = spark.createDataFrame(rows, "g string, score double, n double")
+    want = sorted(((g, s, sum(m for h, t, m in rows if h == g and t < s)) for g, s, _ in rows), key=str)
+    for limit in (7, 50, 1000):
+        got = sum_before(d, ["g"], "score", "n", "below", limit)
+        assert sorted(((r.g, r.score, r.below) for r in got.collect()), key=str) == want
+
+
+# ---- T4 on a stream ----------------------------------------------------------------------------
+
+def _batch_cells(rows, mark):
+    """Cells of (microseconds, value) rows that a watermark at ``mark`` has closed."""
+    if not rows:
+        return {}
+    origin, cells = min(t for t, _ in rows), {}
+    for t, v in rows:
+        cells.setdefault((2 * ((t - origin) // 60_000_000) + 60) // 120, []).append(v)
+    return {h: sorted(v) for h, v in cells.items() if origin < mark and origin + (60 * h + 30) * 60_000_000 <= mark}
+
+
+def test_state_steps_give_the_batch_cells():
+    from wardlens.streaming.hourly import advance
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        delay = int(rng.integers(1, 5_000)) * 1_000_000
+        origin, waiting, cells, mark, newest, found, used = None, [], {}, 0, 0, {}, []
+        for t in np.cumsum(rng.integers(0, 40, 60)) * 60_000_000 + rng.integers(0, delay, 60):
+            t, v = int(t), int(rng.integers(0, 100))
+            if t < mark:
+                continue  # late
+            used.append((t, v))
+            origin, waiting, cells, final = advance(origin, [*waiting, (t, [v, 1, 0.0, 0, 1, None, None])], cells, mark)
+            newest = max(newest, t)
+            found |= dict(final)
+            mark = max(mark, newest - delay)
+            origin, waiting, cells, final = advance(origin, waiting, cells, mark)
+            assert not found.keys() & {h for h, _ in final}  # a final cell never comes back
+            found |= dict(final)
+        want = _batch_cells(used, mark)
+        assert {h: (c[0], c[1]) for h, c in found.items()} == {h: (sum(v), len(v)) for h, v in want.items()}
+
+
+def test_stream_drops_late_rows_and_goes_on_after_a_stop(spark):
+    from wardlens.streaming.hourly import stream_hourly
+    schema = "subject_id long, label string, charttime timestamp_ntz, valuenum double, icustay_id long, hadm_id long"
+    base = tempfile.mkdtemp(prefix="wardlens-hourly-")
+    at = lambda minutes: f"2024-01-01 {minutes // 60:02d}:{minutes % 60:02d}:00"
+
+    def add(rows):
+        d = spark.createDataFrame([(s, "hr", at(m), v, 7, None) for s, m, v in rows], schema.replace("timestamp_ntz", "string"))
+        d.withColumn("charttime", F.col("charttime").cast("timestamp_ntz")).write.mode("append").parquet(os.path.join(base, "in"))
+
+    def run():
+        stream_hourly(spark.readStream.schema(schema).parquet(os.path.join(base, "in")), os.path.join(base, "out"), os.path.join(base, "progress"), "1 hour").awaitTermination()
+        return sorted(((r.subject_id, r.hours_in, r.valuenum_avg, r.n_measures, r.icustay_id, r.hadm_id) for r in spark.read.parquet(os.path.join(base, "out")).collect()), key=str)
+
+    add([(1, 60, 1.0), (1, 70, 2.0), (1, 100, 5.0), (2, 61, None)])
+    assert run() == []  # the watermark stands at 00:40
+    add([(1, 95, 6.0), (1, 240, 9.0), (None, 245, 4.0)])  # 01:35 is in time; the watermark comes to 03:05
+    assert run() == [(1, 0, 1.5, 2, 7, None), (1, 1, 5.5, 2, 7, None), (2, 0, None, 1, 7, None)]
+    add([(1, 62, 100.0), (1, 241, 10.0), (2, 600, 3.0)])  # 01:02 is late; the watermark comes to 09:00
+    assert run() == [(1, 0, 1.5, 2, 7, None), (1, 1, 5.5, 2, 7, None), (1, 3, 9.5, 2, 7, None), (2, 0, None, 1, 7, None), (None, 0, 4.0, 1, 7, None)]

@@ -3,19 +3,21 @@
 AUC = (sum over positives of the average rank - P(P+1)/2) / (P*N), ties
 sharing their average rank; NULL when a scope has one class only.  Computed
 as sum over positives of (negatives with a lower score + half the tied
-negatives): rows are first reduced to (scope, score) counts, each scope's
-scores are cut into ``buckets`` ranges by approximate quantiles (balance
-only, the result is exact), a window numbers scores inside one range, and
-the negatives below a range come from a bounded (scope x bucket) table.
+negatives): rows are first reduced to (scope, score) counts, cells, which are
+written and counted; ``ranking.sum_before`` adds up the cells below each one
+in ranges of some ``range_cells`` cells, so no window grows with the data,
+also where one pooled scope has as many scores as rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlens.operators.ranking import sum_before
+
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys, NULL equal to NULL; the keys of ``left`` stay."""
@@ -25,40 +27,23 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(right, on, how).drop(*names.values())
 
 
-def _cells_below(cells: DataFrame, keys: list[str], score: str, count: str, buckets: int) -> DataFrame:
-    """Add ``_below``: the sum of ``count`` over cells of the same scope with a
-    strictly lower score.  Scores of a scope are cut into ``buckets`` ranges by
-    approximate quantiles (balance only — the result is exact); a window runs
-    inside one range only, and the totals of lower ranges come from a
-    (scope x range) table."""
-    probs = [i / buckets for i in range(1, buckets)]
-    q = F.percentile_approx(score, probs, max(1000, 16 * buckets))
-    if keys:
-        # one row per scope, each an array of buckets-1 bounds
-        cells = _null_safe(cells, F.broadcast(cells.groupBy(*keys).agg(q.alias("_bounds"))), keys)
-    else:
-        # a single array: a scalar subquery, evaluated once
-        cells = cells.withColumn("_bounds", cells.select(q).scalar())
-    cells = cells.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(score)))).drop("_bounds")
-    part = keys + ["_b"]
-    inner = Window.partitionBy(*part).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_below_in", F.coalesce(F.sum(count).over(inner), F.lit(0.0)))
-    per_b = cells.groupBy(*part).agg(F.sum(count).alias("_nb"))
-    wb = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_b")
-    per_b = per_b.select(*part, (F.sum("_nb").over(wb) - F.col("_nb")).alias("_below_b"))
-    return _null_safe(cells, per_b, part).withColumn("_below", F.col("_below_b") + F.col("_below_in")) \
-        .drop("_b", "_below_in", "_below_b")
+RANGE_CELLS = 500_000  # cells that one window task holds at most, about
+
+
+def _cells_below(cells: DataFrame, keys: list[str], score: str, count: str, range_cells: int) -> DataFrame:
+    """Add ``_below``: the sum of ``count`` over cells of the same scope with a strictly lower score."""
+    return sum_before(cells, keys, score, count, "_below", range_cells)
 
 
 def auc(scored: DataFrame, label: str = "y", score: str = "score", scopes: Sequence[str] = (),
-        weight: str | None = None, buckets: int = 64) -> DataFrame:
+        weight: str | None = None, range_cells: int = RANGE_CELLS) -> DataFrame:
     """One row per scope with ``auc``, ``n_pos`` and ``n_neg``.
 
     ``weight`` (e.g. bootstrap multiplicity) counts a row that many times;
     rows with a NULL score are ignored.
     """
     keys = list(scopes)
-    return _auc_of_cells(_cells(scored, keys, label, score, weight), keys, score, buckets)
+    return _auc_of_cells(_cells(scored, keys, label, score, weight), keys, score, range_cells)
 
 
 def _cells(scored: DataFrame, keys: list[str], label: str, score: str, weight: str | None) -> DataFrame:
@@ -70,8 +55,8 @@ def _cells(scored: DataFrame, keys: list[str], label: str, score: str, weight: s
         F.sum(F.when(y == 0, w).otherwise(0)).cast("double").alias("neg"))
 
 
-def _auc_of_cells(cells: DataFrame, keys: list[str], score: str, buckets: int) -> DataFrame:
-    cells = _cells_below(cells, keys, score, "neg", buckets)
+def _auc_of_cells(cells: DataFrame, keys: list[str], score: str, range_cells: int) -> DataFrame:
+    cells = _cells_below(cells, keys, score, "neg", range_cells)
     contrib = F.col("pos") * (F.col("_below") + F.col("neg") * 0.5)
     aggs = [F.sum(contrib).alias("_u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")]
     agg = cells.groupBy(*keys).agg(*aggs) if keys else cells.agg(*aggs)
@@ -81,21 +66,21 @@ def _auc_of_cells(cells: DataFrame, keys: list[str], score: str, buckets: int) -
 
 
 def average_rank(df: DataFrame, score: str = "score", scopes: Sequence[str] = (), name: str = "avg_rank",
-                 buckets: int = 64) -> DataFrame:
+                 range_cells: int = RANGE_CELLS) -> DataFrame:
     """1-based rank of each row's score within its scope, ties sharing
     the average of their positions (``rank() + (ties - 1) / 2``); NULL scores
     get NULL.  Built on (scope, score) counts, so no window spans a scope."""
     keys = list(scopes)
     cells = df.filter(F.col(score).isNotNull()).groupBy(*keys, score) \
         .agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    cells = _cells_below(cells, keys, score, "_n", buckets)
+    cells = _cells_below(cells, keys, score, "_n", range_cells)
     ranks = cells.select(*keys, score, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
     return _null_safe(df, ranks, keys + [score], "left")
 
 
-def auc_by_cohort(scored: DataFrame, cohort: str, label: str = "y", score: str = "score", buckets: int = 64) -> DataFrame:
+def auc_by_cohort(scored: DataFrame, cohort: str, label: str = "y", score: str = "score", range_cells: int = RANGE_CELLS) -> DataFrame:
     """AUC per cohort (NULL for a one-class cohort; rows without a cohort are one cohort)."""
-    return auc(scored, label, score, [cohort], buckets=buckets)
+    return auc(scored, label, score, [cohort], range_cells=range_cells)
 
 
 def auc_bootstrap(scored: DataFrame, draws: DataFrame, id_col: str, cohort: str, label: str = "y",
@@ -123,7 +108,7 @@ def auc_bootstrap(scored: DataFrame, draws: DataFrame, id_col: str, cohort: str,
 
 
 def auc_bootstrap_macro_micro(drawn: DataFrame, cohort: str, label: str = "y", score: str = "score",
-                              weight: str = "multiplicity", summary: bool = True, buckets: int = 64) -> DataFrame:
+                              weight: str = "multiplicity", summary: bool = True, range_cells: int = RANGE_CELLS) -> DataFrame:
     """E3-E6 together: the AUC of every cohort, their macro mean (missing ones
     ignored) and the pooled micro AUC, each per replicate; ``summary`` gives
     min / max / mean over the replicates whose AUC exists.
@@ -133,10 +118,10 @@ def auc_bootstrap_macro_micro(drawn: DataFrame, cohort: str, label: str = "y", s
     cohort, score) counts; the pooled scope sums those, not the rows."""
     cells = _cells(drawn, ["replicate", cohort], label, score, weight)
     pooled = cells.groupBy("replicate", score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    per = _auc_of_cells(cells, ["replicate", cohort], score, buckets).select(
+    per = _auc_of_cells(cells, ["replicate", cohort], score, range_cells).select(
         "replicate", F.col(cohort).cast("string").alias("scope"), "auc")
     macro = per.groupBy("replicate").agg(F.avg("auc").alias("auc")).select("replicate", F.lit("macro").alias("scope"), "auc")
-    micro = _auc_of_cells(pooled, ["replicate"], score, buckets).select("replicate", F.lit("micro").alias("scope"), "auc")
+    micro = _auc_of_cells(pooled, ["replicate"], score, range_cells).select("replicate", F.lit("micro").alias("scope"), "auc")
     every = per.unionByName(macro).unionByName(micro)
     if not summary:
         return every
@@ -152,10 +137,10 @@ def route_predictions(rows: DataFrame, predictions: DataFrame, id_col: str, coho
     return rows.join(p, [id_col, cohort])
 
 
-def auc_macro_micro(scored: DataFrame, cohort: str, label: str = "y", score: str = "score", buckets: int = 64) -> DataFrame:
+def auc_macro_micro(scored: DataFrame, cohort: str, label: str = "y", score: str = "score", range_cells: int = RANGE_CELLS) -> DataFrame:
     """Per-cohort AUCs, their macro mean (missing ones ignored) and the
     micro AUC over all rows pooled; ``scope`` names the row."""
-    per = auc(scored, label, score, [cohort], buckets=buckets).select(F.col(cohort).cast("string").alias("scope"), "auc")
+    per = auc(scored, label, score, [cohort], range_cells=range_cells).select(F.col(cohort).cast("string").alias("scope"), "auc")
     macro = per.agg(F.avg("auc").alias("auc")).select(F.lit("macro").alias("scope"), "auc")
-    micro = auc(scored, label, score, buckets=buckets).select(F.lit("micro").alias("scope"), "auc")
+    micro = auc(scored, label, score, range_cells=range_cells).select(F.lit("micro").alias("scope"), "auc")
     return per.unionByName(macro).unionByName(micro)

@@ -48,3 +48,33 @@ def row_number_within(df: DataFrame, key: str, order: Sequence[Column], name: st
         .drop("_spid", "_skey")
     return out.withColumn(name, (F.col("_r") + F.coalesce(F.col("_off"), F.lit(0))).cast("int")) \
         .drop("_pid", "_r", "_off")
+
+
+def sum_before(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, range_rows: int) -> DataFrame:
+    """Add ``name``: the sum of ``value`` (double) over the rows of the same keys with a smaller ``order``.
+
+    (keys, order) must not repeat.  The rows are written and counted; up to ``range_rows`` of them go through one
+    window by key.  More are cut into as many ranges of (keys, order) as it takes for some ``range_rows`` each: a
+    window sums inside a (range, key), and the sums of a key's earlier ranges are added.  Only keys that cross a
+    range's border need them, at most two a range, so that table is broadcast."""
+    keys = list(keys)
+    zero = F.lit(0.0)
+    rows = materialize(df, "ordered")
+    n = rows.count()
+    own = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    if n <= range_rows:
+        return rows.withColumn(name, F.coalesce(F.sum(value).over(own), zero))
+    by = [F.col(c).asc_nulls_first() for c in [*keys, order]]
+    ranged = rows.repartitionByRange(-(-n // range_rows), *by).withColumn("_pid", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")  # every step below must see the same ranges
+    local = Window.partitionBy("_pid", *keys).orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    per = ranged.groupBy("_pid", *keys).agg(F.sum(value).alias("_v"))
+    every = Window.partitionBy(*(keys or [F.lit(0)]))
+    per = per.withColumns({"_parts": F.count(F.lit(1)).over(every), "_before": F.coalesce(F.sum("_v").over(
+        every.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), zero)}).filter("_parts > 1")
+    shifts = per.select(F.col("_pid").alias("_spid"), *(F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)), "_before")
+    same = F.col("_pid") == F.col("_spid")
+    for i, k in enumerate(keys):  # a NULL key is a key like any other
+        same &= F.col(k).eqNullSafe(F.col(f"_s{i}"))
+    out = ranged.withColumn("_own", F.coalesce(F.sum(value).over(local), zero)).join(F.broadcast(shifts), same, "left")
+    return out.withColumn(name, F.col("_own") + F.coalesce("_before", zero)).select(*rows.columns, name)

@@ -260,6 +260,35 @@ def stream_measurements(spark, d):
     return spark.read.parquet(os.path.join(base, "measurements"))
 
 
+@register("stream_hourly", series_sql(f"""
+SELECT h.subject_id, min(h.icustay_id) AS icustay_id, min(h.hadm_id) AS hadm_id, h.label, h.hours_in,
+       {_mean2(f'sum({_UNITS})', f'count({_UNITS})')} AS valuenum_avg, count(*) AS n_measures
+FROM hrs h JOIN (SELECT subject_id, label, epoch_us(min(charttime)) AS origin FROM meas GROUP BY subject_id, label) o
+  ON h.subject_id = o.subject_id AND h.label = o.label,
+  (SELECT (epoch_us(max(charttime)) // 1000 - 3600000) * 1000 AS mark FROM meas) w
+WHERE o.origin < w.mark AND o.origin + (60 * h.hours_in + 30) * 60000000 <= w.mark
+GROUP BY h.subject_id, h.label, h.hours_in"""))
+def stream_hourly(spark, d):
+    """T4 on a stream that stops twice: the measurements of three spans of time arrive one after the other, and each
+    time the query starts again from its checkpoint.  Its cells are those that the last watermark has closed."""
+    import os
+    import uuid
+
+    from wardlens.session import ensure_checkpoint_dir
+    from wardlens.streaming.hourly import stream_hourly as start
+
+    t = Tables(spark, d)
+    base = os.path.join(ensure_checkpoint_dir(spark), "streams", uuid.uuid4().hex)
+    meas, inbox = fixture_measurement_table(t), os.path.join(base, "inbox")
+    at = F.unix_micros(F.col("charttime").cast("timestamp"))
+    low, high = meas.agg(F.percentile_approx(at, [0.33, 0.66])).first()[0] or (0, 0)
+    for part in (at <= low, (at > low) & (at <= high), at > high):
+        meas.filter(part).write.mode("append").parquet(inbox)
+        rows = spark.readStream.schema(meas.schema).parquet(inbox)
+        start(rows, os.path.join(base, "cells"), os.path.join(base, "progress"), delay="1 hour").awaitTermination()
+    return spark.read.parquet(os.path.join(base, "cells"))
+
+
 @register("hours_in_subject_origin", series_sql(f"""
 SELECT m.*, {S.round_ratio(S.minutes('m.charttime', 'o.min_time'), 60)} AS hours_in,
        CAST({S.minutes('m.charttime', 'o.min_time')} AS DOUBLE) / 60.0 AS hours_raw
