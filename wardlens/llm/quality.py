@@ -8,7 +8,7 @@ hinge loss is fitted by dual coordinate descent.  Margins are turned into
 probabilities by a logistic curve fitted on margins of rows that the scoring
 model had not seen (cross-fitting).
 
-The fit uses at most ``fit_rows`` labelled rows (those with the smallest hash of
+The fit uses at most ``fit_rows`` labelled documents (those with the smallest hash of
 the id: a bounded sample, the documented parameter), gathered in one task; the
 model is one weight per slot (1 MB at 18 bits) and is broadcast.  Scoring is one
 pass without a shuffle over whole texts.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.shared import pieces
+from wardlens.llm.shared import pieces, small_batches, unused
 from wardlens.llm.words import Words, mix
 
 FIT_ROWS = 12_000
@@ -167,15 +167,22 @@ def fit_rows(slots: list[np.ndarray], y: np.ndarray, bits: int, folds: int = 3)
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = FIT_ROWS,
         bits: int = BITS) -> Model:
-    """Fit on at most ``rows`` rows of ``labels`` (doc_id, quality) for which ``usable`` holds.
+    """Fit on at most ``rows`` labelled documents: of the ``rows`` rows of ``labels`` (doc_id, quality) with the
+    smallest hash of the id for which ``usable`` holds, those that ``docs`` has.
 
-    Labels other than 0 and 1 and null ids are left out; an id labelled twice counts twice."""
+    Labels other than 0 and 1 and null ids are left out.  Rows that repeat an id, its label and its text count
+    once; an id with several texts or labels counts once for each, and if that makes more than ``rows``, those of
+    the smallest hashes of id and text are taken, so never more than ``rows`` reach the task that fits."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y")).filter(
         F.col("_y").isin(0, 1) & F.col("_id").isNotNull())
     if usable is not None:
         known = known.filter(usable)
-    sample = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
-    text = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    sample = known.distinct().orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
+    own = small_batches(docs).select("doc_id", "text")
+    met = own.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "_y", F.xxhash64("text").alias("_key"))
+    chosen = met.distinct().orderBy(F.xxhash64("_id", "_key"), "_id", "_key", "_y").limit(rows)  # at most ``rows`` rows, broadcast
+    text = own.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))) \
+        .select("_id", "_y", "_key", "text").dropDuplicates(["_id", "_y", "_key"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows:
                 yield pa.RecordBatch.from_arrays([piece.column("_id"), piece.column("_y"), pa.array(own, pa.binary())], ["_id", "_y", "slots"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted((i, v, s) for b in batches for i, v, s in zip(*(c.to_pylist() for c in b.columns)))[:4 * rows]
+        found = sorted((i, v, s) for b in batches for i, v, s in zip(*(c.to_pylist() for c in b.columns)))
         y = np.array([2 * v - 1 for _, v, _ in found], dtype=np.int64)
         m = fit_rows([np.frombuffer(s, np.int32) for _, _, s in found], y, bits)
         yield pa.RecordBatch.from_arrays(
@@ -200,9 +207,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """The columns of ``docs`` plus ``name``, a double from 0 to 1; a null text is an empty one."""
+    """The columns of ``docs`` plus ``name``, a double from 0 to 1; a null text is an empty one.
+
+    An input column ``name`` gives way to the new one; all others stay, whatever their names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.withColumn(name, F.lit(0.0))
+    src = small_batches(docs).withColumn(name, F.lit(0.0))
     names, at = src.columns, src.columns.index(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +241,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, all their columns."""
+    """The rows of ``docs`` that score ``threshold`` or more, all their columns, whatever their names."""
     model = fit(docs, labels, fold(F.col("_id")) != 2, rows)
-    return score(docs, model, name="_quality").filter(F.col("_quality") >= threshold).select(*docs.columns)
+    name = unused("_quality", docs.columns)
+    return score(docs, model, name=name).filter(F.col(name) >= threshold).select(*docs.columns)
