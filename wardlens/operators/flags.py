@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wardlens.functions.scalar import in_set_flag, title_flag
 from wardlens.operators.cohort import exclude_units, stay_sequence
+from wardlens.sources.sinks import materialize
 
 
 def flag_columns(code_flags: Mapping[str, Iterable[str]], title: tuple[str, str] | None,
@@ -51,10 +52,12 @@ def code_flags(dictionary: DataFrame, facts: DataFrame, *, code_flags: Mapping[s
     Dictionary codes without facts are kept with NULL subject/visit.  Written
     as facts INNER JOIN dictionary (AQE can split a hot code on either side)
     UNION ALL the dictionary rows whose code no fact uses (anti join against
-    the distinct fact codes), which is the same multiset of rows.
+    the distinct fact codes), which is the same multiset of rows.  The facts'
+    three columns are written once, so the facts, often a join of their own,
+    are made once; the distinct codes read one column of the copy.
     """
     d = dictionary.select(F.col(code).alias("d_code"), "long_title")
-    f = facts.select("subject_id", "hadm_id", F.col(code).alias("f_code"))
+    f = materialize(facts.select("subject_id", "hadm_id", F.col(code).alias("f_code")), "code-facts")
     flags = flag_columns(code_flags, title_flag, lowercase_flags=lowercase_flags,
                          fact_side_flags=fact_side_flags)
     matched = f.join(d, f.f_code == d.d_code, "inner")

@@ -35,6 +35,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import (CountVectorizer, Interaction, OneHotEncoder, PCAModel, StandardScaler,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -399,6 +400,28 @@ def fit_trees(train: DataFrame, label: str, weight: str | None = None, cohort: s
         return Pipeline(stages=[*stages, trees]).fit(data)
 
 
+def stationarity(model: PipelineModel, train: DataFrame, label: str, weight: str | None = None) -> np.ndarray:
+    """Gradient of a fitted logistic model's objective over its training rows, one number per weight (in units of the
+    standardised feature where the fit standardises), the intercept's last; near 0 where the fit has converged.
+
+    The rows are summed up in one pass; only vectors as long as the weights reach the driver."""
+    lr = model.stages[-1]
+    rows = model.transform(train).withColumn("_w", F.col(weight) if weight else F.lit(1.0))
+    residual = F.col("_w") * (vector_to_array("_prob")[1] - F.col(label))
+    # the summarizer takes weights above 0 only: a residual is larger than minus its row's weight
+    x, parts = lr.getFeaturesCol(), Summarizer.metrics("sum")
+    shifted, plain, spread, total, error = rows.withColumn("_r", residual).agg(
+        parts.summary(F.col(x), F.col("_r") + F.col("_w")), parts.summary(F.col(x), F.col("_w")),
+        Summarizer.metrics("std").summary(F.col(x), F.col("_w")), F.sum("_w"), F.sum("_r")).first()
+    std, coefficients = spread["std"].toArray(), lr.coefficients.toArray()
+    slope = (shifted["sum"].toArray() - plain["sum"].toArray()) / total
+    if lr.getStandardization():
+        gradient = np.where(std > 0, slope / np.where(std > 0, std, 1) + lr.getRegParam() * coefficients * std, 0)
+    else:
+        gradient = slope + lr.getRegParam() * coefficients
+    return np.append(gradient, error / total if lr.getFitIntercept() else 0.0)
+
+
 def score_global(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     """M7: (keep..., score) with score = P(y = 1), for every family's model."""
     return _score(model, rows, keep)

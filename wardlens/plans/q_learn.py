@@ -7,6 +7,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
@@ -220,6 +221,55 @@ def clustered_sequences(spark, d):
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("file").alias("n_files"), F.bool_and("own_range").alias("own_range"), F.bool_and("sorted").alias("sorted"))
 
 
+STATIONARY = 0.005  # largest gradient of a converged fit, per weight of a standardised feature
+
+
+@register("model_stationary", learn_sql(f"""
+SELECT family, CAST(CASE family WHEN 'GLOBAL' THEN v ELSE (c + 1) * (v + 1) + (CASE family WHEN 'MULTITASK' THEN v ELSE 0 END) END AS BIGINT) AS n_weights,
+       true AS stationary
+FROM (SELECT count(DISTINCT token) AS v FROM (SELECT unnest(tokens) AS token FROM mrows WHERE split = 'train')),
+     (SELECT count(DISTINCT {COHORT}) AS c FROM mrows WHERE split = 'train'), (VALUES ('GLOBAL'), ('SEPARATE'), ('MULTITASK')) f(family)"""))
+def model_stationary(spark, d):
+    """M4-M6: each linear family's weights (one slot per cohort and one for cohorts that training lacks) and whether its
+    objective stands still there, over all training rows."""
+    rows, found = fixture_model_rows(Tables(spark, d)), []
+    for family in ("GLOBAL", "SEPARATE", "MULTITASK"):
+        train = _weighted_train(rows)
+        model = X.fit_family(X.ExperimentSpec(model=family, label=LABEL, cohort=COHORT), rows.filter(F.col("split") == "train"))
+        gradient = L.stationarity(model, train, LABEL, "weight")
+        found.append((family, len(gradient) - 1, bool(abs(gradient).max() < STATIONARY)))
+    return spark.createDataFrame(found, "family string, n_weights bigint, stationary boolean")
+
+
+@register("embedding_invariants", learn_sql("SELECT subject_id, true AS contracted, true AS orthonormal FROM mrows"))
+def embedding_invariants(spark, d):
+    """M1: the axes are orthonormal, so no subject's embedding is longer than its scaled counts."""
+    t = Tables(spark, d)
+    encoder = _encoder(t)
+    axes = encoder.stages[-1].pc.toArray()
+    orthonormal = bool(abs(axes.T @ axes - np.eye(axes.shape[1])).max() < 1e-8)
+    out = encoder.transform(L._embedding_input(_encoder_rows(t)))
+    length = lambda c: F.aggregate(vector_to_array(c), F.lit(0.0), lambda a, x: a + x * x)
+    return out.select("subject_id", (length("embedding") <= length("_scaled") * (1 + 1e-9)).alias("contracted"), F.lit(orthonormal).alias("orthonormal"))
+
+
+@register("experiment_invariants", learn_sql(f"""
+SELECT scope, true AS ordered, true AS macro_is_mean FROM (
+  SELECT DISTINCT {COHORT} AS scope FROM mrows WHERE split = 'test' UNION ALL SELECT unnest(['macro', 'micro']))"""))
+def experiment_invariants(spark, d):
+    """Of each scope's bootstrapped AUCs the mean lies between least and greatest, and the macro AUC is the
+    mean of the cohorts that have one."""
+    spec = X.ExperimentSpec(model="GLOBAL", label=LABEL, cohort=COHORT, replicates=20, seed=SEED)
+    rows = sinks.materialize(X.run_experiment(fixture_model_rows(Tables(spark, d)), spec), "experiment")
+    wide = rows.groupBy("scope").pivot("metric", ["auc", "auc_min", "auc_mean", "auc_max"]).agg(F.first("value"))
+    mean = rows.filter("metric = 'auc' AND scope NOT IN ('macro', 'micro')").agg(F.avg("value")).scalar()
+    macro = rows.filter("metric = 'auc' AND scope = 'macro'").agg(F.max("value")).scalar()
+    slack = 1e-12
+    ordered = (F.col("auc_min") <= F.col("auc_mean") + slack) & (F.col("auc_mean") <= F.col("auc_max") + slack)
+    return wide.select("scope", F.coalesce(ordered, F.lit(True)).alias("ordered"),
+                       F.coalesce(F.abs(mean - macro) < 1e-9, F.lit(True)).alias("macro_is_mean"))
+
+
 @register("embed_sequences")
 def embed_sequences(spark, d):
     e = _embedded(Tables(spark, d))
