@@ -72,3 +72,26 @@ def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(documents([]), none).count() == 0
     assert [tuple(r)[1:4] for r in decontaminate.report(documents([(1, "a b")]), none).collect()] == [(2, 0, 0)]
+
+
+def test_blocks_stay_small_when_a_third_of_the_rows_are_alike(spark, documents, monkeypatch):
+    """Equal rows are one; a text under many ids is cut between ids; the report is still whole."""
+    monkeypatch.setattr(decontaminate, "IDS", 50)
+    passage = " ".join(f"word{i}" for i in range(60))
+    items = [(7, passage)] * 1000 + [(1000 + i, passage) for i in range(700)] + [(i, f"own text number n{i} " * 20) for i in range(300)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    blocks = decontaminate.blocks_of(bench, 4000).collect()
+    size = {}
+    for r in blocks:
+        size[r.block] = size.get(r.block, 0) + len(r.text) + sum(map(len, r.ids))
+    assert max(size.values()) <= 4000 + max(len(r.text) + sum(map(len, r.ids)) for r in blocks) and len(blocks) == 300 + -(-701 // 50)
+    docs = [(1, "x " + passage + " y"), (2, "clean " * 30), (3, items[-1][1])]
+    got = decontaminate.report(documents(docs), bench, 10, 40_000).collect()
+    assert sorted((tuple(r)[:6] for r in got), key=repr) == brute(docs, sorted(set(items)))
+
+
+def test_names_of_other_columns_do_not_matter(spark, documents):
+    bench = spark.createDataFrame([(5, "one two three")], "item_id long, text string")
+    d = documents([(1, "one two three"), (2, "clean")]).withColumnsRenamed({"fingerprint": "_found", "ids": "_words", "score": "_FOUND_"})
+    out = decontaminate.remove_affected(d, bench)
+    assert out.columns == d.columns and [(r.doc_id, r["_found"], r["_words"]) for r in out.collect()] == [(2, 7, 7)]

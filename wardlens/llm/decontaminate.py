@@ -10,10 +10,12 @@ Words are numbered by the benchmark's vocabulary (0: any other word), so a
 suffix array holds only suffixes that begin with enough benchmark words to
 match at all; all others are smaller than any match by definition.
 
-The benchmark is a stated query set.  It travels in blocks of at most
-``block_bytes`` of text, each broadcast to one pass over the documents; a
-benchmark larger than one block takes several passes, which hand on the
-positions found so far with each document.  No document is shuffled.
+The benchmark is a stated query set.  Equal texts are one text with a list of
+its items, equal windows one key with a list of their places.  It travels in
+blocks cut by the running sum of their bytes (``block_bytes`` and at most one
+text more), each broadcast to one pass over the documents; a benchmark larger
+than one block takes several passes, which hand on the positions found so far
+with each document.  No document is shuffled.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.llm.shared import materialize, pieces, text_bytes
+from wardlens.llm.shared import materialize, pieces, small_batches, text_bytes, unused
 from wardlens.llm.words import Words
 
 BLOCK_BYTES = 4 << 20   # text of benchmark items that one pass holds
+IDS = 1000              # items that one row of a block names
 PASSES = 4              # passes before the documents are written and read again
 
 
@@ -42,36 +45,33 @@ class Block:
     number: np.ndarray     # word number (from 1) of each hash
     words: Words           # the items' own words; vocabulary word k is words[at[k]]
     at: np.ndarray
-    keys: np.ndarray       # looked-up suffixes: their first words' numbers, big-endian, as byte strings
-    item: np.ndarray       # item (index into ids) of each
-    place: np.ndarray      # word position of each in its item
-    length: np.ndarray     # words that must agree: the window, or the whole of a shorter item
-    ids: list[str]
+    keys: np.ndarray       # distinct looked-up windows: their words' numbers, big-endian, as sorted byte strings
+    length: np.ndarray     # words of each: the window, or the whole of a shorter text
+    cut: np.ndarray        # window k stands at the places cut[k]:cut[k + 1] of ``text`` and ``place``
+    text: np.ndarray       # text (index into ids) of each place
+    place: np.ndarray      # word position of each in its text
+    ids: list[list[str]]   # items that have each text
     least: int             # fewest words of any match
 
 
-def build_block(ids: list, texts: pa.Array, window: int) -> Block | None:
-    """None if no item has a word."""
+def build_block(ids: list[list[str]], texts: pa.Array, window: int) -> Block | None:
+    """None if no text has a word."""
     w = Words(*text_bytes(texts))
     if not len(w):
         return None
     codes, at, number = np.unique(w.codes(), return_index=True, return_inverse=True)
-    number = number.astype(np.int64) + 1
+    number = np.concatenate((number.astype(np.int64) + 1, np.zeros(window, np.int64)))
     sizes = np.diff(w.first)
-    item, place, length, keys = [], [], [], np.zeros((0, window), ">u4")
-    rows = []
-    for i, (first, n) in enumerate(zip(w.first, sizes)):
-        for j in range(max(1, n - window + 1) if n else 0):
-            k = min(n, window)
-            key = np.zeros(window, ">u4")
-            key[:k] = number[first + j:first + j + k]
-            rows.append(key)
-            item.append(i)
-            place.append(j)
-            length.append(k)
-    keys = np.array(rows, dtype=">u4").reshape(len(rows), window).view(f"S{4 * window}").ravel()
-    return Block(codes, np.arange(1, len(codes) + 1), w, at, keys, np.array(item), np.array(place),
-                 np.array(length), ["null" if x is None else str(x) for x in ids], int(min(length)))
+    many = np.where(sizes > 0, np.maximum(1, sizes - window + 1), 0)
+    text = np.repeat(np.arange(len(sizes)), many)
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    length = np.minimum(sizes, window)[text]
+    keys = number[(w.first[:-1][text] + place)[:, None] + np.arange(window)]
+    keys[np.arange(window) >= length[:, None]] = 0
+    keys, first, group = np.unique(keys.astype(">u4").view(f"S{4 * window}").ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    cut = np.searchsorted(group[order], np.arange(len(keys) + 1))
+    return Block(codes, np.arange(1, len(codes) + 1), w, at, keys, length[first], cut, text[order], place[order], ids, int(length.min()))
 
 
 def numbered(w: Words, block: Block) -> np.ndarray:
@@ -93,7 +93,7 @@ def numbered(w: Words, block: Block) -> np.ndarray:
 
 
 def occurrences(w: Words, block: Block, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(looked-up suffix, word position) of every occurrence in the shard's words."""
+    """(looked-up window, word position) of every occurrence in the shard's words."""
     number = numbered(w, block)
     # words from each position on that are in the vocabulary and in the same text
     stop = number == 0
@@ -120,32 +120,35 @@ def occurrences(w: Words, block: Block, window: int) -> tuple[np.ndarray, np.nda
 
 
 def _pass(sent, column: str, window: int, names: list[str]):
-    """mapInArrow: adds the matches of one block to ``_found``."""
+    """mapInArrow: adds the matches of one block; the last two of ``names`` are words and matches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block | None = sent.value
         for batch in batches:
             for piece, data, off in pieces(batch, column):
-                before = piece.column("_found").to_pylist()
+                before = piece.column(names[-1]).to_pylist()
                 if block is not None:
                     w = Words(data, off)
                     which, at = occurrences(w, block, window)
+                    many = block.cut[which + 1] - block.cut[which]
+                    place = np.arange(many.sum()) + np.repeat(block.cut[which] - np.cumsum(many) + many, many)
+                    which, at = np.repeat(which, many), np.repeat(at, many)
                     doc = w.doc[at]
-                    # occurrences of one item on one diagonal, one after the other, are one match
-                    item, shift = block.item[which], at - block.place[which]
-                    order = np.lexsort((at, shift, item))
-                    doc, item, shift, at, size = doc[order], item[order], shift[order], at[order], block.length[which][order]
+                    # occurrences of one text on one diagonal, one after the other, are one match
+                    text, shift = block.text[place], at - block.place[place]
+                    order = np.lexsort((at, shift, text))
+                    doc, text, shift, at, size = doc[order], text[order], shift[order], at[order], block.length[which][order]
                     new = np.ones(len(at), bool)
-                    new[1:] = (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
+                    new[1:] = (text[1:] != text[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
                     begin = np.flatnonzero(new)
                     last = np.append(begin[1:], len(at)) - 1
                     for b, e in zip(begin, last):
                         d = int(doc[b])
-                        before[d].append({"item": block.ids[item[b]], "item_word": int(at[b] - shift[b]),
-                                          "doc_word": int(at[b] - w.first[d]), "words": int(at[e] - at[b] + size[e])})
+                        match = {"item_word": int(at[b] - shift[b]), "doc_word": int(at[b] - w.first[d]), "words": int(at[e] - at[b] + size[e])}
+                        before[d] += [{"item": i} | match for i in block.ids[text[b]]]
                     words = np.diff(w.first).astype(np.int64)
                 else:
                     words = np.diff(Words(data, off).first).astype(np.int64)
-                cols = [piece.column(n) for n in names if n not in ("_found", "_words")]
+                cols = piece.columns[:-2]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(words), pa.array(before, MATCHES)], names)
 
     return run
@@ -155,30 +158,47 @@ MATCHES = pa.list_(pa.struct([("item", pa.string()), ("item_word", pa.int64()),
 _DDL = "array<struct<item:string,item_word:bigint,doc_word:bigint,words:bigint>>"
 
 
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, text, ids), written: each distinct text with the distinct items that have it, at most ``IDS`` of them a
+    row; rows are dealt to blocks by the running sum of their bytes in the order of a hash."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    part = items.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("text").orderBy("id")) - 1) / IDS))
+    rows = part.groupBy("text", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    rows = rows.withColumns({"h": F.xxhash64("text", "part"), "size": F.octet_length("text") + F.aggregate("ids", F.lit(0), lambda n, x: n + F.octet_length(x))})
+    rows = materialize(rows.withColumn("range", F.shiftright("h", 52)), "decontaminate-items")
+    # bytes in earlier ranges of the hash (4096 rows), then within the range
+    sums = rows.groupBy("range").agg(F.sum("size").alias("n"))
+    sums = sums.select("range", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("n")).alias("before"))
+    within = F.sum("size").over(Window.partitionBy("range").orderBy("h", "text", "part")) - F.col("size")
+    dealt = rows.withColumn("within", within).join(F.broadcast(sums), "range")
+    block = F.floor((F.col("before") + F.col("within")) / block_bytes).cast("int")
+    return materialize(dealt.select(block.alias("block"), "text", "ids"), "decontaminate-blocks")
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES,
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", names: tuple[str, str] = ("_words", "_found")) -> DataFrame:
     """The columns of ``docs`` plus ``_words`` (words of the text) and ``_found``: every longest
     verbatim match of at least ``window`` words, or of a whole shorter item, as structs (item,
     item_word, doc_word, words), positions counted in words from 0.
 
     Null texts have no words; items without words match nothing; a null item_id is called
-    "null"; rows that repeat an item_id are one item with several texts.  Empty tables give
-    no rows, or rows without matches."""
+    "null"; rows that repeat an item_id are one item with several texts, equal rows are one row.
+    Empty tables give no rows, or rows without matches.  Input columns with one of the two new
+    ``names`` give way to them; all others stay, whatever they are called."""
     if window < 1:
         raise ValueError("a window has at least one word")
     spark = docs.sparkSession
-    total = benchmark.agg(F.sum(F.length(F.col("text").cast("binary")))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    names = [*docs.columns, "_words", "_found"]
-    out = docs.withColumns({"_words": F.lit(0).cast("bigint"), "_found": F.array().cast(_DDL)})
-    schema = out.schema
-    for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = part.toArrow()  # at most about block_bytes, a parameter
-        sent = spark.sparkContext.broadcast(build_block(rows.column(0).to_pylist(), rows.column(1).combine_chunks(), window))
-        out = out.mapInArrow(_pass(sent, text_col, window, names), schema)
-        if k % PASSES == PASSES - 1 and k < blocks - 1:
+    items = blocks_of(benchmark, block_bytes)
+    blocks = items.select("block").distinct().orderBy("block").toArrow().column(0).to_pylist()  # one number a block
+    taken = {n.lower() for n in names}
+    given = small_batches(docs).select(*[c for c in docs.columns if c.lower() not in taken])
+    out = given.withColumns({names[0]: F.lit(0).cast("bigint"), names[1]: F.array().cast(_DDL)})
+    schema, columns = out.schema, out.columns
+    for k, number in enumerate(blocks or [None]):
+        rows = items.filter(F.col("block") == number).select("text", "ids").toArrow()  # ``block_bytes`` and one row at most
+        sent = spark.sparkContext.broadcast(build_block(rows.column(1).to_pylist(), rows.column(0).combine_chunks(), window))
+        out = out.mapInArrow(_pass(sent, text_col, window, columns), schema)
+        if k % PASSES == PASSES - 1 and k < len(blocks) - 1:
             out = materialize(out, "decontaminate-pass")
     return out
 
@@ -213,6 +233,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes:
 
 def remove_affected(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` without any match, all their columns."""
-    found = find_matches(docs, benchmark, window, block_bytes)
-    return found.filter(F.size("_found") == 0).select(*docs.columns)
+    """The rows of ``docs`` without any match, all their columns, whatever their names."""
+    names = (unused("_words", docs.columns), unused("_found", docs.columns))
+    found = find_matches(docs, benchmark, window, block_bytes, names=names)
+    return found.filter(F.size(names[1]) == 0).select(*docs.columns)
