@@ -5,7 +5,6 @@ they score and the invariants of the clustering do."""
 from __future__ import annotations
 
 import os
-import uuid
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -26,7 +25,6 @@ from wardlens.plans.q_eval import _ceil_frac, _h
 from wardlens.plans.q_features import FEATURE_CTES, fixture_static, fixture_table
 from wardlens.sources import sinks
 from wardlens.plans.q_series import LABELS, N, fixture_trailing
-from wardlens.session import ensure_checkpoint_dir
 from wardlens.sources.tables import Tables
 
 SEED = 0
@@ -108,7 +106,7 @@ def separate_scored_scopes(spark, d):
     """M4-M7: rows that each family scores, by cohort and pooled; none may drop a row."""
     rows = fixture_model_rows(Tables(spark, d))
     train, test = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
-    path, fits = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex), {}
+    path, fits = sinks.scratch(spark, "models"), {}
     for family in X.FAMILIES:  # every family is saved and scores as reloaded
         X.fit_family(X.ExperimentSpec(model=family, label=LABEL, cohort=COHORT, cohort_as_feature=family == "TREES"), train) \
             .write().save(os.path.join(path, family))
@@ -141,7 +139,7 @@ SELECT f.subject_id, f.step, f.feature, n.feature_index FROM ftable f JOIN (
 def sequences_read_back(spark, d):
     """Model table and feature names written and read again."""
     table = fixture_table(Tables(spark, d))
-    path = os.path.join(ensure_checkpoint_dir(spark), "sequences", uuid.uuid4().hex)
+    path = sinks.scratch(spark, "sequences")
     sinks.write_sequences(table, FE.feature_names(table), path)
     names = spark.read.parquet(os.path.join(path, "feature_names"))
     return spark.read.parquet(os.path.join(path, "sequences")).join(names, "feature").select("subject_id", "step", "feature", "feature_index")
@@ -152,7 +150,7 @@ SELECT subject_id, CAST(subject_id % 4 AS VARCHAR) AS cluster, split FROM mrows"
 def membership_read_back(spark, d):
     """A membership table is built once, read again, and replaces the cohort."""
     rows = fixture_model_rows(Tables(spark, d))
-    path = os.path.join(ensure_checkpoint_dir(spark), "membership", uuid.uuid4().hex)
+    path = sinks.scratch(spark, "membership")
     sinks.write_membership(rows.select("subject_id", (F.col("subject_id") % 4).alias("cluster")), path)
 
     def never():
@@ -166,7 +164,7 @@ def model_reload(spark, d):
     rows = fixture_model_rows(Tables(spark, d))
     test = rows.filter(F.col("split") == "test")
     m = L.fit_separate(rows.filter(F.col("split") == "train"), LABEL, COHORT)
-    path = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
+    path = sinks.scratch(spark, "models")
     m.write().save(path)
     a, b = (L.score_global(x, test, ["subject_id"]) for x in (m, PipelineModel.load(path)))
     return a.join(b.withColumnRenamed("score", "again"), "subject_id").select("subject_id", (F.col("score") == F.col("again")).alias("same"))
@@ -179,7 +177,7 @@ def mixture_reload(spark, d):
     rows, encoder = _encoder_rows(t), _encoder(t)
     emb = t.derived("embedding", lambda: L.embed(encoder, rows))
     mixture = _mixture(t, emb)
-    path = os.path.join(ensure_checkpoint_dir(spark), "clusterings", uuid.uuid4().hex)
+    path = sinks.scratch(spark, "clusterings")
     L.save_clustering(spark, path, encoder, mixture)
     encoder, again = L.load_clustering(spark, path)
     new = sinks.materialize(L.embed(encoder, rows), "embedding-again")
@@ -199,7 +197,7 @@ GROUP BY subject_id"""))
 def sequence_matrix(spark, d):
     """One sparse matrix per subject, written and read again."""
     table = fixture_table(Tables(spark, d))
-    names, path = FE.feature_names(table), os.path.join(ensure_checkpoint_dir(spark), "matrices", uuid.uuid4().hex)
+    names, path = FE.feature_names(table), sinks.scratch(spark, "matrices")
     sinks.write_matrix(FE.sequence_matrix(table, names, N), names, path)
     return spark.read.parquet(os.path.join(path, "matrix"))
 
@@ -209,7 +207,7 @@ SELECT subject_id, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_files, true AS own
 def clustered_sequences(spark, d):
     """The model table in files of disjoint subject ranges: each subject's rows, files, and whether its file's
     range overlaps no other and holds the subject's steps in order."""
-    path = os.path.join(ensure_checkpoint_dir(spark), "clustered", uuid.uuid4().hex)
+    path = sinks.scratch(spark, "clustered")
     files = sinks.write_clustered(fixture_table(Tables(spark, d)), path)
     by = Window.partitionBy(F.lit(0)).orderBy("low", "high")  # one row per file
     files = files.select("file", (F.coalesce(F.lead("low").over(by) > F.col("high"), F.lit(True))
@@ -330,7 +328,7 @@ def run_experiment(spark, d):
     t = Tables(spark, d)
     spec = X.ExperimentSpec(model="MULTITASK", label=LABEL, cohort=COHORT, replicates=CLINICAL["bootstrap_replicates"],
                             seed=SEED, run_id="multitask-0")
-    log = os.path.join(ensure_checkpoint_dir(spark), "runlog", uuid.uuid4().hex)
+    log = sinks.scratch(spark, "runlog")
     return X.run_experiment(fixture_model_rows(t), spec, log_path=log)
 
 

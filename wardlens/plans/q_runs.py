@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,7 +15,6 @@ from wardlens.plans.catalog import register
 from wardlens.plans.q_cohort import fixture_index_stays
 from wardlens.plans.q_eval import EVAL_CTES, _auc_sql, fixture_scored
 from wardlens.plans.q_series import SERIES_CTES, _branch
-from wardlens.session import ensure_checkpoint_dir
 from wardlens.sources import roles, sinks
 from wardlens.sources.derived import DerivedTables, files_version
 from wardlens.sources.tables import Tables
@@ -53,7 +51,7 @@ FROM ({_auc_sql('scored', ['lang'])}) a,
 def run_log_append(spark, d):
     """Append two runs' rows to a fresh log folder and read the log back."""
     t = Tables(spark, d)
-    path = os.path.join(ensure_checkpoint_dir(spark), "runlog", uuid.uuid4().hex)
+    path = sinks.scratch(spark, "runlog")
     per = EV.auc_by_cohort(fixture_scored(t), "lang").withColumnRenamed("lang", "scope")
     for run, reg in (("run-0", 0.01), ("run-1", 0.1)):
         sinks.append_results(sinks.results_frame(spark, run, {"reg": reg}, "GLOBAL", per), path)
@@ -67,7 +65,7 @@ FROM ({_auc_sql('scored', ['lang'])}) a,
 def run_log_once(spark, d):
     """Two runs logged at the same time, one of them again: one set of rows each."""
     t = Tables(spark, d)
-    path = os.path.join(ensure_checkpoint_dir(spark), "runlog", uuid.uuid4().hex)
+    path = sinks.scratch(spark, "runlog")
     per = EV.auc_by_cohort(fixture_scored(t), "lang").withColumnRenamed("lang", "scope")
     first, second = (sinks.results_frame(spark, run, {"reg": reg}, "GLOBAL", per) for run, reg in (("run-0", 0.01), ("run-1", 0.1)))
     t.prefetch(lambda: sinks.log_results(first, path), lambda: sinks.log_results(second, path))
@@ -115,7 +113,7 @@ def _counts_sql(step: int, rebuilt: str, chart_ids) -> str:
 def rebuild_cascade(spark, d):
     """S3: which tables are rebuilt, and their rows, (1) at first, (2) with nothing new, (3) after the list of chart items
     changed, (4) after the index stays were dropped with all that was built on them."""
-    root = os.path.join(ensure_checkpoint_dir(spark), "derived", uuid.uuid4().hex)
+    root = sinks.scratch(spark, "derived")
     g, found = derived_study(Tables(spark, d), root), []
     for step in (1, 2, 3, 4):
         if step == 3:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from wardlens.functions.codesets import FIXTURE, FIXTURE_EVENT_TYPES
@@ -10,7 +12,7 @@ from wardlens.operators.ranking import row_number_within
 from wardlens.plans import sqltext as S
 from wardlens.plans.catalog import register
 from wardlens.plans.q_cohort import fixture_index_stays, fixture_stays
-from wardlens.sources import roles
+from wardlens.sources import roles, sinks
 from wardlens.sources.tables import Tables
 
 P = FIXTURE
@@ -243,15 +245,11 @@ def stream_measurements(spark, d):
     """Streaming refresh of the lab branch of D9 (rows-only check): every
     events file in the folder is processed once (``availableNow``) through a
     stream-static join to the written cohort, appended to a parquet table."""
-    import os
-    import uuid
-
     from wardlens.functions.codesets import FIXTURE_LAB_TYPES
-    from wardlens.session import ensure_checkpoint_dir
     from wardlens.streaming.measurements import stream_measurements as start
 
     t = Tables(spark, d)
-    base = os.path.join(ensure_checkpoint_dir(spark), "streams", uuid.uuid4().hex)
+    base = sinks.scratch(spark, "streams")
     q = start(spark, d, t.events.schema, lambda ev: roles.event_facts(ev, FIXTURE_LAB_TYPES),
               roles.item_dictionary(spark), P["lab_item_ids"], fixture_cohort(t), ["subject_id"],
               os.path.join(base, "measurements"), checkpoint=os.path.join(base, "progress"),
@@ -271,14 +269,10 @@ GROUP BY h.subject_id, h.label, h.hours_in"""))
 def stream_hourly(spark, d):
     """T4 on a stream that stops twice: the measurements of three spans of time arrive one after the other, and each
     time the query starts again from its checkpoint.  Its cells are those that the last watermark has closed."""
-    import os
-    import uuid
-
-    from wardlens.session import ensure_checkpoint_dir
     from wardlens.streaming.hourly import stream_hourly as start
 
     t = Tables(spark, d)
-    base = os.path.join(ensure_checkpoint_dir(spark), "streams", uuid.uuid4().hex)
+    base = sinks.scratch(spark, "streams")
     meas, inbox = fixture_measurement_table(t), os.path.join(base, "inbox")
     at = F.unix_micros(F.col("charttime").cast("timestamp"))
     low, high = meas.agg(F.percentile_approx(at, [0.33, 0.66])).first()[0] or (0, 0)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wardlens.session import ensure_checkpoint_dir
 
 
-_written: list[tuple[str, str]] = []  # (application, folder) of intermediate tables, for release_all
+_written: list[tuple[str, str]] = []  # (application, path) of intermediate tables and files, for release_all
 
 
 def file_system(spark: SparkSession, path: str):
@@ -28,6 +28,13 @@ def file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def scratch(spark: SparkSession, folder: str, name: str = "") -> str:
+    """A new path in a folder of the shared checkpoint folder; ``release_all`` deletes what was written there."""
+    path = os.path.join(ensure_checkpoint_dir(spark), folder, f"{name}-{uuid.uuid4().hex}" if name else uuid.uuid4().hex)
+    _written.append((spark.sparkContext.applicationId, path))
+    return path
+
+
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     """The parquet table at ``path``, or None when nothing has been written there."""
     try:
@@ -50,8 +57,7 @@ def materialize(df: DataFrame, name: str, path: str | None = None,
     """
     spark = df.sparkSession
     if path is None:
-        path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
-        _written.append((spark.sparkContext.applicationId, path))
+        path = scratch(spark, "tables", name)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -76,7 +82,8 @@ def release(table: DataFrame) -> None:
 
 
 def release_all(spark: SparkSession) -> int:
-    """Delete every intermediate table that this application has written so far; how many there were.
+    """Delete every intermediate table and file that this application has written to the checkpoint folder so far; how
+    many there were.
 
     For callers that have finished with all results of earlier queries, such as a job that runs one query
     after the other: DataFrames that read those tables are void afterwards."""
