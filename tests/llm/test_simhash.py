@@ -52,15 +52,16 @@ def test_equals_brute_force(documents):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
 
 
-def test_hot_variants_are_cut_without_loss(spark):
-    """Many distinct fingerprints under one variant: cut by bytes, the same components."""
+@pytest.mark.parametrize("hot,crowded", [(4, 8192), (4, 16)])
+def test_hot_variants_are_cut_without_loss(spark, hot, crowded):
+    """Many distinct fingerprints under one variant: cut by bytes or by half-bytes, the same components."""
     rng = np.random.default_rng(0)
     low = np.uint64(0x12345678)
     fp = np.unique((rng.integers(0, 1 << 32, 600, dtype=np.uint64) << np.uint64(32)) | low)
     near = fp[:200] ^ (np.uint64(1) << rng.integers(32, 64, 200).astype(np.uint64)) ^ np.uint64(1)
     fp = np.unique(np.concatenate((fp, near)))
     d = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
-    found = {frozenset(r) for r in simhash.links(d, hot=4).collect()}
+    found = {frozenset(r) for r in simhash.links(d, hot=hot, crowded=crowded).collect()}
     want = {frozenset((int(np.int64(a.view(np.int64))), int(np.int64(b.view(np.int64)))))
             for i, a in enumerate(fp) for b in fp[:i] if int(a ^ b).bit_count() <= 3}
 
@@ -108,3 +109,25 @@ def test_keep_one_goes_by_component_not_by_id(documents):
                 if 0 < (brute_fingerprint(x) ^ brute_fingerprint(" ".join(long))).bit_count() <= 3)
     got = simhash.keep_one(documents([(None, " ".join(long)), (None, near), (None, c)])).collect()
     assert len(got) == 2 and c in [r.text for r in got]
+
+
+def test_names_of_other_columns_do_not_matter(spark, documents):
+    d = documents([(1, "a b c d"), (2, "a b c d"), (3, "other words here")]).withColumnsRenamed({"fingerprint": "_n", "ids": "_text_key", "rank": "_id", "piece": "_key"})
+    out = simhash.keep_one(d)
+    assert out.columns == d.columns and sorted((r.doc_id, r["_n"], r["_text_key"]) for r in out.collect()) == [(1, 7, 7), (3, 7, 7)]
+
+
+def test_fingerprints_are_dealt_out_before_they_become_variants(spark):
+    fps = spark.range(1000).selectExpr("xxhash64(id) AS fp").groupBy("fp").count().select("fp")
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line and "xxhash64(fp" in line]
+    assert len(dealt) == 2  # in both branches, and adaptive execution leaves such exchanges as they are
+
+
+def test_half_bytes_bound_a_bucket_and_meet_every_link():
+    masks = simhash.HALF_BYTES
+    assert len(masks) == 56 and {m.bit_count() for m in masks} == {20}
+    rng = random.Random(5)
+    for _ in range(2000):
+        differ = sum(1 << b for b in rng.sample(range(32), rng.randint(0, 3)))
+        assert any(not differ & m for m in masks)

@@ -13,7 +13,10 @@ Skew.  Documents are first reduced to distinct fingerprints, so exact copies
 cost one row.  A variant under which many distinct fingerprints meet is cut
 again by the other segment's four bytes: of at most three differing bits at
 least one byte is untouched, so every link still meets under (variant, byte
-number, byte value).  Within one bucket the verified links are reduced to a
+number, byte value).  A variant beyond ``CROWDED`` is cut by five of the other
+segment's eight half-bytes instead: at least five are untouched, and with 31 + 20
+bits given at most 2 ** 13 distinct fingerprints can share a bucket, whatever the
+data.  Within one bucket the verified links are reduced to a
 spanning forest before anything is emitted: never all pairs.
 
 Components come from min-label propagation with pointer jumping over tables
@@ -23,6 +26,7 @@ written to the shared folder; nothing is collected to the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.llm.shared import materialize, partitions
+from wardlens.llm.shared import materialize, partitions, small_batches, unused
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 HOT_BUCKET = 256   # distinct fingerprints under one variant beyond which it is cut by bytes
+CROWDED = 8192     # ... and beyond which it is cut by five half-bytes
 SEGMENT = 0xFFFFFFFF
+HALF_BYTES = [sum(15 << 4 * i for i in five) for five in combinations(range(8), 5)]
 
 
 def shingle_hashes(text: bytes, size: int = 3, seed: int = 42) -> list[int]:
@@ -78,7 +84,7 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"),
                       F.col(text_col).cast("binary").alias("text"))
-    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, text_key bigint, fp bigint")
+    return small_batches(src).mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, text_key bigint, fp bigint")
 
 
 def forest(fp: np.ndarray, max_bits: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +158,7 @@ def _links(rows: np.ndarray, cuts: np.ndarray, max_bits: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(a[diff].view(np.int64)), pa.array(b[diff].view(np.int64))], ["a", "b"])
 
 
-def links(fps: DataFrame, max_bits: int = 3, hot: int = HOT_BUCKET) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 3, hot: int = HOT_BUCKET, crowded: int = CROWDED) -> DataFrame:
     """(a, b): links between distinct fingerprints that join the same components as all links.
 
     ``fps`` has one bigint column ``fp`` without repeats.  Exact for max_bits <= 3."""
@@ -164,14 +170,15 @@ def links(fps: DataFrame, max_bits: int = 3, hot: int = HOT_BUCKET) -> DataFrame
         (F.when(i < 32, low).otherwise(high).bitwiseAND(F.lit(SEGMENT) - F.call_function("shiftleft", F.lit(1).cast("bigint"), i % 32))
          + i.cast("bigint") * F.lit(1 << 32)).alias("k1")))
     n = partitions(fps.sparkSession)
-    # dealt out first: each fingerprint becomes 64 rows
-    index = fps.repartition(n, "fp").select("fp", F.explode(variants).alias("v")).select("fp", F.col("v.k1").alias("k1"))
+    # dealt out first, by an expression that no earlier exchange deals by: each fingerprint becomes 64 rows
+    index = fps.repartition(n, F.xxhash64("fp")).select("fp", F.explode(variants).alias("v")).select("fp", F.col("v.k1").alias("k1"))
     crowd = index.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = index.join(crowd, "k1")
     other = F.when(F.col("k1") < (32 << 32), high).otherwise(low)
     byte = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (
         i.cast("bigint") * 256 + F.call_function("shiftrightunsigned", other, i * 8).bitwiseAND(F.lit(255)) + 1))
-    cut = F.when(F.col("n") > hot, byte).otherwise(F.array(F.lit(0).cast("bigint")))
+    five = F.transform(F.array(*map(F.lit, HALF_BYTES)), lambda mask, i: (i.cast("bigint") + 1) * F.lit(1 << 32) + other.bitwiseAND(mask.cast("bigint")))
+    cut = F.when(F.col("n") > crowded, five).when(F.col("n") > hot, byte).otherwise(F.array(F.lit(0).cast("bigint")))
     rows = met.select("k1", F.explode(cut).alias("k2"), "fp")
     rows = rows.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", "fp")
     return rows.mapInArrow(_bucket_links(max_bits), "a bigint, b bigint").distinct()
@@ -227,14 +234,15 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 3, seed: int
 
 
 def keep_one(docs: DataFrame, size: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
-    """One row of each component, all columns of ``docs``: the row of the smallest doc_id
-    (nulls last); of rows that repeat it, the one with the smallest text hash."""
+    """One row of each component, all columns of ``docs``, whatever their names: the row of the smallest
+    doc_id (nulls last); of rows that repeat it, the one with the smallest text hash."""
     found = grouped(docs, size, max_bits, seed)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "fp"))
     # by label, as one id may be the smallest of several components, or a component have none
     keep = found.groupBy("label").agg(first.alias("k")) \
         .select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    kept = rows.join(keep, rows.doc_id.eqNullSafe(keep._id) & (rows._text_key == keep._key), "left_semi")
-    w = Window.partitionBy("doc_id", "_text_key").orderBy("_text_key")
-    return kept.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*docs.columns)
+    key, n = unused("_text_key", docs.columns), unused("_n", docs.columns)
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_id"]) & (rows[key] == keep["_key"]), "left_semi")
+    w = Window.partitionBy("doc_id", key).orderBy(key)
+    return kept.withColumn(n, F.row_number().over(w)).filter(F.col(n) == 1).select(*docs.columns)
