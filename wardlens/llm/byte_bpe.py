@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.llm.bpe import BYTE_CHAR, _gather
-from wardlens.llm.shared import pieces
+from wardlens.llm.shared import pieces, small_batches
 
 PIECE_BYTES = 2 << 20
 CACHED = 1 << 17        # pre-tokens kept by a task
@@ -251,7 +251,7 @@ def encode(docs: DataFrame, coder: Coder, text_col: str = "text") -> DataFrame:
     gives an empty one.  An input column ``ids`` gives way to the new one, as with ``withColumn``; all others
     stay as they are, whatever their names."""
     sent = docs.sparkSession.sparkContext.broadcast(coder)
-    given = docs.select(*[c for c in docs.columns if c.lower() != "ids"])
+    given = small_batches(docs).select(*[c for c in docs.columns if c.lower() != "ids"])
     src = given.withColumn("ids", F.array().cast("array<int>"))
     names, kept = src.columns, len(given.columns)
 

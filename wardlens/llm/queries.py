@@ -85,4 +85,5 @@ ORACLE: dict[str, str] = {
     "op7_warc": oracles.warc_audit(records_per_file=1024, spoiled=97, lost=499),
     "op10_lm_score": oracles.lm_score("source = 'src1'"),
     "op12_divergence": divergence.sql(min_docs=30, top=50),
+    "op13_runs": runs.SQL,
 }
