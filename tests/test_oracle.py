@@ -38,9 +38,21 @@ def con():
     return c
 
 
+@pytest.fixture(scope="module")
+def frame(spark):
+    """Each query's DataFrame, built once: building fits models and writes intermediate tables."""
+    built = {}
+
+    def get(name):
+        if name not in built:
+            built[name] = QUERIES[name](spark, SF)
+        return built[name]
+    return get
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
-def test_matches_oracle(spark, con, name):
-    sdf = QUERIES[name](spark, SF)
+def test_matches_oracle(frame, con, name):
+    sdf = frame(name)
     cols = sorted(sdf.columns)
     srows = sorted(tuple(_norm(r[c]) for c in cols) for r in sdf.collect())
     cur = con.execute(ORACLE[name])
@@ -51,38 +63,39 @@ def test_matches_oracle(spark, con, name):
 
 
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "array<string>": "VARCHAR[]"}
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "array<string>": "VARCHAR[]",
+                 "array<int>": "INTEGER[]"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
-def test_types_match_oracle(spark, con, name):
-    sdt = dict(QUERIES[name](spark, SF).dtypes)
+def test_types_match_oracle(frame, con, name):
+    sdt = dict(frame(name).dtypes)
     rel = con.sql(ORACLE[name])
     odt = dict(zip(rel.columns, [str(t) for t in rel.types]))
     assert {c: SPARK_TO_DUCK.get(t, t) for c, t in sdt.items()} == odt
 
 
-def test_embedding_and_clusters_cover_every_subject(spark):
-    subjects = QUERIES[SUBJECTS](spark, SF).count()
-    e = QUERIES["embed_sequences"](spark, SF).collect()
+def test_embedding_and_clusters_cover_every_subject(frame):
+    subjects = frame(SUBJECTS).count()
+    e = frame("embed_sequences").collect()
     assert len(e) == subjects and len({len(r["embedding"]) for r in e}) == 1
     assert all(math.isfinite(x) for r in e for x in r["embedding"])
-    c = QUERIES["cluster_fit_assign"](spark, SF).collect()
+    c = frame("cluster_fit_assign").collect()
     assert len(c) == subjects and {r["cluster"] for r in c} <= set(range(4))
 
 
 @pytest.mark.parametrize("name", ["model_global", "model_separate", "model_multitask"])
-def test_model_queries_report_every_scope(spark, name):
-    scopes = {(r["scope"], r["n_pos"] > 0 and r["n_neg"] > 0) for r in QUERIES["separate_scored_scopes"](spark, SF).collect()}
-    got = {r["scope"]: r["auc"] for r in QUERIES[name](spark, SF).collect()}
+def test_model_queries_report_every_scope(frame, name):
+    scopes = {(r["scope"], r["n_pos"] > 0 and r["n_neg"] > 0) for r in frame("separate_scored_scopes").collect()}
+    got = {r["scope"]: r["auc"] for r in frame(name).collect()}
     assert set(got) == {s for s, _ in scopes} | {"macro"}
     assert all((got[s] is not None) == both for s, both in scopes)
     assert all(v is None or 0 <= v <= 1 for v in got.values())
 
 
 @pytest.mark.parametrize("name,metrics", [("run_experiment", {"auc", "auc_min", "auc_max", "auc_mean"}), ("cluster_cohort_models", {"auc"})])
-def test_experiments_report_their_metrics(spark, name, metrics):
-    rows = QUERIES[name](spark, SF).collect()
+def test_experiments_report_their_metrics(frame, name, metrics):
+    rows = frame(name).collect()
     assert {r["metric"] for r in rows} == metrics and {"macro", "micro"} <= {r["scope"] for r in rows}
 
 
