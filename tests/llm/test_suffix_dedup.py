@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def sample(seed):
 
 @pytest.mark.parametrize("hot", [sd.HOT_SPANS, 1])
 def test_equals_brute_force(documents, monkeypatch, hot):
-    monkeypatch.setattr(sd.repeated_runs, "__defaults__", (sd.LENGTH, sd.ANCHOR, hot, sd.STRIP))
+    monkeypatch.setattr(sd.repeated_runs, "__defaults__", (sd.LENGTH, sd.ANCHOR, hot))
     rows = sample(1)
     got = sd.report(documents(rows)).collect()
     assert sorted(tuple(r)[1:] for r in got) == sorted(brute([(t or "").encode() for _, t in rows], 200))
@@ -72,3 +73,42 @@ def test_texts_stay_valid(documents):
 
 def test_empty_table(documents):
     assert sd.report(documents([])).count() == 0
+
+
+def test_names_of_other_columns_do_not_matter(spark, documents):
+    same = "".join(f"{i:04d}" for i in range(100))
+    renamed = dict(zip(("fingerprint", "component_id", "score", "ids", "piece", "rank", "runs"), ("_k", "_r", "_key", "_row", "_runs", "reps", "_reps")))
+    d = documents([(1, same + "x"), (2, "y" + same), (3, "alone")]).withColumnsRenamed(renamed)
+    out = sd.remove_repeats(d, 200)
+    assert out.columns == d.columns
+    assert sorted((r.doc_id, r.text, *(r[c] for c in renamed.values())) for r in out.collect()) == [(i, t, *[7] * 7) for i, t in ((1, "x"), (2, "y"), (3, "alone"))]
+
+
+def test_a_passage_of_many_documents_is_dealt_to_many_buckets(spark, documents, monkeypatch):
+    """The spans at its two ends differ in every document; equal suffixes fill several buckets and meet across their boundaries."""
+    rng = random.Random(4)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = own(330)
+    rows = [(i, own(rng.randint(60, 260)) + passage + own(rng.randint(60, 260))) for i in range(160)]
+    real = sd._buckets
+    monkeypatch.setattr(sd.repeated_runs, "__defaults__", (sd.LENGTH, sd.ANCHOR, 5))
+    got = sd.report(documents(rows)).collect()
+    assert sorted(tuple(r)[1:] for r in got) == sorted(brute([t.encode() for _, t in rows], 200))
+    suffix = own(200).encode()
+    shipped = [(suffix, 7, i, i % 50, -1, b"") for i in range(90)] + [(own(200).encode(), 8, 1000 + i, 0, -1, b"") for i in range(30)]
+    for parts in (1, 2, 5, 90):  # whatever the boundaries, the same suffixes are found
+        order = sorted(shipped)
+        found = set()
+        edges = {}
+        for k in range(parts):
+            part = order[len(order) * k // parts:len(order) * (k + 1) // parts]
+            if not part:
+                continue
+            for b in real(200)(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], ["lead", "piece", "span", "first", "place", "body"])])):
+                for piece, span, s, e, edge in zip(*(c.to_pylist() for c in b.columns)):
+                    if edge is None:
+                        found.add((piece, span, s))
+                    else:
+                        edges.setdefault(edge, set()).add((piece, span, s))
+        found |= {x for rows in edges.values() if len(rows) > 1 for x in rows}
+        assert found == {(7, i, i % 50) for i in range(90)}

@@ -22,9 +22,11 @@ hundreds of bytes per byte of text, so suffixes are reached through anchors:
    stay together for ``length`` bytes are repeated.
    Equal strings share the leading bytes, and equal leading bytes go to the
    same bucket, so no repeat straddles a boundary, with one exception: a
-   piece with very many spans (``HOT_SPANS``) would fill one bucket.  Its spans
-   are cut into strips of ``STRIP`` suffixes that are dealt by the bytes common
-   to the strip; the strips meet again when the results are joined.
+   piece with very many spans (``HOT_SPANS``) would fill one bucket.  Its
+   suffixes are dealt one by one, by all their ``length`` bytes and then by a
+   hash of their place, so equal ones may fill many buckets; in sorted order a
+   repeat has an equal neighbour, and each bucket's first and last suffix are
+   compared across the boundaries.
 
 Copies of a whole text are counted, not compared: all their strings are
 repeated, and one of them stands for all in steps 1 to 3.
@@ -41,12 +43,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.llm.shared import materialize, partitions, pieces
+from wardlens.llm.shared import materialize, partitions, pieces, small_batches, unused
 
 LENGTH = 200
 ANCHOR = 100
-HOT_SPANS = 20_000   # spans of one piece beyond which they are cut into strips
-STRIP = 8            # suffixes of a strip
+HOT_SPANS = 20_000   # spans of one piece beyond which their suffixes are dealt one by one
 LEAD = 32            # bytes from the anchor on that the splitters see
 WINDOWS = 1 << 20    # suffixes that a bucket sorts at once
 PART = 1 << 20       # bytes of one text that are anchored at once
@@ -212,24 +213,18 @@ def _merge(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def _spans(names_in: list[str], length: int, hot: int, strip: int):
-    """mapInArrow over rows with ``text`` and ``reps``: the shipped spans (lead, piece, span, first, place, body);
-    ``first``: first string of a strip, ``place``: the anchor's place in the strip."""
-    text_at, reps_at = names_in.index("text"), names_in.index("reps")
-
+def _spans(text_at: int, reps_at: int, length: int, hot: int):
+    """mapInArrow over rows with a text and its representative spans, the columns of these numbers: the shipped
+    spans (lead, piece, span, first, place, body); ``place`` is the anchor's place in the span.  A span of a hot
+    piece is shipped as its suffixes: ``lead`` is the suffix, ``first`` its place in the span, ``place`` -1."""
     def cut(raw: bytes, r: dict) -> Iterator[tuple]:
         begin, place, count = r["at"] >> 16, r["at"] >> 8 & 255, r["at"] & 255
         anchor = begin + place
         if r["spans"] <= hot:
             yield raw[anchor:anchor + LEAD], r["piece"], r["span"], 0, place, raw[begin:begin + count - 1 + length]
             return
-        # strip k: the strings that start k * strip to k * strip + strip - 1 bytes before the anchor
-        edges = [0, *(j for j in range(1, count) if (place - j) % strip == strip - 1), count]
-        for s, e in zip(edges, edges[1:]):
-            least = (place - s) // strip * strip
-            common = raw[anchor - least:anchor - least - strip + 1 + length]
-            lead = hashlib.blake2b(common, digest_size=16, salt=least.to_bytes(8, "little")).digest()
-            yield lead, r["piece"], r["span"], s, place - s, raw[begin + s:begin + e - 1 + length]
+        for k in range(count):
+            yield raw[begin + k:begin + k + length], r["piece"], r["span"], k, -1, b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,8 +232,9 @@ def _spans(names_in: list[str], length: int, hot: int, strip: int):
             for text, reps in zip(b.column(text_at), b.column(reps_at).to_pylist()):
                 raw = text.as_buffer().to_pybytes()
                 for r in reps:
-                    rows += cut(raw, r)
-                    held += 2 * length
+                    own = list(cut(raw, r))
+                    rows += own
+                    held += 2 * length * len(own)
                 if held > 4 << 20:
                     yield _span_batch(rows)
                     rows, held = [], 0
@@ -257,8 +253,9 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _buckets(length: int):
-    """mapInArrow over spans sorted by (lead, piece): (piece, span, b, e), the bytes that repeated strings
-    cover, counted from the span's start.  All strings of a span hold its anchor, so they cover one range."""
+    """mapInArrow over spans sorted by (lead, piece, tie, span, first): (piece, span, b, e, edge), the bytes that repeated
+    strings cover, counted from the span's start.  All strings of a span hold its anchor, so they cover one range.
+    Rows with ``edge`` are the bucket's first and last suffix of a hot piece, to be compared with other buckets'."""
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(b"".join(r[5] for r in rows) + bytes(8), np.uint8)
         size = np.array([len(r[5]) for r in rows])
@@ -278,15 +275,32 @@ def _buckets(length: int):
             first = np.array([r[3] for r in rows])[row]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array([r[k] for r in rows])[row], pa.int64()) for k in (1, 2)]
-                + [pa.array(first + step[begin], pa.int64()), pa.array(first + step[end] + length, pa.int64())],
-                ["piece", "span", "b", "e"])
+                + [pa.array(first + step[begin], pa.int64()), pa.array(first + step[end] + length, pa.int64()), pa.nulls(len(begin), pa.binary())],
+                NAMES)
+
+    def single(rows: list[tuple], edge: bool = False) -> pa.RecordBatch:
+        """Suffixes of hot pieces."""
+        cols = [[r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[3] + length for r in rows]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([r[0] if edge else None for r in rows], pa.binary())], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
+        first, last, told, found = None, None, False, []  # of suffixes of hot pieces; ``told``: the last one is found
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
-                if rows and r[:2] != rows[-1][:2] and held > WINDOWS:  # groups stay whole
+                if r[4] < 0:
+                    if last and r[:4] == last[:4]:
+                        continue
+                    same = last is not None and r[:2] == last[:2]
+                    if same:
+                        found += [r] if told else [last, r]
+                    first, last, told = first or r, r, same
+                    if len(found) > 4096:
+                        yield single(found)
+                        found = []
+                    continue
+                if rows and r[:2] != rows[-1][:2] and held > WINDOWS:  # groups stay whole: HOT_SPANS spans at most
                     yield from solve(rows)
                     rows, held = [], 0
                 if rows and r[:5] == rows[-1][:5]:
@@ -295,16 +309,20 @@ def _buckets(length: int):
                 held += len(r[5]) - length + 1
         if rows:
             yield from solve(rows)
+        if found:
+            yield single(found)
+        if first:
+            yield single([first, last], edge=True)
 
     return run
 
 
+NAMES = ["piece", "span", "b", "e", "edge"]
 _RUNS = "array<struct<b:bigint,e:bigint>>"
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT_SPANS,
-                  strip: int = STRIP) -> DataFrame:
-    """The columns of ``docs`` plus ``_runs``: byte ranges (b, e) of the UTF-8 text that strings of
+def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT_SPANS) -> DataFrame:
+    """The columns of ``docs`` plus, last, ``_runs`` (underscores are added if ``docs`` has it): byte ranges (b, e) of the UTF-8 text that strings of
     ``length`` bytes cover which start at any other place of any text too (they may overlap).
 
     Null texts are empty and have none; so have texts shorter than ``length``.  Rows may repeat,
@@ -314,11 +332,15 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, h
     spark = docs.sparkSession
     n = partitions(spark)
     key, row = F.xxhash64(F.lit(length), "text"), F.xxhash64("doc_id")
+    # columns beside those of ``docs``, whatever these are called
+    own_key, own_row, k, r, reps, runs = (unused(c, docs.columns) for c in ("_key", "_row", "_k", "_r", "_reps", "_runs"))
+    small_batches(docs)
     # copies: texts that occur in several rows, and the row that stands for a text
     raw = F.col("text").cast("binary")
     rows = materialize(docs.select(key.alias("text_key"), row.alias("row"), F.crc32(raw).alias("crc"), F.length(raw).alias("size"))
                        .filter(F.col("size") >= length), "suffix-texts")
-    texts = rows.groupBy("text_key", "crc", "size").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"))
+    # written, so that its joins read it from an exchange of its own: Spark splits the hot side of such joins
+    texts = materialize(rows.groupBy("text_key", "crc", "size").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")), "suffix-distinct")
 
     # steps 1 and 2: anchors by piece; sorted, so neighbours tell what occurs once
     found = docs.select(key.alias("text_key"), "text").mapInArrow(
@@ -338,15 +360,21 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, h
     # step 3: one copy of each span of a piece that has several
     wanted = met.filter("first AND spans > 1").groupBy("text_key").agg(
         F.collect_list(F.struct("piece", "span", "spans", "at")).alias("reps"))
-    wanted = wanted.join(texts.select("text_key", "row"), "text_key").select(F.col("text_key").alias("_k"), F.col("row").alias("_r"), "reps")
+    wanted = wanted.join(texts.select("text_key", "row"), "text_key").select(F.col("text_key").alias(k), F.col("row").alias(r), F.col("reps").alias(reps))
     # the texts are dealt once for this join and the last one (all columns go along, so Spark reuses the exchange)
-    dealt = docs.withColumns({"_key": key, "_row": row}).repartition(n, "_key", "_row")
-    body = dealt.join(wanted, (F.col("_key") == F.col("_k")) & (F.col("_row") == F.col("_r"))).drop("_k", "_r")
+    dealt = docs.withColumns({own_key: key, own_row: row}).repartition(n, own_key, own_row)
+    body = dealt.join(wanted, (F.col(own_key) == F.col(k)) & (F.col(own_row) == F.col(r))).drop(k, r)
     body = body.withColumn("text", raw)
-    spans = body.mapInArrow(_spans(body.columns, length, hot, strip), "lead binary, piece bigint, span bigint, first int, place int, body binary")
-    solved = spans.repartitionByRange(n, "lead", "piece").sortWithinPartitions("lead", "piece", "span", "first").mapInArrow(
-        _buckets(length), "piece bigint, span bigint, b bigint, e bigint")
-    solved = solved.groupBy("piece", "span").agg(F.min("b").alias("b"), F.max("e").alias("e"))
+    spans = body.mapInArrow(_spans(body.columns.index("text"), body.columns.index(reps), length, hot), "lead binary, piece bigint, span bigint, first int, place int, body binary")
+    # a suffix of a hot piece has its place as a tie, so equal ones are dealt to several buckets
+    tie = F.when(F.col("place") < 0, F.xxhash64("span", "first")).otherwise(F.lit(0).cast("bigint"))
+    by = ["lead", "piece", "tie", "span", "first"]
+    solved = spans.withColumn("tie", tie).repartitionByRange(n, "lead", "piece", "tie").sortWithinPartitions(*by).drop("tie").mapInArrow(
+        _buckets(length), "piece bigint, span bigint, b bigint, e bigint, edge binary")
+    solved = materialize(solved, "suffix-solved")
+    across = solved.filter("edge IS NOT NULL").groupBy("edge").agg(F.collect_set(F.struct("piece", "span", "b", "e")).alias("x"))  # two rows a bucket
+    across = across.filter(F.size("x") > 1).select(F.inline("x"))
+    solved = solved.filter("edge IS NULL").drop("edge").union(across).groupBy("piece", "span").agg(F.min("b").alias("b"), F.max("e").alias("e"))
 
     # back to the texts: ranges of every place of a span, for every text that is no copy
     start, count = F.shiftright("at", 16), F.col("at").bitwiseAND(F.lit(255))
@@ -356,9 +384,9 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, h
         F.collect_list(F.struct("b", "e")).alias("_runs"))
     copies = rows.join(texts.filter("copies > 1").select("text_key", "crc", "size"), ["text_key", "crc", "size"]).select(
         "text_key", "row", F.array(F.struct(F.lit(0).cast("bigint").alias("b"), F.col("size").cast("bigint").alias("e"))).alias("_runs")).distinct()
-    told = ranges.union(copies).select(F.col("text_key").alias("_k"), F.col("row").alias("_r"), "_runs")
-    out = dealt.join(told, (F.col("_key") == F.col("_k")) & (F.col("_row") == F.col("_r")), "left")
-    return out.select(*docs.columns, F.coalesce("_runs", F.array().cast(_RUNS)).alias("_runs"))
+    told = ranges.union(copies).select(F.col("text_key").alias(k), F.col("row").alias(r), F.col("_runs").alias(runs))
+    out = dealt.join(told, (F.col(own_key) == F.col(k)) & (F.col(own_row) == F.col(r)), "left")
+    return out.select(*docs.columns, F.coalesce(runs, F.array().cast(_RUNS)).alias(runs))
 
 
 def _ranges(runs) -> list[tuple[int, int]]:
