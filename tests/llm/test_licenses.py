@@ -1,9 +1,11 @@
 import math
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from wardlens.llm import licenses as L
+from wardlens.llm import oracles
 
 FILES = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "plain words"), ("a/b/c/LICENSE", "Licensed under CC BY-NC 4.0."),
          ("a/b/c/d/y", "none"), ("a/b/c/z", "first line\nlicensed under the APACHE license, version 2.0. more words"), ("q", "outside"),
@@ -27,13 +29,24 @@ def brute(files):
 
     def best(text):
         return min((-cos(vec(text), vec(x)), k) for k, x in L.TEMPLATES)
+
+    def runs(text):
+        """Best of the runs of as many words as a template has, each against that template."""
+        words, found = L.terms_of(text), [(9, "")]
+        own_terms = {x: set(L.terms_of(x)) for _, x in L.TEMPLATES}
+        for k, x in L.TEMPLATES:
+            size = len(L.terms_of(x))
+            for i in range(max(1, len(words) - size + 1)):
+                part = words[i:i + size]
+                if set(part) & own_terms[x]:
+                    found.append((-cos(vec(" ".join(part)), vec(x)), k))
+        return min(found)
     own = []
     for _, t in files:
         t = t or ""
         whole = best(t)
-        heads = sorted(best(s) for s in re.sub(r"([.!?])[ \t\r]+", "\\1\n", t).split("\n"))
-        head = -heads[0][0] >= L.HEADER
-        own.append(("file", whole) if head and -whole[0] >= L.LICENCE_FILE else ("header", heads[0]) if head else None)
+        head = min([*(best(s) for s in re.sub(r"([.!?])[ \t\r]+", "\\1\n", t).split("\n")), runs(t)])
+        own.append(("file", whole) if -whole[0] >= L.LICENCE_FILE else ("header", head) if -head[0] >= L.HEADER else None)
     up = lambda p: "" if "/" not in p else p.rsplit("/", 1)[0]
     dirs = {}
     for (p, _), o in zip(files, own):
@@ -59,6 +72,30 @@ def test_equals_brute_force(spark):
     assert L.inherit(L.scan(d)).count() == len(FILES)
 
 
+def sql_rows(rows):
+    """The registered SQL over documents (doc_id, text, lang, source)."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    cur = con.execute(oracles.licenses(L.TEMPLATES, L.HEADER, L.LICENCE_FILE))
+    names = [d[0] for d in cur.description]
+    return names, sorted(map(tuple, cur.fetchall()), key=repr)
+
+
+def test_sql_knows_whole_files_and_wrapped_notices(spark):
+    """A licence file without a close line, what inherits from it, a notice wrapped in comment lines, and a plain file."""
+    words = L.TEMPLATES[1][1].split()
+    spread = "\n".join(f"{' '.join(words[i:i + 5])} zq{i}a zq{i}b" for i in range(0, len(words), 5))
+    notice = "import os\n" + "\n".join(wrapped(L.TEMPLATES[5][1], 40, "# ")) + "\n" + "\n".join(f"x{i} = y{i}" for i in range(60))
+    rows = [(1, spread, "en", "a"), (2, "plain", "en", "a"), (3, notice, "en", "b"), (4, "outside", "de", "c"), (None, None, None, "a"),
+            (5, "Released under\nthe MIT License.", "en", "d"), (6, "", "en", "d"), (3, notice, "en", "b")]
+    names, want = sql_rows(rows)
+    got = L.scan_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == want
+    found = {r[names.index("doc_id")]: (r[names.index("license_id")], r[names.index("origin")]) for r in want}
+    assert found[1] == ("MIT", "file") and found[2] == ("MIT", "inherited") and found[3] == ("GPL-3.0", "header") and found[4] == (None, None)
+
+
 def test_heavy_terms_are_enough():
     v = {"a": 0.9, "b": 0.4, "c": 0.17}
     v = {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}

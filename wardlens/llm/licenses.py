@@ -1,9 +1,11 @@
 """License scans: TF-IDF cosine to templates and inheritance along directories, in DataFrame expressions.
 
 A file's segments are its sentences and lines, its runs of as many words as a
-template has (across line and sentence ends, so a wrapped notice is found
-whole; comment marks are no words), and the whole file.  A segment's cosine to a template uses term counts times the inverse document frequency over
-all files (terms of no template weigh as if one file held them).  A file whose
+template has, each held against that template (across line and sentence ends, so
+a wrapped notice is found whole; comment marks are no words), and the whole
+file.  A segment's cosine to a template uses term counts times the inverse
+document frequency over all files (terms of no template weigh as if one file
+held them).  A file whose
 whole text is close enough to a template is a licence file and speaks for its
 directory; a file with a close segment has a licence header; any other file
 takes the licence of its nearest ancestor directory that has one.
@@ -41,6 +43,7 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 HEADER = 0.75      # least cosine of a header segment
+SALT = 32          # parts of a directory in the join to its licence
 LICENCE_FILE = 0.5  # least cosine of a whole licence file
 
 
@@ -80,16 +83,17 @@ def heavy_terms(vectors: list[dict[str, float]], least: float) -> list[str]:
 
 def _closest(segments: DataFrame, keys: list[str], table: DataFrame, other: float, names: list[str]) -> DataFrame:
     """``keys`` and best (far = -cosine, license_id) of each segment's ``text``: one row per distinct term
-    of a segment, met with the terms' weights (a table of template terms only)."""
+    of a segment, met with the terms' weights (a table of template terms only).  A segment whose key ``only``
+    is a template's number is held against that one alone."""
     counts = segments.select(*keys, F.explode(_terms(F.col("text"))).alias("term")).filter("term != ''").groupBy(
         *keys, "term").agg(F.count(F.lit(1)).alias("n"))
     weighed = counts.join(F.broadcast(table), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
     dots = weighed.groupBy(*keys).agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"),
         *(F.sum(F.col("w") * F.coalesce(f"v{k}", F.lit(0.0))).alias(f"d{k}") for k in range(len(names))))
-    return dots.select(*keys, F.array_min(F.array(*(
-        F.struct((-F.round(F.col(f"d{k}") / F.col("length"), 6)).alias("far"), F.lit(name).alias("license_id"))
-        for k, name in enumerate(names)))).alias("best"))
+    near = F.array(*(F.struct((-F.round(F.col(f"d{k}") / F.col("length"), 6)).alias("far"), F.lit(name).alias("license_id"))
+                     for k, name in enumerate(names)))
+    return dots.select(*keys, F.when(F.col("only").isNull(), F.array_min(near)).otherwise(F.get(near, F.col("only"))).alias("best"))
 
 
 def _shares(text: Column, vectors: list[dict[str, float]]) -> Column:
@@ -107,7 +111,7 @@ def _reached(share: Column, least: float) -> Column:
 def _runs(text: Column, shares: Column, vectors: list[dict[str, float]], sizes: list[int], weight: dict[str, float], other: float,
           least: float) -> tuple[Column, Column]:
     """(words, runs): the words of ``text`` with their weights, and, of a column ``words`` that holds them, the runs of
-    words that can reach ``least``.
+    words that can reach ``least``, each with its template's number.
 
     A template's runs have as many words as the template, or all if there are fewer.  Each word adds its share to the
     product with the template, and its squared weight to the squared length, which repeats only make longer."""
@@ -128,7 +132,8 @@ def _runs(text: Column, shares: Column, vectors: list[dict[str, float]], sizes:
 
         starts = F.when(_reached(shares[k], least) & (n > 0), F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))))
         starts = F.filter(F.coalesce(starts, F.array().cast("array<int>")), close)
-        runs.append(F.transform(starts, lambda p: F.array_join(F.transform(within(p), lambda i: F.col("words")[i].t), " ")))
+        runs.append(F.transform(starts, lambda p: F.struct(
+            F.lit(True).alias("header"), F.lit(k).alias("only"), F.array_join(F.transform(within(p), lambda i: F.col("words")[i].t), " ").alias("text"))))
     return words, F.concat(*runs)
 
 
@@ -156,14 +161,16 @@ def scan(files: DataFrame, templates=TEMPLATES, header: float = HEADER, licence_
         F.exists("shares", lambda x: _reached(x, min(header, licence_file))))
     lines = F.filter(F.split(F.regexp_replace("text", r"([.!?])[ \t\r]+", "$1\n"), "\n"), lambda s: F.arrays_overlap(_terms(s), some))
     words, runs = _runs(F.col("text"), F.col("shares"), vectors, [len(terms_of(x)) for _, x in templates], weight, other, header)
-    heads = F.transform(F.array_distinct(F.concat(lines, runs)), lambda s: F.struct(F.lit(True).alias("header"), s.alias("text")))
-    whole = F.filter(F.array(F.struct(F.lit(False).alias("header"), F.col("text").alias("text"))),
+    none = F.lit(None).cast("int").alias("only")
+    lines = F.transform(lines, lambda s: F.struct(F.lit(True).alias("header"), none, s.alias("text")))
+    heads = F.array_distinct(F.concat(lines, runs))
+    whole = F.filter(F.array(F.struct(F.lit(False).alias("header"), none, F.col("text").alias("text"))),
                      lambda _: F.exists("shares", lambda x: _reached(x, licence_file)))
     # a generator keeps the words from being split anew at every use
     keyed = keyed.select("path", "key", "text", "shares", F.inline(F.array(F.struct(words.alias("words")))))
     segments = keyed.select("path", "key", F.inline(F.concat(heads, whole))).withColumn("segment", F.xxhash64("text"))
     # rows that repeat a path and text multiply all counts of a segment alike, which leaves its cosine
-    near = _closest(segments, ["path", "key", "header", "segment"], table, other, names)
+    near = _closest(segments, ["path", "key", "header", "only", "segment"], table, other, names)
     near = near.filter(-F.col("best.far") >= F.when(F.col("header"), header).otherwise(licence_file))
     own = near.groupBy(F.col("path").alias("_path"), F.col("key").alias("_key")).agg(F.min(F.struct("header", "best")).alias("_own"))
     keep = [c for c in files.columns if c != "text"]
@@ -196,7 +203,10 @@ def inherit(scanned: DataFrame) -> DataFrame:
     dirs = at.filter("_dir IS NOT NULL").select("_dir").distinct().select("_dir", F.posexplode(up).alias("depth", "ancestor"))
     nearest = dirs.join(spoken, "ancestor").groupBy("_dir").agg(F.max(F.struct("depth", "ancestor", "theirs", "their_score")).alias("near"))
     own = F.col("license_id").isNotNull()
-    return at.join(nearest, "_dir", "left").select(
+    # a directory may hold a third of all files: its one row is repeated, and its files are dealt by path as well
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")
+    at = at.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int"))
+    return at.join(nearest.select("*", salt), ["_dir", "_salt"], "left").select(
         *[c for c in scanned.columns if c not in ("license_id", "score", "origin")],
         F.coalesce("license_id", "near.theirs").alias("license_id"), F.coalesce("score", "near.their_score").alias("score"),
         F.when(own, F.col("origin")).when(F.col("near").isNotNull(), "inherited").alias("origin"),

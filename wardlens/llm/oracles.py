@@ -144,7 +144,9 @@ FROM d LEFT JOIN mean USING (r)
 
 
 def licenses(templates, header: float, licence_file: float) -> str:
-    """Licence scan and inheritance over source/lang/doc_id, every segment of every text weighed."""
+    """Licence scan and inheritance over source/lang/doc_id: every line, sentence and whole text is weighed against every
+    template, and every run of as many words as a template has against that one.  (Runs are made only for texts that
+    hold enough of a template's terms: a cosine is at most the length of that part of its unit vector.)"""
     values = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(templates))
     def terms(c: str) -> str:
         return f"list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -168,11 +170,21 @@ segments AS (SELECT DISTINCT r, unnest(string_split(regexp_replace(text, '([.!?]
 segw AS (SELECT r, s, t, count(*) * any_value(coalesce(idf.x, other.x)) AS w FROM (SELECT r, s, unnest({terms('s')}) AS t FROM segments)
          LEFT JOIN idf USING (t), other GROUP BY r, s, t),
 near AS ({closest('segw', 'r, s')}),
-heads AS (SELECT r, min(best) AS head FROM near WHERE -best.far >= {header} GROUP BY r),
-allw AS (SELECT r, t, n * coalesce(idf.x, other.x) AS w FROM words SEMI JOIN heads USING (r) LEFT JOIN idf USING (t), other),
+share AS (SELECT r, k FROM words JOIN tv USING (t) GROUP BY r, k HAVING sum(v * v) >= {header ** 2} - 1e-6),
+listed AS (SELECT r, {terms('text')} AS w FROM f SEMI JOIN share USING (r)),
+runs AS (SELECT r, k, s, list_slice(w, s + 1, s + m) AS g
+         FROM (SELECT r, k, w, m, unnest(range(0, greatest(len(w) - m, 0) + 1)) AS s
+               FROM share JOIN listed USING (r) JOIN (SELECT k, CAST(sum(n) AS BIGINT) AS m FROM tn GROUP BY k) USING (k))),
+runw AS (SELECT r, k, s, t, count(*) * any_value(coalesce(idf.x, other.x)) AS w FROM (SELECT r, k, s, unnest(g) AS t FROM runs)
+         LEFT JOIN idf USING (t), other GROUP BY r, k, s, t),
+runnear AS (SELECT r, struct_pack(far := -round(dot / length, 6), name := name) AS best
+            FROM (SELECT r, k, s, sqrt(sum(w * w)) AS length, sum(w * coalesce(v, 0)) AS dot FROM runw LEFT JOIN tv USING (k, t) GROUP BY r, k, s)
+            JOIN tmpl USING (k)),
+heads AS (SELECT r, min(best) AS head FROM (SELECT r, best FROM near UNION ALL SELECT r, best FROM runnear) WHERE -best.far >= {header} GROUP BY r),
+allw AS (SELECT r, t, n * coalesce(idf.x, other.x) AS w FROM words LEFT JOIN idf USING (t), other),
 whole AS ({closest('allw', 'r')}),
 own AS (SELECT r, coalesce(-best.far >= {licence_file}, false) AS is_file, CASE WHEN coalesce(-best.far >= {licence_file}, false) THEN best ELSE head END AS o
-        FROM heads LEFT JOIN whole USING (r)),
+        FROM f LEFT JOIN whole USING (r) LEFT JOIN heads USING (r)),
 files AS (SELECT f.*, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir, is_file, o FROM f LEFT JOIN own USING (r)),
 spoken AS (SELECT dir AS ancestor, min(o) AS theirs FROM files WHERE is_file GROUP BY dir),
 up AS (SELECT dir, depth, CASE WHEN depth = 0 THEN '' ELSE array_to_string(list_slice(string_split(dir, '/'), 1, depth), '/') END AS ancestor
