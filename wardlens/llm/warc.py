@@ -36,7 +36,8 @@ def record(url: Column, payload: Column, record_id: Column) -> Column:
 
 def place_records(leaves: DataFrame, order: list[str], records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """Add file and offset to rows with ``size``: files of ``records_per_file`` records in the total
-    order of ``order``.  Rows are numbered range by range, so repeated keys fill no single task."""
+    order of ``order``.  Rows are numbered range by range; rows that are equal in all of ``order`` share a
+    range, so ``order`` must tell rows apart as far as they differ."""
     numbered = row_number_within(leaves.withColumn("_all", F.lit(0)), "_all", [F.col(c).asc_nulls_first() for c in order], "_rn").drop("_all")
     placed = numbered.withColumn("file", F.floor((F.col("_rn") - 1) / records_per_file))
     before = Window.partitionBy("file").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +53,7 @@ def _hash_of(children: Column) -> Column:
 def tree(leaves: DataFrame, range_bits: int = RANGE_BITS, fan_bits: int = FAN_BITS, levels: int = LEVELS) -> list[DataFrame]:
     """Levels 0 (leaves) to ``levels`` + 1 (roots) as (file, node, up, digest); ``node`` is the offset of a
     record or the number of a range, ``up`` the node above.  Rows that repeat an offset count as
-    one leaf that hashes all of them."""
+    one leaf that hashes all of them.  Every level but the leaves is written, so the next one is built from its rows."""
     base = leaves.groupBy("file", F.col("offset").alias("node")).agg(F.sort_array(F.collect_list("digest")).alias("d")).select(
         "file", "node", F.when(F.size("d") == 1, F.col("d")[0]).otherwise(F.sha2(F.array_join("d", ","), 256)).alias("digest"))
     out, bits = [], range_bits
@@ -60,8 +61,8 @@ def tree(leaves: DataFrame, range_bits: int = RANGE_BITS, fan_bits: int = FAN_BI
         up = F.shiftright("node", bits if k == 0 else fan_bits) if k < levels else F.lit(0).cast("long")
         base = base.withColumn("up", up)
         out.append(base)
-        base = base.groupBy("file", F.col("up").alias("node")).agg(
-            _hash_of(F.collect_list(F.struct(F.col("node").alias("at"), "digest"))).alias("digest"))
+        base = materialize(base.groupBy("file", F.col("up").alias("node")).agg(
+            _hash_of(F.collect_list(F.struct(F.col("node").alias("at"), "digest"))).alias("digest")), "warc-nodes")
     return [*out, base.withColumn("up", F.lit(0).cast("long"))]
 
 
