@@ -221,12 +221,14 @@ def test_a_stored_clustering_assigns_unseen_subjects(spark):
     emb = learn.embed(encoder, d)
     mixture = learn.fit_mixture(emb.filter("subject_id < 60"), 3, 4, 1e-4)
     path = tempfile.mkdtemp(prefix="wardlens-clustering-")
-    learn.save_clustering(spark, path, encoder, mixture)
-    learn.save_clustering(spark, path, encoder, mixture)  # again: replaced
-    encoder2, mixture2 = learn.load_clustering(spark, path)
+    fitted = learn.Clustering(encoder, mixture, ["b", "a"])
+    fitted.save(spark, path)
+    fitted.save(spark, path)  # again: replaced
+    again = learn.Clustering.load(spark, path)
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(learn.assign_clusters(mixture2, learn.embed(encoder2, d))) == key(learn.assign_clusters(mixture, emb))
-    assert (mixture2.steps, mixture2.starts_run, mixture2.log_likelihood) == (mixture.steps, mixture.starts_run, mixture.log_likelihood)
+    assert key(again.assign(d)) == key(fitted.assign(d)) == key(learn.assign_clusters(mixture, emb))
+    assert again.labels == ["b", "a"] and (again.mixture.steps, again.mixture.starts_run, again.mixture.log_likelihood) == (
+        mixture.steps, mixture.starts_run, mixture.log_likelihood)
 
 
 # ---- M4 ----------------------------------------------------------------------------------------

@@ -156,15 +156,28 @@ MIXTURE_COLUMNS = ("component int, weight double, mean array<double>, root array
                    "log_likelihood double, starts_run int, steps int")
 
 
-def save_clustering(spark: SparkSession, path: str, encoder: PipelineModel, mixture: Mixture) -> None:
-    """Store a fitted clustering, encoder and mixture, under ``path``."""
-    encoder.write().overwrite().save(os.path.join(path, "encoder"))
-    mixture.save(spark, os.path.join(path, "mixture"))
+@dataclass
+class Clustering:
+    """Encoder and mixture, with the labels whose summaries the encoder reads, to store and to assign subjects
+    that the fit has not seen."""
+
+    encoder: PipelineModel
+    mixture: Mixture
+    labels: list[str]
 
+    def assign(self, rows: DataFrame) -> DataFrame:
+        """(subject_id, cluster, probability[]) of rows as the encoder was fitted on."""
+        return assign_clusters(self.mixture, embed(self.encoder, rows))
 
-def load_clustering(spark: SparkSession, path: str) -> tuple[PipelineModel, Mixture]:
-    """The clustering stored under ``path``, to embed and assign subjects that the fit has not seen."""
-    return PipelineModel.load(os.path.join(path, "encoder")), Mixture.load(spark, os.path.join(path, "mixture"))
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.encoder.write().overwrite().save(os.path.join(path, "encoder"))
+        self.mixture.save(spark, os.path.join(path, "mixture"))
+        spark.createDataFrame(list(enumerate(self.labels)), "i int, label string").coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "labels"))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Clustering":
+        labels = [r["label"] for r in spark.read.parquet(os.path.join(path, "labels")).orderBy("i").collect()]  # one row per label
+        return cls(PipelineModel.load(os.path.join(path, "encoder")), Mixture.load(spark, os.path.join(path, "mixture")), labels)
 
 
 def _log_density(z: np.ndarray, weight: np.ndarray, mean: np.ndarray, root: np.ndarray) -> np.ndarray:

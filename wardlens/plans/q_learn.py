@@ -176,13 +176,13 @@ def mixture_reload(spark, d):
     t = Tables(spark, d)
     rows, encoder = _encoder_rows(t), _encoder(t)
     emb = t.derived("embedding", lambda: L.embed(encoder, rows))
-    mixture = _mixture(t, emb)
+    fitted = L.Clustering(encoder, _mixture(t, emb), LABELS)
     path = sinks.scratch(spark, "clusterings")
-    L.save_clustering(spark, path, encoder, mixture)
-    encoder, again = L.load_clustering(spark, path)
-    new = sinks.materialize(L.embed(encoder, rows), "embedding-again")
+    fitted.save(spark, path)
+    again = L.Clustering.load(spark, path)
+    new = sinks.materialize(L.embed(again.encoder, rows), "embedding-again")
     both = [L.assign_clusters(m, e).join(e.select("subject_id", vector_to_array("embedding").alias("e")), "subject_id")
-            .select("subject_id", F.struct("e", "cluster", "probability").alias(name)) for m, e, name in ((mixture, emb, "a"), (again, new, "b"))]
+            .select("subject_id", F.struct("e", "cluster", "probability").alias(name)) for m, e, name in ((fitted.mixture, emb, "a"), (again.mixture, new, "b"))]
     x = both[0].join(both[1], "subject_id")
     return x.select("subject_id", *(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).alias(n) for c, n in (
         ("e", "same_embedding"), ("cluster", "same_cluster"), ("probability", "same_probability"))))

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 from wardlens.functions.codesets import FIXTURE
 from wardlens.operators import evaluate as EV
-from wardlens.operators import flags, series
 from wardlens.plans import q_flags
 from wardlens.plans import sqltext as S
 from wardlens.plans.catalog import register
-from wardlens.plans.q_cohort import fixture_index_stays
 from wardlens.plans.q_eval import EVAL_CTES, _auc_sql, fixture_scored
 from wardlens.plans.q_series import SERIES_CTES, _branch
+from wardlens.plans.study import StudyTables, study_graph
 from wardlens.sources import roles, sinks
 from wardlens.sources.derived import DerivedTables, files_version
 from wardlens.sources.tables import Tables
@@ -73,24 +72,15 @@ def run_log_once(spark, d):
     return sinks.read_log(spark, path)
 
 
-def derived_study(t: Tables, root: str) -> DerivedTables:
+def fixture_graph(t: Tables, root: str) -> DerivedTables:
     """S3: the study's four persisted tables over the fixture's files, in dependency order."""
-    g = DerivedTables(t.spark, root)
-    for name in ("orders", "lineitem", "customer", "part", "events"):
-        g.source(name, lambda name=name: getattr(t, name), files_version(t.spark, os.path.join(t.sf_dir, f"{name}.parquet")))
-    dct = roles.item_dictionary(t.spark)
-
-    def flags_of(*_):
-        return flags.first_visit_flags(roles.stays(t), roles.code_dictionary(t), roles.code_facts(t), excluded_units=FIXTURE["excluded_units"], **q_flags._kw())
-
-    def measured(cohort, _, lab_ids, chart_ids):
-        return series.measurements(roles.lab_events(t), dct, lab_ids, roles.chart_events(t), dct, chart_ids, cohort, ["subject_id"], ["subject_id"])
-
-    g.table("index_stays", lambda *_: fixture_index_stays(t, stays=roles.stays(t)), ["orders", "lineitem", "customer"])
-    g.table("visit_flags", flags_of, ["orders", "lineitem", "part"])
-    g.table("measurements", measured, ["index_stays", "events"], {"lab_ids": FIXTURE["lab_item_ids"], "chart_ids": FIXTURE["chart_item_ids"]})
-    g.table("hourly", lambda m: series.hourly_average(series.with_hours(m)), ["measurements"])
-    return g
+    files = {n: files_version(t.spark, os.path.join(t.sf_dir, f"{n}.parquet")) for n in ("orders", "lineitem", "customer", "part", "events")}
+    made_of = {"stays": ("orders", "lineitem"), "subjects": ("customer",), "visits": ("orders",), "deaths": ("orders",), "code_dictionary": ("part",),
+               "code_facts": ("lineitem", "orders"), "lab_events": ("events",), "chart_events": ("events",), "lab_items": (), "chart_items": ()}
+    items = roles.item_dictionary(t.spark)
+    tables = StudyTables(lab_items=items, chart_items=items, **{r: getattr(roles, r)(t) for r in made_of if not r.endswith("_items")})
+    versions = {role: "+".join(files[n] for n in names) for role, names in made_of.items()}
+    return study_graph(t.spark, root, tables, versions, FIXTURE, chart_keys=("subject_id",))
 
 
 FEWER = list(FIXTURE["chart_item_ids"])[::2]
@@ -114,7 +104,7 @@ def rebuild_cascade(spark, d):
     """S3: which tables are rebuilt, and their rows, (1) at first, (2) with nothing new, (3) after the list of chart items
     changed, (4) after the index stays were dropped with all that was built on them."""
     root = sinks.scratch(spark, "derived")
-    g, found = derived_study(Tables(spark, d), root), []
+    g, found = fixture_graph(Tables(spark, d), root), []
     for step in (1, 2, 3, 4):
         if step == 3:
             g.change("measurements", chart_ids=FEWER)

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from wardlens.functions.codesets import only
 from wardlens.operators import cohort, features, flags, learn, sampling, series
-from wardlens.sources.sinks import materialize
+from wardlens.sources.derived import DerivedTables
+from wardlens.sources.sinks import materialize, release
 from wardlens.sources.tables import JdbcSpec, read_table
 
 # clinical table name for each role
@@ -106,11 +107,53 @@ def prepare(t: StudyTables, params: dict, *, lab_keys=("subject_id",), chart_key
     return Study(idx, fl, meas, trail, seq, static, table, model_rows)
 
 
-def cluster_cohorts(study: Study, params: dict, seed: int = 0) -> DataFrame:
-    """M1-M3: embed, fit the mixture on the training subjects, assign everyone."""
-    rows = study.model_rows
-    emb_model = learn.fit_embedding(rows.filter(F.col("split") == "train"), params["embedding_size"])
-    emb = materialize(learn.embed(emb_model, rows), "embedding")
-    train = emb.join(rows.filter(F.col("split") == "train").select("subject_id"), "subject_id")
-    gm = learn.fit_mixture(train, params["clusters"], params["cluster_starts"], params["cluster_tol"], seed)
-    return learn.assign_clusters(gm, emb)
+def study_graph(spark: SparkSession, root: str, t: StudyTables, versions: dict[str, str], params: dict, *,
+                lab_keys=("subject_id",), chart_keys=("subject_id", "icustay_id")) -> DerivedTables:
+    """S3: the study's four persisted tables (index stays, flags, measurements, hourly cells) as a graph that outlives the
+    job: ``refresh`` rebuilds those that other parameters or other ``versions`` of the role tables touch."""
+    p, g = params, DerivedTables(spark, root)
+    deaths = t.deaths if t.deaths is not None else t.visits
+    for role in (*CLINICAL_NAMES, "deaths"):
+        g.source(role, lambda role=role: deaths if role == "deaths" else getattr(t, role), versions.get(role, versions["visits"]))
+    g.table("index_stays", cohort.index_stays, ["stays", "subjects", "visits", "deaths"], only(cohort.index_stays, p))
+    g.table("visit_flags", flags.first_visit_flags, ["stays", "code_dictionary", "code_facts"], {
+        "fact_side_flags": p.get("fact_side_flags", ("copd", "renal_failure")),
+        **{k: p[k] for k in ("excluded_units", "code_flags", "title_flag", "lowercase_flags")}})
+
+    def measured(labs, lab_items, charts, chart_items, index, lab_ids, chart_ids):
+        return series.measurements(labs, lab_items, lab_ids, charts, chart_items, chart_ids, index, lab_keys, chart_keys)
+
+    g.table("measurements", measured, ["lab_events", "lab_items", "chart_events", "chart_items", "index_stays"],
+            {"lab_ids": p["lab_item_ids"], "chart_ids": p["chart_item_ids"]})
+    g.table("hourly", lambda m: series.hourly_average(series.with_hours(m)), ["measurements"])
+    return g
+
+
+def encoder_rows(study: Study, labels: list[str]) -> DataFrame:
+    """M1: the model rows with the numeric summaries of the ``labels``' sequences beside the tokens."""
+    return study.model_rows.join(features.summary_vectors(series.sequence_summaries(study.trailing), labels), "subject_id")
+
+
+def fit_clustering(study: Study, params: dict, seed: int = 0) -> learn.Clustering:
+    """M1, M2: encoder and mixture fitted on the training subjects."""
+    labels = sorted(r["label"] for r in study.trailing.select("label").distinct().collect())  # labels of the item dictionary
+    rows = encoder_rows(study, labels)
+    train = rows.filter(F.col("split") == "train")
+    encoder = learn.fit_embedding(train, params["embedding_size"])
+    emb = materialize(learn.embed(encoder, train), "embedding")
+    mixture = learn.fit_mixture(emb, params["clusters"], params["cluster_starts"], params["cluster_tol"], seed)
+    release(emb)
+    return learn.Clustering(encoder, mixture, labels)
+
+
+def cluster_cohorts(study: Study, params: dict, seed: int = 0, path: str | None = None, load: bool = False) -> DataFrame:
+    """Every subject's cluster, by a clustering fitted on the training subjects (and stored at ``path``) or,
+    with ``load``, by the one stored there earlier."""
+    spark = study.model_rows.sparkSession
+    if load:
+        fitted = learn.Clustering.load(spark, path)
+    else:
+        fitted = fit_clustering(study, params, seed)
+        if path:
+            fitted.save(spark, path)
+    return fitted.assign(encoder_rows(study, fitted.labels))

@@ -90,7 +90,8 @@ class DerivedTables:
         if name in self.sources:
             return self.sources[name][1]
         t = self.tables[name]
-        text = json.dumps([t.name, t.params, [(r, self.digest(r)) for r in t.reads]], sort_keys=True, default=str)
+        text = json.dumps([t.name, t.params, [(r, self.digest(r)) for r in t.reads]], sort_keys=True,
+                          default=lambda x: sorted(x) if isinstance(x, (set, frozenset)) else str(x))
         return hashlib.sha256(text.encode()).hexdigest()
 
     def built_on(self, name: str) -> list[str]:
