@@ -22,7 +22,6 @@ import heapq
 import json
 import os
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,9 +34,10 @@ from pyspark.sql import functions as F
 
 from wardlens.llm.quality import Tokens
 from wardlens.llm.shared import pieces, small_batches
-from wardlens.session import ensure_checkpoint_dir
+from wardlens.sources.sinks import file_system, scratch
 
 LEXICON_WORDS = 1 << 16
+LEXICON_BYTES = 128       # longest word of the lexicon: with the number of words, the bound of what reaches the driver
 PIECE_BYTES = 2 << 20  # text that a task splits and encodes at once
 NONE = np.iinfo(np.int32).max
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the format's splitter
@@ -432,10 +432,10 @@ def word_counts(docs: DataFrame, vocabulary, text_col: str = "text") -> DataFram
 
 
 def write_shared(spark: SparkSession, name: str, content: bytes) -> str:
-    """Write a file to the shared folder through Hadoop's file system; its path."""
-    path = os.path.join(ensure_checkpoint_dir(spark), "files", f"{name}-{uuid.uuid4().hex}")
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    """Write a file to the shared folder through Hadoop's file system; its path.  ``release_all`` deletes it."""
+    path = scratch(spark, "files", name)
+    fs, target = file_system(spark, path)
+    out = fs.create(target, True)
     out.write(content)
     out.close()
     return path
@@ -445,12 +445,14 @@ def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_W
            text_col: str = "text") -> tuple[DataFrame, "Vocabulary"]:
     """(``docs`` plus ``ids`` array<int>, the vocabulary).
 
-    The lexicon holds the ``lexicon_words`` most frequent words (ties by bytes) of all rows;
-    its size changes speed only.  A null or empty text has no ids."""
+    The lexicon holds the ``lexicon_words`` most frequent words (ties by bytes) of all rows that are not longer
+    than ``LEXICON_BYTES``; it changes speed only.  A null or empty text has no ids.  An input column ``ids``
+    gives way to the new one, as with ``withColumn``; all others stay, whatever their names."""
     spark = docs.sparkSession
     vocabulary = Vocabulary.load(vocabulary_path)
     sent = spark.sparkContext.broadcast(vocabulary)
-    top = word_counts(docs, sent, text_col).orderBy(F.desc("n"), "word").limit(lexicon_words)
+    counts = word_counts(docs, sent, text_col).filter(F.octet_length("word") <= LEXICON_BYTES)
+    top = counts.orderBy(F.desc("n"), "word").limit(lexicon_words)
     words = [bytes(w) for w in top.select("word").toArrow().column(0).to_pylist()]
     lexicon = Automaton.compile(dict(zip(words, vocabulary.encode_words(words))))
     path = write_shared(spark, "lexicon", lexicon.to_bytes())
