@@ -57,3 +57,13 @@ def test_counts_pack_without_loss():
 
 def test_empty_table(documents):
     assert lm_score.score(documents([]), F.lit(True)).count() == 0
+
+
+def test_inputs_that_read_differently_every_time(spark):
+    """A shuffled input, and whole batches that repeat: both passes see the same batches."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "dd"]) for _ in range(12)), i % 2 == 0) for i in range(60)] + [(100, "same text here again", True)] * 40
+    d = spark.createDataFrame(rows, "doc_id long, text string, flag boolean").orderBy(F.rand())
+    got = lm_score.score(d, F.col("flag"), batch_bytes=60).collect()
+    by = lambda rows: sorted((str(r[0]), r[1], *(round(x, 9) + 0.0 for x in r[2:])) for r in rows)
+    assert by(map(tuple, got)) == by(brute(rows))

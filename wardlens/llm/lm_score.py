@@ -15,8 +15,11 @@ and sends them, packed by hash bucket, to the tasks that add them up.  Those
 return to each batch the totals of its own n-grams, in its own order.  The batch
 then meets its totals and scores its documents.  No key carries more than one
 entry per batch, no document list is gathered by n-gram, and nothing but three
-numbers (V and the two N) reaches the driver.  A batch is named by a hash of
-its content, so totals can only meet the text they were counted for.
+numbers (V and the two N) reaches the driver.  The texts are written once and
+both passes read that copy, so a batch holds the same rows in both, also where the
+input is a shuffle or a task is run again; a batch is named by a hash of its content,
+so totals can only meet the text they were counted for.  The number of buckets
+follows the bytes of text, so a bucket stays small whatever the input.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.shared import materialize, partitions, pieces
+from wardlens.llm.shared import materialize, partitions, pieces, small_batches
 from wardlens.llm.words import Words, mix
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 7 << 20
+BUCKET_TEXT = 8 << 20   # bytes of text a bucket: its packed n-grams are some two or three times as many
 MU, ALPHA = 10.0, 0.5
 BEGIN = np.uint64(0x5BD1E9955BD1E995)  # stands before a text's first word
 
@@ -207,8 +211,10 @@ def score(docs: DataFrame, target: Column, buckets: int | None = None, batch_byt
     are empty; texts without words score 0.  Null and repeated ids keep their rows.  Without any
     target text the target model is the smoothed uniform one; an empty table gives no rows."""
     spark = docs.sparkSession
-    buckets = buckets or 2 * partitions(spark)
-    src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
+    src = materialize(small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(target, F.lit(False)).alias("target")), "lm-texts")
+    if buckets is None:
+        total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(2 * partitions(spark), -(-total // BUCKET_TEXT))
     counted = src.mapInArrow(_count_rows(buckets, batch_bytes), "kind int, bucket int, batch bigint, keys binary, every binary, target binary")
     totals = materialize(counted.groupBy("kind", "bucket").applyInArrow(
         _totals, "kind int, bucket int, batch bigint, every binary, target binary, words bigint, n_every bigint, n_target bigint"), "lm-totals")
