@@ -28,6 +28,7 @@ from wardlens.llm.shared import pieces, small_batches, unused
 from wardlens.llm.words import Words, mix
 
 FIT_ROWS = 12_000
+PIECE_BYTES = 2 << 20  # text whose indicators a task holds at once
 BITS = 18
 
 _CLASS = np.full(256, 2, np.uint8)          # 0: white space, 1: word, 2: other visible
@@ -69,8 +70,10 @@ def log_count_ratio(slots: list[np.ndarray], y: np.ndarray, size: int, alpha: fl
     """Naive Bayes log-count ratio of every slot, add-``alpha`` smoothed."""
     side = []
     for label in (1, -1):
-        own = [s for s, v in zip(slots, y) if v == label]
-        c = alpha + np.bincount(np.concatenate(own) if own else np.zeros(0, np.int64), minlength=size)
+        c = np.full(size, alpha)
+        for s, v in zip(slots, y):  # a row's indicators are distinct
+            if v == label:
+                c[s] += 1
         side.append(np.log(c / c.sum()))
     return side[0] - side[1]
 
@@ -186,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece, data, off in pieces(b, "text"):
+            for piece, data, off in pieces(b, "text", PIECE_BYTES):
                 doc, slot = features(data, off, bits)
                 cut = np.searchsorted(doc, np.arange(len(off)))
                 own = [slot[s:e].astype(np.int32).tobytes() for s, e in zip(cut, cut[1:])]
@@ -216,7 +219,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece, data, off in pieces(b, text_col):
+            for piece, data, off in pieces(b, text_col, PIECE_BYTES):
                 cols = list(piece.columns)
                 cols[at] = pa.array(sent.value.scores(data, off), pa.float64())
                 yield pa.RecordBatch.from_arrays(cols, names)
