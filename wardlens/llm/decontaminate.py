@@ -33,6 +33,7 @@ from wardlens.llm.shared import materialize, pieces, small_batches, text_bytes,
 from wardlens.llm.words import Words
 
 BLOCK_BYTES = 4 << 20   # text of benchmark items that one pass holds
+SHARD_BYTES = 2 << 20   # text of one suffix array
 IDS = 1000              # items that one row of a block names
 PASSES = 4              # passes before the documents are written and read again
 
@@ -124,7 +125,7 @@ def _pass(sent, column: str, window: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block | None = sent.value
         for batch in batches:
-            for piece, data, off in pieces(batch, column):
+            for piece, data, off in pieces(batch, column, SHARD_BYTES):
                 before = piece.column(names[-1]).to_pylist()
                 if block is not None:
                     w = Words(data, off)
