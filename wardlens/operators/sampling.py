@@ -59,6 +59,19 @@ def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 0,
     return r.withColumn("split", split).drop("h")
 
 
+TASK_DRAWS = 500_000  # draws that one task makes, about
+
+
+def _positions(ranked: DataFrame, label: str, replicates: int) -> DataFrame:
+    """(_dl: class, _k: rank, n_class, replicate) of every row in each replicate >= 1.
+
+    A row of a few bytes becomes ``replicates`` - 1 ones: the rows are dealt by the draws they make, as a deal by bytes
+    would leave them all to a few tasks."""
+    tasks = 1 + ranked.count() * (replicates - 1) // TASK_DRAWS
+    rows = ranked.select(F.col(label).alias("_dl"), F.col("rank").alias("_k"), "n_class").repartition(tasks, "_k")
+    return rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates - 1))).alias("replicate"))
+
+
 def _at_rank(drawn: DataFrame, ranked: DataFrame, label: str, id_col: str) -> DataFrame:
     """The row at each drawn (class, rank); a NULL class is a class."""
     at = ranked.select(F.col(label).alias("_rl"), F.col("rank").alias("_rr"), id_col)
@@ -79,8 +92,7 @@ def bootstrap_draws(df: DataFrame, label: str, id_col: str, replicates: int, see
     original = r.select(F.lit(0).alias("replicate"), label, F.col("rank").alias("k"), id_col)
     if replicates <= 1:
         return original
-    pos = r.select(label, F.col("rank").alias("k"), "n_class",
-                   F.explode(F.sequence(F.lit(1), F.lit(replicates - 1))).alias("replicate"))
+    pos = _positions(r, label, replicates).withColumnsRenamed({"_dl": label, "_k": "k"})
     drawn_rank = F.pmod(hash8(F.lit(str(seed)), F.col("replicate"), F.col(label), F.col("k")), F.col("n_class"))
     pos = pos.withColumn("rank", drawn_rank)
     drawn = _at_rank(pos, r, label, id_col).select("replicate", label, "k", id_col)
@@ -97,8 +109,7 @@ def bootstrap_multiplicity(df: DataFrame, label: str, id_col: str, replicates: i
     original = r.select(F.lit(0).alias("replicate"), id_col, F.lit(1).cast("bigint").alias("multiplicity"))
     if replicates <= 1:
         return original
-    pos = r.select(label, F.col("rank").alias("k"), "n_class",
-                   F.explode(F.sequence(F.lit(1), F.lit(replicates - 1))).alias("replicate"))
+    pos = _positions(r, label, replicates).withColumnsRenamed({"_dl": label, "_k": "k"})
     drawn_rank = F.pmod(hash8(F.lit(str(seed)), F.col("replicate"), F.col(label), F.col("k")), F.col("n_class"))
     counts = pos.select("replicate", label, drawn_rank.alias("rank")) \
         .groupBy("replicate", label, "rank").agg(F.count(F.lit(1)).alias("multiplicity"))
@@ -116,8 +127,7 @@ def bootstrap_scored(scored: DataFrame, label: str, id_col: str, replicates: int
     original = r.select(F.lit(0).alias("replicate"), *cols, F.lit(1).cast("bigint").alias("multiplicity"))
     if replicates <= 1:
         return original
-    pos = r.select(F.col(label).alias("_dl"), F.col("rank").alias("_k"), "n_class",
-                   F.explode(F.sequence(F.lit(1), F.lit(replicates - 1))).alias("replicate"))
+    pos = _positions(r, label, replicates)
     drawn_rank = F.pmod(hash8(F.lit(str(seed)), F.col("replicate"), F.col("_dl"), F.col("_k")), F.col("n_class"))
     counts = pos.groupBy("replicate", "_dl", drawn_rank.alias("_dr")).agg(F.count(F.lit(1)).alias("multiplicity"))
     rows = r.select(*cols, F.col("rank").alias("_rank"))
@@ -145,8 +155,8 @@ def cohort_weights(train: DataFrame, cohort: str) -> DataFrame:
     counts = counts.withColumn("n_train", F.sum("n_cohort").over(Window.partitionBy(F.lit(0))))
     w = (F.col("n_train") / F.col("n_cohort")).alias("weight")
     counts = counts.select(F.col(cohort).alias("_wc"), "n_cohort", w)
-    # one row per cohort; rows without a cohort are one cohort
-    return train.join(counts, F.col(cohort).eqNullSafe(F.col("_wc"))).drop("_wc")
+    # one row per cohort, while the rows may hold far more than their files' size tells; rows without a cohort are one cohort
+    return train.join(F.broadcast(counts), F.col(cohort).eqNullSafe(F.col("_wc"))).drop("_wc")
 
 
 def task_weights(df: DataFrame, cohort: str, tasks: Sequence[str], weight: str | None = None) -> DataFrame:
