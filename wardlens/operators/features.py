@@ -109,6 +109,11 @@ def feature_table(seq_words: DataFrame, static: DataFrame, flags: DataFrame,
     return words.unionByName(repeated)
 
 
+def table_subjects(table: DataFrame) -> DataFrame:
+    """(subject_id): the subjects of a model table, once each."""
+    return table.select("subject_id").distinct()
+
+
 SUMMARIES = ("n", "mean", "last", "slope")
 
 

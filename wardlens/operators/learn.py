@@ -62,6 +62,11 @@ def _persisted(df: DataFrame):
         cached.unpersist()
 
 
+def _fit_inputs(train: DataFrame, *columns: str | None) -> DataFrame:
+    """The columns that a fit reads, so that no other token list is kept for it."""
+    return train.select(*dict.fromkeys(c for c in columns if c))
+
+
 def sequence_tokens(table: DataFrame, hours: int, blocks: int = 4) -> DataFrame:
     """Per subject: ``tokens`` — one per (step, feature) plus ``last:feature``
     for the final step — and ``block_tokens`` — ``b{k}:feature`` for the k-th
@@ -76,6 +81,14 @@ def sequence_tokens(table: DataFrame, hours: int, blocks: int = 4) -> DataFrame:
                                        F.collect_list("_b").alias("block_tokens"))
 
 
+def join_tokens(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows that carry token lists joined to another table by subject, both sides dealt by subject.
+
+    Written token lists take several hundred times their files' size in memory: a plan that goes by file sizes would
+    take them for a small table and send them whole through the driver."""
+    return rows.hint("merge").join(other, "subject_id")
+
+
 def _embedding_input(df: DataFrame) -> DataFrame:
     out = df.withColumn("_emb_tokens", F.concat("tokens", "block_tokens"))
     return out.withColumn("_summary", array_to_vector("summary")) if "summary" in df.columns else out
@@ -97,7 +110,8 @@ def fit_embedding(train_tokens: DataFrame, k: int) -> PipelineModel:
         wide = "_wide"
         stages.append(VectorAssembler(inputCols=["_counts", "_summary"], outputCol=wide))
     stages.append(StandardScaler(inputCol=wide, outputCol="_scaled", withMean=False, withStd=True))
-    with _persisted(_embedding_input(train_tokens)) as train:
+    inputs = _embedding_input(train_tokens)
+    with _persisted(_fit_inputs(inputs, "_emb_tokens", "_summary" if wide == "_wide" else None)) as train:
         head = Pipeline(stages=stages).fit(train)
         dims = head.stages[-1].std.size
         # every product of the iteration is a job over the vectors: they are kept, in parts of some PART_ROWS at least
@@ -359,7 +373,7 @@ def fit_global(train: DataFrame, label: str, weight: str | None = None,
         stages += [StringIndexer(inputCol=cohort, outputCol="_cidx", handleInvalid="keep"),
                    OneHotEncoder(inputCol="_cidx", outputCol="_conehot", dropLast=False),
                    VectorAssembler(inputCols=["_tok", "_conehot"], outputCol="features")]
-    with _persisted(train) as data:
+    with _persisted(_fit_inputs(train, "tokens", label, weight, cohort)) as data:
         return Pipeline(stages=stages + [_lr(label, weight)]).fit(data)
 
 
@@ -372,7 +386,7 @@ def fit_separate(train: DataFrame, label: str, cohort: str, reg: float = 0.01) -
     gets its (penalised) one-sided fit, one that training lacks scores 1/2: no
     row is left without a score."""
     index = StringIndexer(inputCol=cohort, outputCol="_cidx", handleInvalid="keep")
-    with _persisted(cohort_weights(train, cohort)) as data:
+    with _persisted(_fit_inputs(cohort_weights(train, cohort), "tokens", label, "weight", cohort)) as data:
         indexed = index.fit(data)
         lr = _lr(label, "weight", reg=reg / max(1, len(indexed.labels))).setFitIntercept(False).setStandardization(False)
         stages = [_token_counts("_tok"), indexed, OneHotEncoder(inputCol="_cidx", outputCol="_conehot", dropLast=False),
@@ -391,7 +405,7 @@ def fit_multitask(train: DataFrame, label: str, cohort: str, weight: str | None
         VectorAssembler(inputCols=["_shared", "_conehot", "_task"], outputCol="features"),
         _lr(label, weight),
     ]
-    with _persisted(train) as data:
+    with _persisted(_fit_inputs(train, "tokens", label, weight, cohort)) as data:
         return Pipeline(stages=stages).fit(data)
 
 
@@ -409,7 +423,7 @@ def fit_trees(train: DataFrame, label: str, weight: str | None = None, cohort: s
     trees = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed).setProbabilityCol("_prob")
     if weight:
         trees = trees.setWeightCol(weight)
-    with _persisted(train) as data:
+    with _persisted(_fit_inputs(train, "tokens", label, weight, cohort)) as data:
         return Pipeline(stages=[*stages, trees]).fit(data)
 
 

@@ -43,7 +43,7 @@ class ExperimentSpec:
 def with_cohorts(rows: DataFrame, membership: DataFrame, name: str = "cluster") -> DataFrame:
     """Take cohorts from a cluster-membership table (joined on subject, as text)."""
     m = membership.select("subject_id", F.col("cluster").cast("string").alias(name))
-    return rows.join(m, "subject_id")
+    return L.join_tokens(rows, m)
 
 
 FAMILIES = ("GLOBAL", "SEPARATE", "MULTITASK", "TREES")

@@ -34,19 +34,20 @@ LABEL, COHORT = "readmission_30_days", "first_careunit"
 def fixture_model_rows(t: Tables):
     """(subject_id, tokens, label, cohort, split), written once."""
     def build():
-        tokens = L.sequence_tokens(fixture_table(t), N)
+        table = fixture_table(t)
         st = fixture_static(t).select("subject_id", LABEL, COHORT)
-        rows = tokens.join(st, "subject_id")
-        split = SA.stratified_split(rows.select("subject_id", LABEL), LABEL, "subject_id", SEED,
+        # the split reads who has a row, written without the tokens: the tokens are collected once and dealt once
+        who = t.derived("model_subjects", lambda: FE.table_subjects(table).join(st, "subject_id"))
+        split = SA.stratified_split(who.select("subject_id", LABEL), LABEL, "subject_id", SEED,
                                     CLINICAL["test_fraction"], CLINICAL["validation_fraction"])
-        return rows.join(split.select("subject_id", "split"), "subject_id")
+        return L.join_tokens(L.sequence_tokens(table, N), who.join(split.select("subject_id", "split"), "subject_id"))
     return t.derived("model_rows", build)
 
 
 def _encoder_rows(t: Tables):
     """Model rows with the numeric summaries of their sequences beside the tokens."""
     vectors = FE.summary_vectors(series.sequence_summaries(fixture_trailing(t)), LABELS)
-    return fixture_model_rows(t).join(vectors, "subject_id")
+    return L.join_tokens(fixture_model_rows(t), vectors)
 
 
 def _encoder(t: Tables):
@@ -115,7 +116,9 @@ def separate_scored_scopes(spark, d):
     for family, model in fits.items():
         scored = L.score_global(model, test, ["subject_id", COHORT, LABEL]).filter(F.col("score").between(0, 1))
         n = [F.count(F.when(F.col(LABEL) == v, 1)).alias(c) for v, c in ((1, "n_pos"), (0, "n_neg"))]
-        part = scored.groupBy(F.col(COHORT).alias("scope")).agg(*n).unionByName(scored.agg(*n).withColumn("scope", F.lit("micro")))
+        per = scored.groupBy(F.col(COHORT).alias("scope")).agg(*n)
+        # the cohorts' counts added up: the rows are scored once
+        part = per.unionByName(per.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_pos", "n_neg"))).withColumn("scope", F.lit("micro")))
         part = part.select(F.lit(family).alias("family"), "scope", "n_pos", "n_neg")
         out = part if out is None else out.unionByName(part)
     return out
@@ -181,9 +184,9 @@ def mixture_reload(spark, d):
     fitted.save(spark, path)
     again = L.Clustering.load(spark, path)
     new = sinks.materialize(L.embed(again.encoder, rows), "embedding-again")
-    both = [L.assign_clusters(m, e).join(e.select("subject_id", vector_to_array("embedding").alias("e")), "subject_id")
+    both = [L.assign_clusters(m, e).hint("merge").join(e.select("subject_id", vector_to_array("embedding").alias("e")), "subject_id")
             .select("subject_id", F.struct("e", "cluster", "probability").alias(name)) for m, e, name in ((fitted.mixture, emb, "a"), (again.mixture, new, "b"))]
-    x = both[0].join(both[1], "subject_id")
+    x = both[0].hint("merge").join(both[1], "subject_id")
     return x.select("subject_id", *(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).alias(n) for c, n in (
         ("e", "same_embedding"), ("cluster", "same_cluster"), ("probability", "same_probability"))))
 

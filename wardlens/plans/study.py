@@ -98,12 +98,15 @@ def prepare(t: StudyTables, params: dict, *, lab_keys=("subject_id",), chart_key
     static = features.static_attributes(idx, **only(features.static_attributes, p))
     names = list(p["code_flags"]) + ([p["title_flag"][0]] if p.get("title_flag") else [])
     table = features.feature_table(seq, static, fl, names, hours)
-    tokens = learn.sequence_tokens(table, hours)
-    rows = tokens.join(static.select("subject_id", "readmission_30_days", "first_careunit"), "subject_id")
-    split = sampling.stratified_split(rows.select("subject_id", "readmission_30_days"), "readmission_30_days",
+    # the split reads who has a row, written without the tokens: the tokens are collected once and dealt once
+    who = materialize(features.table_subjects(table).join(static.select("subject_id", "readmission_30_days", "first_careunit"), "subject_id"),
+                      "model_subjects")
+    split = sampling.stratified_split(who.select("subject_id", "readmission_30_days"), "readmission_30_days",
                                       "subject_id", seed, p.get("test_fraction", 0.2),
                                       p.get("validation_fraction", 0.125))
-    model_rows = materialize(rows.join(split.select("subject_id", "split"), "subject_id"), "model_rows")
+    attributes = who.join(split.select("subject_id", "split"), "subject_id")
+    model_rows = materialize(learn.join_tokens(learn.sequence_tokens(table, hours), attributes), "model_rows")
+    release(who)
     return Study(idx, fl, meas, trail, seq, static, table, model_rows)
 
 
@@ -131,7 +134,7 @@ def study_graph(spark: SparkSession, root: str, t: StudyTables, versions: dict[s
 
 def encoder_rows(study: Study, labels: list[str]) -> DataFrame:
     """M1: the model rows with the numeric summaries of the ``labels``' sequences beside the tokens."""
-    return study.model_rows.join(features.summary_vectors(series.sequence_summaries(study.trailing), labels), "subject_id")
+    return learn.join_tokens(study.model_rows, features.summary_vectors(series.sequence_summaries(study.trailing), labels))
 
 
 def fit_clustering(study: Study, params: dict, seed: int = 0) -> learn.Clustering:
