@@ -133,10 +133,11 @@ def index_stays(stays: DataFrame, subjects: DataFrame, visits: DataFrame, deaths
         dth = latest_death(deaths)
     # both subject-keyed joins first (one partitioning by subject), then the
     # (subject, visit) join; the joins are on independent keys, so the order
-    # does not change the rows
-    out = (idx.join(subj, "subject_id", "inner")
-           .join(dth, "subject_id", "left")
-           .join(vis, ["subject_id", "hadm_id"], "left"))
+    # does not change the rows; every side grows with the input, so none is
+    # sent through the driver, however small its files are
+    out = (idx.hint("merge").join(subj.hint("merge"), "subject_id", "inner")
+           .join(dth.hint("merge"), "subject_id", "left")
+           .join(vis.hint("merge"), ["subject_id", "hadm_id"], "left"))
     age = age_years("intime", "dob", year_days_milli)
     days = F.coalesce(F.col("days_elapsed"), F.lit(0)).cast("bigint")
     out = out.select(

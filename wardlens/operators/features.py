@@ -55,7 +55,7 @@ def sequence_words(slots: DataFrame, onehot: DataFrame) -> DataFrame:
     """T8 completion: each slot takes every indicator of its source hour."""
     oh = onehot.withColumnRenamed("hours_in", "src_hour")
     return slots.select("subject_id", "step", "hours_in", "src_hour") \
-        .join(oh, ["subject_id", "src_hour"], "inner") \
+        .join(oh.hint("merge"), ["subject_id", "src_hour"], "inner") \
         .select("subject_id", "step", "hours_in", "feature")
 
 
@@ -94,18 +94,19 @@ def feature_table(seq_words: DataFrame, static: DataFrame, flags: DataFrame,
 
     Only subjects present in all three inputs are kept (inner merges).  The
     static/flag part is made once per subject and repeated over a bounded
-    ``sequence(0, hours-1)``.
+    ``sequence(0, hours-1)``.  Every side grows with the subjects: all joins are
+    by sort and merge, whatever the files' sizes.
     """
     keep = seq_words.select("subject_id").distinct() \
-        .join(static.select("subject_id"), "subject_id") \
-        .join(flags.select("subject_id"), "subject_id")
+        .join(static.select("subject_id").hint("merge"), "subject_id") \
+        .join(flags.select("subject_id").hint("merge"), "subject_id")
     flag_feats = flags.select("subject_id", F.explode(F.array(*[
         F.when(F.col(n) == 1, F.lit(n)) for n in flag_names])).alias("feature")) \
         .filter(F.col("feature").isNotNull())
-    per_subject = static_one_hot(static).unionByName(flag_feats).join(keep, "subject_id")
+    per_subject = static_one_hot(static).unionByName(flag_feats).join(keep.hint("merge"), "subject_id")
     repeated = per_subject.select("subject_id", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("step"),
                                   "feature")
-    words = seq_words.join(keep, "subject_id").select("subject_id", "step", "feature")
+    words = seq_words.join(keep.hint("merge"), "subject_id").select("subject_id", "step", "feature")
     return words.unionByName(repeated)
 
 
@@ -148,7 +149,7 @@ def matrix_cells(matrix: DataFrame, names: DataFrame) -> DataFrame:
 def unit_report(table: DataFrame, static: DataFrame, unit: str = "first_careunit",
                 label: str = "readmission_30_days") -> DataFrame:
     """Positives and subjects per cohort over the model table's subjects."""
-    subj = table.select("subject_id").distinct().join(static.select("subject_id", unit, label), "subject_id")
+    subj = table.select("subject_id").distinct().join(static.select("subject_id", unit, label).hint("merge"), "subject_id")
     per = subj.groupBy("subject_id").agg(F.max(unit).alias(unit), F.max(label).alias(label))
     return per.groupBy(unit).agg(F.sum(label).cast("bigint").alias("positives"),
                                  F.count(F.lit(1)).alias("subjects"))

@@ -5,7 +5,8 @@ subject's first stay (a join on (subject, visit) against one row per
 subject), then tagged through the dictionary and reduced with a partial
 ``max`` aggregate.  The running-max window of the original is kept as its own
 operator (``running_max``) and applied to per-visit aggregates, not to raw
-fact rows.
+fact rows.  The dictionary grows with the input like the facts: joins are by
+sort and merge, so that it never goes whole through the driver.
 """
 
 from __future__ import annotations
@@ -60,9 +61,9 @@ def code_flags(dictionary: DataFrame, facts: DataFrame, *, code_flags: Mapping[s
     f = materialize(facts.select("subject_id", "hadm_id", F.col(code).alias("f_code")), "code-facts")
     flags = flag_columns(code_flags, title_flag, lowercase_flags=lowercase_flags,
                          fact_side_flags=fact_side_flags)
-    matched = f.join(d, f.f_code == d.d_code, "inner")
+    matched = f.join(d.hint("merge"), f.f_code == d.d_code, "inner")
     used = f.select(F.col("f_code").alias("d_code")).distinct()
-    unused = d.join(used, "d_code", "left_anti").select(
+    unused = d.join(used.hint("merge"), "d_code", "left_anti").select(
         F.lit(None).cast("long").alias("subject_id"), F.lit(None).cast("long").alias("hadm_id"),
         F.lit(None).cast("string").alias("f_code"), "d_code", "long_title")
     rows = matched.select("subject_id", "hadm_id", "f_code", "d_code", "long_title").unionByName(unused)
@@ -89,15 +90,15 @@ def first_visit_flags(stays: DataFrame, dictionary: DataFrame, facts: DataFrame,
     over that stay's coded facts; subjects without codes get 0 (not NULL)."""
     first = first_stays(stays, excluded_units)
     f = facts.select("subject_id", "hadm_id", F.col(code).alias("f_code"))
-    f = f.join(first, ["subject_id", "hadm_id"], "left_semi")
+    f = f.join(first.hint("merge"), ["subject_id", "hadm_id"], "left_semi")
     d = dictionary.select(F.col(code).alias("d_code"), "long_title")
-    tagged = f.join(d, f.f_code == d.d_code, "inner")
+    tagged = f.join(d.hint("merge"), f.f_code == d.d_code, "inner")
     cols = flag_columns(code_flags, title_flag, lowercase_flags=lowercase_flags,
                         fact_side_flags=fact_side_flags)
     names = flag_names(code_flags, title_flag)
     per_visit = tagged.select("subject_id", "hadm_id", *cols) \
         .groupBy("subject_id", "hadm_id").agg(*[F.max(n).alias(n) for n in names])
-    out = first.join(per_visit, ["subject_id", "hadm_id"], "left")
+    out = first.join(per_visit.hint("merge"), ["subject_id", "hadm_id"], "left")
     return out.select("subject_id", "hadm_id",
                       *[F.coalesce(F.col(n), F.lit(0)).cast("int").alias(n) for n in names])
 

@@ -6,7 +6,9 @@ mean) this module aggregates first (partial aggregation before the shuffle)
 and joins the small per-key result back; AQE splits a hot subject's
 partitions in those joins.  Windows are only used over bounded groups: the
 N+1 hour slots of a subject, or the item ids of one (subject, label, hour)
-cell.  Values are summed as exact integers of 10^-10 and only the average is
+cell.  Joins of two sides that grow with the input are hinted as sort-merge joins:
+written tables take many times their files' size in memory, and a plan that goes
+by file sizes would send them whole through the driver.  Values are summed as exact integers of 10^-10 and only the average is
 rounded (half away from zero, 2 decimals), so sums do not depend on row order
 and every engine agrees.  NaN and infinite values are NULL from ingest on; cells
 with a value of 10^15 or more are averaged in double precision.
@@ -66,8 +68,9 @@ def measurement_branch(facts: DataFrame, dictionary: DataFrame, item_ids: Sequen
     dictionary (J6, written inner), restricted to the cohort (J8).
 
     The dictionary is broadcast after filtering it to ``item_ids``: its size is
-    bounded by the length of that list.  Visit/stay columns missing from the
-    facts are taken from the cohort row.
+    bounded by the length of that list; the cohort grows with the input and is
+    joined by sort and merge.  Visit/stay columns missing from the facts are
+    taken from the cohort row.
     """
     f = select_items(facts, item_ids)
     if "hadm_id" in f.columns:
@@ -75,7 +78,7 @@ def measurement_branch(facts: DataFrame, dictionary: DataFrame, item_ids: Sequen
     d = F.broadcast(select_items(dictionary, item_ids).select("itemid", "label"))
     from_cohort = [c for c in ("hadm_id", "icustay_id") if c not in f.columns and c not in join_keys]
     c = cohort.select(*join_keys, *from_cohort)
-    out = f.join(d, "itemid").join(c, list(join_keys))
+    out = f.join(d, "itemid").join(c.hint("merge"), list(join_keys))
     return out.withColumn("date_entered", event_date("charttime")) \
         .withColumn("valuenum", finite(F.col("valuenum").cast("double"))).select(*MEASURE_COLS)
 
@@ -115,7 +118,7 @@ def with_hours(meas: DataFrame, origin: str = "label") -> DataFrame:
     (``origin='label'``) or of the subject (``origin='subject'``)."""
     keys = ["subject_id", "label"] if origin == "label" else ["subject_id"]
     first = meas.groupBy(*keys).agg(F.min("charttime").alias("min_time"))
-    out = meas.join(first, keys, "left")
+    out = meas.join(first.hint("merge"), keys, "left")
     raw, rounded = hours_since("charttime", "min_time")
     return out.withColumn("hours_in", rounded).withColumn("hours_raw", raw).drop("min_time")
 
@@ -191,7 +194,7 @@ def last_hour(cells: DataFrame) -> DataFrame:
 def min_span(cells: DataFrame, hours: int) -> DataFrame:
     """Cells (with a value) of subjects whose last hour >= ``hours``."""
     last = last_hour(cells).filter(F.col("last_hour") >= hours)
-    return cells.filter(F.col("valuenum_avg").isNotNull()).join(last, "subject_id")
+    return cells.filter(F.col("valuenum_avg").isNotNull()).join(last.hint("merge"), "subject_id")
 
 
 def trailing_window(cells: DataFrame, hours: int) -> DataFrame:

@@ -37,10 +37,10 @@ def fixture_model_rows(t: Tables):
         table = fixture_table(t)
         st = fixture_static(t).select("subject_id", LABEL, COHORT)
         # the split reads who has a row, written without the tokens: the tokens are collected once and dealt once
-        who = t.derived("model_subjects", lambda: FE.table_subjects(table).join(st, "subject_id"))
+        who = t.derived("model_subjects", lambda: FE.table_subjects(table).join(st.hint("merge"), "subject_id"))
         split = SA.stratified_split(who.select("subject_id", LABEL), LABEL, "subject_id", SEED,
                                     CLINICAL["test_fraction"], CLINICAL["validation_fraction"])
-        return L.join_tokens(L.sequence_tokens(table, N), who.join(split.select("subject_id", "split"), "subject_id"))
+        return L.join_tokens(L.sequence_tokens(table, N), who.join(split.select("subject_id", "split").hint("merge"), "subject_id"))
     return t.derived("model_rows", build)
 
 
@@ -292,7 +292,7 @@ def _test_auc(scored):
 
 
 def _mixture(t: Tables, emb):
-    train = emb.join(fixture_model_rows(t).filter(F.col("split") == "train").select("subject_id"), "subject_id")
+    train = L.join_tokens(emb, fixture_model_rows(t).filter(F.col("split") == "train").select("subject_id"))
     return L.fit_mixture(train, CLINICAL["clusters"], CLINICAL["cluster_starts"], CLINICAL["cluster_tol"], SEED)
 
 

@@ -99,12 +99,12 @@ def prepare(t: StudyTables, params: dict, *, lab_keys=("subject_id",), chart_key
     names = list(p["code_flags"]) + ([p["title_flag"][0]] if p.get("title_flag") else [])
     table = features.feature_table(seq, static, fl, names, hours)
     # the split reads who has a row, written without the tokens: the tokens are collected once and dealt once
-    who = materialize(features.table_subjects(table).join(static.select("subject_id", "readmission_30_days", "first_careunit"), "subject_id"),
+    who = materialize(features.table_subjects(table).join(static.select("subject_id", "readmission_30_days", "first_careunit").hint("merge"), "subject_id"),
                       "model_subjects")
     split = sampling.stratified_split(who.select("subject_id", "readmission_30_days"), "readmission_30_days",
                                       "subject_id", seed, p.get("test_fraction", 0.2),
                                       p.get("validation_fraction", 0.125))
-    attributes = who.join(split.select("subject_id", "split"), "subject_id")
+    attributes = who.join(split.select("subject_id", "split").hint("merge"), "subject_id")
     model_rows = materialize(learn.join_tokens(learn.sequence_tokens(table, hours), attributes), "model_rows")
     release(who)
     return Study(idx, fl, meas, trail, seq, static, table, model_rows)

@@ -19,7 +19,8 @@ def stays(t: Tables) -> DataFrame:
     counts = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_items"))
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     los = F.coalesce(F.col("n_items"), F.lit(0)).cast("int")
-    return (o.join(counts, o.o_orderkey == counts.l_orderkey, "left")
+    # both sides grow with the input: neither is sent through the driver
+    return (o.join(counts.hint("merge"), o.o_orderkey == counts.l_orderkey, "left")
             .select(F.col("o_custkey").alias("subject_id"),
                     F.col("o_orderkey").alias("hadm_id"),
                     F.col("o_orderkey").alias("icustay_id"),
@@ -71,7 +72,7 @@ def code_facts(t: Tables) -> DataFrame:
     """coded facts: one per line item, subject and visit from its order."""
     li = t.lineitem.select("l_orderkey", "l_partkey")
     o = t.orders.select("o_orderkey", "o_custkey")
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
+    return (li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey)
             .select(F.col("o_custkey").alias("subject_id"),
                     F.col("l_orderkey").alias("hadm_id"),
                     F.col("l_partkey").cast("string").alias("icd9_code")))
