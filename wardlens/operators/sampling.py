@@ -59,23 +59,41 @@ def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 0,
     return r.withColumn("split", split).drop("h")
 
 
-TASK_DRAWS = 500_000  # draws that one task makes, about
+TASK_DRAWS = 500_000  # draws that one task makes, looks up or adds up, about
 
 
-def _positions(ranked: DataFrame, label: str, replicates: int) -> DataFrame:
+def _draw_tasks(ranked: DataFrame, replicates: int) -> int:
+    """Tasks for every step over the draws, some ``TASK_DRAWS`` each: draws are few bytes, and a deal by bytes or into a
+    fixed number of partitions would leave more of them to a task the more there are."""
+    return 1 + ranked.count() * (replicates - 1) // TASK_DRAWS
+
+
+def _positions(ranked: DataFrame, label: str, replicates: int, tasks: int | None = None) -> DataFrame:
     """(_dl: class, _k: rank, n_class, replicate) of every row in each replicate >= 1.
 
-    A row of a few bytes becomes ``replicates`` - 1 ones: the rows are dealt by the draws they make, as a deal by bytes
-    would leave them all to a few tasks."""
-    tasks = 1 + ranked.count() * (replicates - 1) // TASK_DRAWS
+    A row of a few bytes becomes ``replicates`` - 1 ones: the rows are dealt by the draws they make."""
+    tasks = tasks or _draw_tasks(ranked, replicates)
     rows = ranked.select(F.col(label).alias("_dl"), F.col("rank").alias("_k"), "n_class").repartition(tasks, "_k")
     return rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates - 1))).alias("replicate"))
 
 
-def _at_rank(drawn: DataFrame, ranked: DataFrame, label: str, id_col: str) -> DataFrame:
-    """The row at each drawn (class, rank); a NULL class is a class."""
-    at = ranked.select(F.col(label).alias("_rl"), F.col("rank").alias("_rr"), id_col)
-    return drawn.join(at, F.col(label).eqNullSafe(F.col("_rl")) & (F.col("rank") == F.col("_rr")))
+def _place(label: str, rank: Column) -> Column:
+    """A row's class and rank as one key: the draws are dealt by it once, for their counts and their lookup alike, and a
+    NULL class is a class."""
+    return F.struct(F.col(label).alias("class"), rank.cast("bigint").alias("rank"))
+
+
+def _at_place(drawn: DataFrame, ranked: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
+    """The row at each drawn ``_place``."""
+    at = ranked.select(_place(label, F.col("rank")).alias("_row"), *cols)
+    return drawn.hint("merge").join(at, F.col("_place") == F.col("_row"))
+
+
+def _counted_draws(ranked: DataFrame, label: str, replicates: int, seed: int, tasks: int) -> DataFrame:
+    """(replicate, _place, multiplicity) of every drawn row of each replicate >= 1."""
+    drawn_rank = F.pmod(hash8(F.lit(str(seed)), F.col("replicate"), F.col("_dl"), F.col("_k")), F.col("n_class"))
+    drawn = _positions(ranked, label, replicates, tasks).select("replicate", _place("_dl", drawn_rank).alias("_place"))
+    return drawn.repartition(tasks, "_place").groupBy("replicate", "_place").agg(F.count(F.lit(1)).alias("multiplicity"))
 
 
 def bootstrap_draws(df: DataFrame, label: str, id_col: str, replicates: int, seed: int = 0,
@@ -92,29 +110,30 @@ def bootstrap_draws(df: DataFrame, label: str, id_col: str, replicates: int, see
     original = r.select(F.lit(0).alias("replicate"), label, F.col("rank").alias("k"), id_col)
     if replicates <= 1:
         return original
-    pos = _positions(r, label, replicates).withColumnsRenamed({"_dl": label, "_k": "k"})
+    tasks = _draw_tasks(r, replicates)
+    pos = _positions(r, label, replicates, tasks).withColumnsRenamed({"_dl": label, "_k": "k"})
     drawn_rank = F.pmod(hash8(F.lit(str(seed)), F.col("replicate"), F.col(label), F.col("k")), F.col("n_class"))
-    pos = pos.withColumn("rank", drawn_rank)
-    drawn = _at_rank(pos, r, label, id_col).select("replicate", label, "k", id_col)
+    pos = pos.select("replicate", label, "k", _place(label, drawn_rank).alias("_place")).repartition(tasks, "_place")
+    drawn = _at_place(pos, r, label, [id_col]).select("replicate", label, "k", id_col)
     return original.unionByName(drawn)
 
 
 def bootstrap_multiplicity(df: DataFrame, label: str, id_col: str, replicates: int, seed: int = 0,
                            buckets: int = 1024) -> DataFrame:
     """(replicate, id, multiplicity) for the same draws as ``bootstrap_draws``,
-    counted before the id lookup: repeats collapse in a partial aggregate on
-    (replicate, class, drawn rank), so the join and the shuffle carry distinct
-    draws only (about 63 % of n per replicate) instead of every draw."""
+    counted before the id lookup: the draws are dealt by the row they draw, so
+    repeats meet, are counted and are looked up in one task, and the result, dealt
+    by id for the joins to come, holds distinct draws only (about 63 % of n per
+    replicate)."""
     r = class_ranks(df.select(id_col, label), label, id_col, seed, buckets)
     original = r.select(F.lit(0).alias("replicate"), id_col, F.lit(1).cast("bigint").alias("multiplicity"))
     if replicates <= 1:
         return original
-    pos = _positions(r, label, replicates).withColumnsRenamed({"_dl": label, "_k": "k"})
-    drawn_rank = F.pmod(hash8(F.lit(str(seed)), F.col("replicate"), F.col(label), F.col("k")), F.col("n_class"))
-    counts = pos.select("replicate", label, drawn_rank.alias("rank")) \
-        .groupBy("replicate", label, "rank").agg(F.count(F.lit(1)).alias("multiplicity"))
-    drawn = _at_rank(counts, r, label, id_col).select("replicate", id_col, "multiplicity")
-    return original.unionByName(drawn)
+    tasks = _draw_tasks(r, replicates)
+    drawn = _at_place(_counted_draws(r, label, replicates, seed, tasks), r, label, [id_col]).select("replicate", id_col, "multiplicity")
+    # no fewer parts than a join would make by itself: it would deal the draws anew, and by bytes
+    parts = max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return original.unionByName(drawn).repartition(parts, id_col)
 
 
 def bootstrap_scored(scored: DataFrame, label: str, id_col: str, replicates: int, seed: int = 0,
@@ -127,11 +146,8 @@ def bootstrap_scored(scored: DataFrame, label: str, id_col: str, replicates: int
     original = r.select(F.lit(0).alias("replicate"), *cols, F.lit(1).cast("bigint").alias("multiplicity"))
     if replicates <= 1:
         return original
-    pos = _positions(r, label, replicates)
-    drawn_rank = F.pmod(hash8(F.lit(str(seed)), F.col("replicate"), F.col("_dl"), F.col("_k")), F.col("n_class"))
-    counts = pos.groupBy("replicate", "_dl", drawn_rank.alias("_dr")).agg(F.count(F.lit(1)).alias("multiplicity"))
-    rows = r.select(*cols, F.col("rank").alias("_rank"))
-    drawn = counts.join(rows, F.col("_dl").eqNullSafe(F.col(label)) & (F.col("_dr") == F.col("_rank")))
+    counts = _counted_draws(r, label, replicates, seed, _draw_tasks(r, replicates))
+    drawn = _at_place(counts, r, label, cols)
     return original.unionByName(drawn.select("replicate", *cols, "multiplicity"))
 
 

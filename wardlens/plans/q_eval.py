@@ -29,7 +29,7 @@ UNITS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
 def fixture_scored(t: Tables):
     docs = t.documents.select("doc_id", "lang", "n_chars")
     lab = t.labels.select("doc_id", F.col("quality").alias("y"))
-    return lab.join(docs, "doc_id").select(
+    return lab.hint("merge").join(docs, "doc_id").select(
         "doc_id", "y", "lang", (F.pmod(F.col("n_chars"), F.lit(100)) / F.lit(100.0)).alias("score"))
 
 
