@@ -9,15 +9,17 @@ late, hence
 * a cell is final, and appended to the sink, once the watermark has reached its
   end, the first minute that rounds to the next hour; until then its sums wait.
 
-State per (subject, label): the origin, the waiting rows and the open cells, all
-bounded by the delay, kept in the query's checkpoint, so a restarted query goes
-on with them.  Sums are exact integers, as in the batch operator, and the average
+State per subject, for each of its labels: the origin, the waiting rows and the
+open cells, all bounded by the delay, kept in the query's checkpoint, so a
+restarted query goes on with them.  One call serves all labels of a subject: most
+labels have a row or two, and a call costs more than they do.  Sums are exact integers, as in the batch operator, and the average
 is the batch operator's expression.  Cells beyond the watermark at the end of a
 run stay open for the next one.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -33,8 +35,8 @@ from wardlens.session import ensure_checkpoint_dir
 
 MINUTE, HOUR = 60_000_000, 60  # microseconds; minutes
 
-# waiting rows: time (microseconds) and what a row adds; open cells: hour and sums
-_STATE = ("origin bigint, wait_at array<bigint>, wait array<string>, hour array<bigint>, cell array<string>")
+# JSON list of [label, origin, waiting rows: (microseconds, what a row adds), open cells: (hour, sums)]
+_STATE = "labels string"
 _CELL = "subject_id {id}, label string, hours_in bigint, icustay_id {stay}, hadm_id {visit}, s string, n bigint, b double, nb bigint, n_measures bigint"
 
 
@@ -44,15 +46,6 @@ def _add(a: list, b: list) -> list:
     return [x + y for x, y in zip(a[:5], b[:5])] + least
 
 
-def _pack(c: list) -> str:
-    return "|".join("" if x is None else repr(x) for x in c)
-
-
-def _unpack(s: str) -> list:
-    p = s.split("|")
-    return [int(p[0]), int(p[1]), float(p[2]), int(p[3]), int(p[4]), *(int(x) if x else None for x in p[5:])]
-
-
 def cell_end(origin: int, hour: int) -> int:
     """First microsecond whose whole minutes since ``origin`` round to a later hour than ``hour``."""
     return origin + (hour * HOUR + HOUR // 2) * MINUTE
@@ -72,27 +65,31 @@ def advance(origin: int | None, waiting: list[tuple[int, list]], cells: dict[int
 
 
 def _cells(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    origin, wait_at, wait, hour, cell = state.get if state.exists else (None, [], [], [], [])
-    waiting = list(zip(wait_at, map(_unpack, wait)))
-    cells = dict(zip(hour, map(_unpack, cell)))
+    stored = json.loads(state.get[0]) if state.exists else []
+    labels = {label: (origin, [tuple(w) for w in waiting], dict(cells)) for label, origin, waiting, cells in stored}
     if not state.hasTimedOut:
         for pdf in batches:
-            for t, units, large, stay, visit in zip(pdf["us"], pdf["units"], pdf["large"], pdf["icustay_id"], pdf["hadm_id"]):
+            for label, t, units, large, stay, visit in zip(pdf["label"], pdf["us"], pdf["units"], pdf["large"], pdf["icustay_id"], pdf["hadm_id"]):
                 known, big = not pd.isna(units), not pd.isna(large)
+                waiting = labels.setdefault(None if pd.isna(label) else label, (None, [], {}))[1]
                 waiting.append((int(t), [int(units) if known else 0, int(known), float(large) if big else 0.0, int(big), 1,
                                          *(None if pd.isna(x) else int(x) for x in (stay, visit))]))
     watermark = state.getCurrentWatermarkMs() * 1000
-    origin, waiting, cells, final = advance(origin, waiting, cells, watermark)
-    state.update((origin, [t for t, _ in waiting], [_pack(r) for _, r in waiting], list(cells), [_pack(c) for c in cells.values()]))
-    due = min([cell_end(origin, h) for h in cells] if origin is not None else [t + 1 for t, _ in waiting], default=None)
-    if due is not None:  # called again when the watermark gets there, with or without new rows
-        state.setTimeoutTimestamp(max(-(-due // 1000), state.getCurrentWatermarkMs() + 1))
+    kept, final, due = [], [], []
+    for label, (origin, waiting, cells) in labels.items():
+        origin, waiting, cells, closed = advance(origin, waiting, cells, watermark)
+        kept.append((label, origin, waiting, list(cells.items())))
+        final += [(label, h, c) for h, c in closed]
+        due += [t + 1 for t, _ in waiting] if origin is None else [cell_end(origin, h) for h in cells]
+    state.update((json.dumps(kept),))
+    if due:  # called again when the watermark gets there, with or without new rows
+        state.setTimeoutTimestamp(max(-(-min(due) // 1000), state.getCurrentWatermarkMs() + 1))
     if not final:
         return
-    yield pd.DataFrame({"subject_id": [key[0]] * len(final), "label": [key[1]] * len(final), "hours_in": [h for h, _ in final],
-                        "icustay_id": pd.array([c[5] for _, c in final], "Int64"), "hadm_id": pd.array([c[6] for _, c in final], "Int64"),
-                        "s": [str(c[0]) for _, c in final], "n": [c[1] for _, c in final], "b": [c[2] for _, c in final],
-                        "nb": [c[3] for _, c in final], "n_measures": [c[4] for _, c in final]})
+    yield pd.DataFrame({"subject_id": [key[0]] * len(final), "label": [lb for lb, _, _ in final], "hours_in": [h for _, h, _ in final],
+                        "icustay_id": pd.array([c[5] for _, _, c in final], "Int64"), "hadm_id": pd.array([c[6] for _, _, c in final], "Int64"),
+                        "s": [str(c[0]) for _, _, c in final], "n": [c[1] for _, _, c in final], "b": [c[2] for _, _, c in final],
+                        "nb": [c[3] for _, _, c in final], "n_measures": [c[4] for _, _, c in final]})
 
 
 def hourly_cells(measurements: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -104,7 +101,7 @@ def hourly_cells(measurements: DataFrame, delay: str = "1 hour") -> DataFrame:
     rows = measurements.filter(F.col("charttime").isNotNull()).withColumn("at", F.col("charttime").cast("timestamp")).withWatermark("at", delay)
     rows = rows.select("subject_id", "label", "at", F.unix_micros("at").alias("us"), _units(F.col("valuenum")).cast("string").alias("units"),
                        _large(F.col("valuenum")).alias("large"), "icustay_id", "hadm_id")
-    cells = rows.groupBy("subject_id", "label").applyInPandasWithState(
+    cells = rows.groupBy("subject_id").applyInPandasWithState(
         _cells, _CELL.format(id=types["subject_id"], stay=types["icustay_id"], visit=types["hadm_id"]), _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     sums = cells.withColumn("s", F.col("s").cast("decimal(38,0)"))
     return sums.select("subject_id", "icustay_id", "hadm_id", "label", "hours_in", _mean2("s", "n", "b", "nb").alias("valuenum_avg"), "n_measures")
