@@ -115,11 +115,12 @@ def fit_embedding(train_tokens: DataFrame, k: int) -> PipelineModel:
         head = Pipeline(stages=stages).fit(train)
         dims = head.stages[-1].std.size
         # every product of the iteration is a job over the vectors: they are kept, in parts of some PART_ROWS at least
-        # (never more than the session's settings give them)
-        vectors = MLUtils.convertVectorColumnsFromML(head.transform(train).select("_scaled"), "_scaled")
-        vectors = vectors.coalesce(1 + train.count() // PART_ROWS)
-        with _persisted(vectors) as kept:
-            svd = RowMatrix(kept).computeSVD(max(1, min(k, dims)), computeU=False)
+        # (never more than the session's settings give them), and written before, as each of these jobs makes the
+        # driver pack the whole lineage of what it reads
+        vectors = materialize(head.transform(train).select("_scaled").coalesce(1 + train.count() // PART_ROWS), "scaled")
+    with _persisted(MLUtils.convertVectorColumnsFromML(vectors, "_scaled")) as kept:
+        svd = RowMatrix(kept).computeSVD(max(1, min(k, dims)), computeU=False)
+    release(vectors)
     jvm = train_tokens.sparkSession._jvm
     axes = svd._java_model.V().asML()
     spread = jvm.org.apache.spark.ml.linalg.Vectors.zeros(axes.numCols()).toDense()

@@ -49,7 +49,9 @@ def fixture_table(t: Tables, side_by_side: bool = True):
         # flags and the measurement chain only share the stay table
         fixture_stays(t)
         t.prefetch(lambda: fixture_flags(t), lambda: fixture_trailing(t))
-    return FE.feature_table(fixture_seq_words(t), fixture_static(t), fixture_flags(t), q_flags.NAMES, N)
+    # each part is read several times below: written once, and the plans on the table stay short
+    words, static = t.derived("seq_words", lambda: fixture_seq_words(t)), t.derived("static", lambda: fixture_static(t))
+    return FE.feature_table(words, static, fixture_flags(t), q_flags.NAMES, N)
 
 
 # ---- oracle side ---------------------------------------------------------

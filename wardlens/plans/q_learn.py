@@ -45,9 +45,12 @@ def fixture_model_rows(t: Tables):
 
 
 def _encoder_rows(t: Tables):
-    """Model rows with the numeric summaries of their sequences beside the tokens."""
-    vectors = FE.summary_vectors(series.sequence_summaries(fixture_trailing(t)), LABELS)
-    return L.join_tokens(fixture_model_rows(t), vectors)
+    """Model rows with the numeric summaries of their sequences beside the tokens, written once: the fit and the
+    embedding both read them."""
+    def build():
+        vectors = FE.summary_vectors(series.sequence_summaries(fixture_trailing(t)), LABELS)
+        return L.join_tokens(fixture_model_rows(t), vectors)
+    return t.derived("encoder_rows", build)
 
 
 def _encoder(t: Tables):
