@@ -343,6 +343,7 @@ def cluster_cohort_models(spark, d):
     """M8: cohorts from the mixture membership instead of the care unit."""
     t = Tables(spark, d)
     membership = t.derived("membership", lambda: _membership(t))
-    rows = X.with_cohorts(fixture_model_rows(t), membership)
+    # written once: the fit's jobs and the scoring read them
+    rows = t.derived("cluster_rows", lambda: X.with_cohorts(fixture_model_rows(t), membership))
     spec = X.ExperimentSpec(model="GLOBAL", label=LABEL, cohort="cluster", seed=SEED, run_id="clusters-0")
     return X.run_experiment(rows, spec)
