@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from wardlens.llm import simhash
 
@@ -131,3 +132,12 @@ def test_half_bytes_bound_a_bucket_and_meet_every_link():
     for _ in range(2000):
         differ = sum(1 << b for b in rng.sample(range(32), rng.randint(0, 3)))
         assert any(not differ & m for m in masks)
+
+
+def test_no_join_of_the_variants_is_broadcast(spark):
+    """Every fingerprint has 64 variants, but Spark sizes them like the fingerprints: below its threshold, one side would go through the driver."""
+    fps = simhash.materialize(spark.range(500).select(F.xxhash64("id").alias("fp")), "few")
+    found = simhash.links(fps)
+    assert found.collect() == []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

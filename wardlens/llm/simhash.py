@@ -173,7 +173,8 @@ def links(fps: DataFrame, max_bits: int = 3, hot: int = HOT_BUCKET, crowded: int
     # dealt out first, by an expression that no earlier exchange deals by: each fingerprint becomes 64 rows
     index = fps.repartition(n, F.xxhash64("fp")).select("fp", F.explode(variants).alias("v")).select("fp", F.col("v.k1").alias("k1"))
     crowd = index.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = index.join(crowd, "k1")
+    # both sides have up to 64 rows per fingerprint, but Spark sizes them as before the explode and would broadcast one
+    met = index.join(crowd.hint("merge"), "k1")
     other = F.when(F.col("k1") < (32 << 32), high).otherwise(low)
     byte = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (
         i.cast("bigint") * 256 + F.call_function("shiftrightunsigned", other, i * 8).bitwiseAND(F.lit(255)) + 1))
