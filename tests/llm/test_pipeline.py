@@ -10,7 +10,7 @@ from tests.llm.test_bpe import library  # noqa: F401
 from tests.llm.test_decontaminate import brute as brute_decontaminate
 from tests.llm.test_simhash import brute as brute_simhash
 from tests.llm.test_suffix_dedup import brute as brute_suffix
-from wardlens.llm import quality
+from wardlens.llm import quality, simhash
 from wardlens.llm.shared import materialize, read
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +78,17 @@ def test_run(spark, stages):
     got = P.run(spark, SF).agg(F.count("*"), F.sum("n_tokens")).first()
     assert tuple(got) == tuple(stages[-1][1].agg(F.count("*"), F.sum("n_tokens")).first())
     assert np.array(got).all()
+
+
+def test_simhash_stage_broadcasts_no_variants(spark, monkeypatch):
+    """Its fingerprints times 64 would pass through the driver's memory, as Spark sizes them by the fingerprints alone."""
+    docs = materialize(spark.range(200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.hash("id", F.lit(k)) for k in range(8))).alias("text")), "few")
+    plans = {}
+
+    def noted(df, name):
+        out = materialize(df, name)
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+    monkeypatch.setattr(simhash, "materialize", noted)
+    assert P.simhash_near_dedup(spark, docs, SF).count() == 200
+    assert "SortMergeJoin" in plans["simhash-edges"] and "BroadcastHashJoin" not in plans["simhash-edges"]
