@@ -67,3 +67,23 @@ def test_inputs_that_read_differently_every_time(spark):
     got = lm_score.score(d, F.col("flag"), batch_bytes=60).collect()
     by = lambda rows: sorted((str(r[0]), r[1], *(round(x, 9) + 0.0 for x in r[2:])) for r in rows)
     assert by(map(tuple, got)) == by(brute(rows))
+
+
+def test_equal_batches_are_scored_one_by_one(spark, monkeypatch):
+    """Batches of the same texts in the same order, ids and all, do not meet in one group."""
+    one = [(i, f"some words of text {i}", i == 0) for i in range(3)]
+    rows = [*one * 20, (9, "other words", None)]
+    make = lm_score._score
+
+    def alone(*a):
+        run = make(*a)
+
+        def checked(texts, totals):
+            assert texts.num_rows <= 1
+            return run(texts, totals)
+        return checked
+    monkeypatch.setattr(lm_score, "_score", alone)
+    d = spark.createDataFrame(rows, "doc_id long, text string, flag boolean").repartition(1)
+    got = lm_score.score(d, F.col("flag"), batch_bytes=60).collect()
+    by = lambda rows: sorted((str(r[0]), r[1], *(round(x, 9) + 0.0 for x in r[2:])) for r in rows)
+    assert by(map(tuple, got)) == by(brute(rows))

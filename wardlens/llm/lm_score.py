@@ -15,11 +15,12 @@ and sends them, packed by hash bucket, to the tasks that add them up.  Those
 return to each batch the totals of its own n-grams, in its own order.  The batch
 then meets its totals and scores its documents.  No key carries more than one
 entry per batch, no document list is gathered by n-gram, and nothing but three
-numbers (V and the two N) reaches the driver.  The texts are written once and
-both passes read that copy, so a batch holds the same rows in both, also where the
-input is a shuffle or a task is run again; a batch is named by a hash of its content,
-so totals can only meet the text they were counted for.  The number of buckets
-follows the bytes of text, so a bucket stays small whatever the input.
+numbers (V and the two N) reaches the driver.  The texts are written once, each with
+a number of its own, and both passes read that copy, so a batch holds the same rows in
+both, also where the input is a shuffle or a task is run again.  A batch is named by a
+hash of its content and of its first text's number: totals can only meet the text they
+were counted for, and batches of equal texts, however many, are scored one by one.  The
+number of buckets follows the bytes of text, so a bucket stays small whatever the input.
 """
 
 from __future__ import annotations
@@ -64,9 +65,11 @@ def unpack(raw, n: int) -> np.ndarray:
     return out
 
 
-def batch_name(data: np.ndarray, off: np.ndarray) -> int:
+def batch_name(data: np.ndarray, off: np.ndarray, place: int) -> int:
+    """Of a batch whose first text has the number ``place``: equal batches have names of their own."""
     h = xxhash.xxh3_64(data.tobytes())
     h.update(off.tobytes())
+    h.update(np.int64(place).tobytes())
     return int(np.uint64(h.intdigest()).view(np.int64))
 
 
@@ -78,7 +81,7 @@ def buckets_of(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_rows(buckets: int, batch_bytes: int):
-    """mapInArrow (text, target) -> (kind, bucket, batch, keys, all, target): packed counts."""
+    """mapInArrow (text, target, place) -> (kind, bucket, batch, keys, all, target): packed counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece, data, off in pieces(b, "text", batch_bytes):
@@ -86,7 +89,7 @@ def _count_rows(buckets: int, batch_bytes: int):
                 w = Words(data, off)
                 if not len(w):
                     continue
-                name = batch_name(data, off)
+                name = batch_name(data, off, piece.column("place")[0].as_py())
                 word, before, pair = ngrams(w)
                 in_target = chosen[w.doc]
                 begins = before == BEGIN
@@ -131,13 +134,13 @@ def _totals(rows: pa.Table) -> pa.Table:
 
 
 def _texts(batch_bytes: int):
-    """mapInArrow (doc_id, text, target) -> one row per batch: its name, ids, bytes and offsets."""
+    """mapInArrow (doc_id, text, place) -> one row per batch: its name, ids, bytes and offsets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece, data, off in pieces(b, "text", batch_bytes):
                 ids = piece.column("doc_id")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch_name(data, off)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                    [pa.array([batch_name(data, off, piece.column("place")[0].as_py())], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                      pa.array([data.tobytes()], pa.binary()), pa.array([off.astype(np.int64).tobytes()], pa.binary())],
                     ["batch", "ids", "data", "off"])
 
@@ -211,7 +214,8 @@ def score(docs: DataFrame, target: Column, buckets: int | None = None, batch_byt
     are empty; texts without words score 0.  Null and repeated ids keep their rows.  Without any
     target text the target model is the smoothed uniform one; an empty table gives no rows."""
     spark = docs.sparkSession
-    src = materialize(small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(target, F.lit(False)).alias("target")), "lm-texts")
+    src = materialize(small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(target, F.lit(False)).alias("target"),
+                                                 F.monotonically_increasing_id().alias("place")), "lm-texts")
     if buckets is None:
         total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(2 * partitions(spark), -(-total // BUCKET_TEXT))
